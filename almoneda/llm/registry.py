@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almoneda.llm.sharding import op9_shard_rows
+from almoneda.llm import mixing, sharding
 
-QUERIES: dict = {"op9_shard_rows": op9_shard_rows}
-ORACLE: dict[str, str] = {}
+QUERIES: dict = {"op8_mix_sources": mixing.op8_mix_sources, "op9_shard_rows": sharding.op9_shard_rows}
+ORACLE: dict[str, str] = {"op8_mix_sources": mixing.ORACLE_SQL}
