@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from almoneda.llm import mixing, sharding
+from almoneda.llm import mixing, neardup, sharding
 
-QUERIES: dict = {"op8_mix_sources": mixing.op8_mix_sources, "op9_shard_rows": sharding.op9_shard_rows}
-ORACLE: dict[str, str] = {"op8_mix_sources": mixing.ORACLE_SQL}
+QUERIES: dict = {
+    "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_shard_rows": sharding.op9_shard_rows,
+}
+ORACLE: dict[str, str] = {"op3_near_duplicates": neardup.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL}
