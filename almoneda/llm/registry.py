@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from almoneda.llm import mixing, neardup, sharding
+from almoneda.llm import mixing, neardup, quality, sharding
 
 QUERIES: dict = {
     "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_shard_rows": sharding.op9_shard_rows,
 }
-ORACLE: dict[str, str] = {"op3_near_duplicates": neardup.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL}
+ORACLE: dict[str, str] = {
+    "op3_near_duplicates": neardup.ORACLE_SQL,
+    "op5_quality_rules": quality.ORACLE_SQL,
+    "op8_mix_sources": mixing.ORACLE_SQL,
+}
