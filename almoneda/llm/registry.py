@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from almoneda.llm import mixing, neardup, quality, sharding
+from almoneda.llm import mixing, neardup, quality, sharding, toxicity
 
 QUERIES: dict = {
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_shard_rows": sharding.op9_shard_rows,
 }
