@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from almoneda.llm import mixing, neardup, quality, sharding, toxicity
+from almoneda.llm import decontaminate, mixing, neardup, quality, sharding, toxicity
 
 QUERIES: dict = {
     "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mix_sources": mixing.op8_mix_sources,
