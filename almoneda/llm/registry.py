@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from almoneda.llm import decontaminate, mixing, neardup, quality, sharding, toxicity
+from almoneda.llm import chat, decontaminate, mixing, neardup, quality, sharding, toxicity
 
 QUERIES: dict = {
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_chat_format": chat.op6_chat_format,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_shard_rows": sharding.op9_shard_rows,
@@ -15,5 +16,6 @@ QUERIES: dict = {
 ORACLE: dict[str, str] = {
     "op3_near_duplicates": neardup.ORACLE_SQL,
     "op5_quality_rules": quality.ORACLE_SQL,
+    "op6_chat_format": chat.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
 }
