@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almoneda.llm import textcore
 from almoneda.llm.setsketch import SetSketch
-from almoneda.llm.shared import materialize
+from almoneda.llm.shared import free_name, materialize
 from almoneda.llm.simjoin import link_groups
 
 SHINGLE = 5
 
 
+def text_hash(text: str) -> Column:
+    """Tells rows of one doc_id apart by their text."""
+    return F.xxhash64(F.col(text)).alias("text_hash")
+
+
 def sketches(docs: DataFrame, sketch: SetSketch, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, node, n, sig) for each row of docs (doc_id, text); node names the set and is null where it is empty."""
+    """(doc_id, text_hash, node, n, sig) for each row of docs (doc_id, text); node names the set and is null where it is empty."""
 
     def run(batches):
         for batch in batches:
@@ -26,13 +31,13 @@ def sketches(docs: DataFrame, sketch: SetSketch, shingle: int = SHINGLE) -> Data
                     size.append(len(s))
                     node.append(textcore.set_key(s) if len(s) else None)
                     sig.append(sketch.registers(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(sig, pa.binary())], ["doc_id", "node", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "node", "n", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n int, sig binary")
+    return docs.select("doc_id", "text", text_hash("text")).mapInArrow(run, "doc_id long, text_hash long, node binary, n int, sig binary")
 
 
 def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, sketch: SetSketch = SetSketch(), shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs; other columns are left aside.
+    """(doc_id, n_shingles, component_id, kept, text_hash) for every row of docs; other columns are left aside.
 
     Two documents are linked when den * |intersection| >= num * |union| of their sets of distinct word shingles (A-Z
     lowered; a text of fewer words is one shingle). component_id is the least doc_id reachable over links; kept is
@@ -58,14 +63,14 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, sketch: SetSket
 
     labels = link_groups(
         nodes.select("node", "n", "sig"), texts_of, lambda d, o: textcore.shingle_sets(d, o, shingle), sketch.band_keys,
-        lambda ru, rv, nu, nv: sketch.plausible(ru, rv, nu, nv, num / den), sketch.rows, np.uint16, num, den,
+        lambda ru, rv, nu, nv: sketch.plausible(ru, rv, nu, nv, num / den), lambda s: sketch.band_keys(sketch.registers(s)[None])[0], np.uint16, num, den,
     )
     placed = nodes.select("node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    out = rows.select("doc_id", "n", "node").join(materialize(ids, "groups"), "node", "left")
+    out = rows.select("doc_id", "text_hash", "n", "node").join(materialize(ids, "groups"), "node", "left")
     group = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.col("node").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), group.alias("component_id"), kept.alias("kept"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), group.alias("component_id"), kept.alias("kept"), "text_hash")
 
 
 def _of_set(texts: DataFrame, shingle: int) -> DataFrame:
@@ -81,9 +86,20 @@ def _of_set(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node binary, text string")
 
 
+def one_of_each(docs: DataFrame, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that near_duplicates keeps; of rows with one doc_id and text, one."""
+    mark = free_name(docs.columns, "__text_hash")
+    kept = materialize(near_duplicates(docs, num, den, doc_id=doc_id, text=text).filter("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "kept")
+    keys = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    found = docs.withColumn(mark, text_hash(text)).join(keys, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__hash")), "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        found = found.dropDuplicates([doc_id, mark])
+    return found.drop(mark)
+
+
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """All documents at a similarity of 0.85."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85, 100)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85, 100).drop("text_hash")
 
 
 ORACLE_SQL = r"""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from almoneda.llm import chat, decontaminate, mixing, neardup, quality, sharding, toxicity
+from almoneda.llm import chat, decontaminate, html_text, linededup, mixing, neardup, quality, sharding, toxicity
 
 QUERIES: dict = {
+    "op1_main_text": html_text.op1_main_text,
+    "op2_line_dedup": linededup.op2_line_dedup,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_quality_rules": quality.op5_quality_rules,

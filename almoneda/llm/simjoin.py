@@ -32,6 +32,8 @@ BLOCK = 256
 Plausible = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 #: (bytes of texts, offsets) -> the set of each text.
 Sets = Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]]
+#: A set -> its key in each band.
+Keys = Callable[[np.ndarray], np.ndarray]
 
 
 def matrix(column: pa.Array, dtype) -> np.ndarray:
@@ -68,7 +70,7 @@ def screen(edges: DataFrame, nodes: DataFrame, plausible: Plausible, dtype) -> D
     return edges.join(u, "a").join(v, "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(run, "a binary, b binary")
 
 
-def verify(edges: DataFrame, texts: DataFrame, sets: Sets, num: int, den: int) -> DataFrame:
+def verify(edges: DataFrame, texts: DataFrame, sets: Sets, num: int, den: int, kind: str = "binary") -> DataFrame:
     """The edges (a, b) with den * |intersection| >= num * |union| on the full sets of texts (node, text)."""
 
     def run(batches):
@@ -86,7 +88,7 @@ def verify(edges: DataFrame, texts: DataFrame, sets: Sets, num: int, den: int) -
                 yield pa.RecordBatch.from_arrays([p.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
     u, v = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return edges.join(u, "a").join(v, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return edges.join(u, "a").join(v, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _sets_of(column: pa.Array, sets: Sets) -> Iterator[np.ndarray]:
@@ -96,7 +98,7 @@ def _sets_of(column: pa.Array, sets: Sets) -> Iterator[np.ndarray]:
         yield from sets(data, offsets)
 
 
-def _compare(pdf: pd.DataFrame, rows: int, dtype, num: int, den: int) -> pd.DataFrame:
+def _compare(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Of one pair of blocks of a bucket: links between different components, as many as it takes to join them.
 
     A pair that already met in an earlier band is left to that band's bucket; all others are compared on the full sets.
@@ -105,7 +107,7 @@ def _compare(pdf: pd.DataFrame, rows: int, dtype, num: int, den: int) -> pd.Data
     comp = pd.factorize(pdf["comp"])[0]
     if comp.max(initial=0) == 0:
         return pd.DataFrame({"a": [], "b": []})
-    sig = np.frombuffer(b"".join(pdf["sig"]), dtype).reshape(len(pdf), -1, rows)
+    keys = np.frombuffer(b"".join(pdf["keys"]), np.int64).reshape(len(pdf), -1)
     node, block, band = pdf["node"].to_numpy(), pdf["block"].to_numpy(), int(pdf["band"].iloc[0])
     across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
     members = [np.frombuffer(x, np.uint64) for x in pdf["members"]]
@@ -120,7 +122,7 @@ def _compare(pdf: pd.DataFrame, rows: int, dtype, num: int, den: int) -> pd.Data
             near &= block[y] != block[x]
         y = y[near]
         if band and len(y):
-            y = y[~(sig[y, :band] == sig[x, :band]).all(-1).any(-1)]
+            y = y[~(keys[y, :band] == keys[x, :band]).any(-1)]
         if not len(y):
             continue
         own = ids[begins[x] : begins[x + 1]]
@@ -134,7 +136,7 @@ def _compare(pdf: pd.DataFrame, rows: int, dtype, num: int, den: int) -> pd.Data
     return pd.DataFrame(found, columns=["a", "b"])
 
 
-def settle(bands: DataFrame, nodes: DataFrame, labels: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, rows: int, dtype, num: int, den: int) -> DataFrame:
+def settle(bands: DataFrame, labels: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, keys_of: Keys, num: int, den: int, kind: str = "binary") -> DataFrame:
     """Links (a, b) between different components that meet in a bucket, its least node left aside."""
     member = bands.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).filter("node <> lead")
     unsettled = member.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").drop("lo", "hi")
@@ -145,18 +147,18 @@ def settle(bands: DataFrame, nodes: DataFrame, labels: DataFrame, texts_of: Call
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 p = batch.slice(i, 64)
-                yield pa.RecordBatch.from_arrays([p.column(0), pa.array([s.tobytes() for s in _sets_of(p.column(1), sets)], pa.binary())], ["node", "members"])
+                found = list(_sets_of(p.column(1), sets))
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([keys_of(s).tobytes() for s in found], pa.binary())], ["node", "members", "keys"])
 
-    full = materialize(needed.select("node", "text").mapInArrow(run, "node binary, members binary"), "sets")
+    full = materialize(needed.select("node", "text").mapInArrow(run, f"node {kind}, members binary, keys binary"), "sets")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = member.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("members", "other")
-    dealt = dealt.join(nodes.select("node", "sig"), "node").join(full, "node")
-    grouped = dealt.select("band", "key", "i", "j", "block", "node", "comp", "sig", "members").groupBy("band", "key", "i", "j")
-    return grouped.applyInPandas(lambda pdf: _compare(pdf, rows, dtype, num, den), "a binary, b binary")
+    grouped = dealt.join(full, "node").select("band", "key", "i", "j", "block", "node", "comp", "keys", "members").groupBy("band", "key", "i", "j")
+    return grouped.applyInPandas(lambda pdf: _compare(pdf, num, den), f"a {kind}, b {kind}")
 
 
-def link_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, keys: Callable[[np.ndarray], np.ndarray], plausible: Plausible, rows: int, dtype, num: int, den: int) -> DataFrame:
+def link_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, keys: Callable[[np.ndarray], np.ndarray], plausible: Plausible, keys_of: Keys, dtype, num: int, den: int) -> DataFrame:
     """(node, component) for all nodes that have links; component is the least node of the group.
 
     nodes: (node binary, n int, sig binary), one row a distinct set, none empty. texts_of: given (node), their
@@ -170,5 +172,5 @@ def link_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], se
     ends = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
     links = materialize(verify(stars, materialize(texts_of(ends), "texts"), sets, num, den), "confirmed")
     labels = materialize(components(links), "labels")
-    more = materialize(settle(bands, nodes, labels, texts_of, sets, rows, dtype, num, den), "settled")
+    more = materialize(settle(bands, labels, texts_of, sets, keys_of, num, den), "settled")
     return labels if more.isEmpty() else components(links.unionByName(more))
