@@ -38,7 +38,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     left = F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
     heavy = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     levels = ranked.withColumn("level", left / heavy)
-    stands = F.min(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(every)
+    # Levels fall from the first source that stays below its limit on, so that one's is the greatest that fits.
+    stands = F.max(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(every)
     return levels.select("source", "source_size", "weight", F.least(F.col("limit"), F.coalesce(stands * F.col("weight"), F.col("limit"))).cast("double").alias("target"))
 
 
@@ -121,7 +122,7 @@ w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, CAS
         3.0::DOUBLE * source_size AS lim FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER p, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) AS level FROM w
       WINDOW p AS (ORDER BY lim / weight, source IS NULL, CAST(source AS BLOB) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(lim, coalesce(min(CASE WHEN level * weight <= lim THEN level END) OVER () * weight, lim))::DOUBLE AS target FROM l),
+t AS (SELECT source, source_size, least(lim, coalesce(max(CASE WHEN level * weight <= lim THEN level END) OVER () * weight, lim))::DOUBLE AS target FROM l),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 g AS (SELECT source, k, sum(size) AS n, sum(sum(size)) OVER (PARTITION BY source ORDER BY k) AS through FROM d GROUP BY source, k)
 SELECT d.doc_id, d.size, b.source_size, b.target,
