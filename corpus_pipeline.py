@@ -1,17 +1,50 @@
-"""Stages of the corpus pipeline, in order; each works on all that its predecessor kept."""
+"""Stages of the corpus pipeline, in order; each works on all that its predecessor kept.
+
+Every stage but the last returns the columns of `documents`; the last adds each document's shard and slot.
+"""
 
 from __future__ import annotations
 
-from almoneda.llm.sharding import shard_rows
+from pyspark.sql import functions as F
+
+from almoneda.llm import decontaminate, mixing, neardup, sharding, toxicity
 from almoneda.llm.shared import materialize
 
 
-def sharding(spark, docs, sf_dir):
-    """Operator 9: all documents that are left, each with its shard and slot."""
-    return shard_rows(docs, 16)
+def toxic_out(spark, docs, sf_dir):
+    """Operator 7: documents that the classifier rejects (score of 0.7 or more) go."""
+    model = toxicity.learned_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score_rows(docs, model)
+    return scored.filter(F.col(scored.columns[-1]) < 0.7).select(*docs.columns)
+
+
+def near_copies_out(spark, docs, sf_dir):
+    """Operator 3: of each group of documents alike by 0.8 or more, the one of least id stays."""
+    return neardup.one_of_each(docs, 4, 5)
+
+
+def benchmark_out(spark, docs, sf_dir):
+    """Operator 4: documents with a benchmark item in them go."""
+    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(F.size(found.columns[-1]) == 0).select(*docs.columns)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Operator 8: each document as often as the mix takes it."""
+    mixed = mixing.mix(docs)
+    size, taken = (F.col(f"`{mixed.columns[i]}`") for i in (-4, -1))
+    times = F.when(size > 0, (taken / size).cast("int")).otherwise(F.lit(0))
+    copies = F.explode(F.array_repeat(F.lit(1), times))  # none where the mix takes none
+    return mixed.select(*docs.columns, copies.alias("__copy")).select(*docs.columns)
+
+
+def shard(spark, docs, sf_dir):
+    """Operator 9: all that is left, dealt to 16 shards."""
+    return sharding.shard_rows(docs, 16)
 
 
-STAGES = [("sharding", sharding)]
+STAGES = [("toxicity", toxic_out), ("near-duplicates", near_copies_out), ("decontamination", benchmark_out), ("mixing", mix_sources), ("sharding", shard)]
+#: The classifier and edit distances can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
