@@ -1,7 +1,7 @@
 """Reply trees to conversations in a chat template. DataFrame functions only.
 
-Messages name their parent. Root-to-leaf paths come from iterated self-joins: each round joins the paths' ends with their
-replies, until none has any. Paths are ranked by score within their tree, and each chosen path becomes one text in the
+Messages name their parent. Root-to-leaf paths come from iterated self-joins: unbranched runs are drawn together by
+doubling pointers, then each round joins the paths' ends with the runs that reply, until none has any. Paths are ranked by score within their tree, and each chosen path becomes one text in the
 template, with the spans that count for the loss.
 """
 
@@ -29,38 +29,67 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def reply_paths(messages: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def _chains(nodes: DataFrame) -> DataFrame:
+    """(tree, msg, head, dist): the first message of the unbranched run that a message is in, and its place there.
+
+    nodes: (tree, msg, up), up the parent that has no other reply, else null. Pointers are doubled: each self-join makes
+    them twice as long, so a run of n messages takes log n joins. Messages on a cycle reach no head and are left out.
+    """
+    heads = nodes.filter("up IS NULL").select("tree", "msg", F.col("msg").alias("up"), F.lit(0).cast("long").alias("dist"))
+    table = materialize(heads.select("*", F.lit(True).alias("done")).unionByName(nodes.filter("up IS NOT NULL").select("tree", "msg", "up", F.lit(1).cast("long").alias("dist"), F.lit(False).alias("done"))), "chains")
+    left = table.filter("NOT done").count()
+    while left:
+        to = table.select(F.col("tree").alias("t"), F.col("msg").alias("m"), F.col("up").alias("up2"), F.col("dist").alias("d2"), F.col("done").alias("done2"))
+        active = table.filter("NOT done").join(to, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m"))).select("tree", "msg", F.col("up2").alias("up"), (F.col("dist") + F.col("d2")).alias("dist"), F.col("done2").alias("done"))
+        table = materialize(table.filter("done").unionByName(active), "chains")
+        now = table.filter("NOT done").count()
+        if now == left:  # only cycles are left
+            break
+        left = now
+    return table.filter("done").select("tree", "msg", F.col("up").alias("head"), "dist")
+
+
+def reply_paths(messages: DataFrame) -> DataFrame:
     """(tree, path, score): every root-to-leaf path, `path` an array of (msg, role, text) from the root.
 
-    messages: (tree, msg, parent, role, text, score), msg unique in its tree. A root has a null parent, or one that its
-    tree lacks. A path's score is the sum of its messages' scores, null as 0.
+    messages: (tree, msg, parent, role, text, score). A root has a null parent, or one that its tree lacks. A path's
+    score is the sum of its messages' scores, null as 0. Null roles and texts are empty.
+
+    Unbranched runs of messages are first drawn together, so the joins that extend paths are as many as a path has
+    branchings, however long it is; they carry ids only, and texts are joined to the finished paths.
 
-    The joins carry ids only; texts are joined to the finished paths. Messages on a cycle hang on no root and are left
-    out. A message that is repeated is a reply of its own (its copies share their id, and so their replies).
+    Messages on a cycle hang on no root and are left out. Rows that repeat a message's id count once: least parent,
+    role and text, greatest score. An empty table gives an empty table.
     """
-    m = materialize(messages.select("tree", "msg", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), "messages")
-    edge = m.select(F.col("tree").alias("t"), F.col("msg").alias("child"), F.col("parent").alias("p"), F.col("score").alias("s"))
-    known = m.select(F.col("tree").alias("kt"), F.col("msg").alias("km")).distinct()
-    roots = m.join(known, F.col("tree").eqNullSafe(F.col("kt")) & (F.col("parent") == F.col("km")), "left_anti")
-    front = roots.select("tree", F.array("msg").alias("ids"), F.col("msg").alias("last"), "score")
-    has_reply = edge.filter("p IS NOT NULL").select(F.col("t").alias("rt"), F.col("p").alias("rp")).distinct()
-    done = None
-    for _ in range(most_rounds):
-        front = materialize(front, "front")
-        if front.isEmpty():
-            break
-        at = F.col("tree").eqNullSafe(F.col("rt")) & (F.col("last") == F.col("rp"))
-        ended = front.join(has_reply, at, "left_anti").select("tree", "ids", "score")
-        done = ended if done is None else done.unionByName(ended)
+    m = messages.filter("msg IS NOT NULL").groupBy("tree", "msg").agg(F.min("parent").alias("parent"), F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("said"), F.max(F.coalesce("score", F.lit(0.0)).cast("double")).alias("score"))
+    m = materialize(m, "messages")
+    replies = m.filter("parent IS NOT NULL").groupBy("tree", "parent").agg(F.count("*").alias("replies"))
+    known = m.select(F.col("tree").alias("t"), F.col("msg").alias("p")).join(replies.withColumnsRenamed({"tree": "rt", "parent": "rp"}), F.col("t").eqNullSafe(F.col("rt")) & (F.col("p") == F.col("rp"))).select("t", "p", "replies")
+    nodes = m.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left").select("tree", "msg", F.col("p").alias("parent"), F.when(F.col("replies") == 1, F.col("p")).alias("up"), "score")
+    nodes = materialize(nodes, "nodes")
+    chains = materialize(_chains(nodes.select("tree", "msg", "up")), "placed")
+    placed = chains.withColumnsRenamed({"tree": "ct", "msg": "cm"})
+    inside = nodes.join(placed, F.col("tree").eqNullSafe(F.col("ct")) & (F.col("msg") == F.col("cm")))
+    sums = inside.groupBy("tree", "head").agg(F.sum("score").alias("score"), F.max(F.when(F.col("dist") == 0, F.col("parent"))).alias("above"))
+    above = placed.select(F.col("ct").alias("at"), F.col("cm").alias("am"), F.col("head").alias("parent_head"))
+    runs = sums.join(above, F.col("tree").eqNullSafe(F.col("at")) & (F.col("above") == F.col("am")), "left").select("tree", "head", "score", "above", "parent_head")
+    runs = materialize(runs, "runs")
+    edge = runs.filter("parent_head IS NOT NULL").select(F.col("tree").alias("t"), F.col("head").alias("child"), F.col("parent_head").alias("p"), F.col("score").alias("s"))
+    front = runs.filter("above IS NULL").select("tree", F.array("head").alias("ids"), F.col("head").alias("last"), "score")
+    branching = edge.select(F.col("t").alias("bt"), F.col("p").alias("bp")).distinct()
+    at = F.col("tree").eqNullSafe(F.col("bt")) & (F.col("last") == F.col("bp"))
+    done = front.join(branching, at, "left_anti").select("tree", "ids", "score")
+    front = materialize(front.join(branching, at, "left_semi"), "front")
+    while not front.isEmpty():
         grown = front.join(edge, F.col("tree").eqNullSafe(F.col("t")) & (F.col("last") == F.col("p")))
-        front = grown.select("tree", F.concat("ids", F.array("child")).alias("ids"), F.col("child").alias("last"), (F.col("score") + F.col("s")).alias("score"))
-    if done is None:
-        return messages.sparkSession.createDataFrame([], "tree long, path array<struct<msg:long,role:string,text:string>>, score double")
-    steps = materialize(done.withColumn("path_id", F.monotonically_increasing_id()), "paths")
-    flat = steps.select("path_id", "tree", "score", F.posexplode("ids").alias("pos", "id"))
-    texts = m.groupBy("tree", "msg").agg(F.min(F.struct("role", "text")).alias("said"))
-    joined = flat.join(texts.withColumnRenamed("tree", "mt"), F.col("tree").eqNullSafe(F.col("mt")) & (F.col("id") == F.col("msg")))
-    path = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col("msg").cast("long").alias("msg"), F.col("said.role").alias("role"), F.col("said.text").alias("text")))), lambda x: F.struct(x["msg"].alias("msg"), x["role"].alias("role"), x["text"].alias("text")))
+        grown = materialize(grown.select("tree", F.concat("ids", F.array("child")).alias("ids"), F.col("child").alias("last"), (F.col("score") + F.col("s")).alias("score")), "grown")
+        done = done.unionByName(grown.join(branching, at, "left_anti").select("tree", "ids", "score"))
+        front = materialize(grown.join(branching, at, "left_semi"), "front")
+    paths = materialize(done.withColumn("path_id", F.monotonically_increasing_id()), "paths")
+    flat = paths.select("path_id", "tree", "score", F.posexplode("ids").alias("pos", "run"))
+    said = m.select(F.col("tree").alias("mt"), F.col("msg").alias("mm"), "said").join(placed, F.col("mt").eqNullSafe(F.col("ct")) & (F.col("mm") == F.col("cm"))).select("mt", F.col("mm").cast("long").alias("msg"), "head", "dist", "said.role", "said.text")
+    joined = flat.join(said, F.col("tree").eqNullSafe(F.col("mt")) & (F.col("run") == F.col("head")))
+    path = F.transform(F.sort_array(F.collect_list(F.struct("pos", "dist", "msg", "role", "text"))), lambda x: F.struct(x["msg"].alias("msg"), x["role"].alias("role"), x["text"].alias("text")))
     return joined.groupBy("path_id", "tree", "score").agg(path.alias("path")).select("tree", "path", "score")
 
 
