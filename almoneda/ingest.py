@@ -56,6 +56,14 @@ def ingest(stored: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame
     return upsert(stored.join(gone, "sid", "left_anti"), fresh), fresh
 
 
+def changed_only(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
+    """Rows in which any derived column differs from what is stored; null equals null. pairs: derived -> stored."""
+    same = F.lit(True)
+    for new, old in pairs.items():
+        same = same & F.col(new).eqNullSafe(F.col(old))
+    return df.filter(~same)
+
+
 def watermarks(versions: DataFrame) -> DataFrame:
     """(category, watermark): the greatest `updated` of each category."""
     return versions.groupBy("category").agg(F.max("updated").alias("watermark"))

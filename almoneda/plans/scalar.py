@@ -34,6 +34,15 @@ def _(spark, d):
     return contracts(spark, d).select("sid", S.budget_bucket("budget_amount").alias("budget_bucket"), F.date_format("publication_ts", "yyyy-MM").alias("pub_month"), F.date_format("deadline_ts", "yyyy-MM").alias("deadline_month"))
 
 
+@query("backfill_diff", with_contracts(f"SELECT sid, {_BUCKET.format(a='budget_amount')} AS budget_bucket FROM contracts WHERE {_BUCKET.format(a='budget_amount')} IS DISTINCT FROM CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE {_BUCKET.format(a='budget_amount * 1.5')} END"))
+def _(spark, d):
+    from almoneda.ingest import changed_only
+
+    old = F.when(F.col("o_orderkey") % 3 != 0, S.budget_bucket(F.col("budget_amount") * 1.5))
+    c = contracts(spark, d).withColumns({"stored": old, "budget_bucket": S.budget_bucket("budget_amount")})
+    return changed_only(c, {"budget_bucket": "stored"}).select("sid", "budget_bucket")
+
+
 @query("budget_bucket_edges", """SELECT 'b' || lpad(CAST(i AS VARCHAR), 2, '0') AS bucket, CASE WHEN i = 0 THEN 0.0 ELSE round(exp(ln(1000.0) + i * (ln(1e8) - ln(1000.0)) / 15), 2) END AS low,
   CASE WHEN i = 14 THEN NULL ELSE round(exp(ln(1000.0) + (i + 1) * (ln(1e8) - ln(1000.0)) / 15), 2) END AS high FROM range(15) r(i)""")
 def _(spark, d):
