@@ -49,3 +49,19 @@ class Answers:
         share = len(hit) / len(terms) if terms else 0.0
         verdict = "YES" if share >= 0.6 else "MAYBE" if share >= 0.3 else "NO"
         return {"verdict": verdict, "reason": f"{len(hit)} of {len(terms)} requirements found", "requirements": [{"name": t, "met": t in hit} for t in terms]}
+
+
+ANALYSIS = "verdict string, reason string, requirements array<struct<name:string,met:boolean>>"
+
+
+def analyze(df: DataFrame, terms: list[str], text: str = "text", answers: Answers | None = None) -> DataFrame:
+    """df with verdict (YES, MAYBE or NO), reason and requirements of a profile against each text, in batches."""
+    model = answers or Answers()
+    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(ANALYSIS).fields])
+
+    def run(frames):
+        for pdf in frames:
+            found = [model.match(t, terms) for t in pdf[text]]
+            yield pdf.assign(**{k: pd.Series([f[k] for f in found], index=pdf.index, dtype=object) for k in ("verdict", "reason", "requirements")})
+
+    return df.mapInPandas(run, schema)

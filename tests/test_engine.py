@@ -198,3 +198,14 @@ def test_paragraphs(spark):
     docs = spark.createDataFrame([(1, f"{long}\n\n{long} pago seguro\n\ncorto pago\n\n{'y' * 80}"), (2, None)], "doc_id long, text string")
     assert [r.picked for r in texts.extract_paragraphs(docs, ("pago", "seguro")).collect()] == [f"{long} pago seguro\n\n{long}"]
     assert texts.join_chunks(texts.chunk(docs, "\n\n")).filter("doc_id = 1").first().text.count("\n\n") == 3
+
+
+def test_analyze_and_embed(spark):
+    from almoneda.providers import analyze, embed, embed_batch
+
+    df = spark.createDataFrame([(1, "ISO 9001 y software"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.verdict, [q.met for q in r.requirements]) for r in analyze(df, ["iso", "software", "grúa"]).collect()}
+    assert got == {1: ("YES", [True, True, False]), 2: ("NO", [False, False, False])}
+    texts_ = [(i, f"text {i}") for i in range(7)]
+    seen = {r.doc_id: [round(x, 4) for x in r.embedding] for r in embed(spark.createDataFrame(texts_, "doc_id long, content string"), batch=2).collect()}
+    assert seen == {i: [round(x, 4) for x in embed_batch([t])[0]] for i, t in texts_}
