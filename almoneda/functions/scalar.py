@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The log-spaced budget grid, legal forms dropped from company names, and the namespace of URL ids.
+#: The log-spaced budget grid, legal forms dropped from company names, the namespace of URL ids, and what
+#: document ids are derived from.
 BUDGET_MIN, BUDGET_MAX, BUDGET_BINS = 1_000.0, 100_000_000.0, 15
 LEGAL_FORMS = ("SL", "SLU", "SLL", "SA", "SAU", "SCA", "SC", "SLP", "SLNE", "SCOOP", "COOP", "SRL", "SAL", "AIE", "UTE")
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+ID_PREFIX = "https://placsp.id/"
 _SPAN = math.log(BUDGET_MAX) - math.log(BUDGET_MIN)
 
 
@@ -31,7 +33,7 @@ def url_uuid5(name) -> Column:
 
 
 def object_uuid(sid) -> Column:
-    return url_uuid5(F.concat(F.lit("https://placsp.id/"), _c(sid)))
+    return url_uuid5(F.concat(F.lit(ID_PREFIX), _c(sid)))
 
 
 def budget_bucket(amount) -> Column:
