@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,21 +14,21 @@ from almoneda.llm.shared import free_name, materialize
 from almoneda.llm.simjoin import settle, verify
 from almoneda.llm.textcore import U, mix64
 
-#: Runs of 8 characters are rare enough by chance that bands of 4 minima seldom meet by chance; 20 bands of 4 miss a pair
-#: at a similarity of 0.8 three times in 100,000.
-SHINGLE, BANDS, ROWS = 8, 20, 4
+#: Runs of 8 characters are rare enough that bands of 4 minima seldom meet by chance; 16 bands of 4 miss a pair at a
+#: similarity of 0.8 twice in 10,000, at 0.85 once in 100,000.
+SHINGLE, BANDS, ROWS = 8, 16, 4
 LEAST_CHARS = 25
 _raw = mix64(np.arange(2 * BANDS * ROWS, dtype=U) + U(77))
 _MUL, _ADD = (_raw[: BANDS * ROWS] >> U(32)).astype(np.uint32) | np.uint32(1), (_raw[BANDS * ROWS :] >> U(32)).astype(np.uint32)
 
 
 def _keys(minima: np.ndarray) -> np.ndarray:
-    """(n, BANDS) int64 keys of (n, BANDS * ROWS) minima."""
+    """(n, BANDS) int64 keys of (n, BANDS * ROWS) minima; the last four bits are the band."""
     r = minima.reshape(len(minima), BANDS, ROWS).astype(U)
     key = np.zeros((len(minima), BANDS), U) + np.arange(BANDS, dtype=U)
     for j in range(ROWS):
         key = key * U(0xC6A4A7935BD1E995) + r[:, :, j] + U(1)
-    return mix64(key).view(np.int64)
+    return ((mix64(key) & ~U(BANDS - 1)) | np.arange(BANDS, dtype=U)).view(np.int64)
 
 
 def keys_of(members: np.ndarray) -> np.ndarray:
@@ -72,12 +73,12 @@ def line_nodes(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
 
 
 def band_rows(docs: DataFrame, least: int = LEAST_CHARS, remembered: int = 500_000) -> DataFrame:
-    """(band, key, node) for every distinct line. A task leaves out lines it has lately seen, so copies cost little."""
+    """(key, node) for every distinct line. A task leaves out lines it has lately seen, so copies cost little."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for _, _, data, offsets in textcore.chunks(batch.column(1)):
+            for _, _, data, offsets in textcore.chunks(batch.column(1), 1 << 17):  # arrays of its size stay in cache
                 x = _Lines(data, offsets, least)
                 fresh = []
                 for k, h in enumerate(x.hash.tolist()):
@@ -97,13 +98,15 @@ def band_rows(docs: DataFrame, least: int = LEAST_CHARS, remembered: int = 500_0
                 last = np.searchsorted(x.begins, ends) - SHINGLE  # the last shingle within the line
                 cuts = np.stack([first, last + 1], axis=1).ravel()
                 cuts = cuts[:-1] if cuts[-1] >= len(h) else cuts
-                minima = np.empty((len(fresh), BANDS * ROWS), np.uint32)
+                minima, hashed = np.empty((BANDS * ROWS, len(fresh)), np.uint32), np.empty_like(h)
                 for m in range(BANDS * ROWS):
-                    minima[:, m] = np.minimum.reduceat(h * _MUL[m] + _ADD[m], cuts)[::2]
-                keys = _keys(minima)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(fresh))), pa.array(keys.ravel()), pa.array(np.repeat(node, BANDS))], ["band", "key", "node"])
+                    np.multiply(h, _MUL[m], out=hashed)
+                    hashed += _ADD[m]
+                    minima[m] = np.minimum.reduceat(hashed, cuts)[::2]
+                keys = _keys(np.ascontiguousarray(minima.T))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(node, BANDS))], ["key", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "band int, key long, node long")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, node long")
 
 
 def buckets(bands: DataFrame) -> DataFrame:
@@ -115,12 +118,12 @@ def buckets(bands: DataFrame) -> DataFrame:
     def run(batches):
         key = lead = last = held = None
         for batch in batches:
-            b, k, n = (c.to_numpy() for c in batch.columns)
+            k, n = (c.to_numpy() for c in batch.columns)
             new = np.ones(len(k), bool)
             if len(k):
                 new[1:] = (k[1:] != k[:-1]) | (n[1:] != n[:-1])
                 new[0] = (k[0], n[0]) != (key, last)
-            b, k, n = b[new], k[new], n[new]
+            k, n = k[new], n[new]
             if not len(k):
                 continue
             first = np.ones(len(k), bool)
@@ -130,13 +133,23 @@ def buckets(bands: DataFrame) -> DataFrame:
                 held = None
             at = np.maximum.accumulate(np.where(first, np.arange(len(k)), -1))
             leads = np.where(at >= 0, n[np.maximum(at, 0)], lead if lead is not None else 0)
-            yield pa.RecordBatch.from_arrays([pa.array(c[~first]) for c in (b, k, n, leads)], ["band", "key", "node", "lead"])
+            band = (k & (BANDS - 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c[~first]) for c in (band, k, n, leads)], ["band", "key", "node", "lead"])
             key, last, lead = k[-1], n[-1], leads[-1]
         del held
 
     return bands.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(run, "band int, key long, node long, lead long")
 
 
+def _pack(batches):
+    """Texts under Zstandard: what is shuffled is half as large."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            p = batch.slice(i, 500)
+            yield pa.RecordBatch.from_arrays([p.column(0), pa.array([pack.compress((t.as_py() or "").encode()) for t in p.column(1)], pa.binary())], ["doc_id", "packed"])
+
+
 def line_groups(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """(lines, groups): lines (doc_id, line, node) and, of nodes that have links, (node, component)."""
     lines = materialize(line_nodes(docs, least), "lines")
@@ -145,12 +158,14 @@ def line_groups(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_
     def texts_of(needed: DataFrame) -> DataFrame:
         at = lines.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("at"))
         wanted = at.select(F.col("at.doc_id").alias("holder"), F.struct(F.col("at.line").alias("line"), "node").alias("x")).groupBy("holder").agg(F.collect_list("x").alias("xs"))
-        held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("holder"))).select("text", "xs")
+        packed = docs.select("doc_id", "text").mapInArrow(_pack, "doc_id long, packed binary")
+        held = packed.join(wanted, F.col("doc_id").eqNullSafe(F.col("holder"))).select("packed", "xs")
 
         def run(batches):
+            unpack = zstandard.ZstdDecompressor()
             for batch in batches:
                 for i in range(batch.num_rows):
-                    parts = (batch.column(0)[i].as_py() or "").encode().split(b"\n")
+                    parts = unpack.decompress(batch.column(0)[i].as_py()).split(b"\n")
                     node, text = [], []
                     for x in batch.column(1)[i].as_py():
                         if x["line"] < len(parts) and _name(parts[x["line"]]) == x["node"]:  # rows may repeat an id with another text
@@ -163,9 +178,10 @@ def line_groups(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_
     stars = shared.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     stars = materialize(stars, "line-stars")
     ends = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    links = materialize(verify(stars, materialize(texts_of(ends), "line-texts"), _sets, num, den, "long"), "line-links")
+    texts = materialize(texts_of(ends), "line-texts")  # of every line that shares a bucket
+    links = materialize(verify(stars, texts, _sets, num, den, "long"), "line-links")
     labels = materialize(components(links), "line-labels")
-    more = materialize(settle(shared, labels, texts_of, _sets, keys_of, num, den, "long"), "line-settled")
+    more = materialize(settle(shared, labels, lambda needed: texts.join(needed, "node", "left_semi"), _sets, keys_of, num, den, "long"), "line-settled")
     return lines, labels if more.isEmpty() else materialize(components(links.unionByName(more)), "line-labels")
 
 
@@ -174,6 +190,17 @@ def _name(line: bytes) -> int:
     return int(x.hash.view(np.int64)[0])
 
 
+def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_CHARS) -> DataFrame:
+    """(doc_id, removed): the line numbers, in order, that dedup_lines takes out of a document; those with any."""
+    lines, groups = line_groups(docs.select("doc_id", "text"), num, den, least)
+    nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = materialize(nodes, "line-nodes")
+    stays = nodes.groupBy("component").agg(F.min("first").alias("stays"))
+    place = nodes.join(stays, "component").select("node", F.col("stays.doc_id").alias("sd"), F.col("stays.line").alias("sl"))
+    gone = lines.join(place, "node").filter(~(F.col("doc_id").eqNullSafe(F.col("sd")) & (F.col("line") == F.col("sl"))))
+    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+
+
 def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text", clean_col: str = "clean_text") -> DataFrame:
     """docs with the text left when each group of alike lines keeps one, as last column, and its counts before it.
 
@@ -187,12 +214,7 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_
     - An empty table gives an empty table. Columns of docs named like the new ones give those underscores.
     """
     n_lines, n_removed, clean = (free_name(docs.columns, c) for c in ("n_lines", "n_removed", clean_col))
-    lines, groups = line_groups(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), num, den, least)
-    nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    nodes = materialize(nodes, "line-nodes")
-    stays = nodes.groupBy("component").agg(F.min("first").alias("stays"), F.count("*").alias("c"))
-    place = nodes.join(stays, "component").select("node", F.col("stays.doc_id").alias("sd"), F.col("stays.line").alias("sl"))
-    gone = lines.join(place, "node").filter(~(F.col("doc_id").eqNullSafe(F.col("sd")) & (F.col("line") == F.col("sl")))).groupBy("doc_id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc_id", "__id")
+    gone = removed_lines(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), num, den, least).withColumnsRenamed({"doc_id": "__id", "removed": "__gone"})
     out = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")), "left")
     parts = F.split(F.col(text), "\n")
     left = F.filter(F.transform(parts, lambda x, i: F.when(F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
@@ -203,7 +225,9 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents at a similarity of 0.8; the text that is left as its length and checksum."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = dedup_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed", F.length("clean_text").cast("long").alias("clean_chars"), F.crc32(F.col("clean_text").cast("binary")).cast("long").alias("clean_crc32"))
+    """All documents at a similarity of 0.8: each one's lines, and which of them go."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    counts = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    gone = removed_lines(docs).withColumnRenamed("doc_id", "id")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return counts.join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
