@@ -146,3 +146,15 @@ def test_lines_equal_brute_force(spark, sf_dir):
     assert got.columns == ["doc_id", "text", "clean_text", "n_lines", "n_removed", "clean_text_"]
     assert {r.doc_id: r.clean_text_ for r in got.collect()} == brute_lines(rows)
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_line_query_digests_the_text_that_is_left(spark, tmp_path):
+    import zlib
+
+    long = "a line of some length that several documents have"
+    rows = [(1, f"{long}\nanother line of its own, long enough"), (2, f"{long}s\n\nñandú: what is left of the second document\n{long}"), (3, long), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    left = brute_lines(rows)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.clean_chars, r.clean_crc32) for r in linededup.op2_line_dedup(spark, str(tmp_path)).collect()}
+    n_lines, n_removed = {1: 2, 2: 4, 3: 1, 4: 0, 5: 1}, {1: 0, 2: 2, 3: 1, 4: 0, 5: 0}
+    assert got == {d: (n_lines[d], n_removed[d], *((None, None) if t is None else (len(t), zlib.crc32(t.encode())))) for d, t in left.items()}
