@@ -14,21 +14,23 @@ from almoneda.llm.shared import free_name, materialize
 from almoneda.llm.simjoin import settle, verify
 from almoneda.llm.textcore import U, mix64
 
-#: Runs of 8 characters are rare enough that bands of 4 minima seldom meet by chance; 16 bands of 4 miss a pair at a
-#: similarity of 0.8 twice in 10,000, at 0.85 once in 100,000.
-SHINGLE, BANDS, ROWS = 8, 16, 4
+#: Runs of 8 characters are rare enough that bands of 4 minima seldom meet by chance; 20 bands of 4 miss a pair at a
+#: similarity of 0.8 three times in 100,000.
+SHINGLE, BANDS, ROWS = 8, 20, 4
+#: The bits of a key that hold its band.
+BAND_MASK = (1 << (BANDS - 1).bit_length()) - 1
 LEAST_CHARS = 25
 _raw = mix64(np.arange(2 * BANDS * ROWS, dtype=U) + U(77))
 _MUL, _ADD = (_raw[: BANDS * ROWS] >> U(32)).astype(np.uint32) | np.uint32(1), (_raw[BANDS * ROWS :] >> U(32)).astype(np.uint32)
 
 
 def _keys(minima: np.ndarray) -> np.ndarray:
-    """(n, BANDS) int64 keys of (n, BANDS * ROWS) minima; the last four bits are the band."""
+    """(n, BANDS) int64 keys of (n, BANDS * ROWS) minima; the bits of BAND_MASK are the band."""
     r = minima.reshape(len(minima), BANDS, ROWS).astype(U)
     key = np.zeros((len(minima), BANDS), U) + np.arange(BANDS, dtype=U)
     for j in range(ROWS):
         key = key * U(0xC6A4A7935BD1E995) + r[:, :, j] + U(1)
-    return ((mix64(key) & ~U(BANDS - 1)) | np.arange(BANDS, dtype=U)).view(np.int64)
+    return ((mix64(key) & ~U(BAND_MASK)) | np.arange(BANDS, dtype=U)).view(np.int64)
 
 
 def keys_of(members: np.ndarray) -> np.ndarray:
@@ -133,7 +135,7 @@ def buckets(bands: DataFrame) -> DataFrame:
                 held = None
             at = np.maximum.accumulate(np.where(first, np.arange(len(k)), -1))
             leads = np.where(at >= 0, n[np.maximum(at, 0)], lead if lead is not None else 0)
-            band = (k & (BANDS - 1)).astype(np.int32)
+            band = (k & BAND_MASK).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(c[~first]) for c in (band, k, n, leads)], ["band", "key", "node", "lead"])
             key, last, lead = k[-1], n[-1], leads[-1]
         del held

@@ -158,3 +158,9 @@ def test_line_query_digests_the_text_that_is_left(spark, tmp_path):
     got = {r.doc_id: (r.n_lines, r.n_removed, r.clean_chars, r.clean_crc32) for r in linededup.op2_line_dedup(spark, str(tmp_path)).collect()}
     n_lines, n_removed = {1: 2, 2: 4, 3: 1, 4: 0, 5: 1}, {1: 0, 2: 2, 3: 1, 4: 0, 5: 0}
     assert got == {d: (n_lines[d], n_removed[d], *((None, None) if t is None else (len(t), zlib.crc32(t.encode())))) for d, t in left.items()}
+
+
+def test_bands_find_nearly_all_pairs_at_the_threshold():
+    assert (1 - 0.8**linededup.ROWS) ** linededup.BANDS <= 3e-5
+    keys = linededup.keys_of(np.arange(1, 60, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    assert (keys & linededup.BAND_MASK).tolist() == list(range(linededup.BANDS))
