@@ -140,8 +140,8 @@ def shard_rows(df: DataFrame, n_shards: int = 16, seed: int = 17, rows_per_task:
 
 
 def op9_shard_rows(spark, sf_dir: str) -> DataFrame:
-    """Law `rows`: all documents into shards 0 to 15. Size is the UTF-8 bytes of the text plus 1."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Law `rows`: all documents, whole, into shards 0 to 15. Size is the UTF-8 bytes of the text dealt plus 1."""
+    dealt = shard_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), 16)
     text = F.coalesce("text", F.lit(""))
-    narrow = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
-    return shard_rows(narrow, 16).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary")).cast("long")
+    return dealt.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -115,3 +115,18 @@ def test_equal_texts_spread(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "copy").otherwise(F.col("id").cast("string")).alias("text"))
     got = [r["count"] for r in sharding.shard_rows(df, 16).filter("text = 'copy'").groupBy("shard").count().collect()]
     assert len(got) == 16 and all(abs(x - 62.5) < 32 for x in got)
+
+
+def test_shard_query_deals_whole_documents(spark, sf_dir, monkeypatch):
+    """The query hands every column to shard_rows, and its digests tell what came out: texts swapped on the way show."""
+    seen, deal = [], sharding.shard_rows
+
+    def swapped(df, *args):
+        seen.append(df.columns)
+        return deal(df, *args).withColumn("text", F.lit("swapped"))
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {(r.doc_id, r.shard, r.slot) for r in deal(docs, 16).select("doc_id", "shard", "slot").collect()}
+    assert {(r.doc_id, r.shard, r.slot) for r in sharding.op9_shard_rows(spark, sf_dir).collect()} == want
+    monkeypatch.setattr(sharding, "shard_rows", swapped)
+    assert {r.size for r in sharding.op9_shard_rows(spark, sf_dir).collect()} == {8} and seen == [docs.columns]
