@@ -1,13 +1,15 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix. DataFrame functions only.
 
-1. Rows are dealt to P partitions by a hash of the whole row, so that a lost task redoes the very same deal.
+1. Rows are dealt to P partitions by a hash of the whole row and of its number among equal rows, so that equal rows are
+   spread like any others. All that is drawn is drawn over ids and hashes, and written, so a lost task redoes the very
+   same deal.
 2. From the partitions' row counts a matrix P x S is drawn: how many rows each partition sends to each shard. Its law
    is that of a uniformly random permutation cut into shards: multivariate hypergeometric with both margins fixed.
    It is drawn by halving: a node holds the rows that all shards still want from a range of partitions, and its left
    half takes a hypergeometric share of them.
 3. Each partition permutes its rows (rank by a hash) and cuts them by its row of the matrix.
-4. Rows go to their shard, where a second hash permutes them again; its high bits deal the shard into blocks that many
-   tasks rank side by side, and the blocks' counts give each block's first slot.
+4. Whole rows go to their shard, where a second hash permutes them again; its high bits deal the shard into blocks that
+   many tasks rank side by side, and the blocks' counts give each block's first slot.
 
 P grows with the row count, so no task ever holds more than a bounded number of rows, however few the shards.
 """
@@ -100,41 +102,60 @@ def communication_matrix(counts: DataFrame, n_partitions: int, n_shards: int, se
     return node.select(F.col("node").alias("part"), ends.alias("ends"))
 
 
+def number_copies(rows: DataFrame, value: list[str], row_id: str, n_groups: int, number: str) -> DataFrame:
+    """rows with `number` (long): 0, 1, ... among the rows that agree in the columns `value`, which hold no nulls.
+
+    The rows of a value are numbered in up to n_groups groups by a hash of row_id, which no two rows share, and a group
+    starts where the ones before it end. So a value that all rows have still is numbered by many tasks.
+    """
+    group, first = free_name(rows.columns, "__group"), free_name(rows.columns, "__start")
+    keys = [*value, group]
+    grouped = rows.withColumn(group, F.pmod(F.xxhash64(row_id), F.lit(n_groups)))
+    ranked = grouped.withColumn(number, F.row_number().over(Window.partitionBy(*keys).orderBy(row_id)).cast("long") - 1)
+    before = Window.partitionBy(*value).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    starts = grouped.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn(first, F.sum("__n").over(before)).filter(F.col(first) > 0).drop("__n")
+    return ranked.join(starts, keys, "left").withColumn(number, F.col(number) + F.coalesce(first, F.lit(0))).drop(group, first)
+
+
 def shard_rows(df: DataFrame, n_shards: int = 16, seed: int = 17, rows_per_task: int = 65_536, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
     """df with `shard` (int) and `slot` (long): a uniformly random permutation cut into n_shards runs.
 
     Law: rows. Shard counts differ by one at most, and slots run gapless from 0 in each shard. The result depends on
     the rows, n_shards, seed and rows_per_task alone, not on how the input is partitioned, so reruns agree.
 
-    - Nulls and empty or very long texts are hashed like any value. Rows equal in every column are interchangeable:
-      each copy gets a slot of its own, and which copy gets which can't be told apart.
-    - Many equal rows share a hash and so a partition; give them a distinguishing column if they may be a large part.
+    - Nulls and empty or very long texts are hashed like any value. Rows equal in every column are numbered, and each is
+      dealt by its number too: copies spread over partitions, shards and slots like unlike rows. They are
+      interchangeable: which copy gets which slot can't be told apart.
     - An empty table gives an empty table. Names of own columns are changed where df has them already; if `shard` or
       `slot` itself is taken, underscores are appended.
     - Columns of map type can't be hashed; leave them out or cast them first.
     """
     taken = df.columns
-    part, order, again, rank, block = (free_name(taken, f"__{x}") for x in ("part", "order", "again", "rank", "block"))
+    row_id, part, order, again, rank, block = (free_name(taken, f"__{x}") for x in ("row", "part", "order", "again", "rank", "block"))
     shard_col, slot_col = free_name(taken, shard_col), free_name(taken, slot_col)
-    n = df.count()
+    columns = [F.col(f"`{c}`") for c in taken]
+    # Ids hold from here on, as the rows are read back with them.
+    whole = materialize(df.withColumn(row_id, F.monotonically_increasing_id()), "rows")
+    n = whole.count()
     n_parts = 64
     while n_parts * rows_per_task < n:
         n_parts *= 2
-    columns = [F.col(f"`{c}`") for c in taken]
-    keyed = df.withColumns({part: F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(n_parts)).cast("long"), order: F.xxhash64(F.lit(seed + 1), *columns), again: F.xxhash64(F.lit(seed + 2), *columns)})
+    # Hashes pass over nulls, so it is hashed too which columns are null.
+    nulls = [c.isNull() for c in columns]
+    values = whole.select(F.col(row_id), F.xxhash64(F.lit(seed), *columns, *nulls).alias("__v"), F.xxhash64(F.lit(seed + 1), *columns, *nulls).alias("__w"))
+    copies = number_copies(values, ["__v", "__w"], row_id, n_parts, "__copy")
+    key = lambda i: F.xxhash64(F.lit(seed + i), "__v", "__w", "__copy")
+    keyed = materialize(copies.select(row_id, F.pmod(key(2), F.lit(n_parts)).cast("long").alias(part), key(3).alias(order), key(4).alias(again)), "keyed")
     counts = keyed.groupBy(F.col(part).alias("part")).agg(F.count("*").alias("n"))
-    matrix = materialize(communication_matrix(counts, n_parts, n_shards, seed), "matrix")  # read twice below
-
-    def deal(rows: DataFrame) -> DataFrame:
-        ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(order, again)).cast("long") - 1)
-        joined = ranked.join(matrix.withColumnsRenamed({"part": part, "ends": "__ends"}), part)
-        ends, r = F.col("__ends"), F.col(rank)
-        return joined.withColumns({shard_col: F.size(F.filter(ends, lambda e: e <= r)).cast("int"), block: F.shiftrightunsigned(F.col(again), 64 - (n_parts.bit_length() - 1)).cast("long")}).drop("__ends", rank, part, order)
+    matrix = communication_matrix(counts, n_parts, n_shards, seed).withColumnsRenamed({"part": part, "ends": "__ends"})
+    ranked = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(order, again)).cast("long") - 1)
+    to_shard = F.size(F.filter("__ends", lambda e: e <= F.col(rank))).cast("int")
+    to_block = F.shiftrightunsigned(F.col(again), 64 - (n_parts.bit_length() - 1)).cast("long")
+    deal = materialize(ranked.join(matrix, part).select(row_id, again, to_shard.alias(shard_col), to_block.alias(block)), "deal")
 
-    # The counts need the deal but no payload, so this pass moves three hashes a row.
-    counts = deal(keyed.select(part, order, again)).groupBy(shard_col, block).agg(F.count("*").alias("__n"))
+    counts = deal.groupBy(shard_col, block).agg(F.count("*").alias("__n"))
     first = counts.withColumn("__first", F.sum("__n").over(Window.partitionBy(shard_col).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))).select(shard_col, block, F.coalesce("__first", F.lit(0)).alias("__first"))
-    dealt = deal(keyed).join(first, [shard_col, block])
+    dealt = whole.join(deal, row_id).join(first, [shard_col, block])
     slot = F.col("__first") + F.row_number().over(Window.partitionBy(shard_col, block).orderBy(again)) - 1
     return dealt.withColumn(slot_col, slot.cast("long")).select(*columns, shard_col, slot_col)
 

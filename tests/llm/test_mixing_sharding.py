@@ -130,3 +130,25 @@ def test_shard_query_deals_whole_documents(spark, sf_dir, monkeypatch):
     assert {(r.doc_id, r.shard, r.slot) for r in sharding.op9_shard_rows(spark, sf_dir).collect()} == want
     monkeypatch.setattr(sharding, "shard_rows", swapped)
     assert {r.size for r in sharding.op9_shard_rows(spark, sf_dir).collect()} == {8} and seen == [docs.columns]
+
+
+def test_equal_rows_spread(spark):
+    """Rows equal in every column go to all shards and aren't neighbours there, whatever the partitions of the input."""
+    df = spark.range(1600).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
+    found = sharding.shard_rows(df, 16).collect()
+    copies = [r for r in found if r.doc_id == -1]
+    counts = Counter(r.shard for r in copies)
+    assert len(copies) == 800 and len(counts) == 16 and all(abs(n - 50) < 25 for n in counts.values())
+    slots = defaultdict(set)
+    for r in copies:
+        slots[r.shard].add(r.slot)
+    assert sum(s + 1 in x for x in slots.values() for s in x) < 550  # about 400 by chance, 784 side by side
+    assert Counter(map(tuple, sharding.shard_rows(df.repartition(7), 16).collect())) == Counter(map(tuple, found))
+
+
+def test_copies_are_numbered_in_groups(spark):
+    rows = spark.range(900).select("id", F.when(F.col("id") < 500, 1).otherwise(F.col("id") % 50 + 2).alias("v"))
+    got = defaultdict(list)
+    for r in sharding.number_copies(rows, ["v"], "id", 8, "k").collect():
+        got[r.v].append(r.k)
+    assert len(got) == 51 and all(sorted(x) == list(range(len(x))) for x in got.values())
