@@ -3,7 +3,8 @@
 A page becomes a tree of blocks. Every node gets its characters C, tags T, link characters LC and link tags LT, and from
 them its link-adjusted density; the node whose children's densities sum to the most holds the article. Inside the body,
 the threshold is the least density on the path from the body to that node: what falls below it is left out. Parts that
-are named as anything but an article (menus, forms, adverts, reader comments and so on) are taken out beforehand.
+are never an article (menus, forms, adverts, reader comments and so on) are taken out beforehand; parts whose names only
+sound like such come back where they stand within the article and aren't mostly links.
 """
 
 from __future__ import annotations
@@ -20,19 +21,27 @@ from almoneda.llm.shared import free_name
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object canvas xmp noembed noframes".split())
+RAW = frozenset("script style textarea title iframe template svg canvas xmp annotation annotation-xml noembed noframes".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main "
     "menu nav ol p pre search section summary table tbody td tfoot th thead tr ul br caption option".split()
 )
 #: Parts that are never the article.
-DROPPED = frozenset("head nav aside form footer menu button select dialog input label fieldset figcaption".split()) | RAW
+DROPPED = frozenset("head nav aside form footer menu button select dialog input label fieldset".split()) | RAW
+#: Shown only where scripts or plug-ins are missing: page furniture, unless it stands within the article.
+FALLBACK = frozenset("noscript object".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|foot(?:er)?\w*|(?:site|page|top|main)?header|masthead|cookies?\w*|consent|gdpr|notices?|"
     r"alerts?|popup|modal|newsletter|subscri\w+|signup|login|comments?|commentlist|disqus\w*|replies|responses?|share\w*|sharing|social\w*|related\w*|recommend\w*|pagination|pager|widgets?|toolbar|search\w*|skip\w*|copyright|legal|tags?|taglist)(?:$|[\s_-])",
     re.I,
 )
+#: Whole names of parts that are no article wherever they stand. Other names that NOISE matches only raise a suspicion: an
+#: article may have a section "related-work" or "search-algorithms".
+SURE = frozenset(
+    "ad ads adbox advert adverts advertisement advertisements adsbygoogle sponsored comments commentlist comment-list comments-area disqus_thread breadcrumb breadcrumbs pagination pager "
+    "share-buttons sharing-buttons social-share social-buttons sharedaddy navbar navigation".split()
+)
 #: An open tag that these start tags end, and the tags beyond which they don't look. A paragraph ends at any block.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table html body div section article main aside nav header footer form td th blockquote".split())
@@ -43,12 +52,15 @@ _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _SPACE = re.compile(r"\s+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
+#: Tags of text, whose names tell nothing of the part they stand in.
+UNNAMED = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong a span".split())
+
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "sum", "dropped")
+    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "sum", "dropped", "suspect")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.items, self.dropped = tag, parent, [], dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, suspect: bool = False):
+        self.tag, self.parent, self.items, self.dropped, self.suspect = tag, parent, [], dropped or suspect, suspect and not dropped
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -62,7 +74,17 @@ def _noise(tag: str, attrs: str, inside: bool) -> bool:
     found = {m[1].lower(): next(x for x in (m[2], m[3], m[4], "") if x is not None) for m in _ATTR.finditer(attrs)}
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or _INVISIBLE.search(found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:$|\s|=)", attrs.lower()):
         return True
-    return any(NOISE.search(found.get(k, "")) for k in ("class", "id")) and tag not in ("p", "h1", "h2", "h3", "b", "i", "em", "strong", "a")
+    return tag not in UNNAMED and any(x in SURE for k in ("class", "id") for x in found.get(k, "").lower().split())
+
+
+def _suspect(tag: str, attrs: str) -> bool:
+    """Whether a start tag may open a part that is not the article: it counts for nothing when the article is sought, but
+    is kept where it stands within the article and isn't mostly links."""
+    if tag in FALLBACK:
+        return True
+    if not attrs or tag in ("html", "body", "article", "main") or tag in UNNAMED:
+        return False
+    return any(NOISE.search(next(x for x in (m[2], m[3], m[4], "") if x is not None)) for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id"))
 
 
 def parse(page: str) -> Node:
@@ -116,7 +138,7 @@ def parse(page: str) -> Node:
                     if node.tag in ends:
                         at = node.parent
                     node = node.parent
-        node = Node(tag, at, _noise(tag, m[3], bool(inside)))
+        node = Node(tag, at, _noise(tag, m[3], bool(inside)), _suspect(tag, m[3]))
         at.items.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             at = node
@@ -143,6 +165,14 @@ def _weigh(root: Node) -> list[Node]:
     return order
 
 
+def _is_text(part: Node, best: Node) -> bool:
+    """Whether a suspect part of the chosen subtree belongs to it: not if it is mostly links or stands in the bare page."""
+    if part.parent is best and best.parent is None:
+        return part.tag == "section"
+    _weigh(part)
+    return part.link_chars <= 0.5 * part.chars
+
+
 def extract(page: str | None) -> str:
     """The main text of a page: blocks in page order, one space between, white space inside a block one space."""
     if not page:
@@ -190,7 +220,7 @@ def extract(page: str | None) -> str:
             line.append(x)
         elif x is None:
             flush()
-        elif not x.dropped:
+        elif not x.dropped or x.suspect and _is_text(x, best):
             linked = x is not best and x.tag in BLOCK and x.chars and x.link_chars > 0.6 * x.chars and x.density < least
             if linked:  # below the threshold and mostly links: a list of links within the article
                 continue

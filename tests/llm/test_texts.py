@@ -75,6 +75,17 @@ def test_extract(page, want):
     assert html_text.extract(page) == want
 
 
+@pytest.mark.parametrize("part", [
+    '<section id="related-work"><p>Part.</p></section>', '<div id="side-effects"><p>Part.</p></div>', '<section class="legal-framework">Part.</section>', '<div id="search-algorithms">Part.</div>',
+    "<ul class='tags'><li>Part.</li></ul>", "<figure><img src=x><figcaption>Part.</figcaption></figure>", "<p><math><mi>Part.</mi><annotation>tex</annotation></math></p>", "<noscript>Part.</noscript>", "<h4 class=alerts>Part.</h4>",
+])
+def test_extract_keeps_parts_of_articles_whatever_their_names(part):
+    text = "Long article text here, with many words that matter."
+    for tag in ("article", "main", "div"):
+        page = f"<body><div id='menu'><a href=1>x</a></div><{tag}><p>{text}</p>{part}<p>{text}</p><div class=ad>Buy.</div><div class='related-links'><a href=2>Another article</a></div></{tag}></body>"
+        assert html_text.extract(page) == f"{text} Part. {text}", tag
+
+
 def test_extract_keeps_whole_articles(spark, sf_dir):
     import html
 
