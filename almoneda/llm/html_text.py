@@ -1,8 +1,10 @@
 """Main text of web pages by composite text density (Sun, Song, Liao; SIGIR 2011).
 
 A page becomes a tree of blocks. Every node gets its characters C, tags T, link characters LC and link tags LT, and from
-them its link-adjusted density; the node whose children's densities sum to the most holds the article. Inside the body,
-the threshold is the least density on the path from the body to that node: what falls below it is left out. Parts that
+them its link-adjusted density; the node whose children's densities sum to the most is the core of the article. The
+threshold is the least density on the path from the body to that node. Where marked articles hold most of the page's plain
+text, they all are the core. Besides the core, every part of the page goes out that isn't mostly links and reaches half the
+threshold, be it a sibling of the core or right under the body. Parts that
 are never an article (menus, forms, adverts, reader comments and so on) are taken out beforehand; parts whose names only
 sound like such come back where they stand within the article and aren't mostly links.
 """
@@ -165,11 +167,11 @@ def _weigh(root: Node) -> list[Node]:
     return order
 
 
-def _is_text(part: Node, best: Node) -> bool:
-    """Whether a suspect part of the chosen subtree belongs to it: not if it is mostly links or stands in the bare page."""
-    if part.parent is best and best.parent is None:
-        return part.tag == "section"
+def _is_text(part: Node) -> bool:
+    """Whether a suspect part within the article belongs to it: not if it is mostly links, or a short notice of the page."""
     _weigh(part)
+    if part.parent.parent is None and part.tag == "div" and part.tags == 0:
+        return False
     return part.link_chars <= 0.5 * part.chars
 
 
@@ -190,20 +192,27 @@ def extract(page: str | None) -> str:
         node.density = c / t * max(math.log(ratio), 0.0) / base if ratio > 0 else 0.0
     for node in order:
         node.sum = sum(k.density for k in node.items if isinstance(k, Node) and not k.dropped)
-    named = [n for n in order if n.tag in ("article", "main") and n.chars]
-    # Where a page marks its articles, the choice is among them: the reading of the marks beats any guess.
-    best = max(named, key=lambda n: (n.sum, n.chars)) if named else max(order, key=lambda n: (n.sum, n.chars))
-    if best.sum == 0 and not named:
-        best = root
-    if not named and best is not root:
-        # A subtree that holds nearly all of a parent's plain text is only its longest part: take the parent.
-        while best.parent is not None and best.parent is not root and best.chars - best.link_chars < 0.6 * (best.parent.chars - best.parent.link_chars):
-            best = best.parent
-    least, node = math.inf, best
+    peak = max(order, key=lambda n: (n.sum, n.chars))
+    least, node = peak.density, peak
     while node is not None:
         least = min(least, node.density)
         node = node.parent
-    least = min(least, best.density)
+    # Marks are a hint: the outermost marked articles are the core if they hold most of the page's plain text.
+    plain = lambda n: n.chars - n.link_chars
+    listed = lambda n: n.link_chars > 0.6 * n.chars
+    inside = set()
+    for n in reversed(order):  # parents before children
+        if n.parent is not None and (n.parent in inside or n.parent.tag in ("article", "main")):
+            inside.add(n)
+    named = [n for n in order if n.tag in ("article", "main") and n.chars and n not in inside]
+    core = {n for n in named if not listed(n)} or set(named)
+    if not core or 2 * sum(map(plain, core)) < plain(root):
+        core = {peak if peak.sum else root}
+    above = set()  # holds a part of the core
+    for n in core:
+        while n.parent is not None and n.parent not in above:
+            n = n.parent
+            above.add(n)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -213,21 +222,23 @@ def extract(page: str | None) -> str:
             blocks.append(text)
         line.clear()
 
-    stack: list = [best]
+    # A mean lies above half of what it is the mean of, so beside the core prose counts from half the threshold on.
+    stack: list = [(root, root in core)]
     while stack:
-        x = stack.pop()
+        x, whole = stack.pop()
         if isinstance(x, str):
             line.append(x)
         elif x is None:
             flush()
-        elif not x.dropped or x.suspect and _is_text(x, best):
-            linked = x is not best and x.tag in BLOCK and x.chars and x.link_chars > 0.6 * x.chars and x.density < least
-            if linked:  # below the threshold and mostly links: a list of links within the article
-                continue
+        elif not x.dropped or x.suspect and whole and _is_text(x):
+            if whole and x not in core and x.tag in BLOCK and x.chars and listed(x) and x.density < least:
+                continue  # below the threshold and mostly links: a list of links within the article
+            whole = whole or x in core or x not in above and x.chars > 0 and not listed(x) and x.density >= least / 2
             if x.tag in BLOCK:
                 flush()
-                stack.append(None)
-            stack += reversed(x.items)
+                stack.append((None, whole))
+            own = whole or x in above and x.density >= least / 2
+            stack += [(k, whole) for k in reversed(x.items) if own or isinstance(k, Node)]
     flush()
     return " ".join(blocks)
 

@@ -86,6 +86,21 @@ def test_extract_keeps_parts_of_articles_whatever_their_names(part):
         assert html_text.extract(page) == f"{text} Part. {text}", tag
 
 
+def test_extract_keeps_all_parts_of_an_article():
+    """Siblings in a wrapper or under the body, several marked articles, and a page whose only mark is a teaser."""
+    parts = [" ".join(f"Paragraph {i} of part {p}, which says a good deal about its matter." for _ in range(3)) for p in range(3) for i in range(2)]
+    box = lambda tag, ps: f"<{tag}>" + "".join(f"<p>{p}</p>" for p in ps) + f"</{tag}>"
+    links = "<div><ul>" + "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(9)) + "</ul></div>"
+    whole = " ".join(parts)
+    for tag in ("div", "article"):
+        body = box(tag, parts[:4]) + box(tag, parts[4:5]) + box(tag, parts[5:])
+        assert html_text.extract(f"<body>{links}{body}</body>") == whole
+        assert html_text.extract(f"<body>{links}<div>{body}</div>{links}</body>") == whole
+    teaser = "<article class=card><a href=1>See also</a></article>"
+    assert html_text.extract(f"<body>{links}{box('div', parts)}{teaser}</body>") == whole
+    assert html_text.extract(f"<body>{box('article', parts[:4])}{box('div', parts[4:])}{links}</body>") == whole
+
+
 def test_extract_keeps_whole_articles(spark, sf_dir):
     import html
 
