@@ -44,9 +44,12 @@ def _sets(data, offsets):
 
 
 class _Lines:
-    """The lines of a chunk that are long enough: byte ranges, text and line number of each, and their hashes."""
+    """The lines of a chunk that are long enough: byte ranges, text and line number of each, and their hashes.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int):
+    With `short`, those that are shorter but not blank too.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int, short: bool = False):
         ends = np.union1d(np.flatnonzero(data == 10), offsets[1:])  # an end at each text's end, whether or not a line ends there
         ends = ends[ends >= 0]
         starts = np.concatenate([[0], ends[:-1] + (data[np.minimum(ends[:-1], len(data) - 1)] == 10) * (ends[:-1] < len(data))]) if len(ends) else ends
@@ -56,19 +59,25 @@ class _Lines:
         number = np.searchsorted(newlines, starts) - np.searchsorted(newlines, offsets[np.minimum(doc, len(offsets) - 2)])
         chars = np.searchsorted(begins, ends) - np.searchsorted(begins, starts)
         keep = chars >= least
+        if short:
+            seen = np.flatnonzero(~textcore._SPACE[data])
+            keep |= np.searchsorted(seen, ends) > np.searchsorted(seen, starts)
         self.begins, self.starts, self.ends, self.doc, self.number = begins, starts[keep], ends[keep], doc[keep], number[keep]
         words = textcore.Words.__new__(textcore.Words)
         words.data, words.starts, words.ends = data, self.starts, self.ends
         self.hash = words.hashes(lower=False) if len(self.starts) else np.zeros(0, U)
 
 
-def line_nodes(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, line, node): every line of at least `least` code points, from 0, and the 64-bit name of its text."""
+def line_nodes(docs: DataFrame, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
+    """(doc_id, line, node): every line of at least `least` code points, from 0, and the 64-bit name of its text.
+
+    With `short`, shorter lines that aren't blank too.
+    """
 
     def run(batches):
         for batch in batches:
             for i, j, data, offsets in textcore.chunks(batch.column(1)):
-                x = _Lines(data, offsets, least)
+                x = _Lines(data, offsets, least, short)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(x.doc)), pa.array(x.number.astype(np.int32)), pa.array(x.hash.view(np.int64))], ["doc_id", "line", "node"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, node long")
@@ -152,9 +161,9 @@ def _pack(batches):
             yield pa.RecordBatch.from_arrays([p.column(0), pa.array([pack.compress((t.as_py() or "").encode()) for t in p.column(1)], pa.binary())], ["doc_id", "packed"])
 
 
-def line_groups(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
+def line_groups(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_CHARS, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """(lines, groups): lines (doc_id, line, node) and, of nodes that have links, (node, component)."""
-    lines = materialize(line_nodes(docs, least), "lines")
+    lines = materialize(line_nodes(docs, least, short), "lines")
     shared = materialize(buckets(band_rows(docs, least)), "buckets")
 
     def texts_of(needed: DataFrame) -> DataFrame:
@@ -192,9 +201,9 @@ def _name(line: bytes) -> int:
     return int(x.hash.view(np.int64)[0])
 
 
-def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
     """(doc_id, removed): the line numbers, in order, that dedup_lines takes out of a document; those with any."""
-    lines, groups = line_groups(docs.select("doc_id", "text"), num, den, least)
+    lines, groups = line_groups(docs.select("doc_id", "text"), num, den, least, short)
     nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = materialize(nodes, "line-nodes")
     stays = nodes.groupBy("component").agg(F.min("first").alias("stays"))
@@ -203,12 +212,13 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAS
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text", clean_col: str = "clean_text") -> DataFrame:
+def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text", clean_col: str = "clean_text", short: bool = False) -> DataFrame:
     """docs with the text left when each group of alike lines keeps one, as last column, and its counts before it.
 
     Lines (split at \\n) of at least `least` code points are linked when den * |intersection| >= num * |union| of their
     sets of runs of 8 code points; groups are the connected components. Of a group the first line stays: least doc_id, then
-    line number. Shorter and blank lines are never removed. n_lines, n_removed: lines of the row, and those removed.
+    line number. Shorter lines are grouped with `short` by being equal, else never removed; short blank ones never are.
+    n_lines, n_removed: lines of the row, and those removed.
 
     - Null and empty texts have no lines, and stay as they are. A null doc_id comes first in order.
     - Rows that repeat a doc_id and line number keep the line in each, as they can't be told apart.
@@ -216,7 +226,7 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_
     - An empty table gives an empty table. Columns of docs named like the new ones give those underscores.
     """
     n_lines, n_removed, clean = (free_name(docs.columns, c) for c in ("n_lines", "n_removed", clean_col))
-    gone = removed_lines(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), num, den, least).withColumnsRenamed({"doc_id": "__id", "removed": "__gone"})
+    gone = removed_lines(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), num, den, least, short).withColumnsRenamed({"doc_id": "__id", "removed": "__gone"})
     out = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")), "left")
     parts = F.split(F.col(text), "\n")
     left = F.filter(F.transform(parts, lambda x, i: F.when(F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
@@ -227,7 +237,7 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents at a similarity of 0.8; the text that is left as its length and checksum."""
+    """All documents at a similarity of 0.8, short lines by equality; the text that is left as its length and checksum."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = dedup_lines(docs.select("doc_id", "text"))
+    out = dedup_lines(docs.select("doc_id", "text"), short=True)
     return out.select("doc_id", "n_lines", "n_removed", F.length("clean_text").cast("long").alias("clean_chars"), F.crc32(F.col("clean_text").cast("binary")).cast("long").alias("clean_crc32"))

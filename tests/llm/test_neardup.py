@@ -164,3 +164,14 @@ def test_bands_find_nearly_all_pairs_at_the_threshold():
     assert (1 - 0.8**linededup.ROWS) ** linededup.BANDS <= 3e-5
     keys = linededup.keys_of(np.arange(1, 60, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     assert (keys & linededup.BAND_MASK).tolist() == list(range(linededup.BANDS))
+
+
+def test_short_lines_go_by_equality(spark, tmp_path):
+    import zlib
+
+    rows = [(1, "Ietzte.\n\n \t\nñ\nIetzte"), (2, "Ietzte.\n\n \t\nñandú\nñ"), (3, "Ietzte.\nIetzte."), (4, "Ietzte. \nIETZTE.")]
+    want = {1: rows[0][1], 2: "\n \t\nñandú", 3: "", 4: rows[3][1]}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.clean_text for r in linededup.dedup_lines(df, short=True).collect()} == want
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.clean_crc32 for r in linededup.op2_line_dedup(spark, str(tmp_path)).collect()} == {d: zlib.crc32(t.encode()) for d, t in want.items()}
