@@ -1,42 +1,37 @@
-"""Fuzzy line dedup: MinHash of character shingles, bands, exact Jaccard similarity, union-find, one line a component."""
+"""Fuzzy line dedup: MinHash of character shingles, bands, exact Jaccard similarity, union-find, one line a component.
+
+Lines are named by 128 bits of their text; bands hold the first 64 of them, which can only add candidates. Texts of lines
+are fetched for lines that share a band, and documents are rewritten where they lose a line.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almoneda.llm import textcore
 from almoneda.llm.components import components
-from almoneda.llm.shared import free_name, materialize
-from almoneda.llm.simjoin import settle, verify
+from almoneda.llm.setsketch import band_keys
+from almoneda.llm.shared import discard, free_name, materialize, spread_join
+from almoneda.llm.simjoin import buckets, local_leads, settle, verify
 from almoneda.llm.textcore import U, mix64
 
 #: Runs of 8 characters are rare enough that bands of 4 minima seldom meet by chance; 20 bands of 4 miss a pair at a
 #: similarity of 0.8 three times in 100,000.
 SHINGLE, BANDS, ROWS = 8, 20, 4
-#: The bits of a key that hold its band.
-BAND_MASK = (1 << (BANDS - 1).bit_length()) - 1
-LEAST_CHARS = 25
 _raw = mix64(np.arange(2 * BANDS * ROWS, dtype=U) + U(77))
 _MUL, _ADD = (_raw[: BANDS * ROWS] >> U(32)).astype(np.uint32) | np.uint32(1), (_raw[BANDS * ROWS :] >> U(32)).astype(np.uint32)
 
 
-def _keys(minima: np.ndarray) -> np.ndarray:
-    """(n, BANDS) int64 keys of (n, BANDS * ROWS) minima; the bits of BAND_MASK are the band."""
-    r = minima.reshape(len(minima), BANDS, ROWS).astype(U)
-    key = np.zeros((len(minima), BANDS), U) + np.arange(BANDS, dtype=U)
-    for j in range(ROWS):
-        key = key * U(0xC6A4A7935BD1E995) + r[:, :, j] + U(1)
-    return ((mix64(key) & ~U(BAND_MASK)) | np.arange(BANDS, dtype=U)).view(np.int64)
-
-
 def keys_of(members: np.ndarray) -> np.ndarray:
     """Band keys of a set of 64-bit shingle hashes."""
     h = (members >> U(32)).astype(np.uint32)
-    return _keys((h[None] * _MUL[:, None] + _ADD[:, None]).min(axis=1)[None])[0]
+    return band_keys((h[None] * _MUL[:, None] + _ADD[:, None]).min(axis=1)[None], BANDS, ROWS)[0]
 
 
 def _sets(data, offsets):
@@ -44,192 +39,163 @@ def _sets(data, offsets):
 
 
 class _Lines:
-    """The lines of a chunk that are long enough: byte ranges, text and line number of each, and their hashes.
+    """The lines of a chunk of texts that aren't blank: byte ranges, document, line number and name of each."""
 
-    With `short`, those that are shorter but not blank too.
-    """
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int, short: bool = False):
-        ends = np.union1d(np.flatnonzero(data == 10), offsets[1:])  # an end at each text's end, whether or not a line ends there
-        ends = ends[ends >= 0]
-        starts = np.concatenate([[0], ends[:-1] + (data[np.minimum(ends[:-1], len(data) - 1)] == 10) * (ends[:-1] < len(data))]) if len(ends) else ends
-        begins = np.flatnonzero((data & 0xC0) != 0x80)
-        doc = np.searchsorted(offsets, starts, "right") - 1
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         newlines = np.flatnonzero(data == 10)
-        number = np.searchsorted(newlines, starts) - np.searchsorted(newlines, offsets[np.minimum(doc, len(offsets) - 2)])
-        chars = np.searchsorted(begins, ends) - np.searchsorted(begins, starts)
-        keep = chars >= least
-        if short:
-            seen = np.flatnonzero(~textcore._SPACE[data])
-            keep |= np.searchsorted(seen, ends) > np.searchsorted(seen, starts)
-        self.begins, self.starts, self.ends, self.doc, self.number = begins, starts[keep], ends[keep], doc[keep], number[keep]
-        words = textcore.Words.__new__(textcore.Words)
-        words.data, words.starts, words.ends = data, self.starts, self.ends
-        self.hash = words.hashes(lower=False) if len(self.starts) else np.zeros(0, U)
-
-
-def line_nodes(docs: DataFrame, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
-    """(doc_id, line, node): every line of at least `least` code points, from 0, and the 64-bit name of its text.
-
-    With `short`, shorter lines that aren't blank too.
-    """
+        ends = np.union1d(newlines, offsets[1:])  # an end at each text's end, whether or not a line ends there
+        starts = np.concatenate([[0], ends[:-1] + (data[np.minimum(ends[:-1], len(data) - 1)] == 10) * (ends[:-1] < len(data))]) if len(ends) else ends
+        seen = np.flatnonzero(~textcore._SPACE[data])
+        keep = np.searchsorted(seen, ends) > np.searchsorted(seen, starts)
+        self.starts, self.ends = starts[keep], ends[keep]
+        self.doc = np.searchsorted(offsets, self.starts, "right") - 1
+        self.number = np.searchsorted(newlines, self.starts) - np.searchsorted(newlines, offsets[np.minimum(self.doc, len(offsets) - 2)])
+        view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+        self.names = [digest(view[a:b]) for a, b in zip(self.starts.tolist(), self.ends.tolist())]
+
+
+def _short(names: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(names), np.dtype(">i8")).reshape(-1, 2)[:, 0].astype(np.int64) if names else np.zeros(0, np.int64)
+
+
+def line_nodes(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, line, node): every line that isn't blank, numbered from 0, and the 128-bit name of its text."""
 
     def run(batches):
         for batch in batches:
-            for i, j, data, offsets in textcore.chunks(batch.column(1)):
-                x = _Lines(data, offsets, least, short)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(x.doc)), pa.array(x.number.astype(np.int32)), pa.array(x.hash.view(np.int64))], ["doc_id", "line", "node"])
+            for i, j, data, offsets in textcore.chunks(batch.column(2)):
+                x = _Lines(data, offsets)
+                doc = pa.array(x.doc + i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(x.number.astype(np.int32)), pa.array(x.names, pa.binary())], ["doc_id", "text_hash", "line", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, node long")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, line int, node binary")
 
 
-def band_rows(docs: DataFrame, least: int = LEAST_CHARS, remembered: int = 500_000) -> DataFrame:
-    """(key, node) for every distinct line. A task leaves out lines it has lately seen, so copies cost little."""
+def _minima(data: np.ndarray, begins: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(lines, BANDS * ROWS) minima of the shingles of lines of SHINGLE code points or more; begins: of code points."""
+    h = (textcore.point_runs(data, begins, SHINGLE) >> U(32)).astype(np.uint32)
+    first = np.searchsorted(begins, starts)
+    last = np.searchsorted(begins, ends) - SHINGLE  # the last shingle within the line
+    cuts = np.stack([first, last + 1], axis=1).ravel()
+    cuts = cuts[:-1] if cuts[-1] >= len(h) else cuts
+    minima, hashed = np.empty((BANDS * ROWS, len(starts)), np.uint32), np.empty_like(h)
+    for m in range(BANDS * ROWS):
+        np.multiply(h, _MUL[m], out=hashed)
+        hashed += _ADD[m]
+        minima[m] = np.minimum.reduceat(hashed, cuts)[::2]
+    return np.ascontiguousarray(minima.T)
 
-    def run(batches):
-        seen: set[int] = set()
+
+def band_rows(docs: DataFrame, remembered: int = 400_000) -> DataFrame:
+    """(key, short, lead) for every distinct line of SHINGLE code points or more; shorter ones are alike only if equal.
+
+    A task leaves out lines it has lately seen, so copies cost little.
+    """
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            for _, _, data, offsets in textcore.chunks(batch.column(1), 1 << 17):  # arrays of its size stay in cache
-                x = _Lines(data, offsets, least)
+            keys, shorts, held = [], [], 0
+            for _, _, data, offsets in textcore.chunks(batch.column(0), 1 << 17):  # arrays of its size stay in cache
+                x = _Lines(data, offsets)
+                begins = np.flatnonzero((data & 0xC0) != 0x80)
+                long = np.searchsorted(begins, x.ends) - np.searchsorted(begins, x.starts) >= SHINGLE
                 fresh = []
-                for k, h in enumerate(x.hash.tolist()):
-                    if h not in seen:
-                        seen.add(h)
+                for k in np.flatnonzero(long).tolist():
+                    if x.names[k] not in seen:
+                        seen.add(x.names[k])
                         fresh.append(k)
                 if len(seen) > remembered:
                     seen.clear()
-                if not fresh:
-                    continue
-                starts, ends, node = x.starts[fresh], x.ends[fresh], x.hash[fresh].view(np.int64)
-                points = textcore.Words.__new__(textcore.Words)
-                points.data, points.starts = data, x.begins
-                points.ends = np.append(x.begins[1:], len(data))
-                h = (textcore.window_hashes(points.hashes(lower=False), SHINGLE) >> U(32)).astype(np.uint32)
-                first = np.searchsorted(x.begins, starts)
-                last = np.searchsorted(x.begins, ends) - SHINGLE  # the last shingle within the line
-                cuts = np.stack([first, last + 1], axis=1).ravel()
-                cuts = cuts[:-1] if cuts[-1] >= len(h) else cuts
-                minima, hashed = np.empty((BANDS * ROWS, len(fresh)), np.uint32), np.empty_like(h)
-                for m in range(BANDS * ROWS):
-                    np.multiply(h, _MUL[m], out=hashed)
-                    hashed += _ADD[m]
-                    minima[m] = np.minimum.reduceat(hashed, cuts)[::2]
-                keys = _keys(np.ascontiguousarray(minima.T))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(node, BANDS))], ["key", "node"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, node long")
-
-
-def buckets(bands: DataFrame) -> DataFrame:
-    """(band, key, node, lead) of keys that several nodes share, lead being the least of them, repeated rows removed.
-
-    One shuffle; each task reads its rows in order and holds one row at a time, so a bucket may be of any size.
-    """
+                if fresh:
+                    found = band_keys(_minima(data, begins, x.starts[fresh], x.ends[fresh]), BANDS, ROWS)
+                    keys.append(found.ravel())
+                    shorts.append(np.repeat(_short([x.names[k] for k in fresh]), BANDS))
+                    held += found.size
+                if held > 2_000_000:
+                    yield local_leads(np.concatenate(keys), np.concatenate(shorts))
+                    keys, shorts, held = [], [], 0
+            if held:
+                yield local_leads(np.concatenate(keys), np.concatenate(shorts))
 
-    def run(batches):
-        key = lead = last = held = None
-        for batch in batches:
-            k, n = (c.to_numpy() for c in batch.columns)
-            new = np.ones(len(k), bool)
-            if len(k):
-                new[1:] = (k[1:] != k[:-1]) | (n[1:] != n[:-1])
-                new[0] = (k[0], n[0]) != (key, last)
-            k, n = k[new], n[new]
-            if not len(k):
-                continue
-            first = np.ones(len(k), bool)
-            first[1:] = k[1:] != k[:-1]
-            first[0] = k[0] != key
-            if first[0]:
-                held = None
-            at = np.maximum.accumulate(np.where(first, np.arange(len(k)), -1))
-            leads = np.where(at >= 0, n[np.maximum(at, 0)], lead if lead is not None else 0)
-            band = (k & BAND_MASK).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(c[~first]) for c in (band, k, n, leads)], ["band", "key", "node", "lead"])
-            key, last, lead = k[-1], n[-1], leads[-1]
-        del held
-
-    return bands.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(run, "band int, key long, node long, lead long")
-
-
-def _pack(batches):
-    """Texts under Zstandard: what is shuffled is half as large."""
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        for i in range(0, batch.num_rows, 500):
-            p = batch.slice(i, 500)
-            yield pa.RecordBatch.from_arrays([p.column(0), pa.array([pack.compress((t.as_py() or "").encode()) for t in p.column(1)], pa.binary())], ["doc_id", "packed"])
-
-
-def line_groups(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_CHARS, short: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(lines, groups): lines (doc_id, line, node) and, of nodes that have links, (node, component)."""
-    lines = materialize(line_nodes(docs, least, short), "lines")
-    shared = materialize(buckets(band_rows(docs, least)), "buckets")
-
-    def texts_of(needed: DataFrame) -> DataFrame:
-        at = lines.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-        wanted = at.select(F.col("at.doc_id").alias("holder"), F.struct(F.col("at.line").alias("line"), "node").alias("x")).groupBy("holder").agg(F.collect_list("x").alias("xs"))
-        packed = docs.select("doc_id", "text").mapInArrow(_pack, "doc_id long, packed binary")
-        held = packed.join(wanted, F.col("doc_id").eqNullSafe(F.col("holder"))).select("packed", "xs")
-
-        def run(batches):
-            unpack = zstandard.ZstdDecompressor()
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    parts = unpack.decompress(batch.column(0)[i].as_py()).split(b"\n")
-                    node, text = [], []
-                    for x in batch.column(1)[i].as_py():
-                        if x["line"] < len(parts) and _name(parts[x["line"]]) == x["node"]:  # rows may repeat an id with another text
-                            node.append(x["node"])
-                            text.append(parts[x["line"]].decode())
-                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(text, pa.string())], ["node", "text"])
-
-        return held.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
-
-    stars = shared.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    stars = materialize(stars, "line-stars")
-    ends = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    texts = materialize(texts_of(ends), "line-texts")  # of every line that shares a bucket
-    links = materialize(verify(stars, texts, _sets, num, den, "long"), "line-links")
-    labels = materialize(components(links), "line-labels")
-    more = materialize(settle(shared, labels, lambda needed: texts.join(needed, "node", "left_semi"), _sets, keys_of, num, den, "long"), "line-settled")
-    return lines, labels if more.isEmpty() else materialize(components(links.unionByName(more)), "line-labels")
+    return docs.select("text").mapInArrow(run, "key long, short long, lead long")
 
 
-def _name(line: bytes) -> int:
-    x = _Lines(np.frombuffer(line, np.uint8), np.array([0, len(line)]), 0)
-    return int(x.hash.view(np.int64)[0])
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), an array, with the value computed once though body's lambdas use it often."""
+    return F.flatten(F.transform(F.array(value), body))
 
 
-def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
-    """(doc_id, removed): the line numbers, in order, that dedup_lines takes out of a document; those with any."""
-    lines, groups = line_groups(docs.select("doc_id", "text"), num, den, least, short)
-    nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    nodes = materialize(nodes, "line-nodes")
-    stays = nodes.groupBy("component").agg(F.min("first").alias("stays"))
-    place = nodes.join(stays, "component").select("node", F.col("stays.doc_id").alias("sd"), F.col("stays.line").alias("sl"))
-    gone = lines.join(place, "node").filter(~(F.col("doc_id").eqNullSafe(F.col("sd")) & (F.col("line") == F.col("sl"))))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the lines wanted (node, first): each is cut from the document that holds it first."""
+    lists = wanted.groupBy(F.col("first.doc_id").alias("holder"), F.col("first.text_hash").alias("holder_hash")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "node")).alias("wanted"))  # lines of one document
+    held = docs.join(lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("holder")) & (F.col("text_hash") == F.col("holder_hash"))).select("text", "wanted")
+    cut = _with(F.split("text", "\n"), lambda parts: F.transform("wanted", lambda x: F.struct(x["node"].alias("node"), F.get(parts, x["line"]).alias("text"))))
+    return held.select(F.inline(cut)).dropDuplicates(["node"])
 
 
-def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text", clean_col: str = "clean_text", short: bool = False) -> DataFrame:
+def line_groups(docs: DataFrame, nodes: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """(node, component) of the lines that have links.
+
+    docs: (doc_id, text_hash, text); nodes: a written table (node, short, first), one row a distinct line.
+    """
+    shared = materialize(buckets(band_rows(docs)), "buckets")
+    needed = shared.select("short").union(shared.select(F.col("lead").alias("short"))).distinct()
+    texts = materialize(_texts(docs, nodes.join(needed, "short", "left_semi")), "line-texts")  # of every line that shares a bucket
+    known = materialize(nodes.select("short", "node").join(texts.select("node"), "node", "left_semi"), "known")
+    stars = shared.filter("short <> lead").select(F.col("short").alias("a"), F.col("lead").alias("b")).distinct()
+    stars = stars.join(known.select(F.col("short").alias("a"), F.col("node").alias("na")), "a").join(known.select(F.col("short").alias("b"), F.col("node").alias("nb")), "b")
+    stars = materialize(stars.select(F.col("na").alias("a"), F.col("nb").alias("b")), "line-stars")
+    links = materialize(verify(stars, texts, _sets, num, den), "line-links")
+    labels = materialize(components(links), "line-labels")
+    more = settle(shared, known, labels, lambda needed: texts.join(needed, "node", "left_semi"), _sets, num, den)
+    if not more.isEmpty():
+        labels = materialize(components(links.unionByName(more)), "line-labels")
+    discard(shared, texts, known, stars, links, more)
+    return labels
+
+
+def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """(doc_id, text_hash, removed): the line numbers, in order, that dedup_lines takes out of a document; those with any.
+
+    docs: (doc_id, text_hash, text).
+    """
+    lines = materialize(line_nodes(docs), "lines")
+    merged = lines.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("first"), F.count("*").alias("rows"))
+    short = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
+    nodes = materialize(merged.withColumn("short", short), "line-nodes")
+    labels = line_groups(docs, nodes, num, den)
+    linked = materialize(nodes.drop("short").join(labels, "node"), "linked")
+    stays = materialize(linked.groupBy("component").agg(F.min("first").alias("stays"), F.count("*").alias("nodes")), "stays")
+    of_group = spread_join(linked, stays, ["component"], "nodes").select("node", "stays", "rows")
+    repeated = nodes.filter("rows > 1").join(labels, "node", "left_anti").select("node", F.col("first").alias("stays"), "rows")
+    place = materialize(of_group.unionByName(repeated), "places")
+    here = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash")) & (F.col("line") == F.col("stays.line"))
+    gone = spread_join(lines, place, ["node"], "rows").filter(~here)
+    return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+
+
+def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text", clean_col: str = "clean_text") -> DataFrame:
     """docs with the text left when each group of alike lines keeps one, as last column, and its counts before it.
 
-    Lines (split at \\n) of at least `least` code points are linked when den * |intersection| >= num * |union| of their
-    sets of runs of 8 code points; groups are the connected components. Of a group the first line stays: least doc_id, then
-    line number. Shorter lines are grouped with `short` by being equal, else never removed; short blank ones never are.
+    Lines (split at \\n) are linked when den * |intersection| >= num * |union| of their sets of runs of 8 code points, a
+    shorter line being one run; groups are the connected components. Of a group the first line stays: least doc_id, then
+    the text's hash, then line number. Lines of ASCII white space alone are left as they are.
     n_lines, n_removed: lines of the row, and those removed.
 
     - Null and empty texts have no lines, and stay as they are. A null doc_id comes first in order.
-    - Rows that repeat a doc_id and line number keep the line in each, as they can't be told apart.
-    - Lines are named by 64 bits; two unlike lines among 4 billion share a name with a chance of one in two.
-    - An empty table gives an empty table. Columns of docs named like the new ones give those underscores.
+    - Rows that repeat a doc_id with another text are documents of their own. Rows that repeat both can't be told apart:
+      they lose and keep the same lines.
+    - Very long lines and texts are taken whole. An empty table gives an empty table. Columns of docs named like the new
+      ones give those underscores.
     """
     n_lines, n_removed, clean = (free_name(docs.columns, c) for c in ("n_lines", "n_removed", clean_col))
-    gone = removed_lines(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), num, den, least, short).withColumnsRenamed({"doc_id": "__id", "removed": "__gone"})
-    out = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")), "left")
+    mark = free_name(docs.columns, "__text_hash")
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    gone = removed_lines(plain, num, den).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash", "removed": "__gone"})
+    out = docs.withColumn(mark, F.xxhash64(F.col(text))).join(gone.hint("shuffle_hash"), F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__hash")), "left")
     parts = F.split(F.col(text), "\n")
-    left = F.filter(F.transform(parts, lambda x, i: F.when(F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
+    left = _with(parts, lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "__gone"), lambda i: F.get(p, i)))
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(n_removed),
         F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(clean),
@@ -237,7 +203,7 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST_
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents at a similarity of 0.8, short lines by equality; the text that is left as its length and checksum."""
+    """All documents at a similarity of 0.8; the text that is left as its length and checksum."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = dedup_lines(docs.select("doc_id", "text"), short=True)
+    out = dedup_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.length("clean_text").cast("long").alias("clean_chars"), F.crc32(F.col("clean_text").cast("binary")).cast("long").alias("clean_crc32"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from almoneda.llm import textcore
 from almoneda.llm.setsketch import SetSketch
-from almoneda.llm.shared import free_name, materialize
+from almoneda.llm.shared import free_name, materialize, spread_join
 from almoneda.llm.simjoin import link_groups
 
 SHINGLE = 5
@@ -21,7 +21,10 @@ def text_hash(text: str) -> Column:
 
 
 def sketches(docs: DataFrame, sketch: SetSketch, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, node, n, sig) for each row of docs (doc_id, text); node names the set and is null where it is empty."""
+    """(doc_id, text_hash, node, short, n, sig) for each row of docs (doc_id, text).
+
+    node names the set by 128 bits, short by the first 64 of them; both are null where it is empty.
+    """
 
     def run(batches):
         for batch in batches:
@@ -31,9 +34,11 @@ def sketches(docs: DataFrame, sketch: SetSketch, shingle: int = SHINGLE) -> Data
                     size.append(len(s))
                     node.append(textcore.set_key(s) if len(s) else None)
                     sig.append(sketch.registers(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "node", "n", "sig"])
+                short = [None if x is None else int.from_bytes(x[:8], "big", signed=True) for x in node]
+                arrays = [pa.array(node, pa.binary()), pa.array(short, pa.int64()), pa.array(size, pa.int32()), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *arrays], ["doc_id", "text_hash", "node", "short", "n", "sig"])
 
-    return docs.select("doc_id", "text", text_hash("text")).mapInArrow(run, "doc_id long, text_hash long, node binary, n int, sig binary")
+    return docs.select("doc_id", "text", text_hash("text")).mapInArrow(run, "doc_id long, text_hash long, node binary, short long, n int, sig binary")
 
 
 def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, sketch: SetSketch = SetSketch(), shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -45,45 +50,38 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, sketch: SetSket
 
     - Null and empty texts, or texts without words, have an empty set: linked with nothing and kept.
     - Equal sets are one node, however many rows hold them, so copies cost one row each.
-    - Rows that repeat a doc_id are judged each by its own text; those that hold the same set and the least doc_id are
-      all kept. A null doc_id is never the least; a group without any other has a null component_id and its rows are
-      kept = false, except rows with an empty set.
+    - Rows that repeat a doc_id are judged each by its own text; those that hold the least doc_id of their group are all
+      kept. A null doc_id is never the least; a group without any other has a null component_id, and of it the rows of
+      the least text_hash are kept.
     - An empty table gives an empty table.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(sketches(plain, sketch, shingle), "sketches")
-    full = rows.filter("node IS NOT NULL")
-    nodes = materialize(full.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("least")), "nodes")
+    holder = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    merged = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("short").alias("short"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(holder).alias("least"), F.count("*").alias("rows"))
+    nodes = materialize(merged, "nodes")
 
     def texts_of(needed: DataFrame) -> DataFrame:
-        # A document that holds the set; where rows repeat its id, only a text of that very set will do.
-        holders = full.join(nodes.select("node", "least").join(needed, "node", "left_semi"), ["node"]).filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "doc_id").distinct()
-        one = plain.join(holders.withColumnRenamed("doc_id", "holder"), F.col("doc_id").eqNullSafe(F.col("holder"))).select("node", "text")
-        return _of_set(one, shingle).groupBy("node").agg(F.first("text").alias("text"))
+        """A row that holds the set: its text hash tells it from others of its id."""
+        at = nodes.join(needed, "node", "left_semi").select("node", F.col("least.doc_id").alias("holder"), F.col("least.text_hash").alias("holder_hash"))
+        found = plain.withColumn("text_hash", text_hash("text")).join(at.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("holder")) & (F.col("text_hash") == F.col("holder_hash")))
+        return found.select("node", "text").dropDuplicates(["node"])
 
     labels = link_groups(
-        nodes.select("node", "n", "sig"), texts_of, lambda d, o: textcore.shingle_sets(d, o, shingle), sketch.band_keys,
-        lambda ru, rv, nu, nv: sketch.plausible(ru, rv, nu, nv, num / den), lambda s: sketch.band_keys(sketch.registers(s)[None])[0], np.uint16, num, den,
+        nodes, texts_of, lambda d, o: textcore.shingle_sets(d, o, shingle), sketch.band_keys,
+        lambda ru, rv, nu, nv: sketch.plausible(ru, rv, nu, nv, num / den), np.uint16, num, den,
     )
-    placed = nodes.select("node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    out = rows.select("doc_id", "text_hash", "n", "node").join(materialize(ids, "groups"), "node", "left")
-    group = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    kept = F.col("node").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), group.alias("component_id"), kept.alias("kept"), "text_hash")
-
-
-def _of_set(texts: DataFrame, shingle: int) -> DataFrame:
-    """The rows of (node, text) whose text has the set that node names."""
-
-    def run(batches):
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for i, j, data, offsets in textcore.chunks(batch.column(1)):
-                ok = [bool(len(s)) and textcore.set_key(s) == names[i + k] for k, s in enumerate(textcore.shingle_sets(data, offsets, shingle))]
-                yield batch.slice(i, j - i).filter(pa.array(ok, pa.bool_()))
-
-    return texts.select("node", "text").mapInArrow(run, "node binary, text string")
+    linked = materialize(nodes.select("node", "least", "rows").join(labels, "node"), "linked")
+    leasts = materialize(linked.groupBy("component").agg(F.min("least").alias("group"), F.count("*").alias("nodes")), "leasts")
+    groups = spread_join(linked.drop("least"), leasts, ["component"], "nodes").select("node", "group", "rows")
+    alone = nodes.join(labels, "node", "left_anti").select("node", F.col("least").alias("group"), "rows")
+    groups = materialize(groups.unionByName(alone), "groups")
+    full = spread_join(rows.filter("node IS NOT NULL").select("doc_id", "text_hash", "n", "node"), groups, ["node"], "rows")
+    of_group = F.col("doc_id").eqNullSafe(F.col("group.doc_id")) & (F.col("doc_id").isNotNull() | (F.col("text_hash") == F.col("group.text_hash")))
+    n = F.col("n").cast("long").alias("n_shingles")
+    full = full.select("doc_id", n, F.col("group.doc_id").alias("component_id"), of_group.alias("kept"), "text_hash")
+    empty = rows.filter("node IS NULL").select("doc_id", n, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "text_hash")
+    return full.unionByName(empty)
 
 
 def one_of_each(docs: DataFrame, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,7 +89,7 @@ def one_of_each(docs: DataFrame, num: int = 4, den: int = 5, doc_id: str = "doc_
     mark = free_name(docs.columns, "__text_hash")
     kept = materialize(near_duplicates(docs, num, den, doc_id=doc_id, text=text).filter("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "kept")
     keys = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    found = docs.withColumn(mark, text_hash(text)).join(keys, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__hash")), "left_semi")
+    found = docs.withColumn(mark, text_hash(text)).join(keys.hint("shuffle_hash"), F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__hash")), "left_semi")
     if not kept.filter("n > 1").isEmpty():
         found = found.dropDuplicates([doc_id, mark])
     return found.drop(mark)

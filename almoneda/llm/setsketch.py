@@ -15,6 +15,15 @@ import numpy as np
 from almoneda.llm.textcore import U, mix64
 
 
+def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(n, bands) int64 keys of (n, bands * rows) values; the low 6 bits are the band, so at most 64 bands."""
+    r = values.reshape(len(values), bands, rows).astype(U)
+    key = np.zeros((len(values), bands), U) + np.arange(bands, dtype=U)
+    for j in range(rows):
+        key = key * U(0xC6A4A7935BD1E995) + r[:, :, j] + U(1)
+    return ((mix64(key) & ~U(63)) | np.arange(bands, dtype=U)).view(np.int64)
+
+
 @dataclass(frozen=True)
 class SetSketch:
     """m = bands * rows registers of 16 bits. b near 1 makes register equality nearly as rare as equal minima."""
@@ -50,13 +59,14 @@ class SetSketch:
         x = -np.log1p(-(least + 0.5) / 4294967296.0) / self.a
         return np.clip(np.floor(1.0 - np.log(x) / np.log(self.b)), 0, self.q + 1).astype(np.uint16)
 
+    @staticmethod
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Registers of the union of two sets."""
+        return np.maximum(a, b)
+
     def band_keys(self, registers: np.ndarray) -> np.ndarray:
-        """(n, bands) int64 keys of (n, m) registers."""
-        r = registers.reshape(len(registers), self.bands, self.rows).astype(U)
-        key = np.zeros((len(registers), self.bands), U)
-        for j in range(self.rows):
-            key = key * U(0xC6A4A7935BD1E995) + r[:, :, j] + U(1)
-        return mix64(key).view(np.int64)
+        """(n, bands) int64 keys of (n, m) registers; the low 6 bits are the band."""
+        return band_keys(registers, self.bands, self.rows)
 
     def _log_likelihood(self, j, n_u, n_v, more, less, same):
         """Of similarity j, from the counts of registers that are larger in u, larger in v, and equal."""

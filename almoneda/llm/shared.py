@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: At most so many keys can each have more than one in HOT_KEYS of all rows; such keys may be broadcast.
+HOT_KEYS = 1000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where it is unset (tests) a temporary one is made and set."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary one; on a
+    cluster that would be a folder of one machine, so it is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="almoneda-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,11 +36,41 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends here, and lost executors cost nothing.
 
-    Later plans read only the columns they need, which a checkpoint() of rows could not give.
+    Later plans read only the columns they need, which a checkpoint() of rows could not give. Once the table is written,
+    Spark removes the shuffle files that led to it.
     """
-    path = new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote and nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._table_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str) -> DataFrame:
+    """The inner join of two written tables; right has one row a key, and its column `rows` counts left's rows of it.
+
+    Keys that have more than one in HOT_KEYS of all rows are fewer than HOT_KEYS. They are broadcast, so the rows of a hot
+    key stay in the tasks that read them; the other keys are joined by a shuffle.
+    """
+    total, most = right.agg(F.coalesce(F.sum(rows), F.lit(0)), F.coalesce(F.max(rows), F.lit(0))).first()
+    if most * HOT_KEYS <= total or most < 200:
+        return left.join(right, on)
+    is_hot = (F.col(rows) * HOT_KEYS > total) & (F.col(rows) >= 200)
+    hot = right.filter(is_hot)
+    cold = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.filter(~is_hot), on)
+    return left.join(F.broadcast(hot), on).unionByName(cold)
 
 
 def n_words(text: Column | str) -> Column:

@@ -1,15 +1,19 @@
 """Links between sets whose Jaccard similarity reaches a threshold, from banded signatures to exact verification.
 
-Nodes are distinct sets. The sets that share a band make a bucket, and the work in buckets is arranged so that a bucket
-of a third of all nodes is still dealt to many tasks and never expanded into all pairs:
-
-1. Stars. Every node is paired with the least node of each of its buckets. The signatures rule out pairs that can't
-   reach the threshold; what is left is verified on the full sets. Links give components.
-2. A bucket is settled when its nodes other than the least are all in one component. The others are cut into blocks of
-   about BLOCK nodes, and each pair of blocks compares its nodes on the full sets, skipping those that are connected by
-   then. Only links that join components leave the task.
-
-So any two nodes that share a band are either compared or already connected: no link between components is lost.
+Nodes are distinct sets, named by 128 bits; bands and buckets hold the first 64 of them. The sets that share a band make a
+bucket, and the work in buckets is arranged so that a bucket of a third of all nodes is still dealt to many tasks and
+never expanded into all pairs:
+
+1. Stars. Every node is paired with the least node of each of its buckets. A key that a task meets often is first reduced
+   to that task's least node (its other nodes are paired with this one), so a hot key sends one row a task. Signatures
+   rule out pairs that can't reach the threshold; what is left is verified on the full sets, in blocks of a star's nodes
+   with one copy of its centre each. Links give components.
+2. A bucket is settled when the nodes that weren't all paired with one are in one component. The others are cut into blocks
+   of about BLOCK nodes, and each pair of blocks compares its nodes: signatures, where there are any, first name those that
+   may have a link to another component, and only these are sent on with their full sets. Only links that join
+   components leave a task.
+
+So any two nodes that share a band are compared, ruled out by their signatures, or already connected.
 """
 
 from __future__ import annotations
@@ -17,23 +21,25 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almoneda.llm.components import components
-from almoneda.llm.shared import materialize
+from almoneda.llm.shared import discard, materialize, spread_join
+from almoneda.llm.textcore import chunks
 
 #: Nodes of a bucket that are compared in one task; a larger bucket is cut into pairs of such blocks.
 BLOCK = 256
+#: Nodes of a star that are verified with one copy of its centre.
+STAR = 256
+#: The low bits of a key that hold its band.
+BAND_MASK = 63
 
 #: (registers of u, of v, sizes of u, of v) -> which pairs may reach the threshold.
 Plausible = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 #: (bytes of texts, offsets) -> the set of each text.
 Sets = Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]]
-#: A set -> its key in each band.
-Keys = Callable[[np.ndarray], np.ndarray]
 
 
 def matrix(column: pa.Array, dtype) -> np.ndarray:
@@ -41,22 +47,81 @@ def matrix(column: pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
+def local_leads(key: np.ndarray, short: np.ndarray, often: int = 8) -> pa.RecordBatch:
+    """(key, short, lead) of the band rows that a task has at hand.
+
+    lead is null but for keys of `often` rows or more: there the least node has itself for lead, and others have it.
+    """
+    lead, known = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    place = key >> 6 & 0x3FFFFF
+    some = np.flatnonzero((np.bincount(place, minlength=1 << 22) >= often)[place])  # few others share a place
+    if len(some):
+        some = some[np.argsort(key[some], kind="stable")]
+        k = key[some]
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        count = np.diff(np.append(starts, len(k)))
+        known[some] = np.repeat(count >= often, count)
+        lead[some] = np.repeat(np.minimum.reduceat(short[some], starts), count)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(short), pa.array(lead, mask=~known)], ["key", "short", "lead"])
+
+
 def band_rows(nodes: DataFrame, keys: Callable[[np.ndarray], np.ndarray], dtype) -> DataFrame:
-    """(band, key, node) for every node (node binary, sig binary); keys gives one key a band."""
+    """(key, short, lead) for every node (short long, sig binary); keys gives one key a band, its low bits the band."""
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                found = keys(matrix(part.column(1), dtype))
-                n, bands = found.shape
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(found.ravel()), part.column(0).take(pa.array(np.repeat(np.arange(n), bands)))], ["band", "key", "node"])
+            found = [keys(matrix(batch.slice(i, 4096).column(1), dtype)) for i in range(0, batch.num_rows, 4096)]
+            if found:
+                table = np.concatenate(found)
+                yield local_leads(table.ravel(), np.repeat(batch.column(0).to_numpy(), table.shape[1]))
+
+    return nodes.select("short", "sig").mapInArrow(run, "key long, short long, lead long")
+
 
-    return nodes.select("node", "sig").mapInArrow(run, "band int, key long, node binary")
+def buckets(bands: DataFrame) -> DataFrame:
+    """(key, short, lead) of keys that several nodes share, repeated rows removed.
+
+    Every node but the least of its bucket has a row, with a lead that it is to be paired with. Where some were paired
+    with a lead of their own task, the bucket's least node has a row too, with itself: not all were paired with it. One
+    shuffle, which deals the rows that have a lead already anywhere; each task reads its rows in order, one batch at a time.
+    """
+
+    def run(batches):
+        key = least = last = None
+        for batch in batches:
+            k, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            lead = batch.column(2).fill_null(0).to_numpy()
+            own = known & (lead == n)
+            led = known & ~own
+            if led.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[led]) for x in (k, n, lead)], ["key", "short", "lead"])
+                k, n, own = k[~led], n[~led], own[~led]
+            if not len(k):
+                continue
+            first = np.ones(len(k), bool)
+            first[1:] = k[1:] != k[:-1]
+            first[0] = k[0] != key
+            again = np.zeros(len(k), bool)
+            again[1:] = (k[1:] == k[:-1]) & (n[1:] == n[:-1])
+            again[0] = (k[0], n[0]) == (key, last)
+            at = np.maximum.accumulate(np.where(first, np.arange(len(k)), -1))
+            leads = np.where(at >= 0, n[np.maximum(at, 0)], 0 if least is None else least)
+            # A node that leads others of its task makes the bucket's least one a member like any other.
+            rows = [np.concatenate(x) for x in ((k[~first & ~again], k[own]), (n[~first & ~again], leads[own]), (leads[~first & ~again], leads[own]))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["key", "short", "lead"])
+            key, last, least = k[-1], n[-1], leads[-1]
+
+    plain = F.col("lead").isNull() | (F.col("lead") == F.col("short"))
+    dealt = bands.repartition(F.col("key"), F.when(plain, F.lit(0).cast("long")).otherwise(F.xxhash64("short")))
+    return dealt.sortWithinPartitions("key", "short").mapInArrow(run, "key long, short long, lead long")
 
 
 def screen(edges: DataFrame, nodes: DataFrame, plausible: Plausible, dtype) -> DataFrame:
-    """The edges (a, b) that the signatures don't rule out."""
+    """The edges (a, b) of short names as (a, b) of full names, without those that the signatures rule out.
+
+    nodes: (node, short, n, sig). Rows are dealt by a, so a star's centre is read by many tasks; its signature is small.
+    """
 
     def run(batches):
         for batch in batches:
@@ -65,112 +130,225 @@ def screen(edges: DataFrame, nodes: DataFrame, plausible: Plausible, dtype) -> D
                 ok = plausible(matrix(p.column(2), dtype), matrix(p.column(4), dtype), p.column(3).to_numpy(), p.column(5).to_numpy())
                 yield pa.RecordBatch.from_arrays([p.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
 
-    u = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
-    v = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-    return edges.join(u, "a").join(v, "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(run, "a binary, b binary")
+    counts = materialize(edges.groupBy("b").agg(F.count("*").alias("rows")), "star-sizes")
+    named = nodes.select(F.col("short").alias("b"), F.col("node").alias("nb"), F.col("sig").alias("sb"), F.col("n").alias("size_b"))
+    centres = materialize(named.join(counts, "b"), "centres")
+    u = nodes.select(F.col("short").alias("a"), F.col("node").alias("na"), F.col("sig").alias("sa"), F.col("n").alias("size_a"))
+    pairs = spread_join(edges, centres, ["b"], "rows").join(u, "a")
+    return pairs.select(F.col("na").alias("a"), F.col("nb").alias("b"), "sa", "size_a", "sb", "size_b").mapInArrow(run, "a binary, b binary")
+
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Members that two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
-def verify(edges: DataFrame, texts: DataFrame, sets: Sets, num: int, den: int, kind: str = "binary") -> DataFrame:
-    """The edges (a, b) with den * |intersection| >= num * |union| on the full sets of texts (node, text)."""
+
+def verify(edges: DataFrame, texts: DataFrame, sets: Sets, num: int, den: int) -> DataFrame:
+    """The edges (a, b) of a written table with den * |intersection| >= num * |union| on the full sets of texts (node, text).
+
+    The nodes of a star are dealt in blocks of about STAR, each with one copy of the centre's text.
+    """
 
     def run(batches):
-        last, kept = None, None  # rows come sorted by b, and a star's centre is b
+        centre, kept = None, None
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 p = batch.slice(i, 64)
-                left = list(_sets_of(p.column(2), sets))
                 ok = []
-                for key, a, text in zip(p.column(1).to_pylist(), left, p.column(3)):
-                    if key != last:
-                        last, kept = key, next(_sets_of(pa.array([text.as_py()], pa.string()), sets))
-                    both = len(np.intersect1d(a, kept, assume_unique=True))
-                    ok.append(both > 0 and den * both >= num * (len(a) + len(kept) - both))
-                yield pa.RecordBatch.from_arrays([p.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["a", "b"])
-
-    u, v = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return edges.join(u, "a").join(v, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def _sets_of(column: pa.Array, sets: Sets) -> Iterator[np.ndarray]:
-    from almoneda.llm.textcore import chunks
-
+                for b, member, s in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), sets_of(p.column(3), sets)):
+                    if not member:
+                        centre, kept = b, s
+                    both = overlap(s, kept) if member and b == centre else 0
+                    ok.append(both > 0 and den * both >= num * (len(s) + len(kept) - both))
+                yield pa.RecordBatch.from_arrays([p.column(k).filter(pa.array(ok, pa.bool_())) for k in (2, 0)], ["a", "b"])
+
+    counts = materialize(edges.groupBy("b").agg(F.count("*").alias("rows")), "star-sizes")
+    blocks = F.ceil(F.col("rows") / STAR).cast("int")
+    members = spread_join(edges, counts, ["b"], "rows").select("b", F.pmod(F.xxhash64("a"), blocks).cast("int").alias("block"), F.lit(True).alias("member"), "a")
+    centres = counts.select("b", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(False).alias("member"), F.col("b").alias("a"))
+    dealt = members.unionByName(centres).join(texts.select(F.col("node").alias("a"), "text"), "a").repartition("b", "block").sortWithinPartitions("b", "block", "member")
+    return dealt.select("b", "member", "a", "text").mapInArrow(run, "a binary, b binary")
+
+
+def sets_of(column: pa.Array, sets: Sets) -> Iterator[np.ndarray]:
     for _, _, data, offsets in chunks(column):
         yield from sets(data, offsets)
 
 
-def _compare(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, starts of groups): rows that agree in the first `keys` columns come together, and groups are never cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        table = pa.Table.from_batches([*held, batch])
+        if not table.num_rows:
+            continue
+        new = np.zeros(table.num_rows, bool)
+        for k in range(keys):
+            column = table.column(k).to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        cuts = np.flatnonzero(new)
+        if not len(cuts):
+            held = table.to_batches()
+            continue
+        yield table.slice(0, cuts[-1]), np.concatenate([[0], cuts[:-1]])
+        held = table.slice(cuts[-1]).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, np.zeros(1, np.int64)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().dictionary_encode().indices.to_numpy().copy()
+
+
+def overlaps(members: list[np.ndarray]) -> np.ndarray:
+    """(n, n) numbers of members that each two of n sorted sets share; only above the diagonal."""
+    n, out = len(members), None
+    if n > 16:
+        sizes = [len(x) for x in members]
+        _, ids, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+        shared = count > 1  # what one set alone has is in no intersection
+        row = np.repeat(np.arange(n), sizes)[shared[ids]]
+        ids = (np.cumsum(shared) - 1)[ids[shared[ids]]]
+        width = int(shared.sum())
+        if width * n < 40 * max(len(ids), 1):  # dense enough for products of matrices, in stripes that stay small
+            out = np.zeros((n, n), np.float32)
+            order = np.argsort(ids, kind="stable")
+            row, ids = row[order], ids[order]
+            for first in range(0, width, 8192):
+                a, b = np.searchsorted(ids, [first, first + 8192])
+                marks = np.zeros((n, min(8192, width - first)), np.float32)
+                marks[row[a:b], ids[a:b] - first] = 1
+                out += marks @ marks.T
+            return out.astype(np.int64)
+    out = np.zeros((n, n), np.int64)
+    for x in range(n - 1):
+        for y in range(x + 1, n):
+            out[x, y] = overlap(members[x], members[y])
+    return out
+
+
+def compare(members: list[np.ndarray], comp: np.ndarray, block: np.ndarray, across: bool, num: int, den: int) -> list[tuple[int, int]]:
     """Of one pair of blocks of a bucket: links between different components, as many as it takes to join them.
 
-    A pair that already met in an earlier band is left to that band's bucket; all others are compared on the full sets.
+    Every pair of nodes of different components (and, if across, blocks) is compared on the full sets.
     """
-    pdf = pdf.sort_values("node", ignore_index=True)
-    comp = pd.factorize(pdf["comp"])[0]
-    if comp.max(initial=0) == 0:
-        return pd.DataFrame({"a": [], "b": []})
-    keys = np.frombuffer(b"".join(pdf["keys"]), np.int64).reshape(len(pdf), -1)
-    node, block, band = pdf["node"].to_numpy(), pdf["block"].to_numpy(), int(pdf["band"].iloc[0])
-    across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-    members = [np.frombuffer(x, np.uint64) for x in pdf["members"]]
     sizes = np.array([len(x) for x in members])
-    ids = np.unique(np.concatenate(members), return_inverse=True)[1]
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    has, found = np.zeros(int(ids.max(initial=0)) + 1, bool), []
-    for x in range(len(pdf) - 1):
-        y = np.arange(x + 1, len(pdf))
-        near = (comp[y] != comp[x]) & (den * np.minimum(sizes[y], sizes[x]) >= num * np.maximum(sizes[y], sizes[x]))
-        if across:
-            near &= block[y] != block[x]
-        y = y[near]
-        if band and len(y):
-            y = y[~(keys[y, :band] == keys[x, :band]).any(-1)]
-        if not len(y):
-            continue
-        own = ids[begins[x] : begins[x + 1]]
-        has[own] = True
-        both = np.array([np.count_nonzero(has[ids[begins[z] : begins[z + 1]]]) for z in y.tolist()])
-        has[own] = False
-        for z in y[den * both >= num * (sizes[y] + sizes[x] - both)].tolist():
-            if comp[z] != comp[x]:
-                comp[comp == comp[z]] = comp[x]
-                found.append((node[z], node[x]))
-    return pd.DataFrame(found, columns=["a", "b"])
-
-
-def settle(bands: DataFrame, labels: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, keys_of: Keys, num: int, den: int, kind: str = "binary") -> DataFrame:
-    """Links (a, b) between different components that meet in a bucket, its least node left aside."""
-    member = bands.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).filter("node <> lead")
-    unsettled = member.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").drop("lo", "hi")
-    member = materialize(member.join(unsettled, ["band", "key"]).select("band", "key", "node", "comp", "members"), "unsettled")
-    needed = texts_of(member.select("node").distinct())
+    if len(members) == 2:
+        both = overlap(*members)
+        return [(1, 0)] if comp[0] != comp[1] and den * both >= num * (int(sizes.sum()) - both) else []
+    both = overlaps(members)
+    near = np.triu((den * both >= num * (sizes[:, None] + sizes[None] - both)) & (comp[:, None] != comp[None]), 1)
+    if across:
+        near &= block[:, None] != block[None]
+    found = []
+    for x, z in zip(*(k.tolist() for k in np.nonzero(near))):
+        if comp[z] != comp[x]:
+            comp[comp == comp[z]] = comp[x]
+            found.append((z, x))
+    return found
+
+
+def _dealt(member: DataFrame, block_size: int) -> DataFrame:
+    """member (key, node, comp, members) with block, and a row for each pair (i, j) of blocks it is to be compared in."""
+    blocks = F.ceil(F.col("members") / block_size).cast("int")
+    out = member.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return out.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("members", "other")
+
+
+def _likely(member: DataFrame, nodes: DataFrame, plausible: Plausible, dtype) -> DataFrame:
+    """The rows (key, node, comp) of member whose signature doesn't rule out a link to another component of their bucket."""
 
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                p = batch.slice(i, 64)
-                found = list(_sets_of(p.column(1), sets))
-                yield pa.RecordBatch.from_arrays([p.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([keys_of(s).tobytes() for s in found], pa.binary())], ["node", "members", "keys"])
+        for rows, starts in whole_groups(batches, 3):
+            sig, n = matrix(rows.column("sig").combine_chunks(), dtype), rows.column("n").to_numpy()
+            comp, block = _codes(rows.column("comp")), rows.column("block").to_numpy()
+            across = rows.column("i").to_numpy() != rows.column("j").to_numpy()
+            keep = np.zeros(rows.num_rows, bool)
+            us, vs, held = [], [], 0
+
+            def judge():
+                u, v = np.concatenate(us), np.concatenate(vs)
+                ok = plausible(sig[u], sig[v], n[u], n[v])  # noqa: B023
+                keep[u[ok]] = keep[v[ok]] = True  # noqa: B023
+
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows]):
+                for x in range(a, b - 1):
+                    y = np.arange(x + 1, b)
+                    y = y[(comp[y] != comp[x]) & ((block[y] != block[x]) | ~across[x])]
+                    if len(y):
+                        us.append(np.full(len(y), x))
+                        vs.append(y)
+                        held += len(y)
+                    if held > 4096:  # pairs at once
+                        judge()
+                        us, vs, held = [], [], 0
+            if held:
+                judge()
+            yield from rows.filter(pa.array(keep)).select(["key", "node", "comp"]).to_batches()
+
+    rows = _dealt(member, 4 * BLOCK).join(nodes.select("node", "n", "sig"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.select("key", "i", "j", "block", "node", "comp", "n", "sig").mapInArrow(run, "key long, node binary, comp binary").distinct()
+
+
+def settle(shared: DataFrame, known: DataFrame, labels: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, num: int, den: int, likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links (a, b) between different components that meet in a bucket.
+
+    shared: buckets(...); known: (short, node); labels: (node, component). likely, if given, cuts the members of buckets
+    (key, node, comp, members) to (key, node, comp) of those that may have such a link.
+    """
+    member = shared.select("key", "short").distinct().join(known, "short").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    member = materialize(member, "members")
 
-    full = materialize(needed.select("node", "text").mapInArrow(run, f"node {kind}, members binary, keys binary"), "sets")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = member.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("members", "other")
-    grouped = dealt.join(full, "node").select("band", "key", "i", "j", "block", "node", "comp", "keys", "members").groupBy("band", "key", "i", "j")
-    return grouped.applyInPandas(lambda pdf: _compare(pdf, num, den), f"a {kind}, b {kind}")
+    def unsettled(member: DataFrame, tag: str) -> DataFrame:
+        open_keys = materialize(member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("key", "members"), "open-keys")
+        return materialize(spread_join(member, open_keys, ["key"], "members").select("key", "node", "comp", "members"), tag)
 
+    open_rows = unsettled(member, "unsettled")
+    if likely is not None:
+        chosen = materialize(likely(open_rows), "likely")
+        discard(open_rows)
+        open_rows = unsettled(chosen, "unsettled")
+    texts = texts_of(open_rows.select("node").distinct())
 
-def link_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, keys: Callable[[np.ndarray], np.ndarray], plausible: Plausible, keys_of: Keys, dtype, num: int, den: int) -> DataFrame:
+    def run(batches):
+        for rows, starts in whole_groups(batches, 3):
+            comp, block = _codes(rows.column("comp")), rows.column("block").to_numpy()
+            across = rows.column("i").to_numpy() != rows.column("j").to_numpy()
+            node, a_side, b_side = rows.column("node").combine_chunks(), [], []
+            members = list(sets_of(rows.column("text").combine_chunks(), sets))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows]):
+                for z, x in compare(members[a:b], comp[a:b].copy(), block[a:b], bool(across[a]), num, den):
+                    a_side.append(a + z)
+                    b_side.append(a + x)
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(k, pa.int64())) for k in (a_side, b_side)], ["a", "b"])
+
+    rows = _dealt(open_rows, BLOCK).join(texts.select("node", "text"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = materialize(rows.select("key", "i", "j", "block", "node", "comp", "text").mapInArrow(run, "a binary, b binary"), "settled")
+    discard(member, open_rows)
+    return found
+
+
+def link_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, keys: Callable[[np.ndarray], np.ndarray], plausible: Plausible, dtype, num: int, den: int) -> DataFrame:
     """(node, component) for all nodes that have links; component is the least node of the group.
 
-    nodes: (node binary, n int, sig binary), one row a distinct set, none empty. texts_of: given (node), their
-    (node, text); only nodes with candidates are asked for. A link: den * |intersection| >= num * |union|.
+    nodes: a written table (node binary, short long, n int, sig binary), one row a distinct set, none empty. texts_of:
+    given (node), their (node, text); only nodes with candidates are asked for. A link: den * |intersection| >= num * |union|.
     """
-    bands = materialize(band_rows(nodes, keys, dtype), "bands")
-    leads = bands.groupBy("band", "key").agg(F.min("node").alias("lead"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    bands = materialize(bands.join(leads, ["band", "key"]), "buckets")  # nodes that are alone in a band are left out
-    stars = bands.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    stars = materialize(screen(stars, nodes, plausible, dtype), "screened")
-    ends = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    links = materialize(verify(stars, materialize(texts_of(ends), "texts"), sets, num, den), "confirmed")
+    shared = materialize(buckets(band_rows(nodes, keys, dtype)), "buckets")
+    stars = materialize(shared.filter("short <> lead").select(F.col("short").alias("a"), F.col("lead").alias("b")).distinct(), "stars")
+    likely_stars = materialize(screen(stars, nodes, plausible, dtype), "screened")
+    ends = likely_stars.select(F.col("a").alias("node")).union(likely_stars.select("b")).distinct()
+    texts = materialize(texts_of(ends), "texts")
+    links = materialize(verify(likely_stars, texts, sets, num, den), "confirmed")
+    discard(stars, likely_stars, texts)
     labels = materialize(components(links), "labels")
-    more = materialize(settle(bands, labels, texts_of, sets, keys_of, num, den), "settled")
-    return labels if more.isEmpty() else components(links.unionByName(more))
+    more = settle(shared, nodes.select("short", "node"), labels, lambda needed: materialize(texts_of(needed), "set-texts"), sets, num, den, lambda member: _likely(member, nodes, plausible, dtype))
+    if more.isEmpty():
+        return labels
+    return materialize(components(links.unionByName(more)), "labels")

@@ -20,6 +20,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_ONE = np.ones(1, bool)
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -117,20 +118,33 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterat
             yield np.zeros(0, U)
 
 
+def point_runs(data: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
+    """64 bits for each run of `size` code points; run i starts at code point i. begins: where code points begin."""
+    n = len(begins) - size + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    up, down = powers(len(data))
+    sums = np.empty(len(data) + 1, U)
+    sums[0] = 0
+    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
+    if len(begins) == len(data):  # one byte each
+        return mix64((sums[size:] - sums[:-size]) * down[:n] + U(size) * U(0xD6E8FEB86659FD93))
+    starts, ends = begins[:n], np.append(begins[size:], len(data))
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+
+
 def char_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterator[np.ndarray]:
     """For each text its sorted distinct runs of `size` code points; the whole text as one if it is shorter."""
-    begins = np.flatnonzero((data & 0xC0) != 0x80)  # of code points
-    firsts = np.searchsorted(begins, offsets)
-    points = Words.__new__(Words)
-    points.data, points.starts = data, begins
-    points.ends = np.append(begins[1:], len(data)) if len(begins) else begins
-    hashes = Words.hashes(points, lower=False)
-    runs = window_hashes(hashes, size)
-    for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
+    begins = np.flatnonzero((data & 0xC0) != 0x80)
+    firsts = np.searchsorted(begins, offsets).tolist()
+    runs = point_runs(data, begins, size)
+    for k, (a, b) in enumerate(zip(firsts[:-1], firsts[1:])):
         if b - a >= size:
-            yield np.unique(runs[a : b - size + 1])
+            part = np.sort(runs[a : b - size + 1])
+            yield part[np.concatenate([_ONE, part[1:] != part[:-1]])]
         elif b > a:
-            yield mix64(window_hashes(hashes[a:b], b - a) + U(b - a))
+            piece = data[offsets[k] : offsets[k + 1]]
+            yield point_runs(piece, np.flatnonzero((piece & 0xC0) != 0x80), b - a)
         else:
             yield np.zeros(0, U)
 

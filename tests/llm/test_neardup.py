@@ -116,8 +116,8 @@ def test_components_of_a_long_chain(spark):
 
 
 def brute_lines(rows):
-    lines = [(d, i, x) for d, t in rows if t for i, x in enumerate(t.split("\n")) if len(x) >= 25]
-    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for _, _, x in lines]
+    lines = [(d, i, x) for d, t in rows if t for i, x in enumerate(t.split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} or {x} for _, _, x in lines]
     up = list(range(len(lines)))
 
     def root(x):
@@ -163,7 +163,7 @@ def test_line_query_digests_the_text_that_is_left(spark, tmp_path):
 def test_bands_find_nearly_all_pairs_at_the_threshold():
     assert (1 - 0.8**linededup.ROWS) ** linededup.BANDS <= 3e-5
     keys = linededup.keys_of(np.arange(1, 60, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    assert (keys & linededup.BAND_MASK).tolist() == list(range(linededup.BANDS))
+    assert (keys & 63).tolist() == list(range(linededup.BANDS))
 
 
 def test_short_lines_go_by_equality(spark, tmp_path):
@@ -172,6 +172,45 @@ def test_short_lines_go_by_equality(spark, tmp_path):
     rows = [(1, "Ietzte.\n\n \t\nñ\nIetzte"), (2, "Ietzte.\n\n \t\nñandú\nñ"), (3, "Ietzte.\nIetzte."), (4, "Ietzte. \nIETZTE.")]
     want = {1: rows[0][1], 2: "\n \t\nñandú", 3: "", 4: rows[3][1]}
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.clean_text for r in linededup.dedup_lines(df, short=True).collect()} == want
+    assert {r.doc_id: r.clean_text for r in linededup.dedup_lines(df).collect()} == want
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.clean_crc32 for r in linededup.op2_line_dedup(spark, str(tmp_path)).collect()} == {d: zlib.crc32(t.encode()) for d, t in want.items()}
+
+
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+    a, b = "the first text has this line alone", "nothing of it is found in the second one"
+    rows = [(1, a), (5, a), (5, b), (None, b), (5, b), (6, "x" * 200_000 + "\n" + a)]
+    got = sorted((str(r.doc_id), r.text[:40], r.n_removed, r.clean_text) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", a, 0, a), ("5", a, 1, ""), ("5", b[:40], 1, ""), ("None", b[:40], 0, b), ("5", b[:40], 1, ""), ("6", "x" * 40, 1, "x" * 200_000)])
+
+
+def test_hot_lines_and_keys(spark, monkeypatch):
+    """A third of all lines share their bands: they are drawn together within tasks, split into blocks, and joined by broadcast."""
+    from almoneda.llm import simjoin
+
+    monkeypatch.setattr(simjoin, "STAR", 8)
+    monkeypatch.setattr(simjoin, "BLOCK", 8)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = " ".join(word() for _ in range(12))
+    rows = []
+    for i in range(260):
+        near = list(base)
+        near[rng.randrange(len(near))] = "Z"
+        rows.append((i, "\n".join(["".join(near) if i % 2 else base, "same line in all of them", " ".join(word() for _ in range(6))])))
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert {r.doc_id: r.clean_text for r in got.collect()} == brute_lines(rows)
+
+
+def test_local_leads_by_hand():
+    from almoneda.llm.simjoin import local_leads
+
+    got = local_leads(np.array([7, 7, 7, 5, 7]), np.array([4, 2, 9, 1, 2]), often=3).to_pylist()
+    assert [(r["key"], r["short"], r["lead"]) for r in got] == [(7, 4, 2), (7, 2, 2), (7, 9, 2), (5, 1, None), (7, 2, 2)]
+
+
+def test_null_id_group_keeps_one(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base), (None, base + " more"), (None, "only this one, by itself, stays too")]
+    got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 2 and rows[2][1] in {r.text for r in got}
