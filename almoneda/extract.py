@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almoneda.functions.scalar import last_segment
-from almoneda.schema import PARENT_DEPTH
 
 
 def _text(*paths: Column) -> Column:
@@ -43,10 +42,8 @@ def contracts(entries: DataFrame) -> DataFrame:
     s = F.col("status")
     party, project, results = s["LocatedContractingParty"], s["ProcurementProject"], F.coalesce(s["TenderResult"], F.array())
     lots = F.coalesce(s["ProcurementProjectLot"], F.array())
-    tops, at = [], party["ParentLocatedParty"]
-    for _ in range(PARENT_DEPTH):
-        tops.append(F.get(at["PartyName"], F.lit(0))["Name"])
-        at = at["ParentLocatedParty"] if len(tops) < PARENT_DEPTH else at
+    parents = F.regexp_extract_all(party["ParentLocatedParty"], F.lit(r"<(?:[\w-]+:)?PartyName\b[^>]*>\s*<(?:[\w-]+:)?Name\b[^>]*>([^<]*)<"), F.lit(1))
+    top = F.try_element_at(F.filter(F.transform(parents, lambda x: F.trim(x)), lambda x: x != ""), F.lit(-1))  # the last name is the topmost parent's
     name = lambda p: F.get(p["PartyName"], F.lit(0))["Name"]
     ident = lambda p: F.get(p["PartyIdentification"], F.lit(0))["ID"]
     of_code = lambda c, n: [_text(c["_VALUE"]).alias(f"{n}_code"), last_segment(F.coalesce(c["_listURI"], c["_listURIID"])).alias(f"{n}_list")]
@@ -66,10 +63,10 @@ def contracts(entries: DataFrame) -> DataFrame:
         "sid", "category", "updated", "pos", F.col("link").alias("source_url"), _text(s["ContractFolderID"]).alias("expediente"), _text(project["Name"]).alias("title"), *of_code(s["ContractFolderStatusCode"], "status"),
         *of_code(project["TypeCode"], "contract_type"), *of_code(s["TenderingProcess"]["ProcedureCode"], "procedure"), *of_code(project["RealizedLocation"]["CountrySubentityCode"], "nuts"),
         _text(_first(notices, lambda n: n["NoticeTypeCode"])).alias("notice_type"), F.concat(_codes(project), F.flatten(F.transform(lots, lambda x: _codes(x["ProcurementProject"])))).alias("cpv"),
-        _text(name(party["Party"])).alias("contracting_authority"), _text(ident(party["Party"])).alias("contracting_authority_id"), _text(party["BuyerProfileURIID"]).alias("buyer_profile_url"), _text(*reversed(tops)).alias("org_top_level"),
+        _text(name(party["Party"])).alias("contracting_authority"), _text(ident(party["Party"])).alias("contracting_authority_id"), _text(party["BuyerProfileURIID"]).alias("buyer_profile_url"), top.alias("org_top_level"),
         _text(party["Party"]["PostalAddress"]["CityName"]).alias("city"), _text(project["RealizedLocation"]["Address"]["Country"]["Name"], party["Party"]["PostalAddress"]["Country"]["Name"]).alias("country"),
         _text(_first(notices, issue)).alias("publication_date"), _text(s["TenderingProcess"]["TenderSubmissionDeadlinePeriod"]["EndDate"]).alias("submission_deadline"), _text(s["TenderingTerms"]["FundingProgramCode"]).alias("funding_program"),
-        F.filter(urls, lambda u: u.isNotNull()).alias("document_urls"), _num(project["BudgetAmount"]["TaxExclusiveAmount"], project["BudgetAmount"]["TotalAmount"]).alias("budget_amount"), _num(project["BudgetAmount"]["EstimatedOverallContractAmount"]).alias("estimated_value"),
+        F.filter(urls, lambda u: u.isNotNull()).alias("document_urls"), F.array(F.struct(F.nullif(F.substring("updated", 1, 10), F.lit("")).alias("date"), _text(s["ContractFolderStatusCode"]["_VALUE"]).alias("code"))).alias("history"), _num(project["BudgetAmount"]["TaxExclusiveAmount"], project["BudgetAmount"]["TotalAmount"]).alias("budget_amount"), _num(project["BudgetAmount"]["EstimatedOverallContractAmount"]).alias("estimated_value"),
         _num(_first(results, lambda r: total(r)["TaxExclusiveAmount"]), _first(results, lambda r: total(r)["PayableAmount"])).alias("awarded_amount"), _text(_first(results, lambda r: r["ResultCode"]["_VALUE"])).alias("result_code"),
         last_segment(_first(results, lambda r: F.coalesce(r["ResultCode"]["_listURI"], r["ResultCode"]["_listURIID"]))).alias("result_list"),
         _text(_first(results, lambda r: r["AwardDate"])).alias("award_date"), _text(_first(results, lambda r: name(r["WinningParty"]))).alias("adjudicatario"), _text(_first(results, lambda r: ident(r["WinningParty"]))).alias("adjudicatario_nif"),

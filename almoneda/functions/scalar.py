@@ -149,7 +149,8 @@ def density_path(values, width: float = 100.0, height: float = 20.0) -> Column:
     """An SVG area path over an ordered array of counts; empty for fewer than two."""
     vs = _c(values)
     n, top = F.size(vs), F.greatest(F.array_max(vs), F.lit(1))
-    point = lambda v, i: F.format_string("L %.1f %.1f", i * F.lit(width) / (n - 1), F.lit(height) - v * F.lit(height) / top)
+    tenths = lambda x: (F.floor(x * 10 + 0.5) / 10).cast("decimal(9,1)").cast("string")
+    point = lambda v, i: F.concat(F.lit("L "), tenths(i * F.lit(width) / (n - 1)), F.lit(" "), tenths(F.lit(height) - v * F.lit(height) / top))
     return F.when(n < 2, F.lit("")).otherwise(F.concat(F.lit(f"M 0.0 {height:.1f} "), F.array_join(F.transform(vs, point), " "), F.lit(f" L {width:.1f} {height:.1f} Z")))
 
 

@@ -5,6 +5,8 @@ Awards (sid, lot_id, nif, name, amount, award_date, seq) are lots won; seq order
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,3 +92,24 @@ def similar_companies(nif: str, won: DataFrame, classified: DataFrame, limit: in
     busy = classified.join(codes, "cpv", "left_semi").groupBy("cpv").agg(F.countDistinct("lot_key").alias("n")).filter("n >= 2").select("cpv")
     theirs = classified.join(busy, "cpv", "left_semi").join(won.filter(F.col("nif") != nif).select("nif", "lot_key"), "lot_key")
     return theirs.groupBy("nif").agg(F.countDistinct("lot_key").alias("shared_lots"), F.countDistinct("cpv").alias("shared_cpvs")).orderBy(F.desc("shared_lots"), "nif").limit(limit)
+
+
+#: Tables of a batch of graph writes.
+TABLES = ("companies", "contracts", "lots", "won", "authorities", "tendered", "classified", "located")
+
+
+def merge_batches(batches: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Batches of graph tables as one, table by table; a batch without won edges adds nothing."""
+    held = [b for b in batches if "won" in b and not b["won"].isEmpty()]
+    return {t: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) for t in TABLES if (parts := [b[t] for b in held if t in b])}
+
+
+#: Keys that no two nodes share.
+UNIQUE = {"companies": ["nif"], "contracts": ["sid"], "lots": ["lot_key"], "authorities": ["authority"], "classified": ["lot_key", "cpv"], "located": ["sid", "nuts"]}
+
+
+def check_unique(tables: dict[str, DataFrame]) -> None:
+    """Raises ValueError if two rows of a table share its key."""
+    for name, df in tables.items():
+        if name in UNIQUE and not df.groupBy(*UNIQUE[name]).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            raise ValueError(f"{name}: a key occurs twice")

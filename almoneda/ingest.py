@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from almoneda.store import SnapshotStore, written
 
 
 def _entries(versions: DataFrame) -> DataFrame:
@@ -28,6 +31,7 @@ def status_history(versions: DataFrame) -> DataFrame:
 
 def collapse(versions: DataFrame) -> DataFrame:
     """Latest state with history, without what the same batch tombstones, whenever that was."""
+    versions = versions.drop("history")  # of one version alone
     gone = versions.filter("tombstone").select("sid").distinct()
     return collapse_latest(versions).join(status_history(versions), "sid").join(gone, "sid", "left_anti")
 
@@ -56,6 +60,25 @@ def ingest(stored: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame
     return upsert(stored.join(gone, "sid", "left_anti"), fresh), fresh
 
 
+def apply(store: SnapshotStore, versions: DataFrame, batch: str) -> DataFrame | None:
+    """Brings versions into a store, once a batch id: the rows written, or None if the batch has been applied.
+
+    Only the parts of the store that hold the batch's keys are read and rewritten.
+    """
+    if store.applied(batch):
+        return None
+    versions = written(versions.drop("history"), "batch")
+    parts = store.touched(versions)
+    now = store.read(parts=parts)
+    if now is None or "history" not in now.columns:
+        fields = [f for f in versions.schema.fields if f.name != "tombstone"]
+        now = versions.sparkSession.createDataFrame([], T.StructType(fields)).withColumn("history", F.array().cast("array<struct<date:string,code:string>>"))
+    snapshot, fresh = ingest(now, versions)
+    fresh = written(fresh, "fresh")  # before the version it is held against is replaced
+    store.rewrite(snapshot, parts, batch)
+    return fresh
+
+
 def changed_only(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
     """Rows in which any derived column differs from what is stored; null equals null. pairs: derived -> stored."""
     same = F.lit(True)

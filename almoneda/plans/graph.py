@@ -143,3 +143,16 @@ def _(spark, d):
   GROUP BY w.nif ORDER BY shared_lots DESC, w.nif LIMIT 10"""))
 def _(spark, d):
     return G.similar_companies("B3", G.won_edges(awards(spark, d)), classified(spark, d))
+
+
+@query("graph_merged", _sql("SELECT (SELECT count(*) FROM won) AS won, (SELECT count(*) FROM lots) AS lots, (SELECT count(DISTINCT nif) FROM awards WHERE nif IS NOT NULL) AS companies, (SELECT count(*) FROM classified) AS classified"))
+def _(spark, d):
+    a = awards(spark, d)
+    parts = [a.filter(F.pmod(F.col("sid").cast("long"), F.lit(3)) == i) for i in range(3)]
+    batches = [{"won": G.won_edges(p), "lots": G.lot_nodes(p), "companies": G.company_nodes(p)} for p in parts]
+    batches[0]["classified"] = classified(spark, d)
+    batches.append({"won": G.won_edges(a.limit(0)), "lots": G.lot_nodes(a)})  # nothing won, so nothing is added
+    merged = G.merge_batches(batches)
+    G.check_unique({"lots": merged["lots"], "companies": merged["companies"].dropDuplicates(["nif"])})
+    counts = [merged[t].agg(F.count("*").alias(t)) for t in ("won", "lots", "classified")] + [merged["companies"].agg(F.countDistinct("nif").alias("companies"))]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(counts[3])  # one row each

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from almoneda import ingest as I
 from almoneda.plans.registry import query
-from almoneda.plans.testbind import VERSIONS, versions
+from almoneda.plans.testbind import VERSIONS, contracts, versions
+from almoneda.store import SnapshotStore, workspace
 
 _HALF = "2024-01-15"
 _CTE = f"""WITH {VERSIONS},
@@ -81,3 +82,39 @@ def _(spark, d):
     v = versions(spark, d)
     seen = v.agg(F.count_if("tombstone").alias("deleted"), F.count_if(~F.col("tombstone")).alias("records"))
     return I.collapse(v).agg(F.count("*").alias("upserted")).crossJoin(F.broadcast(seen))  # one row each
+
+
+def _store(spark):
+    return SnapshotStore(spark, workspace(spark, "store"))
+
+
+@query("create_if_missing", "SELECT true AS first, false AS second, 0 AS n")
+def _(spark, d):
+    store, schema = _store(spark), "sid string, updated string"
+    first, second = store.ensure(schema), store.ensure(schema)
+    return store.read().agg(F.count("*").alias("n")).select(F.lit(first).alias("first"), F.lit(second).alias("second"), "n")
+
+
+@query("insert_raw", "SELECT sid, status_code, count(*) AS n FROM (SELECT CAST(o_orderkey AS VARCHAR) AS sid, o_orderstatus AS status_code FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), o_orderstatus FROM orders WHERE o_orderkey % 10 = 0) GROUP BY ALL")
+def _(spark, d):
+    store, rows = _store(spark), contracts(spark, d).select("sid", "status_code")
+    store.insert(rows, "1")
+    store.insert(rows.filter(F.col("sid").cast("long") % 10 == 0), "2")
+    store.insert(rows, "2")  # a batch counts once
+    return store.read().groupBy("sid", "status_code").agg(F.count("*").alias("n"))
+
+
+@query("insert_or_replace", "SELECT CAST(o_orderkey AS VARCHAR) AS sid, CASE WHEN o_orderkey % 10 = 0 THEN 'new' ELSE o_orderstatus END AS status_code FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 3 = 0")
+def _(spark, d):
+    store, rows = _store(spark), contracts(spark, d).select("sid", "status_code")
+    store.upsert(rows.filter(F.col("sid").cast("long") % 3 == 0), "1")
+    store.upsert(rows.filter(F.col("sid").cast("long") % 10 == 0).withColumn("status_code", F.lit("new")), "2")
+    return store.read()
+
+
+@query("reconcile_stored", _TWO + "SELECT f.sid, f.updated, f.status_code, h.history FROM fresh f JOIN h USING (sid)")
+def _(spark, d):
+    store = _store(spark)
+    old, new = (x.filter("NOT tombstone") for x in _by_user(spark, d))
+    store.replace(I.collapse(old), "stored")
+    return I.apply(store, new, "year").select("sid", "updated", "status_code", _TEXT(F.col("history")).alias("history"))

@@ -188,7 +188,10 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", S.linear_pos("value", F.lit(10.0), F.lit(50.0)).alias("pos"))
 
 
-@query("density_path")
+@query("density_path", """WITH e AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL),
+p AS (SELECT event_type, day, n, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS k, greatest(max(n) OVER (PARTITION BY event_type), 1) AS top FROM e),
+x AS (SELECT *, floor(i * 1000.0 / nullif(k - 1, 0) + 0.5) / 10 AS px, floor(200 - n * 200.0 / top + 0.5) / 10 AS py FROM p)
+SELECT event_type, CASE WHEN max(k) < 2 THEN '' ELSE 'M 0.0 20.0 ' || string_agg('L ' || CAST(CAST(px AS DECIMAL(9,1)) AS VARCHAR) || ' ' || CAST(CAST(py AS DECIMAL(9,1)) AS VARCHAR), ' ' ORDER BY day) || ' L 100.0 20.0 Z' END AS path FROM x GROUP BY event_type""")
 def _(spark, d):
     e = table(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
     series = e.groupBy("event_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("day", "n"))), lambda x: x["n"]).alias("counts"))  # one entry a day
@@ -259,7 +262,7 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", parsed["k"].alias("k"), F.coalesce(F.to_json(parsed), F.lit("{}")).alias("again"))
 
 
-@query("llm_json_clean")
+@query("llm_json_clean", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN '{}' ELSE '{\"k\":' || (props ->> '$.k') || '}' END AS answer FROM events")
 def _(spark, d):
     answer = F.when(F.pmod("event_id", F.lit(3)) == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.pmod("event_id", F.lit(3)) == 1, F.col("props")).otherwise("no JSON here")
     return table(spark, d, "events").select("event_id", F.coalesce(F.try_parse_json(S.strip_fences(answer)), F.parse_json(F.lit("{}"))).cast("string").alias("answer"))
@@ -300,11 +303,12 @@ def _(spark, d):
     return c.select("sid", render_summary().alias("content"))
 
 
-@query("render_json")
+@query("render_json", with_contracts("""SELECT sid, '{"title":"Contrato ' || sid || '","status_code":"' || status_code || '","contract_type_code":"' || contract_type_code || '","budget_amount":' || CAST(CAST(floor(budget_amount) AS BIGINT) AS VARCHAR)
+  || CASE WHEN len(cpv) > 0 THEN ',"cpv":["' || array_to_string(cpv, '","') || '"]' ELSE '' END || '}' AS doc FROM contracts"""))
 def _(spark, d):
     from almoneda.render import render_json
 
-    c = contracts(spark, d, "customer", "cpv").withColumns({"title": F.concat(F.lit("Contrato "), "sid"), "adjudicatario": F.lit(None).cast("string"), "city": F.lit("")})
+    c = contracts(spark, d, "customer", "cpv").withColumn("budget_amount", F.floor("budget_amount").cast("long")).withColumns({"title": F.concat(F.lit("Contrato "), "sid"), "adjudicatario": F.lit(None).cast("string"), "city": F.lit("")})
     return c.select("sid", render_json(["title", "status_code", "contract_type_code", "budget_amount", "cpv", "adjudicatario", "city"], always=["title", "status_code"]).alias("doc"))
 
 

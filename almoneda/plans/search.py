@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from almoneda import search as R
 from almoneda.plans.registry import query
 from almoneda.plans.testbind import table
+from almoneda.store import workspace, written
 
 _TERMS = ["the", "idiot", "onre"]
 _BM25 = r"""w AS (SELECT doc_id, lang, list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM documents),
@@ -25,6 +26,18 @@ def _(spark, d):
     return R.top(R.bm25(table(spark, d, "documents"), _TERMS), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("bm25_indexed", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM kw ORDER BY round(score, 9) DESC, doc_id LIMIT 20")
+def _(spark, d):
+    index = R.Index(spark, workspace(spark, "index")).build(table(spark, d, "documents"))
+    return R.top(index.bm25(_TERMS), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("vector_cells", f"WITH {_VEC} SELECT vec_id, round(score, 6) AS score FROM vec ORDER BY round(score, 9) DESC, vec_id LIMIT 20")
+def _(spark, d):
+    cells = R.Cells(spark, workspace(spark, "cells")).build(table(spark, d, "embeddings"))
+    return R.top(cells.search(_query_vector(spark, d), probes=32), "vec_id", 20).select("vec_id", F.round("score", 6).alias("score"))
+
+
 @query("vector_topk", f"WITH {_VEC} SELECT vec_id, round(score, 6) AS score FROM vec ORDER BY round(score, 9) DESC, vec_id LIMIT 20")
 def _(spark, d):
     return R.top(R.cosine(table(spark, d, "embeddings"), _query_vector(spark, d)), "vec_id", 20).select("vec_id", F.round("score", 6).alias("score"))
@@ -39,9 +52,9 @@ SELECT id, round(0.5 * coalesce(b.s, 0) + 0.5 * coalesce(a.s, 0), 6) AS score FR
 
 def _hybrid(spark, d, lang=None):
     docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
-    both = docs.join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    both = both.filter(F.col("lang") == lang) if lang else both
-    kw = R.bm25(docs, _TERMS, both.select("doc_id")).withColumnRenamed("doc_id", "id")
+    both = docs.filter(F.col("lang") == lang) if lang else docs
+    both = written(both.select("doc_id").join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi"), "found")
+    kw = R.bm25(docs, _TERMS, both).withColumnRenamed("doc_id", "id")
     vec = R.cosine(vectors.join(both.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), _query_vector(spark, d)).withColumnRenamed("vec_id", "id")
     return R.top(R.fuse(kw, vec), "id", 20).select("id", F.round("score", 6).alias("score"))
 
@@ -58,11 +71,7 @@ def _(spark, d):
 
 @query("company_search")
 def _(spark, d):
-    from almoneda.providers import embed
-    from almoneda.spec import FilterSpec
-
-    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("sid"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("content"), F.col("c_mktsegment").alias("contract_type_code"))
-    return R.search(embed(c), FilterSpec(), "Customer building", "hybrid", k=10).select("sid", "content", F.round("score", 6).alias("score"))
+    return R.search_companies(R.company_documents(table(spark, d, "customer").select(F.col("c_custkey").alias("nif"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).withColumn("nif", F.col("nif").cast("string"))), "Customer building")
 
 
 @query("embed_text")
@@ -73,6 +82,9 @@ def _(spark, d):
     return out.select("item_id", F.size("embedding").alias("dims"), F.round(F.sqrt(R._dot("embedding", "embedding")), 4).alias("norm"))
 
 
-@query("criteria_fetch", "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events WHERE event_id = 7")
+@query("criteria_fetch", "SELECT CAST(event_id AS VARCHAR) AS sid, CAST(props ->> '$.k' AS BIGINT) AS k, 'PUB' AS estado FROM events WHERE event_id = 7")
 def _(spark, d):
-    return table(spark, d, "events").filter("event_id = 7").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    from almoneda.search import criteria_of
+
+    stored = table(spark, d, "events").select(F.col("event_id").cast("string").alias("sid"), F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "estado": "PUB"}')).alias("criteria_json"))
+    return criteria_of(stored, "7", "k long, estado string").select("sid", "criteria.k", "criteria.estado")

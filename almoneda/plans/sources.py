@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from almoneda import extract
 from almoneda.plans.registry import query
 from almoneda.plans.testbind import VERSIONS, table, versions
-from almoneda.sources import feeds, html
+from almoneda.sources import feeds, geo, html, pdf
 from almoneda.store import SnapshotStore, workspace
 
 
@@ -24,39 +24,58 @@ def entry_xml(spark, d):
     even = F.pmod("o_orderkey", F.lit(2)) == 0
     xml = part(
         "<entry><id>https://x/sindicacion/", key, "/</id><link href=\"https://x/", key, "\"/><updated>", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), '</updated><cac-place-ext:ContractFolderStatus><cbc:ContractFolderID>E-', key, '</cbc:ContractFolderID><cbc-place-ext:ContractFolderStatusCode listURI="http://x/StatusCode.gc">', "o_status",
-        "</cbc-place-ext:ContractFolderStatusCode><LocatedContractingParty><Party><PartyName><Name>Entidad</Name></PartyName></Party><ParentLocatedParty><PartyName><Name>Media</Name></PartyName><ParentLocatedParty><PartyName><Name>Alta</Name></PartyName></ParentLocatedParty></ParentLocatedParty></LocatedContractingParty>",
-        "<ProcurementProject><Name> Obra ", key, '</Name><TypeCode listURI="http://x/ContractCode.gc">1</TypeCode><BudgetAmount><TotalAmount>', money, "</TotalAmount></BudgetAmount><RequiredCommodityClassification><ItemClassificationCode>45000000</ItemClassificationCode></RequiredCommodityClassification></ProcurementProject>",
-        F.when(even, lot).otherwise(""), F.when(even, result).otherwise(""), "</cac-place-ext:ContractFolderStatus></entry>",
+        "</cbc-place-ext:ContractFolderStatusCode><LocatedContractingParty><BuyerProfileURIID>https://p/", key, "</BuyerProfileURIID><Party><PartyIdentification><ID schemeName=\"DIR3\">L0", key, "</ID></PartyIdentification><PartyName><Name>Entidad</Name></PartyName><PostalAddress><CityName>Lugo</CityName><Country><Name>España</Name></Country></PostalAddress></Party><ParentLocatedParty><PartyName><Name>Media</Name></PartyName><ParentLocatedParty><PartyName><Name>Alta</Name></PartyName></ParentLocatedParty></ParentLocatedParty></LocatedContractingParty>",
+        "<ProcurementProject><Name> Obra ", key, '</Name><TypeCode listURI="http://x/ContractCode.gc">1</TypeCode><BudgetAmount><EstimatedOverallContractAmount>', money, "</EstimatedOverallContractAmount><TotalAmount>", money, "</TotalAmount></BudgetAmount><RequiredCommodityClassification><ItemClassificationCode>45000000</ItemClassificationCode></RequiredCommodityClassification>",
+        '<RealizedLocation><CountrySubentityCode listURI="http://x/NUTS-2021.gc">ES112</CountrySubentityCode></RealizedLocation></ProcurementProject>',
+        F.when(even, lot).otherwise(""), F.when(even, result).otherwise(""),
+        '<TenderingTerms><FundingProgramCode>NO-EU</FundingProgramCode></TenderingTerms><TenderingProcess><ProcedureCode listURI="http://x/SyndicationTenderingProcessCode-2.07.gc">9</ProcedureCode><TenderSubmissionDeadlinePeriod><EndDate>', F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd"), "</EndDate></TenderSubmissionDeadlinePeriod></TenderingProcess>",
+        "<ValidNoticeInfo><NoticeTypeCode>DOC_CN</NoticeTypeCode><AdditionalPublicationStatus><AdditionalPublicationDocumentReference><IssueDate>", F.date_format("o_orderdate", "yyyy-MM-dd"), "</IssueDate></AdditionalPublicationDocumentReference></AdditionalPublicationStatus></ValidNoticeInfo>",
+        "<GeneralDocument><GeneralDocumentDocumentReference><Attachment><ExternalReference><URI>https://d/", key, "/1.pdf</URI></ExternalReference></Attachment></GeneralDocumentDocumentReference><GeneralDocumentDocumentReference><Attachment><ExternalReference><URI>https://d/", key, "/2.pdf</URI></ExternalReference></Attachment></GeneralDocumentDocumentReference></GeneralDocument>",
+        "</cac-place-ext:ContractFolderStatus></entry>",
     )
     return o.select("o_orderkey", F.replace(xml, F.lit("o_status"), F.col("o_orderstatus")).alias("xml"))
 
 
-def parsed(spark, d):
-    from almoneda import schema
-
-    e = entry_xml(spark, d).select("o_orderkey", F.from_xml(F.regexp_replace("xml", r"(</?)[\w-]+:", "$1"), schema.ENTRY_STRUCT).alias("e"))
-    entries = e.select(F.regexp_extract("e.id", r"([^/]+)/*$", 1).alias("sid"), F.col("e.updated").alias("updated"), F.get("e.link", F.lit(0))["_href"].alias("link"), F.col("e.ContractFolderStatus").alias("status"), F.lit("test").alias("category"), F.col("o_orderkey").alias("pos"))
-    return extract.contracts(entries)
-
-
 def written_feed(spark, d):
-    """The path of feed files of all orders, with a tombstone for every hundredth."""
-    head = '<feed xmlns="http://www.w3.org/2005/Atom" xmlns:cbc="urn:a" xmlns:cac-place-ext="urn:b" xmlns:cbc-place-ext="urn:c" xmlns:at="http://purl.org/atompub/tombstones/1.0">'
+    """The path of feed files of all orders, with a tombstone for every hundredth. A file is one document, an entry a line."""
+    head = '<feed xmlns="http://www.w3.org/2005/Atom" xmlns:cbc="urn:a" xmlns:cac-place-ext="urn:b" xmlns:cbc-place-ext="urn:c" xmlns:at="http://purl.org/atompub/tombstones/1.0"><link rel="next" href="https://contrataciondelestado.es/next.atom"/>'
     gone = F.when(F.pmod("o_orderkey", F.lit(100)) == 0, F.concat(F.lit('<at:deleted-entry ref="https://x/sindicacion/'), F.col("o_orderkey").cast("string"), F.lit('" when="2024-01-01T00:00:00Z"><at:comment type="CERRADA"/></at:deleted-entry>'))).otherwise("")
     path = workspace(spark, "feed")
-    # A file is one document: eight files, each from one row.
-    parts = entry_xml(spark, d).select(F.pmod("o_orderkey", F.lit(8)).alias("file"), F.concat(gone, "xml").alias("x")).groupBy("file").agg(F.array_join(F.collect_list("x"), "").alias("body"))
-    files = parts.select(F.concat(F.lit(head), F.lit('<link rel="next" href="https://contrataciondelestado.es/next.atom"/>'), "body", F.lit("</feed>")).alias("value"))
-    files.write.option("maxRecordsPerFile", 1).text(path)
+    ends = spark.range(8).select(F.explode(F.array(F.struct(F.col("id").alias("file"), F.lit(0).alias("place"), F.lit(head).alias("value")), F.struct(F.col("id").alias("file"), F.lit(2).alias("place"), F.lit("</feed>").alias("value")))).alias("x")).select("x.*")
+    lines = entry_xml(spark, d).select(F.pmod("o_orderkey", F.lit(8)).alias("file"), F.lit(1).alias("place"), F.concat(gone, "xml").alias("value"))
+    lines.unionByName(ends).repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(path)
     return path
 
 
+def parsed(spark, d):
+    return extract.contracts(feeds.entries(spark, written_feed(spark, d), "test"))
+
+
 @query("extract_contracts", """SELECT CAST(o_orderkey AS VARCHAR) AS sid, 'E-' || o_orderkey AS expediente, 'Obra ' || o_orderkey AS title, o_orderstatus AS status_code, 'Alta' AS org_top_level, round(o_totalprice, 2) AS budget_amount,
   CASE WHEN o_orderkey % 2 = 0 THEN '45000000,03110000' ELSE '45000000' END AS cpvs, CASE WHEN o_orderkey % 2 = 0 THEN 'B' || o_orderkey END AS adjudicatario_nif, CASE WHEN o_orderkey % 2 = 0 THEN 3 END AS n_bids FROM orders""")
 def _(spark, d):
     return parsed(spark, d).select("sid", "expediente", "title", "status_code", "org_top_level", "budget_amount", F.array_join("cpv", ",").alias("cpvs"), "adjudicatario_nif", "n_bids")
 
 
+@query("extract_status", "SELECT CAST(o_orderkey AS VARCHAR) AS sid, strftime(o_orderdate, '%Y-%m-%d') || '|' || o_orderstatus AS history, '1' AS contract_type_code, 'ContractCode.gc' AS contract_type_list, '9' AS procedure_code, 'DOC_CN' AS notice_type, round(o_totalprice, 2) AS estimated_value FROM orders")
+def _(spark, d):
+    events = F.array_join(F.transform("history", lambda h: F.concat_ws("|", h["date"], h["code"])), ";")
+    return parsed(spark, d).select("sid", events.alias("history"), "contract_type_code", "contract_type_list", "procedure_code", "notice_type", "estimated_value")
+
+
+@query("extract_places", """SELECT CAST(o_orderkey AS VARCHAR) AS sid, 'Entidad' AS contracting_authority, 'L0' || o_orderkey AS contracting_authority_id, 'https://p/' || o_orderkey AS buyer_profile_url, 'ES112' AS nuts_code, 'NUTS-2021.gc' AS nuts_list, 'Lugo' AS city, 'España' AS country,
+  strftime(o_orderdate, '%Y-%m-%d') AS publication_date, strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS submission_deadline, 'NO-EU' AS funding_program, 'https://d/' || o_orderkey || '/1.pdf https://d/' || o_orderkey || '/2.pdf' AS document_urls FROM orders""")
+def _(spark, d):
+    return parsed(spark, d).select(
+        "sid", "contracting_authority", "contracting_authority_id", "buyer_profile_url", "nuts_code", "nuts_list", "city", "country", "publication_date", "submission_deadline", "funding_program", F.array_join("document_urls", " ").alias("document_urls"),
+    )
+
+
+@query("extract_award", "SELECT CAST(o_orderkey AS VARCHAR) AS sid, CASE WHEN o_orderkey % 2 = 0 THEN round(o_totalprice, 2) END AS awarded_amount, CASE WHEN o_orderkey % 2 = 0 THEN '8' END AS result_code, CASE WHEN o_orderkey % 2 = 0 THEN 'TenderResultCode-2.0.gc' END AS result_list, CASE WHEN o_orderkey % 2 = 0 THEN '2020-05-01' END AS award_date, CASE WHEN o_orderkey % 2 = 0 THEN 'Acme ' || o_orderkey || ' SL' END AS adjudicatario, CASE WHEN o_orderkey % 2 = 0 THEN true END AS sme_awarded FROM orders")
+def _(spark, d):
+    return parsed(spark, d).select("sid", "awarded_amount", "result_code", "result_list", "award_date", "adjudicatario", "sme_awarded")
+
+
 @query("explode_lots", "SELECT CAST(o_orderkey AS VARCHAR) AS sid, '1' AS lot_id, 'Lote ' || o_orderkey AS name, round(o_totalprice, 2) AS amount FROM orders WHERE o_orderkey % 2 = 0")
 def _(spark, d):
     return parsed(spark, d).select("sid", F.explode("lots").alias("x")).select("sid", "x.lot_id", "x.name", "x.amount")
@@ -94,20 +113,22 @@ def _(spark, d):
     return feeds.codelist(spark, path).select("code", "label")
 
 
-@query("scan_zip")
+@query("scan_zip", "SELECT 'nations' || r_regionkey || '.zip' AS archive, 'deep/' || n_nationkey || '.atom' AS name, '<feed>' || n_name || ' ñ</feed>' AS content FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _(spark, d):
-    rows = table(spark, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect()  # five regions
     path = workspace(spark, "zip")
-    blob = io.BytesIO()
-    with zipfile.ZipFile(blob, "w") as z:
-        for r in rows:
-            z.writestr(f"deep/{r['r_regionkey']}.atom", f"<feed>{r['r_name']}</feed>")
-        z.writestr("readme.txt", "no feed")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/feeds.zip")
-    out = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs_path)
-    out.write(bytearray(blob.getvalue()))
-    out.close()
-    return feeds.zip_members(spark, path).select("name", "content")
+    nations = table(spark, d, "nation").select("n_regionkey", "n_nationkey", "n_name").orderBy("n_nationkey").collect()  # 25 nations
+    for region in sorted({r["n_regionkey"] for r in nations}):
+        blob = io.BytesIO()
+        with zipfile.ZipFile(blob, "w") as z:
+            for r in nations:
+                if r["n_regionkey"] == region:
+                    z.writestr(f"deep/{r['n_nationkey']}.atom", f"<feed>{r['n_name']} ñ</feed>")
+            z.writestr("readme.txt", "no feed")
+        fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/nations{region}.zip")
+        out = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs_path)
+        out.write(bytearray(blob.getvalue()))
+        out.close()
+    return feeds.zip_members(spark, path).select(F.regexp_extract("archive", "([^/]+)$", 1).alias("archive"), "name", "content")
 
 
 @query("feed_next_link", "SELECT 'https://example.org/next.atom' AS href")
@@ -123,14 +144,69 @@ def _(spark, d):
     return feeds.catalog(spark, 2026).select("name", "category", "year", "incremental")
 
 
-@query("distinct_list_uris", "SELECT 'https://x/' || f AS uri, f AS file FROM (VALUES ('StatusCode.gc'), ('ContractCode.gc'), ('TenderResultCode-2.0.gc')) t(f)")
+@query("distinct_list_uris", "SELECT 'https://x/' || f AS uri, f AS file FROM (VALUES ('StatusCode.gc'), ('ContractCode.gc'), ('TenderResultCode-2.0.gc'), ('NUTS-2021.gc'), ('SyndicationTenderingProcessCode-2.07.gc')) t(f)")
 def _(spark, d):
     return feeds.list_uris(entry_xml(spark, d))
 
 
-@query("html_criteria")
+def tender_page(spark, d):
+    """(page_id, html): parts as tender pages, with values that follow from the key."""
+    key, pct = F.col("p_partkey").cast("string"), F.pmod("p_partkey", F.lit(9)).cast("string")
+    box = lambda *x: ["<div class='noremarca'>", *x, "</div>"]
+    parts = [
+        "<html><head><title>Pliego ", key, "</title><script>var x = '<h4>';</script></head><body><h3>Contrato Sujeto a regulación armonizada", *box(F.when(F.pmod("p_partkey", F.lit(2)) == 0, "Sí").otherwise("No")), "</h3>",
+        "<ul><li><span>Directiva de aplicación</span>", *box("2014/", key), "</li><li><span>Plazo de Ejecución</span></li><ul><li>", *box(pct, " Mes(es)"), "</li></ul></ul>",
+        "<div><a href='https://x/GetDocumentByIdServlet?", key, "'>Pliego ", key, "</a><a href='/y'>otro</a></div><ul><li><span>Descripción del procedimiento</span></li> abierto &amp; simple ", key, "</ul>",
+        "<div><span>Condiciones especiales de ejecución de Contrato</span><ul><li>", *box("social"), *box("ambiental ", key), "</li></ul></div>",
+        "<h4>Garantía Requerida Definitiva</h4><ul><li><span>Porcentaje</span>", *box(pct, ",5 %"), "</li><h5>Plazo de constitución</h5><ul><li>", *box("1", pct, " Día(s)"), "</li></ul></ul><h4>Garantía Requerida Complementaria</h4><ul><li><span>Porcentaje</span>", *box("1.000,", pct), "</li></ul>",
+        "<h4>Requisitos de participación de los licitadores</h4><ul><li><span>Número de Empleados</span>", *box("mínimo ", pct), "</li><h5>Clasificación empresarial</h5><ul><li>", *box("C2"), "</li></ul><h5>Condiciones de admisión</h5><ul><li>Capacidad <b>", key, "</b></li><li>No prohibición</li></ul>",
+        "<h5>Motivos de exclusión</h5><ul><li>", *box("-"), *box("Corrupción"), "</li></ul></ul><h4>Preparación de oferta</h4><ul><li><span>Sobre</span>", *box("A-", key), "<span>Tipo de Oferta</span>", *box("técnica"), "</li></ul><h4>Preparación de oferta</h4><ul><li><span>Sobre</span>", *box("B"), "</li></ul>",
+        "<h5>Criterios de Adjudicación</h5><ul><ul><li>", *box("Precio ", key), "</li><ul><li><span>Subtipo Criterio</span> : Precio</li><li><span>Ponderación</span> : 6", pct, ",5</li></ul></ul></ul>",
+        "<h4>Plazo de Validez de la Oferta</h4><ul><li>", *box("3 Mes(es)"), "</li></ul><h3>Apertura de Ofertas</h3>", *box("El día 0", pct, "/02/2024 a las 10:00"), "<h5>Lugar</h5><ul><li>", *box("Sala ", key), "</li></ul></body></html>",
+    ]
+    return table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("page_id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("html"))
+
+
+_K, _P = "CAST(p_partkey AS VARCHAR)", "CAST(p_partkey % 9 AS VARCHAR)"
+
+
+@query("html_criteria", f"""SELECT CAST(p_partkey AS BIGINT) AS page_id, 'Pliego ' || {_K} AS title, 2 AS n_links, p_partkey % 2 = 0 AS regulacion_armonizada, '2014/' || {_K} AS directiva_aplicacion, {_P} || ' Mes(es)' AS plazo_ejecucion,
+  'Pliego ' || {_K} || ' https://x/GetDocumentByIdServlet?' || {_K} AS pdf_links, 'abierto & simple ' || {_K} AS descripcion_procedimiento, 'social;ambiental ' || {_K} AS condiciones_especiales, (p_partkey % 9) + 0.5 AS garantia_definitiva_pct,
+  CAST(10 + p_partkey % 9 AS INTEGER) AS garantia_plazo_dias, 1000 + (p_partkey % 9) / 10.0::DOUBLE AS garantia_complementaria_pct, CAST(p_partkey % 9 AS INTEGER) AS num_empleados_min, 'C2' AS clasificacion_empresarial, 'Capacidad ' || {_K} || ';No prohibición' AS condiciones_admision,
+  'Corrupción' AS motivos_exclusion, 'A-' || {_K} || '/técnica;B/' AS sobres, 'Precio ' || {_K} || '/Precio/6' || {_P} || '.5' AS criterios_adjudicacion, '3 Mes(es)' AS plazo_validez_oferta, 'El día 0' || {_P} || '/02/2024 a las 10:00' AS apertura_fecha, 'Sala ' || {_K} AS apertura_lugar FROM part""")
+def _(spark, d):
+    joined = lambda c, sep, *fs: F.array_join(F.transform(c, lambda x: F.concat_ws(sep, *[F.coalesce(x[f].cast("string"), F.lit("")) for f in fs])), ";").alias(c)
+    out = html.criteria(tender_page(spark, d))
+    lists = {c: F.array_join(c, ";").alias(c) for c in ("condiciones_especiales", "clasificacion_empresarial", "condiciones_admision", "motivos_exclusion")}
+    lists |= {"pdf_links": joined("pdf_links", " ", "nombre", "url"), "sobres": joined("sobres", "/", "descripcion", "tipo"), "criterios_adjudicacion": joined("criterios_adjudicacion", "/", "nombre", "subtipo", "ponderacion")}
+    return out.select(*[lists.get(c, F.col(c)) for c in out.columns])
+
+
+@query("page_links", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' AS has_title, CAST(len(regexp_extract_all(html, '<a href')) AS INTEGER) AS n_links FROM pages")
+def _(spark, d):
+    return html.criteria(table(spark, d, "pages")).select("page_id", F.col("title").isNotNull().alias("has_title"), "n_links")
+
+
+@query("pdf_text", "SELECT item_id, regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g') || ' (1)' || chr(10) || chr(10) || 'page two' || chr(10) || chr(10) AS text FROM benchmark WHERE item_id % 5 <> 0")
+def _(spark, d):
+    body = F.concat(F.lit("%PDF-1.4\n1 0 obj <</Length 9>> stream\nBT /F1 9 Tf ("), F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), F.lit(" \\(1\\)) Tj ET\nendstream endobj 2 0 obj <</Length 9>> stream\nBT [(page) -20 ( two)] TJ ET\nendstream endobj"))
+    files = table(spark, d, "benchmark").select("item_id", F.when(F.pmod("item_id", F.lit(5)) == 0, F.lit("<html>")).otherwise(body).cast("binary").alias("content"))
+    return pdf.pdf_text(files)
+
+
+@query("scan_regions", "SELECT 'ES' || n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey < 2")
+def _(spark, d):
+    path = workspace(spark, "geo")
+    code = F.concat(F.when(F.col("n_regionkey") < 2, "ES").otherwise("FR"), F.col("n_nationkey").cast("string"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(code.alias("NUTS_ID"), F.col("n_name").alias("NAME_LATN")).alias("properties"), F.struct(F.lit("Point").alias("type")).alias("geometry"))
+    table(spark, d, "nation").agg(F.collect_list(feature).alias("features")).select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).write.text(path)  # 25 features
+    return geo.regions(spark, path)
+
+
+@query("codelist_json", "SELECT 'status.gc' AS list_file, '{' || string_agg('\"' || l_linestatus || '\":\"' || n || '\"', ',' ORDER BY l_linestatus) || '}' AS json FROM (SELECT l_linestatus, CAST(count(*) AS VARCHAR) AS n FROM lineitem GROUP BY l_linestatus)")
 def _(spark, d):
-    return html.criteria(table(spark, d, "pages")).select("page_id", "title", "n_links", F.size("pdf_links").alias("n_pdf"))
+    codes = table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("code")).agg(F.count("*").cast("string").alias("label"))
+    return feeds.codelist_json(codes.withColumn("list_file", F.lit("status.gc")))
 
 
 @query("stream_daily", f"""WITH {VERSIONS}, gone AS (SELECT DISTINCT sid FROM versions WHERE tombstone) SELECT sid, max(updated) AS updated, max_by(status_code, (updated, pos)) AS status_code FROM versions WHERE NOT tombstone AND sid NOT IN (SELECT sid FROM gone) GROUP BY sid""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from almoneda import state as X
 from almoneda.plans.registry import query
 from almoneda.plans.testbind import table
+from almoneda.store import workspace
 
 _LOG = "log AS (SELECT user_id, event_id % 50 AS item_id, CASE WHEN event_type = 'view' THEN 'remove' ELSE 'save' END AS action, ts, CASE WHEN event_type = 'purchase' THEN 'title ' || event_id END AS title FROM events WHERE event_type IN ('signup', 'purchase', 'view'))"
 _STATE = f"""{_LOG}, s AS (SELECT user_id, item_id, max(ts) AS saved_at, max_by(title, ts) FILTER (title IS NOT NULL) AS title FROM log WHERE action = 'save' GROUP BY ALL),
@@ -69,3 +70,12 @@ def _(spark, d):
 def _(spark, d):
     t = table(spark, d, "events").filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("token"), (F.col("ts") + F.expr("interval 7 days")).alias("expires_at"))
     return X.valid_tokens(t, "2024-01-20").groupBy("user_id").agg(F.max("token").alias("token"))
+
+
+@query("append_event", "SELECT user_id, event_type, '{\"k\":\"' || (props ->> '$.k') || '\"}' AS context_json, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY ALL UNION ALL SELECT user_id, event_type, NULL, count(*) FROM events WHERE event_type = 'view' GROUP BY ALL")
+def _(spark, d):
+    path = workspace(spark, "events")
+    e = table(spark, d, "events").select("user_id", "event_type", F.lit(None).cast("string").alias("item_id"), F.when(F.col("event_type") != "view", F.from_json("props", "map<string,string>")).alias("context"), "ts")
+    for kind in ("view", "not view"):
+        X.append_events(e.filter(F.col("event_type") == "view" if kind == "view" else F.col("event_type") != "view"), path)
+    return spark.read.parquet(path).groupBy("user_id", "event_type", "context_json").agg(F.count("*").alias("n"))

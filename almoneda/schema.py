@@ -1,4 +1,7 @@
-"""Schemas of feed entries. Every leaf is a string: inference would turn the code 03110000 into a number."""
+"""Schemas of feed entries. Every leaf is a string: inference would turn the code 03110000 into a number.
+
+The chain of parents nests without bound, so it is read as the text of its XML.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +11,12 @@ _NAME = "array<struct<Name:string>>"
 _CPV = "array<struct<ItemClassificationCode:array<string>>>"
 
 
-def _parents(depth: int) -> str:
-    inner = f",ParentLocatedParty:{_parents(depth - 1)}" if depth > 1 else ""
-    return f"struct<PartyName:{_NAME}{inner}>"
-
-
-PARENT_DEPTH = 8
 _BUDGET = "struct<EstimatedOverallContractAmount:string,TotalAmount:string,TaxExclusiveAmount:string>"
 _PROJECT = f"struct<Name:string,TypeCode:{_CODE},BudgetAmount:{_BUDGET},RequiredCommodityClassification:{_CPV},RealizedLocation:struct<CountrySubentityCode:{_CODE},Address:struct<Country:struct<Name:string>>>>"
 _REFERENCE = "array<struct<GeneralDocumentDocumentReference:array<struct<Attachment:struct<ExternalReference:struct<URI:string>>>>>>"
 STATUS = (
     f"struct<ContractFolderID:string,ContractFolderStatusCode:{_CODE},"
-    f"LocatedContractingParty:struct<BuyerProfileURIID:string,Party:struct<PartyIdentification:{_ID},PartyName:{_NAME},PostalAddress:struct<CityName:string,Country:struct<Name:string>>>,ParentLocatedParty:{_parents(PARENT_DEPTH)}>,"
+    f"LocatedContractingParty:struct<BuyerProfileURIID:string,Party:struct<PartyIdentification:{_ID},PartyName:{_NAME},PostalAddress:struct<CityName:string,Country:struct<Name:string>>>,ParentLocatedParty:string>,"
     f"ProcurementProject:{_PROJECT},"
     f"ProcurementProjectLot:array<struct<ID:string,ProcurementProject:{_PROJECT}>>,"
     f"TenderResult:array<struct<ResultCode:{_CODE},AwardDate:string,ReceivedTenderQuantity:string,SMEsReceivedTenderQuantity:string,SMEAwardedIndicator:string,LowerTenderAmount:string,HigherTenderAmount:string,"

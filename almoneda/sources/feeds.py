@@ -61,6 +61,12 @@ def codelist(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return named.groupBy("list_file", "code").agg(F.max_by("label", "pos").alias("label"))
 
 
+def codelist_json(codes: DataFrame) -> DataFrame:
+    """(list_file, json): each code list as one JSON object, codes in order. A list is a few thousand codes."""
+    entries = F.sort_array(F.collect_list(F.struct("code", "label")))
+    return codes.groupBy("list_file").agg(F.to_json(F.map_from_entries(entries)).alias("json"))
+
+
 def list_uris(xml_texts: DataFrame, column: str = "xml") -> DataFrame:
     """(uri, file): the distinct code list addresses that entries name, over HTTPS."""
     found = F.explode(F.regexp_extract_all(column, F.lit(r"\blistURI(?:ID)?\s*=\s*\"([^\"]+)\""), F.lit(1)))
@@ -81,10 +87,20 @@ def zip_members(spark: SparkSession, path: str, suffix: str = ".atom") -> DataFr
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, name string, content string")
 
 
-def catalog(spark: SparkSession, year: int, base: str = "https://contrataciondelsectorpublico.gob.es/sindicacion") -> DataFrame:
+#: Where the feeds are. Fixed value.
+BASE = "https://contrataciondelsectorpublico.gob.es/sindicacion"
+
+
+def head_url(category: str, base: str = BASE) -> str:
+    """The newest page of a channel."""
+    number, stem = next((n, s) for c, n, s, _ in CHANNELS if c == category)
+    return f"{base}/sindicacion_{number}/{stem}.atom"
+
+
+def catalog(spark: SparkSession, year: int, base: str = BASE) -> DataFrame:
     """(name, category, url, year, incremental): a feed for each channel and year, the running one incremental."""
     rows = spark.createDataFrame([(*c,) for c in CHANNELS], "category string, number int, stem string, since int")
-    out = rows.select("category", "number", "stem", F.explode(F.sequence(F.col("since"), F.lit(year))).alias("year"))
+    out = rows.filter(F.col("since") <= year).select("category", "number", "stem", F.explode(F.sequence(F.col("since"), F.lit(year))).alias("year"))
     return out.select(
         F.format_string("%s_%d", "category", "year").alias("name"), "category", F.format_string(f"{base}/sindicacion_%d/%s_%d.zip", "number", "stem", "year").alias("url"), "year", (F.col("year") == year).alias("incremental"),
     )

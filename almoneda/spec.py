@@ -84,6 +84,21 @@ class FilterSpec:
         now = getattr(self, name)
         return replace(self, **{name: tuple(v for v in now if v not in values) if isinstance(now, tuple) and values else () if isinstance(now, tuple) else None})
 
+    def to_text(self) -> str:
+        """The filters as SQL text, for logs; queries run on Columns and never on this."""
+        quoted = lambda v: "'" + str(v).replace("'", "''") + "'"
+        starts = lambda c, vs: " OR ".join(f"startswith({c}, {quoted(v)})" for v in vs)
+        out = [f"exists({self.cpv_column}, c -> {starts('c', self.cpv)})"] if self.cpv else []
+        out += [f"({starts('nuts', self.nuts)})"] if self.nuts else []
+        for name in ("status", "result", "contract_type", "procedure"):
+            out += [f"{name}_code IN ({', '.join(map(quoted, getattr(self, name)))})"] if getattr(self, name) else []
+        for column, low, high in (("publication_ts", self.pub_from, self.pub_to), ("deadline_ts", self.deadline_from, self.deadline_to)):
+            out += [f"{column} >= timestamp {quoted(low)}"] if low else []
+            out += [f"{column} <= timestamp {quoted(f'{high} 23:59:59')}"] if high else []
+        out += [f"budget_amount >= {self.budget_min}"] if self.budget_min is not None else []
+        out += [f"budget_amount <= {self.budget_max}"] if self.budget_max is not None else []
+        return " AND ".join(out)
+
     @classmethod
     def from_params(cls, params: dict, today: str | None = None) -> FilterSpec:
         """From request parameters: empty ones are dropped, `open_only` means deadlines from today on."""
@@ -112,3 +127,8 @@ def sort_order(sort: str | None, columns: list[str]) -> list[Column]:
 def browse(df: DataFrame, spec: FilterSpec, sort: str | None = None, k: int = 15, offset: int = 0) -> DataFrame:
     """One page of filtered and sorted results; k is held to 1..50."""
     return spec.apply(df).orderBy(*sort_order(sort, df.columns)).offset(max(offset, 0)).limit(min(max(k, 1), 50))
+
+
+def has_more(total: int | None, offset: int, shown: int, k: int = 15) -> bool:
+    """Whether a page has another after it; without a total, whether it is full."""
+    return offset + shown < total if total is not None else shown == k

@@ -63,3 +63,13 @@ def latest_per_user(log: DataFrame, order: str = "ts") -> DataFrame:
     """Each user's last row, ranked in a window; ties by event id."""
     w = Window.partitionBy("user_id").orderBy(F.desc(order), F.desc("event_id"))
     return log.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Adds events (user_id, event_type, item_id, context, ts) to a log that is only ever added to, a folder a day.
+
+    The context goes in as JSON, null if there is none; a null ts is now.
+    """
+    ts = F.coalesce("ts", F.current_timestamp())
+    out = events.select("user_id", "event_type", "item_id", F.to_json("context").alias("context_json"), ts.alias("ts"), F.to_date(ts).alias("day"))
+    out.write.mode("append").partitionBy("day").parquet(path)

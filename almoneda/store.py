@@ -5,73 +5,132 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def workspace(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; only where that is unset, in a temporary one."""
+    """A new path in the folder of spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary one; on
+    a cluster that would be a folder of one machine, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="almoneda-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/almoneda/{tag}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back, for tables that a plan uses more than once."""
+    path = workspace(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class SnapshotStore:
-    """Snapshots `v=<n>-<batch>`; the greatest complete one is current, and a batch that has one is not applied again."""
+    """Rows by key in `buckets` parts. A change writes a version `v=<n>-<buckets it has>-<batch>` of the parts it touches.
+
+    Of each part the newest complete version counts, and a batch that has been applied is not applied again.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, key: str = "sid", buckets: int = 16):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
         self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str = "") -> list[str]:
+        root = self._path(f"{self.path}/{folder}")
+        return [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
 
     def versions(self) -> list[tuple[int, str]]:
-        root = self._path(self.path)
-        if not self._fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        done = [n for n in names if n.startswith("v=") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS"))]
+        """(number, folder) of complete versions, oldest first."""
+        done = [n for n in self._names() if n.startswith("v=") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS"))]
         return sorted((int(n[2:].split("-", 1)[0]), n) for n in done)
 
-    def read(self, schema=None) -> DataFrame | None:
-        found = self.versions()
-        if not found:
-            return self.spark.createDataFrame([], schema) if schema is not None else None
-        return self.spark.read.parquet(f"{self.path}/{found[-1][1]}")
+    def _newest(self) -> dict[int, str]:
+        """The folder of the newest version of each part."""
+        out: dict[int, str] = {}
+        for _, name in self.versions():
+            mask = int(name.split("-", 2)[1], 16)
+            out |= {k: name for k in range(self.buckets) if mask >> k & 1}
+        return out
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int")
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The parts that hold the keys of rows: at most `buckets` numbers."""
+        return [r[0] for r in rows.select(self.bucket()).distinct().collect()]
+
+    def read(self, schema=None, parts: list[int] | None = None) -> DataFrame | None:
+        """All rows, or those of some parts. Without any: an empty table if a schema is given or known, else None."""
+        found = [f"{self.path}/{name}/bucket={k}" for k, name in self._newest().items() if parts is None or k in parts]
+        found = [p for p in found if self._fs.exists(self._path(p))]
+        if found:
+            return self.spark.read.option("mergeSchema", "true").parquet(*found)
+        if schema is None and self._fs.exists(self._path(f"{self.path}/schema")):
+            schema = self.spark.read.parquet(f"{self.path}/schema").schema
+        return self.spark.createDataFrame([], schema) if schema is not None else None
+
+    def ensure(self, schema) -> bool:
+        """Makes the table if it isn't there; False if it is."""
+        if self.versions() or self._fs.exists(self._path(f"{self.path}/schema/_SUCCESS")):
+            return False
+        self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.path}/schema")
+        return True
 
-    def _write(self, df: DataFrame, batch: str) -> None:
-        n = self.versions()[-1][0] + 1 if self.versions() else 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v={n:08d}-{batch}")
+    def rewrite(self, rows: DataFrame, parts: list[int], batch: str) -> None:
+        """A version with `rows` as all there is in these parts."""
+        n, mask = (self.versions()[-1][0] + 1 if self.versions() else 1), sum(1 << k for k in set(parts))
+        out = rows.withColumn("bucket", self.bucket())
+        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={n:08d}-{mask:x}-{batch}")
 
     def applied(self, batch: str) -> bool:
-        return any(n.split("-", 1)[1] == batch for _, n in self.versions())
+        return batch in self._names("applied") or any(n.split("-", 2)[2] == batch for _, n in self.versions())
+
+    def insert(self, rows: DataFrame, batch: str) -> bool:
+        """Rows beside what is there, whatever their keys; False if the batch is there already."""
+        if self.applied(batch):
+            return False
+        parts = self.touched(rows)
+        now = self.read(parts=parts)
+        self.rewrite(rows if now is None else now.unionByName(rows, allowMissingColumns=True), parts, batch)
+        return True
 
-    def upsert(self, rows: DataFrame, batch: str, key: str = "sid") -> bool:
+    def upsert(self, rows: DataFrame, batch: str) -> bool:
         """Rows in place of those of the same key; False if the batch is there already."""
         if self.applied(batch):
             return False
-        now = self.read()
-        self._write(rows if now is None else now.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True), batch)
+        parts = self.touched(rows)
+        now = self.read(parts=parts)
+        self.rewrite(rows if now is None else now.join(rows.select(self.key), self.key, "left_anti").unionByName(rows, allowMissingColumns=True), parts, batch)
         return True
 
-    def delete(self, keys: DataFrame, batch: str, key: str = "sid") -> bool:
-        """The snapshot less some keys, absent ones tolerated."""
-        if self.applied(batch) or (now := self.read()) is None:
+    def delete(self, keys: DataFrame, batch: str) -> bool:
+        """What is there less some keys, absent ones tolerated."""
+        parts = self.touched(keys)
+        if self.applied(batch) or (now := self.read(parts=parts)) is None:
             return False
-        self._write(now.join(keys.select(key), key, "left_anti"), batch)
+        self.rewrite(now.join(keys.select(self.key), self.key, "left_anti"), parts, batch)
         return True
 
     def replace(self, df: DataFrame, batch: str) -> bool:
         if self.applied(batch):
             return False
-        self._write(df, batch)
+        self.rewrite(df, list(range(self.buckets)), batch)
         return True
 
     def vacuum(self, keep: int = 2) -> int:
-        """Deletes all but the last snapshots; returns how many went."""
-        old = self.versions()[:-keep] if keep else self.versions()
-        for _, n in old:
+        """Deletes versions of which no part is the newest, but for the last `keep`; returns how many went.
+
+        Their batches stay known as applied.
+        """
+        needed = {*self._newest().values(), *(n for _, n in self.versions()[len(self.versions()) - keep :])}
+        old = [n for _, n in self.versions() if n not in needed]
+        for n in old:
+            self._fs.create(self._path(f"{self.path}/applied/{n.split('-', 2)[2]}"), True).close()
             self._fs.delete(self._path(f"{self.path}/{n}"), True)
         return len(old)
 

@@ -7,28 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almoneda.ingest import ingest
+from almoneda import ingest
 from almoneda.store import SnapshotStore
 
 
 def run_stream(versions: DataFrame, store: SnapshotStore, checkpoint: str, after: Callable[[DataFrame], None] | None = None) -> None:
     """Applies all files that are there. `versions` is a stream as almoneda.ingest takes it.
 
-    A batch that is repeated after a failure finds its snapshot and is skipped. `after` gets each batch's rows, for a
+    A batch rewrites only the parts of the store that hold its keys. One that is repeated after a failure finds its version
+    and is skipped. `after` gets each batch's rows, for a
     second store; if it fails, the ingest goes on.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
-        name = f"batch{n}"
-        if store.applied(name):
-            return
-        now = store.read()
-        if now is None:
-            fields = [f for f in batch.schema.fields if f.name != "tombstone"]
-            now = batch.sparkSession.createDataFrame([], type(batch.schema)(fields)).withColumn("history", F.array().cast("array<struct<date:string,code:string>>"))
-        snapshot, fresh = ingest(now, batch)
-        store.replace(snapshot, name)
-        if after:
+        fresh = ingest.apply(store, batch, f"batch{n}")
+        if after and fresh is not None:
             try:
                 after(fresh)
             except Exception as e:  # noqa: BLE001  the second store never stops the first
@@ -64,6 +57,10 @@ def backfill(feeds: list[dict], process: Callable[[dict], None], may_run: Callab
 
 
 def event_windows(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(start, event_type, n, total): counts by tumbling window; on a stream, late rows beyond the watermark are dropped."""
+    """(start, event_type, n, total): counts by tumbling window.
+
+    On a stream, rows later than the watermark are dropped, and a window goes out once the watermark has passed its end. A
+    table has no late rows: all count.
+    """
     w = events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return w.select(F.col("window.start").alias("start"), "event_type", "n", "total")

@@ -63,9 +63,44 @@ def test_catalog_and_download(spark):
 
 
 def test_html_criteria():
-    page = "<h4>Garantía Requerida Definitiva</h4><ul><li><div class='noremarca'>5,0 %</div></li></ul><span>Directiva de aplicación</span><div class='noremarca'>2014/24</div><a href='https://x/GetDocumentByIdServlet?1'>Pliego</a>"
+    page = """<h4>Garantía Requerida Definitiva</h4><ul><li><span>Porcentaje</span><div class='noremarca'>5,0 %</div></li></ul><span>Directiva de aplicación</span><div class='noremarca'>2014/24</div>
+    <a href='https://x/GetDocumentByIdServlet?1'>Pliego</a><a href='https://drive.google.com/2'> </a></p></div>"""
     got = html.parse(page)
-    assert (got["garantia_definitiva_pct"], got["directiva_aplicacion"], got["pdf_links"]) == (5.0, "2014/24", ["https://x/GetDocumentByIdServlet?1"])
+    assert (got["garantia_definitiva_pct"], got["directiva_aplicacion"], got["pdf_links"], got["n_links"]) == (5.0, "2014/24", [{"nombre": "Pliego", "url": "https://x/GetDocumentByIdServlet?1"}], 2)
+    empty = html.parse(None)
+    assert set(empty) == set(html.FIELDS) and not any(empty.values())
+    assert html.number("1.000,50 €") == 1000.5 and html.number("x") is None and html.number("..") is None
+    html.parse("<div>" * 20_000 + "</p>" * 20_000)
+
+
+def test_pdf_pages():
+    import zlib
+
+    from almoneda.sources import pdf
+
+    packed = zlib.compress(b"BT (a \\(b\\) \\101) Tj T* [(c) 3 (d)] TJ ET")
+    content = b"%PDF-1.4\n1 0 obj <</Filter /FlateDecode /Length 1>> stream\n" + packed + b"\nendstream endobj 2 0 obj <</Length 2>> stream\nBT (two) Tj ET\nendstream endobj 3 0 obj <</Filter /FlateDecode>> stream\nbroken\nendstream"
+    assert pdf.pages_of(content) == ["a (b) A\ncd", "two"] and pdf.read_text(content) == "a (b) A\ncd\n\ntwo\n\n" and pdf.read_text(b"") == ""
+
+
+def test_pdf_by_type_or_first_bytes(spark):
+    from almoneda.sources import pdf
+
+    files = spark.createDataFrame([(1, bytearray(b"%PDF-1"), None), (2, bytearray(b"<html>"), "text/html"), (3, bytearray(b"x"), "application/PDF"), (4, None, None)], "id long, content binary, kind string")
+    assert sorted((r.id, r.text) for r in pdf.pdf_text(files, lambda c: f"{len(c)} bytes", content_type="kind").collect()) == [(1, "6 bytes"), (3, "1 bytes")]
+
+
+def test_regions_of_topology(spark, tmp_path):
+    from almoneda.sources import geo
+
+    (tmp_path / "t.json").write_text('{"type":"Topology","objects":{"nuts":{"geometries":[{"id":"ES1","properties":{"na":"Norte"}},{"id":"FR1","properties":{"na":"x"}},{"properties":{"NUTS_ID":"ES2"}}]}}}')
+    assert sorted(map(tuple, geo.regions(spark, str(tmp_path / "t.json")).collect())) == [("ES1", "Norte"), ("ES2", "")]
+
+
+def test_parents_nest_without_bound(spark, tmp_path):
+    deep = "".join(f"<cac:ParentLocatedParty><cac:PartyName><cbc:Name>Nivel {i} &amp; más</cbc:Name></cac:PartyName>" for i in range(30)) + "</cac:ParentLocatedParty>" * 30
+    (tmp_path / "d.atom").write_text(f'<feed xmlns:cbc="urn:a" xmlns:cac="urn:b"><entry><id>1</id><updated>2024</updated><cac:ContractFolderStatus><cac:LocatedContractingParty>{deep}</cac:LocatedContractingParty></cac:ContractFolderStatus></entry></feed>')
+    assert extract.contracts(feeds.entries(spark, str(tmp_path / "d.atom"), "c")).first().org_top_level == "Nivel 29 & más"
 
 
 def versions(spark, rows):
@@ -93,7 +128,12 @@ def test_store_and_stream(spark, tmp_path):
     assert store.upsert(rows(("a", 1), ("b", 1)), "1") and not store.upsert(rows(("a", 9)), "1")
     assert store.upsert(rows(("b", 2), ("c", 2)), "2") and store.delete(rows(("a", 0), ("zz", 0)), "3")
     assert sorted(map(tuple, store.read().collect())) == [("b", 2), ("c", 2)] and duplicate_keys(store.read(), "sid").count() == 0
-    assert store.vacuum(1) == 2 and store.read().count() == 2
+    before = len(store.versions())
+    assert store.vacuum(1) >= 0 and store.read().count() == 2 and len(store.versions()) <= before
+    assert store.upsert(rows(*[(k, 7) for k in "abcdefghijklmnopqrstuvwxyz"]), "all") and store.replace(rows(("b", 2), ("c", 2)), "4") and store.vacuum(1) > 0
+    assert not any(store.upsert(rows(("a", 9)), b) for b in ("1", "2", "all"))  # vacuumed batches stay known
+    assert store.insert(rows(("b", 3)), "5") and sorted(map(tuple, store.read().collect())) == [("b", 2), ("b", 3), ("c", 2)]
+    assert not store.ensure("sid string") and SnapshotStore(spark, str(tmp_path / "e")).ensure("sid string") and SnapshotStore(spark, str(tmp_path / "e")).read().columns == ["sid"]
     land = tmp_path / "land"
     v = versions(spark, [("a", "2026-01-01", "PUB", 1, False, 1.0), ("b", "2026-01-01", "PUB", 2, False, 1.0)])
     v.write.parquet(str(land))
@@ -110,6 +150,54 @@ def test_store_and_stream(spark, tmp_path):
     assert [(r.sid, r.status_code, len(r.history)) for r in out.read().collect()] == [("a", "EV", 2)] and seen == [2, 1]
 
 
+def test_late_rows_of_a_stream_are_dropped(spark, tmp_path):
+    land, out = tmp_path / "land", tmp_path / "out"
+    rows = lambda *x: spark.createDataFrame([(t, "k", v) for t, v in x], "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1)
+
+    def step(*x):
+        rows(*x).write.mode("append").parquet(str(land))
+        stream = daily.event_windows(spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(land)))
+        stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    step(("2024-01-01 10:05:00", 1.0), ("2024-01-01 10:50:00", 2.0))
+    step(("2024-01-01 12:00:00", 4.0), ("2024-01-01 10:55:00", 8.0))  # the second is within the watermark yet
+    step(("2024-01-01 10:10:00", 16.0), ("2024-01-01 14:00:00", 32.0))  # the first is too late by now
+    step(("2024-01-01 16:00:00", 64.0))
+    got = {str(r.start): (r.n, r.total) for r in spark.read.parquet(str(out)).collect()}
+    assert got["2024-01-01 10:00:00"] == (3, 11.0) and got["2024-01-01 12:00:00"] == (1, 4.0)
+
+
+def test_jobs(spark, tmp_path):
+    """A walk over two pages of one channel, a second one that stops at the watermark, and the archives of a year."""
+    from almoneda.jobs import Jobs
+
+    entry = lambda i, day, code: f'<entry><id>https://x/s/{i}</id><link href="https://l/{i}"/><updated>2024-01-{day:02d}T00:00:00Z</updated><ContractFolderStatus><ContractFolderStatusCode>{code}</ContractFolderStatusCode></ContractFolderStatus></entry>'
+    page = lambda body, nxt=None: f"<feed>{f'<link rel=\"next\" href=\"{nxt}\"/>' if nxt else ''}{body}</feed>".encode()
+    blob = io.BytesIO()
+    with zipfile.ZipFile(blob, "w") as z:
+        z.writestr("a.atom", page(entry(1, 9, "RES") + entry(7, 1, "PUB")))
+    web = {feeds.head_url("placsp_mayores"): page(entry(1, 3, "EV") + '<deleted-entry ref="https://x/s/2" when="2024-01-03T00:00:00Z"/>', "p2"), "p2": page(entry(1, 1, "PUB") + entry(2, 1, "PUB") + entry(3, 2, "PUB"))}
+    web |= {feeds.head_url(c): page("") for c, *_ in feeds.CHANNELS if c != "placsp_mayores"}
+    asked = []
+
+    def fetch(url):
+        asked.append(url)
+        return web.get(url) or (blob.getvalue() if url.endswith(".zip") else b"")
+
+    jobs = Jobs(spark, str(tmp_path / "home"), fetch, year=2012)
+    assert all(jobs.init_schema().values()) and not any(jobs.init_schema().values())
+    assert jobs.daily() == {"placsp_mayores": 2, "externos_mayores": 1, "placsp_menores": 1, "propios": 1}
+    state = lambda: {r.sid: (r.status_code, [h.code for h in r.history]) for r in jobs.store.read().collect()}
+    assert state()["1"] == ("EV", ["EV"]) and "3" in state()
+    assert jobs.watermark("placsp_mayores") == "2024-01-03T00:00:00Z"
+    asked.clear()
+    assert jobs.daily()["placsp_mayores"] == 1 and "p2" not in asked
+    done, failed = jobs.reconcile()
+    assert done == ["placsp_mayores_2012"] and not failed
+    assert state()["1"] == ("RES", ["EV", "RES"]) and "7" in state()
+    jobs.init_graph()
+
+
 def test_walk_and_backfill():
     pages = {"p1": ("3", "p2"), "p2": ("2", "p3"), "p3": ("1", None)}
     assert daily.walk_pages("p1", pages.get, "2") == ["p1", "p2"] and daily.walk_pages("p1", pages.get, None) == ["p1", "p2", "p3"]
@@ -125,6 +213,16 @@ def test_spec():
     assert facets.group_toggle(("1", "2"), ("1",)) == ("1", "2") and facets.group_toggle(("1", "2"), ("1", "2", "9")) == ("9",)
 
 
+def test_spec_as_text_selects_the_same(spark, sf_dir):
+    from almoneda.plans.testbind import contracts
+    from almoneda.spec import has_more
+
+    c = contracts(spark, sf_dir, "customer", "nuts", "result", "cpv")
+    for spec in (FilterSpec(status=("O",), nuts=("ES1",), budget_min=1000.0), FilterSpec(cpv=("1", "2"), pub_from="1995-01-01", pub_to="1996-12-31"), FilterSpec(contract_type=("x' OR 1 = 1 --",))):
+        assert c.filter(spec.to_text()).count() == spec.apply(c).count()
+    assert FilterSpec().to_text() == "" and has_more(31, 15, 15) and not has_more(30, 15, 15) and has_more(None, 0, 15) and not has_more(None, 0, 14)
+
+
 def test_sort_allow_list(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", None), ("c", 3.0)], "sid string, budget_amount double").withColumn("publication_ts", F.lit("2024-01-01").cast("timestamp"))
     assert [r.sid for r in df.orderBy(*sort_order("budget_amount asc", df.columns)).collect()] == ["a", "c", "b"]
@@ -172,6 +270,25 @@ def test_graph(spark):
     assert (p.n_contracts, p.n_lots, p.n_cpv, p.n_authorities, p.total_amount, f.total_amount) == (2, 3, 2, 2, 24.0, 41.0)
 
 
+def test_index_equals_one_pass(spark, sf_dir, tmp_path):
+    from almoneda.search import Cells, Index, cosine
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    index = Index(spark, str(tmp_path / "i"), parts=8).build(docs)
+    for terms in (["the", "idiot"], ["onre", "ONRE", "no such word"], ["und"]):
+        assert {r.doc_id: round(r.score, 9) for r in index.bm25(terms).collect()} == {r.doc_id: round(r.score, 9) for r in bm25(docs, terms).collect()}
+    some = docs.filter("doc_id % 3 = 0").select("doc_id")
+    assert {r.doc_id for r in index.bm25(["the"], some).collect()} == {r.doc_id for r in bm25(docs, ["the"], some).collect()}
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    cells, found, wanted = Cells(spark, str(tmp_path / "c"), cells=8).build(v), 0, 0
+    for r in v.orderBy("vec_id").limit(5).collect():
+        top = lambda df: {x.vec_id for x in df.orderBy(F.desc("score"), "vec_id").limit(10).collect()}
+        exact = top(cosine(v, r.embedding))
+        assert top(cells.search(r.embedding, 8)) == exact
+        found, wanted = found + len(exact & top(cells.search(r.embedding, 5))), wanted + len(exact)
+    assert found >= 0.5 * wanted
+
+
 def test_search(spark):
     docs = spark.createDataFrame([("1", "roja casa roja", "A"), ("2", "casa azul", "A"), ("3", "coche", "B"), ("4", None, "A")], "sid string, content string, status_code string")
     got = {r.doc_id: r.score for r in bm25(docs, ["casa", "roja"], None, "sid", "content").collect()}
@@ -193,10 +310,27 @@ def test_state(spark):
     assert state.by_email(users, " a@x.COM").count() == 1
 
 
+@pytest.mark.parametrize("second,kept", [(3_997 - 60, 2), (3_998 - 60, 2), (3_999 - 60, 1), (4_000 - 60, 1), (4_001 - 60, 1)])
+def test_paragraph_budget_at_its_limit(spark, second, kept):
+    """A paragraph fits if what was picked, blank lines included, and it have 4,000 characters: 60 + 2 + n <= 4,000."""
+    first = "pago pago " + "x" * 50
+    text = first + "\n\n" + "\u00a0\t" + "pago " + "y" * (second - 5) + " \n"
+    got = texts.extract_paragraphs(spark.createDataFrame([(1, text)], "doc_id long, text string"), ("pago",)).first().picked
+    assert got.count("\n\n") == kept and got.endswith("\n\n")
+
+
+def test_excerpts_and_chunk_list(spark):
+    docs = spark.createDataFrame([(1, "no clause here " * 700), (2, None), (3, "pago " * 20)], "doc_id long, text string")
+    got = {r.doc_id: r.excerpt for r in texts.excerpts(docs, ("pago",)).collect()}
+    assert got == {1: ("no clause here " * 700)[:8000], 2: "", 3: ("pago " * 20).strip() + "\n\n"}
+    md = spark.createDataFrame([(1, "intro\n\n# One\n\nfirst\fsecond\n\n## Two\n\n\n\nthird"), (2, None)], "doc_id long, text string")
+    assert [(r.chunk_index, r.chunk_title, r.chunk_page_number, r.chunk_text) for r in texts.chunk_list(md).orderBy("chunk_index").collect()] == [(0, "", 1, "intro"), (1, "One", 1, "first"), (2, "One", 2, "second"), (3, "Two", 2, "third")]
+
+
 def test_paragraphs(spark):
     long = "pago " + "x" * 60
     docs = spark.createDataFrame([(1, f"{long}\n\n{long} pago seguro\n\ncorto pago\n\n{'y' * 80}"), (2, None)], "doc_id long, text string")
-    assert [r.picked for r in texts.extract_paragraphs(docs, ("pago", "seguro")).collect()] == [f"{long} pago seguro\n\n{long}"]
+    assert [r.picked for r in texts.extract_paragraphs(docs, ("pago", "seguro")).collect()] == [f"{long} pago seguro\n\n{long}\n\n"]
     assert texts.join_chunks(texts.chunk(docs, "\n\n")).filter("doc_id = 1").first().text.count("\n\n") == 3
 
 
@@ -209,3 +343,42 @@ def test_analyze_and_embed(spark):
     texts_ = [(i, f"text {i}") for i in range(7)]
     seen = {r.doc_id: [round(x, 4) for x in r.embedding] for r in embed(spark.createDataFrame(texts_, "doc_id long, content string"), batch=2).collect()}
     assert seen == {i: [round(x, 4) for x in embed_batch([t])[0]] for i, t in texts_}
+
+
+def test_providers(spark):
+    import json
+
+    from almoneda import providers as P
+
+    df = spark.createDataFrame([(1, "El pago es a 30 días. La garantía es del 5%. Otra cosa."), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: json.loads(r.pcap) for r in P.ask(df.withColumn("prompt", P.pcap_prompt("text")), "prompt", P.extract_pcap, "pcap", "string").collect()}
+    assert got[1] == {"pago": ["El pago es a 30 días"], "garantía": ["La garantía es del 5%"]} and got[2] == {}
+    made = df.select(P.criteria_prompt("risks", F.struct(F.lit("a").alias("x"), F.lit("").alias("y"))).alias("prompt"))
+    assert P.ask(made, "prompt", P.outline, "risks", "string").first().risks.endswith("bidder. x")
+    sent = []
+    ask = P.http_model("http://m", "gemma", as_json=True, post=lambda u, b: sent.append((u, json.loads(b))) or b'{"response": "ok"}')
+    assert ask(["p"]) == ["ok"] and sent == [("http://m/api/generate", {"model": "gemma", "prompt": "p", "stream": False, "format": "json"})]
+    assert P.http_model("http://m", "x", post=lambda u, b: b"no json")(["p"]) == [""]
+
+
+def test_companies_and_criteria(spark):
+    from almoneda.search import company_documents, criteria_of, search_companies
+
+    c = company_documents(spark.createDataFrame([("B1", "Obras Norte", "Lugo"), ("B2", "Software Sur", None)], "nif string, name string, city string"))
+    assert {r.sid: r.content for r in c.collect()} == {"B1": "name: Obras Norte. city: Lugo", "B2": "name: Software Sur"}
+    assert search_companies(c, "software").first().sid == "B2"
+    stored = spark.createDataFrame([("7", '{"a": 1}')], "sid string, criteria_json string")
+    assert criteria_of(stored, "7", "a int").first().criteria.a == 1
+    with pytest.raises(LookupError):
+        criteria_of(stored, "8", "a int")
+
+
+def test_folder_must_be_named_on_a_cluster(spark):
+    from almoneda.store import workspace
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "yarn", "getConf": staticmethod(lambda: type("G", (), {"get": staticmethod(lambda *a: None)}))})
+
+    with pytest.raises(ValueError):
+        workspace(Cluster, "x")
