@@ -1,12 +1,15 @@
 """Main text of web pages by composite text density (Sun, Song, Liao; SIGIR 2011).
 
 A page becomes a tree of blocks. Every node gets its characters C, tags T, link characters LC and link tags LT, and from
-them its link-adjusted density; the node whose children's densities sum to the most is the core of the article. The
-threshold is the least density on the path from the body to that node. Where marked articles hold most of the page's plain
-text, they all are the core. Besides the core, every part of the page goes out that isn't mostly links and reaches half the
-threshold, be it a sibling of the core or right under the body. Parts that
-are never an article (menus, forms, adverts, reader comments and so on) are taken out beforehand; parts whose names only
-sound like such come back where they stand within the article and aren't mostly links.
+them its link-adjusted density; the node whose children's densities sum to the most is the core of the article, whatever
+its tag. Marked articles are a hint that the density can overrule: one that the core stands in is taken whole, and where
+the core holds marked articles of most of its plain text, these are the core. The threshold is the least density on the
+path from the body to the core. Besides the core, every part of the page goes out that isn't mostly links and reaches half
+the threshold, be it a sibling of the core or right under the body. Parts that are never an article (menus, forms,
+adverts, reader comments and so on) are taken out beforehand; parts whose names only sound like such come back where they
+stand within the article and aren't mostly links.
+
+Reading is linear in the page: no scan passes a character more than a few times, and open tags are found by index.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,17 +45,17 @@ NOISE = re.compile(
 #: Whole names of parts that are no article wherever they stand. Other names that NOISE matches only raise a suspicion: an
 #: article may have a section "related-work" or "search-algorithms".
 SURE = frozenset(
-    "ad ads adbox advert adverts advertisement advertisements adsbygoogle sponsored comments commentlist comment-list comments-area disqus_thread breadcrumb breadcrumbs pagination pager "
+    "ad ads adbox advert adverts advertisement advertisements adsbygoogle sponsored comment comments commentlist comment-list comments-area disqus_thread breadcrumb breadcrumbs pagination pager "
     "share-buttons sharing-buttons social-share social-buttons sharedaddy navbar navigation".split()
 )
 #: An open tag that these start tags end, and the tags beyond which they don't look. A paragraph ends at any block.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table html body div section article main aside nav header footer form td th blockquote".split())
 
-#: A tag's quoted values may hold `>`; one whose quotes don't match ends at the first `>`.
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+|[^>]*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_SPACE = re.compile(r"\s+")
+#: A start tag whose quoted values may hold `>`; one whose quotes don't match ends at the first `>`.
+_START = re.compile(r"<([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/<>]*)")
+_ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Tags of text, whose names tell nothing of the part they stand in.
@@ -67,84 +71,139 @@ class Node:
         self.density = self.sum = 0.0
 
 
-def _noise(tag: str, attrs: str, inside: bool) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes of a start tag, names lowered; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(text):
+        found.setdefault(m[1].lower(), next((x for x in (m[2], m[3], m[4]) if x is not None), ""))
+    return found
+
+
+def _noise(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     """Whether a start tag opens a part that is not the article. A header inside an article belongs to it."""
     if tag in DROPPED or tag == "header" and not inside:
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body", "main"):
         return False
-    found = {m[1].lower(): next(x for x in (m[2], m[3], m[4], "") if x is not None) for m in _ATTR.finditer(attrs)}
-    if found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or _INVISIBLE.search(found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:$|\s|=)", attrs.lower()):
+    if attrs.get("role", "").lower() in ROLES or attrs.get("aria-hidden") == "true" or "hidden" in attrs or _INVISIBLE.search(attrs.get("style", "")):
+        return True
+    if attrs.get("itemprop", "").lower() == "comment" or attrs.get("itemtype", "").lower().endswith("/comment"):
         return True
-    return tag not in UNNAMED and any(x in SURE for k in ("class", "id") for x in found.get(k, "").lower().split())
+    return tag not in UNNAMED and any(x in SURE for k in ("class", "id") for x in attrs.get(k, "").lower().split())
 
 
-def _suspect(tag: str, attrs: str) -> bool:
+def _suspect(tag: str, attrs: dict[str, str]) -> bool:
     """Whether a start tag may open a part that is not the article: it counts for nothing when the article is sought, but
     is kept where it stands within the article and isn't mostly links."""
     if tag in FALLBACK:
         return True
     if not attrs or tag in ("html", "body", "article", "main") or tag in UNNAMED:
         return False
-    return any(NOISE.search(next(x for x in (m[2], m[3], m[4], "") if x is not None)) for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id"))
+    return any(NOISE.search(attrs[k]) for k in ("class", "id") if k in attrs)
+
+
+class _Open:
+    """The open nodes, and for each tag their places among them, so that no search climbs the tree."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.scopes, self.inside = [root], {}, [0], 0
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.nodes))
+        self.inside += node.tag in ("article", "main")
+        self.nodes.append(node)
+
+    def close(self, place: int) -> None:
+        """Closes the node at a place and all within it."""
+        while len(self.nodes) > place:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+            self.inside -= tag in ("article", "main")
+
+    def outermost(self, tags: tuple[str, ...], beyond: int) -> int | None:
+        """The first place after `beyond` that one of the tags has."""
+        found = []
+        for tag in tags:
+            places = self.places.get(tag, [])
+            i = bisect_right(places, beyond)
+            found += places[i : i + 1]
+        return min(found, default=None)
 
 
 def parse(page: str) -> Node:
     """The tree of a page, whatever its markup: open tags end at their parent's end, stray end tags are ignored.
 
-    A `<` that opens no tag is text.
+    A `<` that opens no tag is text, and so is one whose tag never ends.
     """
     root = Node("html", None)
-    at, pos, inside = root, 0, 0
+    open_, pos, mark, size = _Open(root), 0, 0, len(page)
+    endless: set[str] = set()  # raw tags that have no end tag in what is left
+
+    def text(upto: int) -> None:
+        if upto > mark:
+            piece = page[mark:upto]
+            open_.nodes[-1].items.append(html.unescape(piece) if "&" in piece else piece)
+
     while True:
-        m = _TAG.search(page, pos)
-        text = page[pos : m.start() if m else len(page)]
-        if text:
-            at.items.append(html.unescape(text))
-        if not m:
+        begin = page.find("<", pos)
+        if begin < 0 or begin + 1 >= size:
+            text(size)
             return root
-        pos = m.end()
-        if m[2] is None:
+        c = page[begin + 1]
+        if c in "!?":
+            text(begin)
+            end = page.find("-->", begin + 4) if page.startswith("<!--", begin) else page.find(">", begin)
+            pos = mark = size if end < 0 else end + (3 if page.startswith("<!--", begin) else 1)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = at
-            while node is not None and node.tag != tag:
-                node = None if node.tag in SCOPE and tag not in SCOPE and tag in BLOCK and node.tag != tag else node.parent
-            if node is not None and node.parent is not None:
-                while True:
-                    inside -= at.tag in ("article", "main")
-                    done, at = at is node, at.parent
-                    if done:
-                        break
+        name = _NAME.match(page, begin)
+        if not name:
+            pos = begin + 1
+            continue
+        start = _START.match(page, begin) if c != "/" else None
+        end = start.end() - 1 if start else page.find(">", name.end())
+        if end < 0:  # no tag ends from here on
+            text(size)
+            return root
+        text(begin)
+        pos = mark = end + 1
+        tag = name[1].lower()
+        if c == "/":
+            place = open_.places.get(tag, [])
+            if place and not (tag in BLOCK and tag not in SCOPE and place[-1] < open_.scopes[-1]):
+                open_.close(place[-1])
             elif tag == "p":
-                at.items.append(Node("p", at))
+                open_.nodes[-1].items.append(Node("p", open_.nodes[-1]))
             continue
+        given = page[name.end() : end]
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            pos = end.end() if end else (len(page) if tag in ("script", "style", "textarea", "title") else pos)
-            at.items.append(" " if tag in ("title",) else "")
+            found = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+            if found:
+                pos = mark = found.end()
+            else:
+                endless.add(tag)
+                pos = mark = size if tag in ("script", "style", "textarea", "title") else pos
             continue
         if tag in ("html", "body"):  # one body: a page may leave it out or repeat it
             continue
         if tag in BLOCK and tag != "br":
             ends = CLOSES.get(tag, ())
-            node = at
-            while node is not None and node.tag not in SCOPE:
-                if node.tag == "p" or node.tag in ends:
-                    at = node.parent
-                node = node.parent
+            place = open_.outermost(("p", *ends), open_.scopes[-1])
+            if place is not None:
+                open_.close(place)
             if tag in ("td", "th", "tr"):
-                node = at
-                while node is not None and node.tag != "table":
-                    if node.tag in ends:
-                        at = node.parent
-                    node = node.parent
-        node = Node(tag, at, _noise(tag, m[3], bool(inside)), _suspect(tag, m[3]))
+                place = open_.outermost(ends, open_.places.get("table", [0])[-1] if open_.places.get("table") else 0)
+                if place is not None:
+                    open_.close(place)
+        attrs = _attributes(given) if given.strip(" /\t\n") else {}
+        at = open_.nodes[-1]
+        node = Node(tag, at, _noise(tag, attrs, bool(open_.inside)), _suspect(tag, attrs))
         at.items.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
-            at = node
-            inside += tag in ("article", "main")
+        if tag not in VOID and not given.endswith("/"):
+            open_.push(node)
 
 
 def _weigh(root: Node) -> list[Node]:
@@ -156,7 +215,7 @@ def _weigh(root: Node) -> list[Node]:
         stack += [x for x in node.items if isinstance(x, Node) and not x.dropped]
     order.reverse()
     for node in order:
-        own = len(_SPACE.sub(" ", "".join(x for x in node.items if isinstance(x, str))).strip())
+        own = len(" ".join("".join([x for x in node.items if isinstance(x, str)]).split()))
         kids = [x for x in node.items if isinstance(x, Node) and not x.dropped]
         node.chars = own + sum(k.chars for k in kids)
         node.tags = len(kids) + sum(k.tags for k in kids)
@@ -175,11 +234,8 @@ def _is_text(part: Node) -> bool:
     return part.link_chars <= 0.5 * part.chars
 
 
-def extract(page: str | None) -> str:
-    """The main text of a page: blocks in page order, one space between, white space inside a block one space."""
-    if not page:
-        return ""
-    root = parse(page)
+def densities(root: Node) -> list[Node]:
+    """Link-adjusted density and the sum of the children's for every kept node; the nodes, children before parents."""
     order = _weigh(root)
     body_links, body_chars = root.link_chars or 1, root.chars or 1
     for node in order:
@@ -192,22 +248,43 @@ def extract(page: str | None) -> str:
         node.density = c / t * max(math.log(ratio), 0.0) / base if ratio > 0 else 0.0
     for node in order:
         node.sum = sum(k.density for k in node.items if isinstance(k, Node) and not k.dropped)
+    return order
+
+
+def _core(root: Node, peak: Node, order: list[Node]) -> set[Node]:
+    """The peak, or what marks make of it: the outermost marked article it stands in, or those in it if they hold most of
+    its plain text."""
+    marked = ("article", "main")
+    plain = lambda n: n.chars - n.link_chars
+    node, found = peak, None
+    while node is not None:
+        found = node if node.tag in marked and node.link_chars <= 0.6 * node.chars else found
+        node = node.parent
+    if found is not None:
+        return {found}
+    within, inside = {peak}, set()  # inside: of a marked article
+    for n in reversed(order):  # parents before children
+        if n.parent in within:
+            within.add(n)
+            if n.parent in inside or n.parent.tag in marked:
+                inside.add(n)
+    parts = {n for n in within if n.tag in marked and n not in inside and n.link_chars <= 0.6 * n.chars}
+    return parts if parts and 2 * sum(map(plain, parts)) >= plain(peak) else {peak}
+
+
+def extract(page: str | None) -> str:
+    """The main text of a page: blocks in page order, one space between, white space inside a block one space."""
+    if not page:
+        return ""
+    root = parse(page)
+    order = densities(root)
     peak = max(order, key=lambda n: (n.sum, n.chars))
     least, node = peak.density, peak
     while node is not None:
         least = min(least, node.density)
         node = node.parent
-    # Marks are a hint: the outermost marked articles are the core if they hold most of the page's plain text.
-    plain = lambda n: n.chars - n.link_chars
     listed = lambda n: n.link_chars > 0.6 * n.chars
-    inside = set()
-    for n in reversed(order):  # parents before children
-        if n.parent is not None and (n.parent in inside or n.parent.tag in ("article", "main")):
-            inside.add(n)
-    named = [n for n in order if n.tag in ("article", "main") and n.chars and n not in inside]
-    core = {n for n in named if not listed(n)} or set(named)
-    if not core or 2 * sum(map(plain, core)) < plain(root):
-        core = {peak if peak.sum else root}
+    core = _core(root, peak if peak.sum else root, order)
     above = set()  # holds a part of the core
     for n in core:
         while n.parent is not None and n.parent not in above:
@@ -217,7 +294,7 @@ def extract(page: str | None) -> str:
     line: list[str] = []
 
     def flush() -> None:
-        text = _SPACE.sub(" ", "".join(line)).strip()
+        text = " ".join("".join(line).split())
         if text:
             blocks.append(text)
         line.clear()
