@@ -10,6 +10,7 @@ Chance hits end at the first step.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almoneda.llm.shared import free_name
+from almoneda.llm.shared import free_name, map_rows, materialize
 
 
 def normalize(text: str | None) -> str:
@@ -111,7 +112,8 @@ def piece_tree(item: int, text: str, budget: int, start: int = 0, parent: Node |
 
 
 class Matcher:
-    """Finds items (id, text) in texts. Items below least_chars normalized characters are left out."""
+    """Finds items (id, text) in texts. Items below least_chars normalized characters are found unchanged and between
+    word boundaries only, as edits of so few characters would be met by chance."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int):
         import ahocorasick
@@ -119,10 +121,11 @@ class Matcher:
         self.items, pieces = [], {}
         for item_id, text in items:
             text = normalize(text)
-            if len(text) >= least_chars:
-                for leaf in piece_tree(len(self.items), text, int(rate * len(text))):
+            if text:
+                for leaf in piece_tree(len(self.items), text, int(rate * len(text)) if len(text) >= least_chars else 0):
                     pieces.setdefault(leaf.text, []).append(leaf)
                 self.items.append((item_id, text))
+        self.least_chars = least_chars
         self.masks: dict[str, dict[str, int]] = {}
         self.automaton = ahocorasick.Automaton()
         for text, leaves in pieces.items():
@@ -161,6 +164,8 @@ class Matcher:
                 if best.get(leaf.item, (1,))[0] == 0:
                     continue
                 at = end + 1 - len(leaf.text)
+                if not leaf.parent and len(leaf.text) < self.least_chars and (plain[at - 1 : at].isalnum() or plain[end + 1 : end + 2].isalnum()):
+                    continue  # a short item within a longer word
                 if leaf.parent:
                     e = leaf.parent.budget
                     for part, place in leaf.signs:
@@ -192,28 +197,42 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_c
     edits of such characters, start and end are code points of the text as it is. For each item the best occurrence is
     given, the first of equals as the search meets them.
 
-    The items are sent to the executors in blocks of at most block_bytes of text; each further block is another pass
-    over the documents, so no broadcast grows with the benchmark.
+    The items are sent to the executors in blocks of at most block_bytes of text, of which the driver holds one at a time.
+    A benchmark of one block takes one pass and no shuffle. For a larger one the rows are numbered and written, each block
+    is a pass over them that writes the rows with hits, and these are joined back.
 
-    - Null and empty texts have no hits; so have items that are null or below least_chars characters, which would be
-      found by chance. Items with equal text are each reported; repeated rows of an item count once.
+    - Null and empty texts have no hits; so have null and blank items. Items below least_chars characters are searched
+      unchanged, between word boundaries. Items with equal text are each reported; repeated rows of an item count once.
     - Long texts are searched whole. An empty table on either side gives rows without hits.
     - `hits` gets underscores appended if docs has that column.
     """
     hits_col = free_name(docs.columns, hits_col)
-    more = free_name([*docs.columns, hits_col], "__more")
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for row in benchmark.select("item_id", F.col("text").alias("t")).filter("t IS NOT NULL AND item_id IS NOT NULL").distinct().orderBy("item_id", "t").toLocalIterator():
-        size += len(row["t"])
-        if size > block_bytes and blocks[-1]:
-            blocks.append([])
-            size = len(row["t"])
-        blocks[-1].append((row["item_id"], row["t"]))
-    out = _search(docs, blocks[0], rate, least_chars, text, hits_col)
-    for block in blocks[1:]:
-        out = _search(out, block, rate, least_chars, text, more).withColumn(hits_col, F.concat(hits_col, more)).drop(more)
-    return out
+    items = benchmark.select("item_id", F.col("text").alias("t")).filter("t IS NOT NULL AND item_id IS NOT NULL").distinct()
+    if items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0] <= block_bytes:
+        return _search(docs, [(r["item_id"], r["t"]) for r in items.orderBy("item_id", "t").collect()], rate, least_chars, text, hits_col)
+    row = free_name([*docs.columns, hits_col], "__row")
+    whole = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # ids hold from here on
+    found = None
+    for block in _blocks(items, block_bytes):
+        hits = _search(whole.select(row, text), block, rate, least_chars, text, hits_col).filter(F.size(hits_col) > 0).select(row, hits_col)
+        hits = materialize(hits, "hits")
+        found = hits if found is None else found.unionByName(hits)
+    merged = found.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list(hits_col))).alias(hits_col))  # one entry an item
+    out = whole.join(merged, row, "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(hits_col, F.array().cast(HITS)).alias(hits_col))
+
+
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """Items (item_id, t) in blocks of at most block_bytes of text, or of one longer item."""
+    block, size = [], 0
+    for r in items.orderBy("item_id", "t").toLocalIterator():
+        if block and size + len(r["t"]) > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((r["item_id"], r["t"]))
+        size += len(r["t"])
+    if block:
+        yield block
 
 
 def _search(docs: DataFrame, items: list[tuple[int, str]], rate: float, least_chars: int, text: str, hits_col: str) -> DataFrame:
@@ -230,7 +249,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], rate: float, least_ch
                 found = [[dict(zip(("item_id", "distance", "start", "end"), h)) for h in matcher.find(t.as_py())] for t in p.column(at)]
                 yield pa.RecordBatch.from_arrays([*p.columns, pa.array(found, arrow)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, schema)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
