@@ -1,8 +1,8 @@
 """Quality rules: base counts and repetition, then the divergence of a document from its language's reference.
 
 Two histograms describe a document: its characters by class, and its words among the language's common words. Both are
-compared with those of all the language's documents that pass the base rules, by Jensen-Shannon distance (base 2, so from 0 to 1), each with a
-guard of least length below which it isn't judged.
+compared with the language's reference by Jensen-Shannon distance (base 2, so from 0 to 1), each with a guard of least
+length below which it isn't judged. A reference is a frozen table, or the sum over trusted documents.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from almoneda.llm import textcore
 from almoneda.llm.shared import WORD, materialize
 
-#: Character classes, in order: the first that matches counts. Fixed values.
+#: Character classes; every code point is in one of them. Fixed values.
 CLASSES = {
     "lower": r"[a-z]",
     "upper": r"[A-Z]",
@@ -23,7 +23,7 @@ CLASSES = {
     "space": r"[\x20\x09-\x0D]",
     "stop": r"[.,;:!?]",
     "symbol": r"[#*$%&|<>]",
-    "other_ascii": r"[\x00-\x08\x0E-\x1F\x22-\x23\x27-\x2B\x2D\x2F\x3D\x40\x5B-\x60\x7B-\x7F]",
+    "other_ascii": r"[\x00-\x08\x0E-\x1F\x22\x27-\x29\x2B\x2D\x2F\x3D\x40\x5B-\x60\x7B\x7D-\x7F]",
     "beyond": r"[^\x00-\x7F]",
 }
 #: Short common words a language; a document's histogram has one bin each and one for all other words. Fixed values.
@@ -139,19 +139,39 @@ def references(measured: DataFrame) -> DataFrame:
     return flat.select(F.col("lang").alias("ref_lang"), bins("classes").alias("ref_classes"), bins("commons").alias("ref_commons"))
 
 
-def quality(docs: DataFrame, least_words: int = 20, most_repeats: int = 30, guard_chars: int = 200, guard_words: int = 100, most_classes: float = 0.3, most_commons: float = 0.29, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def language_references(measured: DataFrame, failed: Column, trusted: DataFrame | None = None, least_reference: int = 2_000) -> DataFrame:
+    """references(...) of the documents in `trusted` (id) that haven't failed; of all that haven't, for languages where
+    those have fewer than least_reference words. What other documents say then doesn't move a language's reference."""
+    passed = measured.filter(~failed)
+    if trusted is None:
+        return references(passed)
+    known = materialize(passed.join(trusted.select("id").distinct(), "id", "left_semi"), "trusted")
+    enough = materialize(known.groupBy("lang").agg(F.sum("n_words").alias("n")).filter(F.col("n") >= least_reference).select(F.col("lang").alias("sure")), "languages")
+    same = F.col("lang").eqNullSafe(F.col("sure"))
+    return references(known.join(enough, same, "left_semi")).unionByName(references(passed.join(enough, same, "left_anti")))
+
+
+def quality(
+    docs: DataFrame, refs: DataFrame | None = None, trusted: DataFrame | None = None, least_words: int = 20, most_repeats: int = 30, guard_chars: int = 200, guard_words: int = 100,
+    most_classes: float = 0.3, most_commons: float = 0.29, least_reference: int = 2_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+) -> DataFrame:
     """doc_id, the base counts, base_failed, js_classes, js_commons and kept for every row of docs.
 
     base_failed: fewer than least_words words, or more than most_repeats percent of the words in repeated 8-word windows.
     kept: not base_failed, and for each histogram that is long enough (guard_chars characters, guard_words words) a
     distance of at most most_classes and most_commons; a shorter one is not judged and its distance is null.
 
-    - Null and empty texts have counts of 0 and fail. A null language is one of its own.
+    refs: frozen references, as language_references gives them and a table can hold them. Without, they are made here from
+    the documents whose ids are in `trusted` (id), and for a language without enough of those from all its documents.
+
+    - Null and empty texts have counts of 0 and fail. A null language is one of its own. A language without a list of common
+      words, or without a reference, isn't judged by what it lacks.
     - Repeated rows are judged alike, each on its own. An empty table gives an empty table. Other columns are left aside.
     """
     measured = materialize(measures(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))), "measures")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
-    refs = materialize(references(measured.filter(~failed)), "references")
+    if refs is None:
+        refs = materialize(language_references(measured, failed, trusted, least_reference), "references")
     if refs.count() <= 10_000:
         refs = F.broadcast(refs)
     d = measured.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
@@ -166,8 +186,9 @@ def quality(docs: DataFrame, least_words: int = 20, most_repeats: int = 30, guar
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """All documents by the default rules."""
-    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("js_classes", "js_commons")
+    """All documents by the default rules; references from the documents that labels call good."""
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select(F.col("doc_id").cast("long").alias("id"))
+    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), trusted=good).drop("js_classes", "js_commons")
 
 
 def _oracle() -> str:
@@ -194,8 +215,11 @@ a AS (SELECT w.doc_id, w.lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce
         CAST(len(regexp_extract_all(t, '{CLASSES["symbol"]}')) AS BIGINT) AS n_symbols, CAST(coalesce(v.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
         [{classes}] AS classes, c.commons FROM w LEFT JOIN r USING (rid) LEFT JOIN v USING (rid) LEFT JOIN c USING (rid)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a),
-rc AS (SELECT lang, list(n ORDER BY bin) AS ref_classes FROM (SELECT lang, bin, sum(n) AS n FROM (SELECT lang, unnest(classes) AS n, generate_subscripts(classes, 1) AS bin FROM b WHERE NOT base_failed) GROUP BY lang, bin) GROUP BY lang),
-rw AS (SELECT lang, list(n ORDER BY bin) AS ref_commons FROM (SELECT lang, bin, sum(n) AS n FROM (SELECT lang, unnest(commons) AS n, generate_subscripts(commons, 1) AS bin FROM b WHERE NOT base_failed) GROUP BY lang, bin) GROUP BY lang)
+k AS (SELECT *, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS trusted FROM b WHERE NOT base_failed),
+e AS (SELECT lang FROM k WHERE trusted GROUP BY lang HAVING sum(n_words) >= 2000),
+f AS (SELECT * FROM k WHERE trusted OR NOT EXISTS (SELECT 1 FROM e WHERE e.lang IS NOT DISTINCT FROM k.lang)),
+rc AS (SELECT lang, list(n ORDER BY bin) AS ref_classes FROM (SELECT lang, bin, sum(n) AS n FROM (SELECT lang, unnest(classes) AS n, generate_subscripts(classes, 1) AS bin FROM f) GROUP BY lang, bin) GROUP BY lang),
+rw AS (SELECT lang, list(n ORDER BY bin) AS ref_commons FROM (SELECT lang, bin, sum(n) AS n FROM (SELECT lang, unnest(commons) AS n, generate_subscripts(commons, 1) AS bin FROM f) GROUP BY lang, bin) GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(CASE WHEN list_sum(classes) >= 200 THEN {js("classes", "ref_classes")} END, 0) <= 0.3
     AND coalesce(CASE WHEN n_words >= 100 THEN {js("commons", "ref_commons")} END, 0) <= 0.29 AS kept
