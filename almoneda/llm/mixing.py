@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms. DataFrame functions only.
 
-A document's key is 48 bits of a hash of its id. Taking the documents of a source whose key lies below a threshold takes
+A document's key is 48 bits of a hash of its id and text. Taking the documents of a source whose key lies below a threshold takes
 a random part of it, and a larger budget takes a superset: thresholds are nested. The threshold of a budget is found
 without sorting: sizes are summed by source and by the key's first 12 bits, the one bucket that the budget cuts is
 refined by the next 12 bits, and so on. Each level reads only the documents of the boundary buckets, 1/4096 of those
@@ -17,38 +17,53 @@ from almoneda.llm.shared import free_name, materialize, n_words
 LEVELS, BITS = 4, 12
 
 
-def hash_key(doc_id: Column) -> Column:
-    """The first 48 bits of the MD5 of the id as text; a null id hashes as empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
+def hash_key(doc_id: Column, text: Column) -> Column:
+    """The first 48 bits of the MD5 of the id as text, a newline and the text; a null counts as empty text."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (doc_id, text)]
+    return F.conv(F.substring(F.md5(F.concat(parts[0], F.lit("\n"), parts[1]).cast("binary")), 1, 12), 16, 10).cast("long")
+
+
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """sizes (source, source_size), written, with `rank` from 0 in order of code point, null last.
+
+    Sources are dealt by range, ranked within each range, and the ranges' counts tell where each begins.
+    """
+    order = [F.col("source").isNull(), F.col("source").cast("binary")]
+    dealt = materialize(sizes.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    first = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("first"))  # a row a range
+    rank = F.col("first") + F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    return materialize(dealt.join(first, "range").select("source", "source_size", rank.alias("rank")), "ranked")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
-    """(source, source_size, target): a budget of share * all sizes, split by weight, none above most * its size.
+    """(source, source_size, weight, target): a budget of share * all sizes, split by weight, none above most * its size.
 
     Sources in order of code point, null last, weigh `weights` in turn. What a source can't take is shared again by
-    weight among the others until none is above its limit: the level at which the water stands is found in one pass
-    over the sources in order of limit by weight. One task orders the sources, of which there is one row each.
-    If all limits together are below the budget, every source stands at its limit.
+    weight among the others until none is above its limit: a round sums what the full ones take and what the others weigh,
+    and ends when no other is full at that level. If all limits together are below the budget, every source stands at its
+    limit. No task sees all sources.
     """
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    ranked = sizes.withColumn("weight", F.element_at(cycle, (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))).withColumn("limit", F.col("source_size") * F.lit(float(most)))
-    fill = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").isNull(), F.col("source").cast("binary"))
-    before, every = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    heavy = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    levels = ranked.withColumn("level", left / heavy)
-    # Levels fall from the first source that stays below its limit on, so that one's is the greatest that fits.
-    stands = F.max(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(every)
-    return levels.select("source", "source_size", "weight", F.least(F.col("limit"), F.coalesce(stands * F.col("weight"), F.col("limit"))).cast("double").alias("target"))
+    weight = F.element_at(cycle, (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
+    ranked = _ranked(sizes).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("limit"))
+    total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    level, full = 0.0, -1
+    while True:
+        is_full = F.col("limit") < F.lit(level) * F.col("weight") if full >= 0 else F.lit(False)
+        taken, open_weight, now = ranked.agg(F.coalesce(F.sum(F.when(is_full, F.col("limit"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~is_full, F.col("weight"))), F.lit(0.0)), F.count_if(is_full)).first()
+        if now == full:
+            break
+        full, level = now, (share * total - taken) / open_weight if open_weight else float("inf")
+    return ranked.select("source", "source_size", "weight", F.least(F.col("limit"), F.lit(level) * F.col("weight")).cast("double").alias("target"))
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     """(source, threshold): keys below it fill the source's budget.
 
     sized: (source, key, size); budgets: (source, budget double). Of the documents in order of key, those are taken
-    whose middle lies within the budget, so what is taken differs from it by half a document at most (documents that
-    share an id and so a key go together). A budget that covers the source has the threshold 2^48.
+    whose middle lies within the budget, so what is taken differs from it by half a document at most (rows that
+    share an id and a text, and so a key, go together). A budget that covers the source has the threshold 2^48.
     """
     top = LEVELS * BITS
     live = budgets.filter("budget > 0").select(F.col("source").alias("s"), "budget", F.lit(0.0).cast("double").alias("before"), F.lit(0).cast("long").alias("prefix"))
@@ -87,12 +102,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     once more. taken is size times repeats, 3 repeats at most.
 
     - Null and empty texts have size 0 and are never taken. A null source is a source of its own, last in order.
-    - Documents that share an id share a key: a threshold takes all or none of them.
+    - Rows that repeat an id with another text have keys of their own. Rows that agree in both share a key: a threshold
+      takes all or none of them, so a source of one such row repeated may miss its target by all of them.
     - An empty table gives an empty table. Columns named like the new ones are overwritten by them only if they are
       not columns of docs; otherwise the new ones get underscores appended.
     """
     size, source_size, target, taken = (free_name(docs.columns, x) for x in ("size", "source_size", "target", "taken"))
-    narrow = docs.select(F.col(source).alias("source"), hash_key(F.col(doc_id)).alias("key"), n_words(F.col(text)).alias("size"))
+    narrow = docs.select(F.col(source).alias("source"), hash_key(F.col(doc_id), F.col(text)).alias("key"), n_words(F.col(text)).alias("size"))
     narrow = materialize(narrow, "sizes")  # every level reads it, and texts only once
     targets = materialize(source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -103,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     words = n_words(F.col(text))
     out = out.withColumn(size, words).withColumns({
         source_size: F.col("__n").cast("long"), target: F.col("__target"),
-        taken: (F.col(size) * (F.col("__whole") + F.when(hash_key(F.col(doc_id)) < F.col("__cut"), 1).otherwise(0))).cast("long"),
+        taken: (F.col(size) * (F.col("__whole") + F.when(hash_key(F.col(doc_id), F.col(text)) < F.col("__cut"), 1).otherwise(0))).cast("long"),
     })
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], size, source_size, target, taken)
 
@@ -116,7 +132,7 @@ def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS k FROM documents),
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 12) AS BIGINT) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, CAST(source AS BLOB)) - 1) % 3 + 1]::DOUBLE AS weight,
         3.0::DOUBLE * source_size AS lim FROM s),

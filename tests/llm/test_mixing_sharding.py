@@ -49,9 +49,26 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_still_meet_the_target(spark):
+    docs = [(i % 2 or None, f"{i} " + "w " * 9, "a") for i in range(40)] + [(9, "x " * 4000, "b"), (10, "y " * 400, "c")]
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert abs(taken["a"] - target["a"]) <= 5.5
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(6)
+    sizes = {f"site{i}.é" if i % 3 else f"Site{i}": rng.choice([0, 1, 7, 50, 10_000]) for i in range(500)} | {None: 40, "": 3}
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)).collect()}
+    want = targets(sizes)
+    assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-6) for s in want)
+
+
 def test_thresholds_are_nested(spark):
     docs = [(i, "w " * (i % 9 + 1), "s") for i in range(400)]
-    sized = spark.createDataFrame(docs, "doc_id long, text string, source string").select("doc_id", "source", mixing.hash_key(F.col("doc_id")).alias("key"), F.lit(3).cast("long").alias("size"))
+    sized = spark.createDataFrame(docs, "doc_id long, text string, source string").select("doc_id", "source", mixing.hash_key(F.col("doc_id"), F.col("text")).alias("key"), F.lit(3).cast("long").alias("size"))
     before = -1
     for budget in (0.5, 10.0, 90.0, 600.0, 1199.0, 1200.0, 5000.0):
         cut = mixing.thresholds(sized, spark.createDataFrame([("s", budget)], "source string, budget double")).first().threshold
