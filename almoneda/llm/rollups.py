@@ -4,16 +4,19 @@ A change is an insert, a delete or a revision of a document's count under a toke
 document and +tokens for what comes, -1 and -tokens for what goes. Their sums by source, language and version are
 additive, so a batch adds a few rows to the store whatever its size, and totals are sums over batches.
 
-A batch is one folder, `batch=<id>`, written aside and then renamed: it is there as a whole or not at all. A batch that
-is there is never written again, so a repeated commit changes nothing.
+A batch's sums are one small table, and its commit is one small file that names it, renamed into place: the batch is there
+as a whole or not at all, and never twice. Now and then the totals so far are written with the names of the batches in
+them; totals are then read from there, and from the batches since.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almoneda.llm.shared import WORD, new_path
+from almoneda.llm.shared import WORD, discard, map_rows, materialize, new_path, spread_join
 
 KEYS = ["source", "lang", "version"]
 SUMS = ["docs", "tokens"]
@@ -51,7 +54,7 @@ def count_with_tokenizer(docs: DataFrame, path: str, text: str = "text", count_c
                 found = [len(tokenizer.encode(x.as_py(), add_special_tokens=False).ids) if x.is_valid else 0 for x in p.column(at)]
                 yield pa.RecordBatch.from_arrays([*p.columns, pa.array(found, pa.int64())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, schema)
 
 
 def signed_rows(changes: DataFrame) -> DataFrame:
@@ -75,45 +78,99 @@ def rollup(rows: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Committed batches in a folder that driver and executors share."""
+    """Totals in a folder that driver and executors share, on a file system with atomic renames.
+
+    data/<name>: the sums of a batch, commits/<batch>: a file that holds its name. totals/<n>: sums of many batches, with
+    the ids of these in done/<n>; a file in versions/<n> says that both are whole.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, compact_after: int = 32):
+        self.spark, self.path, self.compact_after = spark, path.rstrip("/"), compact_after
         jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._jvm, self._path = jvm, jvm.org.apache.hadoop.fs.Path
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self.path).getFileSystem(self._conf)
+        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.path).toUri(), self._conf)
+
+    def _names(self, folder: str) -> list[str]:
+        root = self._path(f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(root)) if self._fs.exists(root) else []
+
+    def _put(self, folder: str, name: str, content: str) -> bool:
+        """Writes a small file as a whole; False if it is there already. A rename that may not replace decides a race."""
+        aside, final = self._path(f"{self.path}/.aside/{uuid.uuid4().hex}"), self._path(f"{self.path}/{folder}/{name}")
+        self._fs.mkdirs(final.getParent())
+        out = self._fs.create(aside, False)
+        out.write(bytearray(content.encode()))
+        out.close()
+        kinds = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        kinds[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            self._files.rename(aside, final, kinds)
+        except Exception:
+            self._fs.delete(aside, False)
+            if self._fs.exists(final):
+                return False
+            raise
+        return True
+
+    def _get(self, folder: str, name: str) -> str:
+        return self._jvm.org.apache.commons.io.IOUtils.toString(self._fs.open(self._path(f"{self.path}/{folder}/{name}")), "UTF-8")
 
     def committed(self) -> list[str]:
-        root = self._path(self.path)
-        if not self._fs.exists(root):
-            return []
-        return sorted(s.getPath().getName().removeprefix("batch=") for s in self._fs.listStatus(root) if s.getPath().getName().startswith("batch="))
+        return self._names("commits")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of changes; False if a batch of that id is there already, and then nothing is read or written.
 
-        Of two commits of one id at the same time one wins: a rename fails where the folder exists.
+        Of two commits of one id at the same time one wins; the other returns False, and its sums count for nothing.
         """
-        if not batch or any(c in batch for c in "/=:\\ "):
-            raise ValueError("a batch id has no slashes, colons, blanks or equals signs")
-        final = self._path(f"{self.path}/batch={batch}")
-        if self._fs.exists(final):
+        if not batch or any(c in batch for c in "/=:\\ ") or batch[0] in "._":
+            raise ValueError("a batch id has no slashes, colons, blanks or equals signs, and starts with no dot or underscore")
+        if batch in self.committed():
             return False
-        self._fs.mkdirs(self._path(self.path))
-        aside = f"{self.path}/.aside-{batch}-{new_path(self.spark, 'b').rsplit('-', 1)[1]}"
-        rollup(signed_rows(changes)).coalesce(1).write.parquet(aside)
-        if self._fs.exists(final) or not self._fs.rename(self._path(aside), final):
-            self._fs.delete(self._path(aside), True)
+        name = uuid.uuid4().hex
+        rollup(signed_rows(changes)).write.parquet(f"{self.path}/data/{name}")
+        if not self._put("commits", batch, name):
+            self._fs.delete(self._path(f"{self.path}/data/{name}"), True)
             return False
+        if len(self._since()[1]) >= self.compact_after:
+            self.compact()
         return True
 
-    def totals(self) -> DataFrame:
-        """Sums over all batches; groups whose documents and tokens are both back at 0 are left out."""
-        batches = self.committed()
+    def _since(self) -> tuple[str | None, list[str]]:
+        """The last version of the totals, and the batches that aren't in it."""
+        versions = self._names("versions")
+        if not versions:
+            return None, self.committed()
+        done = self.spark.read.schema("batch string").parquet(f"{self.path}/done/{self._get('versions', versions[-1])}")
+        known = {r["batch"] for r in done.toLocalIterator()}  # a name a batch ever committed
+        return versions[-1], [b for b in self.committed() if b not in known]
+
+    def compact(self) -> bool:
+        """Adds the batches since the last version to its totals; False if another process wrote the same version first."""
+        version, batches = self._since()
         if not batches:
+            return False
+        name, number = uuid.uuid4().hex, f"{int(version or 0) + 1:012d}"
+        self._sums(version, batches).write.parquet(f"{self.path}/totals/{name}")
+        done = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        if version:
+            done = done.unionByName(self.spark.read.schema("batch string").parquet(f"{self.path}/done/{self._get('versions', version)}"))
+        done.write.parquet(f"{self.path}/done/{name}")
+        return self._put("versions", number, name)
+
+    def _sums(self, version: str | None, batches: list[str]) -> DataFrame:
+        paths = [f"{self.path}/data/{self._get('commits', b)}" for b in batches]
+        if version:
+            paths.append(f"{self.path}/totals/{self._get('versions', version)}")
+        if not paths:
             return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/batch={b}" for b in batches])
-        return rollup(rows).filter("docs <> 0 OR tokens <> 0")
+        return rollup(self.spark.read.schema(SCHEMA).parquet(*paths))
+
+    def totals(self) -> DataFrame:
+        """The totals kept so far and the batches since; groups whose documents and tokens are both back at 0 are left out."""
+        return self._sums(*self._since()).filter("docs <> 0 OR tokens <> 0")
 
 
 def op10_token_rollup(spark, sf_dir: str) -> DataFrame:
@@ -121,22 +178,23 @@ def op10_token_rollup(spark, sf_dir: str) -> DataFrame:
 
     1. Every document comes, counted by words-1. 2. Of documents with one text all but the one of least id go. 3. What
     is left is counted anew by pieces-1.
+
+    - Null texts count as empty ones. A null id is never the least; a text that only null ids have keeps each of them. Rows
+      that repeat the least id of a text all stay. An empty table has no totals.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
     count = lambda version: F.struct("source", "lang", F.lit(version).alias("version"), count_tokens(F.col("text"), version).alias("tokens"))
     # A copy is known by its text's SHA-256; ids and counts travel, texts don't.
-    marked = docs.select("doc_id", count("words-1").alias("w"), count("pieces-1").alias("p"), F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("h"))
-    from almoneda.llm.shared import materialize
-
-    marked = materialize(marked, "counts")
-    least = marked.groupBy("h").agg(F.min("doc_id").alias("least")).withColumnRenamed("h", "lh")
-    ruled = materialize(marked.join(least, F.col("h") == F.col("lh")).select("w", "p", F.col("doc_id").eqNullSafe(F.col("least")).alias("stays")), "ruled")
+    marked = materialize(docs.select("doc_id", count("words-1").alias("w"), count("pieces-1").alias("p"), F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("h")), "counts")
+    least = materialize(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "least")
+    ruled = materialize(spread_join(marked, least, ["h"], "rows").select("w", "p", F.col("doc_id").eqNullSafe(F.col("least")).alias("stays")), "ruled")
     none = F.lit(None).cast("struct<source:string,lang:string,version:string,tokens:bigint>")
-    store = Store(spark, new_path(spark, "rollups"))
+    store = Store(spark, new_path(spark, "rollups"), compact_after=2)
     for _ in range(2):
         store.commit("1-insert", ruled.select(F.lit("insert").alias("op"), none.alias("old"), F.col("w").alias("new")))
         store.commit("2-delete", ruled.filter("NOT stays").select(F.lit("delete").alias("op"), F.col("w").alias("old"), none.alias("new")))
         store.commit("3-revise", ruled.filter("stays").select(F.lit("revise").alias("op"), F.col("w").alias("old"), F.col("p").alias("new")))
+    discard(marked, least)
     return store.totals()
 
 
