@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almoneda.llm.shared import free_name, materialize
+from almoneda.llm.shared import discard, free_name, materialize
 
 #: The template's marks, and other control strings that must not occur in a text. Fixed values.
 BEGIN, END = "<|im_start|>", "<|im_end|>"
@@ -75,17 +75,21 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     runs = sums.join(above, F.col("tree").eqNullSafe(F.col("at")) & (F.col("above") == F.col("am")), "left").select("tree", "head", "score", "above", "parent_head")
     runs = materialize(runs, "runs")
     edge = runs.filter("parent_head IS NOT NULL").select(F.col("tree").alias("t"), F.col("head").alias("child"), F.col("parent_head").alias("p"), F.col("score").alias("s"))
-    front = runs.filter("above IS NULL").select("tree", F.array("head").alias("ids"), F.col("head").alias("last"), "score")
-    branching = edge.select(F.col("t").alias("bt"), F.col("p").alias("bp")).distinct()
+    branching = edge.select(F.col("t").alias("bt"), F.col("p").alias("bp"), F.lit(True).alias("more")).distinct()
     at = F.col("tree").eqNullSafe(F.col("bt")) & (F.col("last") == F.col("bp"))
-    done = front.join(branching, at, "left_anti").select("tree", "ids", "score")
-    front = materialize(front.join(branching, at, "left_semi"), "front")
-    while not front.isEmpty():
-        grown = front.join(edge, F.col("tree").eqNullSafe(F.col("t")) & (F.col("last") == F.col("p")))
-        grown = materialize(grown.select("tree", F.concat("ids", F.array("child")).alias("ids"), F.col("child").alias("last"), (F.col("score") + F.col("s")).alias("score")), "grown")
-        done = done.unionByName(grown.join(branching, at, "left_anti").select("tree", "ids", "score"))
-        front = materialize(grown.join(branching, at, "left_semi"), "front")
-    paths = materialize(done.withColumn("path_id", F.monotonically_increasing_id()), "paths")
+
+    def round_of(front: DataFrame) -> DataFrame:
+        """The paths (tree, ids, last, score), written, and whether more replies follow."""
+        return materialize(front.join(branching, at, "left").select("tree", "ids", "last", "score", F.coalesce("more", F.lit(False)).alias("more")), "front")
+
+    rounds = [round_of(runs.filter("above IS NULL").select("tree", F.array("head").alias("ids"), F.col("head").alias("last"), "score"))]
+    while not (front := rounds[-1].filter("more")).isEmpty():
+        grown = front.drop("more").join(edge, F.col("tree").eqNullSafe(F.col("t")) & (F.col("last") == F.col("p")))
+        rounds.append(round_of(grown.select("tree", F.concat("ids", F.array("child")).alias("ids"), F.col("child").alias("last"), (F.col("score") + F.col("s")).alias("score"))))
+    # One read of all rounds' tables, so the plan doesn't grow with them.
+    done = messages.sparkSession.read.schema(rounds[0].schema).parquet(*[r._table_path for r in rounds]).filter("NOT more")
+    paths = materialize(done.select("tree", "ids", "score", F.monotonically_increasing_id().alias("path_id")), "paths")
+    discard(*rounds)
     flat = paths.select("path_id", "tree", "score", F.posexplode("ids").alias("pos", "run"))
     said = m.select(F.col("tree").alias("mt"), F.col("msg").alias("mm"), "said").join(placed, F.col("mt").eqNullSafe(F.col("ct")) & (F.col("mm") == F.col("cm"))).select("mt", F.col("mm").cast("long").alias("msg"), "head", "dist", "said.role", "said.text")
     joined = flat.join(said, F.col("tree").eqNullSafe(F.col("mt")) & (F.col("run") == F.col("head")))
@@ -102,10 +106,11 @@ def chosen_paths(paths: DataFrame, best: int = 1) -> DataFrame:
 def format_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     """paths with `formatted` and `loss_spans`, an array of (start, end) code points that hold the assistant's texts.
 
-    A turn is BEGIN role newline text END newline, role and text escaped. An empty path formats as empty text.
+    A turn is BEGIN role newline text END newline, role and text escaped, in roles newlines too. An empty path formats as
+    empty text.
     """
     formatted, spans = free_name(paths.columns, "formatted"), free_name(paths.columns, "loss_spans")
-    turn = F.transform(path, lambda x: F.struct(x["role"].alias("role"), escape(x["role"]).alias("r"), escape(x["text"]).alias("t")))
+    turn = F.transform(path, lambda x: F.struct(x["role"].alias("role"), F.replace(escape(x["role"]), F.lit("\n"), F.lit("\\\n")).alias("r"), escape(x["text"]).alias("t")))
     begin, end = len(BEGIN), len(END) + 1
     text = F.array_join(F.transform(turn, lambda x: F.concat(F.lit(BEGIN), x["r"], F.lit("\n"), x["t"], F.lit(END + "\n"))), "")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
@@ -122,8 +127,9 @@ def read_back(formatted: Column) -> Column:
     """The turns (role, text) of a formatted conversation."""
     turns = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda x: x != "")
     body = lambda x: F.substring(x, F.lit(1), F.length(x) - len(END) - 1)
-    cut = lambda x: F.locate("\n", x)
-    return F.transform(F.transform(turns, body), lambda x: F.struct(unescape(F.substring(x, F.lit(1), cut(x) - 1)).alias("role"), unescape(F.substring(x, cut(x) + 1, F.length(x))).alias("text")))
+    role = lambda x: F.regexp_extract(x, r"^[^\\\n]*+(?:\\[\s\S][^\\\n]*+)*+", 0)
+    cut = lambda x: F.struct(role(x).alias("role"), x.alias("whole"))
+    return F.transform(F.transform(F.transform(turns, body), cut), lambda x: F.struct(unescape(x["role"]).alias("role"), unescape(F.substring(x["whole"], F.length(x["role"]) + 2, F.length(x["whole"]))).alias("text")))
 
 
 def as_trees(conversations: DataFrame) -> DataFrame:
