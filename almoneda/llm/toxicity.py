@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almoneda.llm.shared import free_name
+from almoneda.llm.shared import free_name, map_rows, materialize
 
 #: Plain insults in four languages, to start from. Fixed values.
 INSULTS = (
@@ -39,7 +39,7 @@ LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_ODD = re.compile(r"(?=.*[^\W\d_])[\w@$!*.-]*[\w@$!*]")
+_SHOUTED, _OTHER, _RUN = re.compile(r"\b[A-Z]{3,}\b"), re.compile(r"[^\w\s!?]"), re.compile(r"(\S)\1{3,}")
 FEATURES = (
     "sum_per_word", "strong_per_word", "max_weight", "n_strong", "seed_per_word", "near_second", "second_per_word", "capitals", "shouted",
     "exclamations", "questions", "other_punctuation", "obfuscated", "obfuscated_hits", "mean_top3", "log_words", "long_runs", "distinct_strong",
@@ -69,40 +69,82 @@ def _tokens(text: str) -> tuple[list[str], list[str]]:
     return words, hidden
 
 
-def _run_of_letters(text: str) -> int:
-    """Runs of the same character of 4 or more."""
-    return len(re.findall(r"(\S)\1{3,}", text))
-
-
-def features(text: str, lexicon: dict[str, float], cache: dict[str, float]) -> list[float]:
-    """The dense features of one whole text, in the order of FEATURES; an empty text has zeros."""
-    words, hidden = _tokens(text)
-    n = len(words) or 1
-    weights = []
-    for w in words:
-        v = cache.get(w)
-        if v is None:
-            if len(cache) > 200_000:
-                cache.clear()
-            v = cache[w] = max((lexicon.get(s, 0.0) for s in _stems(w)), default=0.0)
-        weights.append(v)
-    x = np.array(weights) if weights else np.zeros(1)
-    strong = np.flatnonzero(x >= STRONG)
-    second = np.array([i for i, w in enumerate(words) if w in SECOND], dtype=np.int64)
-    near = 0
-    if len(strong) and len(second):
-        at = np.searchsorted(second, strong)
-        gap = np.minimum(np.abs(second[np.minimum(at, len(second) - 1)] - strong), np.abs(second[np.maximum(at - 1, 0)] - strong))
-        near = int((gap <= 5).sum())
-    hits = sum(max((lexicon.get(s, 0.0) for s in _stems(h)), default=0.0) >= STRONG for h in hidden)
-    size = len(text) or 1
-    upper = sum(map(str.isupper, text)) if len(text) < 2000 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
-    top = np.sort(x)[-3:]
-    return [
-        float(x.sum()) / n, len(strong) / n, float(x.max()), math.log1p(len(strong)), sum(w in _SEEDS for w in words) / n, near / n, len(second) / n, upper / size,
-        len(re.findall(r"\b[A-Z]{3,}\b", text)) / n, text.count("!") / n, text.count("?") / n, len(re.findall(r"[^\w\s!?]", text)) / size, len(hidden) / n, float(hits),
-        float(top.mean()), math.log1p(len(words)), _run_of_letters(text) / n, float(len({words[i] for i in strong})) if weights else 0.0,
-    ]
+class Tokens:
+    """Features of texts by a lexicon. What a token adds is worked out once and kept, for up to `most` tokens.
+
+    Tokens are what stands between ASCII white space. A token's weight is that of its heaviest word; it is strong from
+    STRONG on, and near the second person within 5 tokens of such a word.
+    """
+
+    #: What is summed over tokens.
+    COLUMNS = ("weight", "strong", "seeds", "second", "capitals", "shouted", "exclamations", "questions", "other", "hidden", "hits", "runs")
+
+    def __init__(self, lexicon: dict[str, float], most: int = 500_000):
+        self.lexicon, self.most = lexicon, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.rows: dict[tuple, int] = {(0.0,) * (len(self.COLUMNS) + 1): 0}  # most tokens add nothing
+        self.table = np.zeros((1, len(self.COLUMNS)))
+
+    def _weight(self, word: str) -> float:
+        """The heaviest term of a word: itself, or one of its stems of 3 to 7 letters."""
+        get = self.lexicon.get
+        best = get(word, 0.0)
+        for n in range(3, min(8, len(word))):
+            v = get(word[:n])
+            if v is not None and v > best:
+                best = v
+        return best
+
+    def _row(self, text: str) -> tuple:
+        """What a token adds: COLUMNS, and for a strong token a number of its own."""
+        word = text if text.isalpha() else text.rstrip(".,;:!?")
+        if word.isalpha():
+            low = word.lower()
+            weight, marks = self._weight(low), len(text) - len(word)
+            loud, asks = (text.count("!"), text.count("?")) if marks else (0, 0)
+            upper = 0 if low == word else sum(map(str.isupper, word))
+            shouted = int(upper > 2 and upper == len(word) and word.isascii())
+            runs = len(_RUN.findall(text)) if len(text) > 3 else 0
+            own = len(self.ids) if weight >= STRONG else 0.0
+            return (weight, float(weight >= STRONG), float(low in _SEEDS), float(low in SECOND), upper, shouted, loud, asks, marks - loud - asks, 0.0, 0.0, runs, own)
+        words, hidden = _tokens(text)
+        weight = max(map(self._weight, words), default=0.0)
+        return (
+            weight, float(weight >= STRONG), sum(w in _SEEDS for w in words), float(any(w in SECOND for w in words)), sum(map(str.isupper, text)), len(_SHOUTED.findall(text)), text.count("!"), text.count("?"), len(_OTHER.findall(text)),
+            len(hidden), sum(self._weight(h) >= STRONG for h in hidden), len(_RUN.findall(text)), len(self.ids) if weight >= STRONG else 0.0,
+        )
+
+    def _add(self, token: bytes) -> int:
+        row = self._row(token.decode())
+        i = self.ids[token] = self.rows.setdefault(row, len(self.rows))
+        return i
+
+    def features(self, text: str) -> list[float]:
+        """The dense features of one whole text, in the order of FEATURES; an empty text has zeros."""
+        tokens = text.encode("utf-8", "replace").split()
+        if not tokens:
+            return [0.0] * len(FEATURES)
+        if len(self.ids) > self.most:
+            self._clear()
+        get, add = self.ids.get, self._add
+        ids = np.array([add(t) if (i := get(t)) is None else i for t in tokens])
+        if len(self.table) < len(self.rows):
+            self.table = np.concatenate([self.table, np.array([r[:-1] for r in list(self.rows)[len(self.table) :]], float)])
+        rows, n, size = self.table[ids], len(ids), len(text)
+        s = dict(zip(self.COLUMNS, rows.sum(0).tolist()))
+        strong, second, near = np.flatnonzero(rows[:, 1]), np.flatnonzero(rows[:, 3]), 0
+        if len(strong) and len(second):
+            at = np.searchsorted(second, strong)
+            gap = np.minimum(np.abs(second[np.minimum(at, len(second) - 1)] - strong), np.abs(second[np.maximum(at - 1, 0)] - strong))
+            near = int((gap <= 5).sum())
+        top = np.partition(rows[:, 0], n - 3)[-3:] if n > 3 else rows[:, 0]
+        return [
+            s["weight"] / n, s["strong"] / n, float(top.max()), math.log1p(s["strong"]), s["seeds"] / n, near / n, s["second"] / n, s["capitals"] / size, s["shouted"] / n, s["exclamations"] / n, s["questions"] / n,
+            s["other"] / size, s["hidden"] / n, s["hits"], float(top.mean()), math.log1p(n), s["runs"] / n, float(len(np.unique(ids[strong]))),
+        ]
 
 
 _SEEDS = frozenset(INSULTS)
@@ -232,22 +274,25 @@ def term_counts(sample: DataFrame) -> DataFrame:
     return pairs.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
-def fit(labelled: DataFrame, max_rows: int = 20_000, max_terms: int = 2_000, least_docs: int = 4) -> Model:
-    """A model from (id, text, toxic), fitted on at most max_rows rows: those with the least hash of their id.
+def fit(labelled: DataFrame, max_rows: int = 20_000, least_docs: int = 4) -> Model:
+    """A model from (id, text, toxic), fitted on at most max_rows ids: those with the least hash.
 
-    Rows with a null label are ignored. Without labels of both kinds the model knows the plain insults only.
+    Of rows that repeat an id the one with the least hash of its text counts. Rows with a null label are ignored. The
+    lexicon holds every term that tells enough, so it is bounded by the sample's words. Without labels of both kinds the
+    model knows the plain insults only.
     """
-    chosen = labelled.filter("toxic IS NOT NULL").withColumn("h", F.xxhash64(F.lit(5), F.col("id"))).orderBy("h", "id").limit(max_rows)
-    keys = chosen.select("id", "h", "toxic").toPandas().drop_duplicates("id")  # bounded by max_rows
+    usable = labelled.filter("toxic IS NOT NULL").withColumn("h", F.xxhash64(F.lit(5), F.col("id")))
+    keys = usable.groupBy("id", "h").agg(F.max("toxic").alias("toxic")).orderBy("h", "id").limit(max_rows).toPandas()  # bounded by max_rows
     if keys["toxic"].nunique() < 2:
         return plain_model()
     last = int(keys["h"].iloc[-1])
-    rows = labelled.filter("toxic IS NOT NULL").withColumn("h", F.xxhash64(F.lit(5), F.col("id"))).filter(F.col("h") <= last)
+    one = F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text")
+    rows = materialize(usable.filter(F.col("h") <= last).groupBy("id", "h").agg(one, F.max("toxic").alias("toxic")), "labelled")
     for_terms = F.pmod(F.col("h"), F.lit(2)) == 0
     n_toxic, n_plain = (int((keys["toxic"][keys["h"] % 2 == 0] == k).sum()) for k in (1, 0))
     ratio = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("plain") + 0.5) / (n_plain + 1.0))
     found = term_counts(rows.filter(for_terms)).filter(F.col("toxic") >= least_docs).withColumn("weight", ratio).filter("weight >= 1.0")
-    top = found.orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "term").limit(max_terms).select("term", "weight").toPandas()
+    top = found.select("term", "weight").toPandas()  # bounded by the sample's words
     lexicon = {w: 2.0 for w in INSULTS} | dict(zip(top["term"], top["weight"].astype(float)))
     data = with_features(rows.filter(~for_terms).select("id", "text", "toxic"), lexicon).toPandas()  # bounded by max_rows
     data = data.sort_values("id", kind="stable")
@@ -265,11 +310,11 @@ def with_features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     """(id, toxic, x) with the features of (id, text, toxic)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        tokens = Tokens(lexicon)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 p = batch.slice(i, 500)
-                x = [features(t or "", lexicon, cache) for t in p.column(1).to_pylist()]
+                x = [tokens.features(t or "") for t in p.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(2), pa.array(x, pa.list_(pa.float64()))], ["id", "toxic", "x"])
 
     return rows.select("id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "id long, toxic int, x array<double>")
@@ -300,14 +345,14 @@ def score_rows(docs: DataFrame, model: Model, text: str = "text", score_col: str
     at = docs.columns.index(text)
 
     def run(batches):
-        cache: dict[str, float] = {}
+        tokens = Tokens(model.lexicon)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 p = batch.slice(i, 500)
-                x = np.array([features(t.as_py() or "", model.lexicon, cache) for t in p.column(at)])
+                x = np.array([tokens.features(t.as_py() or "") for t in p.column(at)])
                 yield pa.RecordBatch.from_arrays([*p.columns, pa.array(model.score(x))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, schema)
 
 
 def learned_model(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> Model:
