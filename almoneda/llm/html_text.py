@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from almoneda.llm.shared import free_name
+from almoneda.llm.shared import free_name, map_rows
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -335,7 +335,7 @@ def main_text(pages: DataFrame, html_col: str = "html", text_col: str = "text")
                 p = batch.slice(i, 200)
                 yield pa.RecordBatch.from_arrays([*p.columns, pa.array([extract(x.as_py()) for x in p.column(at)], pa.string())], schema.names)
 
-    return pages.mapInArrow(run, schema)
+    return map_rows(pages, run, schema)
 
 
 def op1_main_text(spark, sf_dir: str) -> DataFrame:
