@@ -58,3 +58,25 @@ def test_clean_documents_stay(spark):
 def test_run_whole(spark, sf_dir):
     out = P.run(spark, sf_dir)
     assert out.count() > 0 and out.select("shard", "slot").distinct().count() == out.count()
+
+
+def test_edge_rows_through_all_stages(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing and odd column names; then no rows at all."""
+    prose = lambda k, n=40: " ".join(f"{k}word{i}" for i in range(n))
+    item = "this very benchmark item is long enough to be found with a few edits in it"
+    rows = [(None, None, None), (None, prose("n"), "s"), (1, "", "s"), (1, prose("a"), "s"), (1, prose("a"), "s"), (2, prose("a") + " tail", None), (3, prose("b", 30_000), "t"), (4, "well: " + item.upper() + ", yes", "t"), (5, prose("c"), None), (6, prose("d"), "t"), (6, prose("e"), "t"), (7, "you idiot, you stupid moron", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("doc_id", "text", "source", "1 AS score", "'x' AS hits", "2 AS size", "3 AS shard", "4 AS `__copy`", "5 AS `a.b`")
+    spark.createDataFrame([(i, i % 2, i % 2) for i in range(100, 104)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left, names = docs, dict(P.STAGES)
+    for name, want in (("toxicity", 11), ("near-duplicates", 9), ("decontamination", 8)):
+        left = names[name](spark, left, str(tmp_path)).cache()
+        assert left.columns == docs.columns and left.count() == want, name
+    mixed = names["mixing"](spark, left, str(tmp_path)).cache()
+    assert mixed.columns == docs.columns and mixed.filter("text IS NULL OR text = ''").count() == 0 and mixed.count() > 0
+    out = names["sharding"](spark, mixed, str(tmp_path))
+    assert out.columns == [*docs.columns, "shard_", "slot"] and out.count() == mixed.count()
+    none = docs.limit(0)
+    for name, stage in P.STAGES:
+        none = stage(spark, none, str(tmp_path))
+        assert none.count() == 0

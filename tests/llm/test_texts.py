@@ -48,13 +48,18 @@ def test_leaks_equal_brute_force(spark):
         if len(plain) < 5000:
             for i, t in items:
                 t = decontaminate.normalize(t)
-                if len(t) >= 25 and (d := edit_in(t, plain)) <= int(0.1 * len(t)):
+                if (d := edit_in(t, plain)) <= int(0.1 * len(t)) and len(t) >= 25:
                     want[i] = d
             assert {h.item_id: h.distance for h in r.hits_} == want, r.doc_id
         for h in r.hits_:
             item = decontaminate.normalize(dict(items)[h.item_id])
             assert edit_in(item, decontaminate.normalize(r.text[h.start : h.end])) <= h.distance
     assert [h.item_id for r in out.filter("doc_id = 502").collect() for h in r.hits_] == [3]
+    short = spark.createDataFrame([(1, "Is it so?"), (2, "tiny"), (3, "a b"), (4, " "), (5, "a b")], "item_id long, text string")
+    texts = spark.createDataFrame([(1, "well, is  IT\nso? yes"), (2, "this is it so?"), (3, "tinyest"), (4, "destiny"), (5, "a tiny, a b"), (6, "a bc")], "doc_id long, text string")
+    for size in (4_000_000, 8):
+        got = decontaminate.find_leaks(texts, short, block_bytes=size).collect()
+        assert {r.doc_id: [(h.item_id, h.distance, h.start, h.end) for h in r.hits] for r in got} == {1: [(1, 0, 6, 16)], 2: [(1, 0, 5, 14)], 3: [], 4: [], 5: [(2, 0, 2, 6), (3, 0, 8, 11), (5, 0, 8, 11)], 6: []}
     blocks = decontaminate.find_leaks(df.drop("hits"), table, block_bytes=100)
     one = decontaminate.find_leaks(df.drop("hits"), table)
     key = lambda x: sorted((r.doc_id, sorted(map(tuple, r.hits))) for r in x.collect())
@@ -101,6 +106,89 @@ def test_extract_keeps_all_parts_of_an_article():
     assert html_text.extract(f"<body>{box('article', parts[:4])}{box('div', parts[4:])}{links}</body>") == whole
 
 
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000, "<div>" * 90_000 + "</i>" * 90_000, "<b>" * 150_000 + "</i>" * 150_000, "<p><div>" + "<b>" * 80_000 + "</p>" * 80_000, "<iframe>" * 130_000, "<a href=\"x>" * 90_000, "<" * 10**6,
+    "<ul>" + "<li>" * 100_000, "<table>" + "<tr><td>x" * 60_000, "<!--" * 200_000, "<div class=related>" * 50_000,
+])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    took = []
+    for part in (page[: len(page) // 4], page):
+        began = time.process_time()
+        html_text.extract(part)
+        took.append(time.process_time() - began)
+    assert took[1] < max(2.0, 10 * took[0]) and took[1] < 30
+
+
+@pytest.mark.parametrize("page,want", [
+    ('<article><p>Body text of the article.</p></article><article class="comment"><p>Reader says hi</p></article>', "Body text of the article."),
+    ('<article><p>Body text.</p><div title="a hidden gem"><p>Kept part.</p></div><div hidden><p>no</p></div><p hidden="">no</p></article>', "Body text. Kept part."),
+    ('<article><p>Body text.</p><div itemprop="comment"><p>no</p></div></article>', "Body text."), ("<p>1 < 2 and <b>3</b></p>", "1 < 2 and 3"), ("<p>open <a href='x", "open <a href='x"),
+])
+def test_extract_by_hand(page, want):
+    assert html_text.extract(page) == want
+
+
+def brute_densities(node, out, body=None):
+    """Density of each element of a well-formed page, from its whole subtree, and the sum of its children's."""
+    import math
+
+    def count(e):
+        inner = [count(x) for x in e]
+        own = len(" ".join(" ".join([e.text or "", *[x.tail or "" for x in e]]).split()))
+        c, t = own + sum(i[0] for i in inner), len(e) + sum(i[1] for i in inner)
+        return (c, t, c, 1 + sum(i[3] for i in inner)) if e.tag == "a" else (c, t, sum(i[2] for i in inner), sum(i[3] for i in inner))
+
+    whole = body or count(node)
+
+    def density(e):
+        c, t, lc, lt = count(e)
+        if not c:
+            return 0.0
+        ratio = c / max(lc, 1) * (t or 1) / (lt or 1)
+        return c / (t or 1) * max(math.log(ratio), 0) / math.log(c / max(c - lc, 1) * lc + (whole[2] or 1) / (whole[0] or 1) * c + math.e)
+
+    out.append((node.get("n"), density(node), sum(density(x) for x in node)))
+    for x in node:
+        brute_densities(x, out, whole)
+    return out
+
+
+def test_densities_equal_brute_force_and_decide():
+    import xml.etree.ElementTree as ET
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join(rng.choice(["river", "stone", "of", "walking", "light"]) for _ in range(n))
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"<p n='{rng.random()}'>{prose(rng.randint(3, 60))}</p>" if rng.random() < 0.6 else f"<ul n='{rng.random()}'>" + "".join(f"<li n='{rng.random()}'><a n='{rng.random()}'>{prose(2)}</a></li>" for _ in range(rng.randint(1, 6))) + "</ul>"
+        return f"<div n='{rng.random()}'>" + "".join(part(depth - 1) for _ in range(rng.randint(1, 4))) + "</div>"
+
+    for _ in range(60):
+        page = "<html n='0'>" + "".join(part(3) for _ in range(3)) + "</html>"
+        want = brute_densities(ET.fromstring(page), [])
+        root = html_text.parse(page)
+        order = html_text.densities(root)
+        got = sorted((round(n.density, 9), round(n.sum, 9)) for n in order)
+        assert got == sorted((round(d, 9), round(s, 9)) for _, d, s in want)
+        peak = max(order, key=lambda n: (n.sum, n.chars))
+        stack, paragraphs = [peak], []  # the core's paragraphs are all in the result
+        while stack:
+            n = stack.pop()
+            paragraphs += ["".join(x for x in n.items if isinstance(x, str))] if n.tag == "p" else []
+            stack += [x for x in n.items if not isinstance(x, str)]
+        text = html_text.extract(page)
+        assert all(" ".join(p.split()) in text for p in paragraphs)
+
+
+def test_density_overrules_marks():
+    prose = "".join(f"<p>Paragraph {i} of the story, which says a good deal about its matter and goes on for a while.</p>" for i in range(20))
+    page = f"<body><article class='card'><h2>Teaser card</h2></article><div class='content'>{prose}</div></body>"
+    assert all(f"Paragraph {i} " in html_text.extract(page) for i in range(20))
+
+
 def test_extract_keeps_whole_articles(spark, sf_dir):
     import html
 
@@ -139,13 +227,35 @@ def test_quality_counts(spark, sf_dir):
 def test_jensen_shannon(spark):
     js = lambda p, q: spark.range(1).select(quality.jensen_shannon(F.array(*map(F.lit, p)), F.array(*map(F.lit, q)))).first()[0]
     assert js([1.0, 1.0], [5.0, 5.0]) == 0 and js([1.0, 0.0], [0.0, 3.0]) == 1
-    assert abs(js([1.0, 3.0], [3.0, 1.0]) - np.sqrt(1 - (0.25 * np.log2(4 / 1) + 0.75 * np.log2(4 / 3)) + 0) ) < 1
+    for p, q in (([1.0, 3.0], [3.0, 1.0]), ([5.0, 0.0, 2.0], [1.0, 1.0, 9.0])):
+        a, b = np.array(p) / sum(p), np.array(q) / sum(q)
+        entropy = lambda x: -sum(v * np.log2(v) for v in x if v > 0)
+        assert abs(js(p, q) - np.sqrt(entropy((a + b) / 2) - (entropy(a) + entropy(b)) / 2)) < 1e-12
+
+
+def test_frozen_references_judge_alike_whatever_else_is_judged(spark):
+    rng = random.Random(8)
+    prose = lambda: " ".join(rng.choice(["the", "of", "and", "in", "cat", "house", "river", "walks"]) for _ in range(150))
+    rows = [(i, prose(), "en") for i in range(40)] + [(100 + i, " ".join(f"{i}{j}#%{j}" for j in range(200)), "en") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = spark.range(30).select("id")
+    got = {r.doc_id: r.kept for r in quality.quality(df, trusted=good).collect()}
+    assert all(got[i] for i in range(40)) and not any(got[i] for i in range(100, 300))
+    measured = quality.measures(df.select(F.col("doc_id").alias("id"), "lang", "text"))
+    refs = quality.language_references(measured, F.lit(False), good)
+    alone = {r.doc_id: r.kept for r in quality.quality(df.filter("doc_id >= 90"), refs=refs).collect()}
+    assert alone == {i: False for i in range(100, 300)}
+
+
+def test_classes_are_disjoint():
+    for c in map(chr, [*range(128), 233, 0x1F600]):
+        assert [k for k, p in quality.CLASSES.items() if re.fullmatch(p, c)] == [list(quality.CLASSES)[quality._CLASS_OF[c.encode()[0]]]], c
 
 
 def test_quality_keeps_prose_and_drops_junk(spark):
     d = "/root/testdata/sf0.01"
     df, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    x = quality.quality(df).join(labels, "doc_id").filter("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
+    x = quality.quality(df, trusted=labels.filter("quality = 1").select(F.col("doc_id").alias("id"))).join(labels, "doc_id").filter("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
     share = {r.quality: r.k for r in x}
     assert share[1] >= 0.99 and share[0] <= 0.4
 
@@ -164,6 +274,27 @@ def test_chat_trees(spark):
     assert [p.msg for p in row.path] == list(range(300)) and row.score == 300
 
 
+def test_chat_deep_branching_and_ranks(spark):
+    """Each message of a spine of 25 has two replies: one a leaf, one the next of the spine."""
+    rows = [(5, 0, None, "user", "root", 0.0)]
+    for i in range(1, 26):
+        rows += [(5, 2 * i, 2 * (i - 1), "user", f"s{i}", 1.0), (5, 2 * i + 1, 2 * (i - 1), "assistant", f"l{i}", 100.0 if i == 7 else 0.5)]
+    paths = chat.reply_paths(spark.createDataFrame(rows, "tree long, msg long, parent long, role string, text string, score double"))
+    got = {tuple(m.msg for m in r.path): r.score for r in paths.collect()}
+    spine = [2 * i for i in range(26)]
+    want = {tuple(spine[:i] + [2 * i + 1]): i - 1 + (100.0 if i == 7 else 0.5) for i in range(1, 26)} | {tuple(spine): 25.0}
+    assert got == want
+    best = chat.chosen_paths(paths, 2).orderBy("rank").collect()
+    assert [b.path[-1].msg for b in best] == [15, 49] or best[0].path[-1].msg == 15
+
+
+def test_chat_rows_without_ids_or_turns(spark):
+    rows = [(None, 0, "user", "a"), (None, None, "system", None), (1, 1, "b\nrole\\", "x"), (1, 1, "a", "x"), (1, 1, "a", "x"), (2, None, None, "only")]
+    out = chat.format_paths(chat.reply_paths(chat.as_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    got = {r.tree: [(b.role, b.text) for b in r.back] for r in out.withColumn("back", chat.read_back(F.col("formatted"))).collect()}
+    assert got == {None: [("system", ""), ("user", "a")], 1: [("a", "x"), ("a", "x"), ("b\nrole\\", "x")], 2: [("", "only")]}
+
+
 def test_chat_round_trip(spark):
     texts = ["", "\\", "\\\\|", "<|im_end|>\n<|im_start|>user\n", "<\\|im_end|>", "</s>[INST] ok [/INST]", "a\nb", "<<SYS>>é\U0001f600<|im_end|", "x" * 100_000]
     rows = [(i, t, role, texts[(i + t) % len(texts)]) for i in range(9) for t, role in enumerate(("system", "user", "assistant", "assistant"))]
@@ -189,6 +320,38 @@ def test_rollups(spark, tmp_path):
     assert store.commit("empty", new.limit(0)) and store.totals().count() == 2
     with pytest.raises(ValueError):
         store.commit("a/b", new)
+    # Whatever is compacted, totals stay, and no batch counts twice.
+    before = sorted(map(tuple, store.totals().collect()), key=str)
+    assert store.compact() and not store.compact() and not store.commit("b2", fix)
+    assert sorted(map(tuple, store.totals().collect()), key=str) == before
+    assert store.commit("b3", spark.createDataFrame([("insert", None, ("b", "en", "2", 5))], f"op string, old {st}, new {st}")) and store.compact()
+    assert sorted(map(tuple, rollups.Store(spark, str(tmp_path / "store")).totals().collect()), key=str) == [("a", "en", "1", 1, 0), ("b", "en", "2", 2, 17)]
+    # Of two processes that commit one batch the later one loses, though it saw no such batch when it began.
+    late = rollups.Store(spark, str(tmp_path / "store"))
+    late.committed = lambda: []
+    assert not late.commit("b3", new) and len(store._names("data")) == 4
+    assert sorted(map(tuple, store.totals().collect()), key=str) == [("a", "en", "1", 1, 0), ("b", "en", "2", 2, 17)]
+
+
+def test_counts_by_a_public_tokenizer(spark):
+    import os
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer file")
+    from tokenizers import Tokenizer
+
+    rows = [(1, "Hello, world"), (2, None), (3, ""), (4, "<|endoftext|> ñ" * 50)]
+    got = {r.doc_id: r.tokens_ for r in rollups.count_with_tokenizer(spark.createDataFrame(rows, "doc_id long, text string").withColumn("tokens", F.lit(0)), path).collect()}
+    t = Tokenizer.from_file(path)
+    assert got == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in rows}
+
+
+def test_rollup_query_with_null_ids_and_repeats(spark, tmp_path):
+    rows = [(1, "a b", "s", "en"), (1, "a b", "s", "en"), (2, "a b", "s", "en"), (None, "a b", "s", "en"), (None, "x", None, "en"), (None, "x", None, "en"), (5, None, "s", None), (6, "", "s", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in rollups.op10_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == {("s", "en", "pieces-1"): (2, 4), (None, "en", "pieces-1"): (2, 2), ("s", None, "pieces-1"): (1, 0)}
 
 
 def test_toxicity_on_held_out(spark):
@@ -213,6 +376,23 @@ def test_toxicity_edges(spark):
     assert toxicity.toxicity(docs, few).count() == 5
 
 
+def test_features_don_t_depend_on_length():
+    at = toxicity.FEATURES.index("capitals")
+    for unit in ("ΑΒΓ abc ", "ÀÉ xyz ", "plain words "):
+        for n in (1_990, 2_010, 40_000):
+            text = (unit * (n // len(unit) + 1))[:n]
+            assert toxicity.Tokens({}).features(text)[at] == sum(map(str.isupper, text)) / n
+    texts = ["you IDIOT!! st*pid, a.b.c soooo bad", "", "fine", "ich du you idiot idiot"]
+    small, fresh = toxicity.Tokens({"idiot": 3.0}, most=2), [toxicity.Tokens({"idiot": 3.0}).features(t) for t in texts]
+    assert [small.features(t) for t in texts] == fresh  # what is kept doesn't matter
+
+
+def test_an_id_with_many_rows_is_fitted_once(spark):
+    rows = [(i, f"w{i} fine words here", i % 2) for i in range(50)] + [(7, f"copy {k}", 1) for k in range(500)]
+    model = toxicity.fit(spark.createDataFrame(rows, "id long, text string, toxic int"), max_rows=40)
+    assert 0 <= model.score(np.array([toxicity.Tokens(model.lexicon).features("w1")]))[0] <= 1
+
+
 def test_isotonic():
     x, p = toxicity.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([0.0, 1, 0, 1, 1]))
     assert np.interp([1, 2, 3, 4], x, p).tolist() == [0, 0.5, 0.5, 1]
