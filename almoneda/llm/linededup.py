@@ -58,6 +58,11 @@ def _short(names: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(names), np.dtype(">i8")).reshape(-1, 2)[:, 0].astype(np.int64) if names else np.zeros(0, np.int64)
 
 
+def _short_of(node: str) -> Column:
+    """The first 64 bits of a name, as _short gives them."""
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long")
+
+
 def line_nodes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line, node): every line that isn't blank, numbered from 0, and the 128-bit name of its text."""
 
@@ -86,7 +91,7 @@ def _minima(data: np.ndarray, begins: np.ndarray, starts: np.ndarray, ends: np.n
     return np.ascontiguousarray(minima.T)
 
 
-def band_rows(docs: DataFrame, remembered: int = 400_000) -> DataFrame:
+def band_rows(docs: DataFrame, remembered: int = 250_000) -> DataFrame:
     """(key, short, lead) for every distinct line of SHINGLE code points or more; shorter ones are alike only if equal.
 
     A task leaves out lines it has lately seen, so copies cost little.
@@ -112,7 +117,7 @@ def band_rows(docs: DataFrame, remembered: int = 400_000) -> DataFrame:
                     keys.append(found.ravel())
                     shorts.append(np.repeat(_short([x.names[k] for k in fresh]), BANDS))
                     held += found.size
-                if held > 2_000_000:
+                if held > 600_000:
                     yield local_leads(np.concatenate(keys), np.concatenate(shorts))
                     keys, shorts, held = [], [], 0
             if held:
@@ -127,11 +132,14 @@ def _with(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the lines wanted (node, first): each is cut from the document that holds it first."""
+    """(node, text), written, of the lines wanted (node, first): each is cut from the document that holds it first."""
     lists = wanted.groupBy(F.col("first.doc_id").alias("holder"), F.col("first.text_hash").alias("holder_hash")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "node")).alias("wanted"))  # lines of one document
     held = docs.join(lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("holder")) & (F.col("text_hash") == F.col("holder_hash"))).select("text", "wanted")
     cut = _with(F.split("text", "\n"), lambda parts: F.transform("wanted", lambda x: F.struct(x["node"].alias("node"), F.get(parts, x["line"]).alias("text"))))
-    return held.select(F.inline(cut)).dropDuplicates(["node"])
+    texts = materialize(held.select(F.inline(cut)), "line-texts")
+    if texts.count() == texts.select("node").distinct().count():
+        return texts
+    return materialize(texts.dropDuplicates(["node"]), "line-texts")  # documents that repeat as a whole
 
 
 def line_groups(docs: DataFrame, nodes: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
@@ -139,10 +147,10 @@ def line_groups(docs: DataFrame, nodes: DataFrame, num: int = 4, den: int = 5) -
 
     docs: (doc_id, text_hash, text); nodes: a written table (node, short, first), one row a distinct line.
     """
-    shared = materialize(buckets(band_rows(docs)), "buckets")
+    shared = materialize(buckets(band_rows(docs), BANDS * nodes.count()), "buckets")
     needed = shared.select("short").union(shared.select(F.col("lead").alias("short"))).distinct()
-    texts = materialize(_texts(docs, nodes.join(needed, "short", "left_semi")), "line-texts")  # of every line that shares a bucket
-    known = materialize(nodes.select("short", "node").join(texts.select("node"), "node", "left_semi"), "known")
+    texts = _texts(docs, nodes.join(needed, "short", "left_semi"))  # of every line that shares a bucket
+    known = materialize(texts.select(_short_of("node").alias("short"), "node"), "known")
     stars = shared.filter("short <> lead").select(F.col("short").alias("a"), F.col("lead").alias("b")).distinct()
     stars = stars.join(known.select(F.col("short").alias("a"), F.col("node").alias("na")), "a").join(known.select(F.col("short").alias("b"), F.col("node").alias("nb")), "b")
     stars = materialize(stars.select(F.col("na").alias("a"), F.col("nb").alias("b")), "line-stars")
@@ -162,8 +170,7 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """
     lines = materialize(line_nodes(docs), "lines")
     merged = lines.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("first"), F.count("*").alias("rows"))
-    short = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
-    nodes = materialize(merged.withColumn("short", short), "line-nodes")
+    nodes = materialize(merged.withColumn("short", _short_of("node")), "line-nodes")
     labels = line_groups(docs, nodes, num, den)
     linked = materialize(nodes.drop("short").join(labels, "node"), "linked")
     stays = materialize(linked.groupBy("component").agg(F.min("first").alias("stays"), F.count("*").alias("nodes")), "stays")

@@ -68,7 +68,7 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, sketch: SetSket
         return found.select("node", "text").dropDuplicates(["node"])
 
     labels = link_groups(
-        nodes, texts_of, lambda d, o: textcore.shingle_sets(d, o, shingle), sketch.band_keys,
+        nodes, texts_of, lambda d, o: textcore.shingle_sets(d, o, shingle), sketch.band_keys, sketch.bands,
         lambda ru, rv, nu, nv: sketch.plausible(ru, rv, nu, nv, num / den), np.uint16, num, den,
     )
     linked = materialize(nodes.select("node", "least", "rows").join(labels, "node"), "linked")

@@ -33,8 +33,8 @@ from almoneda.llm.textcore import chunks
 BLOCK = 256
 #: Nodes of a star that are verified with one copy of its centre.
 STAR = 256
-#: The low bits of a key that hold its band.
-BAND_MASK = 63
+#: Band rows that a task is dealt, of 24 bytes each.
+BAND_ROWS = 1_000_000
 
 #: (registers of u, of v, sizes of u, of v) -> which pairs may reach the threshold.
 Plausible = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -53,8 +53,8 @@ def local_leads(key: np.ndarray, short: np.ndarray, often: int = 8) -> pa.Record
     lead is null but for keys of `often` rows or more: there the least node has itself for lead, and others have it.
     """
     lead, known = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-    place = key >> 6 & 0x3FFFFF
-    some = np.flatnonzero((np.bincount(place, minlength=1 << 22) >= often)[place])  # few others share a place
+    place = key >> 6 & 0xFFFFF
+    some = np.flatnonzero((np.bincount(place, minlength=1 << 20) >= often)[place])  # few others share a place
     if len(some):
         some = some[np.argsort(key[some], kind="stable")]
         k = key[some]
@@ -78,43 +78,55 @@ def band_rows(nodes: DataFrame, keys: Callable[[np.ndarray], np.ndarray], dtype)
     return nodes.select("short", "sig").mapInArrow(run, "key long, short long, lead long")
 
 
-def buckets(bands: DataFrame) -> DataFrame:
-    """(key, short, lead) of keys that several nodes share, repeated rows removed.
+def shared_keys(key: np.ndarray, short: np.ndarray, lead: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, short, lead) rows of `buckets` for all rows of some keys; lead counts where known."""
+    own = known & (lead == short)
+    led = known & ~own
+    out = [(key[led], short[led], lead[led])]
+    key, short, own = key[~led], short[~led], own[~led]
+    order = np.argsort(key)
+    k = key[order]
+    many = np.zeros(len(k), bool)
+    many[1:] = k[1:] == k[:-1]
+    many[:-1] |= many[1:]
+    alone = order[~many]
+    alone = alone[own[alone]]
+    out.append((key[alone], short[alone], short[alone]))
+    some = order[many]
+    some = some[np.lexsort((short[some], key[some]))]
+    if len(some):
+        k, n = key[some], short[some]
+        fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])  # rows may repeat
+        flagged = np.logical_or.reduceat(own[some], np.flatnonzero(fresh))
+        k, n = k[fresh], n[fresh]
+        first = np.concatenate([[True], k[1:] != k[:-1]])
+        least = n[first][np.cumsum(first) - 1]
+        # A node that leads others of its task makes the bucket's least one a member like any other.
+        out += [(k[~first], n[~first], least[~first]), (k[flagged], least[flagged], least[flagged])]
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def buckets(bands: DataFrame, rows: int) -> DataFrame:
+    """(key, short, lead) of keys that several nodes share, repeated rows removed; `rows` says about how many bands has.
 
     Every node but the least of its bucket has a row, with a lead that it is to be paired with. Where some were paired
     with a lead of their own task, the bucket's least node has a row too, with itself: not all were paired with it. One
-    shuffle, which deals the rows that have a lead already anywhere; each task reads its rows in order, one batch at a time.
+    shuffle, which deals the rows that have a lead already anywhere, into tasks of about BAND_ROWS rows.
     """
 
     def run(batches):
-        key = least = last = None
-        for batch in batches:
-            k, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            lead = batch.column(2).fill_null(0).to_numpy()
-            own = known & (lead == n)
-            led = known & ~own
-            if led.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[led]) for x in (k, n, lead)], ["key", "short", "lead"])
-                k, n, own = k[~led], n[~led], own[~led]
-            if not len(k):
-                continue
-            first = np.ones(len(k), bool)
-            first[1:] = k[1:] != k[:-1]
-            first[0] = k[0] != key
-            again = np.zeros(len(k), bool)
-            again[1:] = (k[1:] == k[:-1]) & (n[1:] == n[:-1])
-            again[0] = (k[0], n[0]) == (key, last)
-            at = np.maximum.accumulate(np.where(first, np.arange(len(k)), -1))
-            leads = np.where(at >= 0, n[np.maximum(at, 0)], 0 if least is None else least)
-            # A node that leads others of its task makes the bucket's least one a member like any other.
-            rows = [np.concatenate(x) for x in ((k[~first & ~again], k[own]), (n[~first & ~again], leads[own]), (leads[~first & ~again], leads[own]))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["key", "short", "lead"])
-            key, last, least = k[-1], n[-1], leads[-1]
-
+        held = list(batches)
+        if held:
+            table = pa.Table.from_batches(held)
+            lead = table.column(2).combine_chunks()
+            found = shared_keys(table.column(0).to_numpy(), table.column(1).to_numpy(), lead.fill_null(0).to_numpy(), lead.is_valid().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "short", "lead"])
+
+    spark = bands.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // BAND_ROWS + 1)
     plain = F.col("lead").isNull() | (F.col("lead") == F.col("short"))
-    dealt = bands.repartition(F.col("key"), F.when(plain, F.lit(0).cast("long")).otherwise(F.xxhash64("short")))
-    return dealt.sortWithinPartitions("key", "short").mapInArrow(run, "key long, short long, lead long")
+    dealt = bands.repartition(tasks, F.col("key"), F.when(plain, F.lit(0).cast("long")).otherwise(F.xxhash64("short")))
+    return dealt.mapInArrow(run, "key long, short long, lead long")
 
 
 def screen(edges: DataFrame, nodes: DataFrame, plausible: Plausible, dtype) -> DataFrame:
@@ -292,7 +304,7 @@ def _likely(member: DataFrame, nodes: DataFrame, plausible: Plausible, dtype) ->
                 judge()
             yield from rows.filter(pa.array(keep)).select(["key", "node", "comp"]).to_batches()
 
-    rows = _dealt(member, 4 * BLOCK).join(nodes.select("node", "n", "sig"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = _dealt(member, BLOCK).join(nodes.select("node", "n", "sig"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.select("key", "i", "j", "block", "node", "comp", "n", "sig").mapInArrow(run, "key long, node binary, comp binary").distinct()
 
 
@@ -334,13 +346,13 @@ def settle(shared: DataFrame, known: DataFrame, labels: DataFrame, texts_of: Cal
     return found
 
 
-def link_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, keys: Callable[[np.ndarray], np.ndarray], plausible: Plausible, dtype, num: int, den: int) -> DataFrame:
+def link_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets, keys: Callable[[np.ndarray], np.ndarray], bands: int, plausible: Plausible, dtype, num: int, den: int) -> DataFrame:
     """(node, component) for all nodes that have links; component is the least node of the group.
 
     nodes: a written table (node binary, short long, n int, sig binary), one row a distinct set, none empty. texts_of:
     given (node), their (node, text); only nodes with candidates are asked for. A link: den * |intersection| >= num * |union|.
     """
-    shared = materialize(buckets(band_rows(nodes, keys, dtype)), "buckets")
+    shared = materialize(buckets(band_rows(nodes, keys, dtype), bands * nodes.count()), "buckets")
     stars = materialize(shared.filter("short <> lead").select(F.col("short").alias("a"), F.col("lead").alias("b")).distinct(), "stars")
     likely_stars = materialize(screen(stars, nodes, plausible, dtype), "screened")
     ends = likely_stars.select(F.col("a").alias("node")).union(likely_stars.select("b")).distinct()

@@ -214,3 +214,29 @@ def test_null_id_group_keeps_one(spark):
     rows = [(None, base), (None, base + " more"), (None, "only this one, by itself, stays too")]
     got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 2 and rows[2][1] in {r.text for r in got}
+
+
+def test_buckets_pair_or_hold_every_two_nodes_of_a_key():
+    """Over rows that several tasks drew together: two nodes of a key are paired, or both are members of its bucket."""
+    from collections import defaultdict
+
+    from almoneda.llm.simjoin import local_leads, shared_keys
+
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        parts, nodes = [], defaultdict(set)
+        for _ in range(rng.integers(1, 4)):
+            n = rng.integers(1, 40)
+            key, short = rng.integers(0, 6, n), rng.integers(0, 15, n)
+            for k, s in zip(key.tolist(), short.tolist()):
+                nodes[k].add(s)
+            parts.append(local_leads(key, short, often=4))
+        column = lambda i: np.concatenate([p.column(i).fill_null(0).to_numpy() for p in parts])  # noqa: B023, E731
+        known = np.concatenate([p.column(2).is_valid().to_numpy(zero_copy_only=False) for p in parts])
+        pairs, members = defaultdict(set), defaultdict(set)
+        for k, s, lead in zip(*(x.tolist() for x in shared_keys(column(0), column(1), column(2), known))):
+            assert lead in nodes[k] and s in nodes[k] and lead <= s
+            members[k].add(s)
+            pairs[k].add((lead, s))
+        for k, found in nodes.items():
+            assert all((a, b) in pairs[k] or {a, b} <= members[k] for a in found for b in found if a < b)
