@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almoneda.llm import chat, decontaminate, html_text, linededup, mixing, neardup, quality, rollups, sharding, toxicity
+from almoneda.llm import chat, decontaminate, html_text, linededup, mixing, neardup, phrases, quality, rollups, sharding, toxicity
 
 QUERIES: dict = {
     "op1_main_text": html_text.op1_main_text,
@@ -15,6 +15,7 @@ QUERIES: dict = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_shard_rows": sharding.op9_shard_rows,
     "op10_token_rollup": rollups.op10_token_rollup,
+    "op11_phrases": phrases.op11_phrases,
 }
 ORACLE: dict[str, str] = {
     "op3_near_duplicates": neardup.ORACLE_SQL,
@@ -22,4 +23,5 @@ ORACLE: dict[str, str] = {
     "op6_chat_format": chat.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
     "op10_token_rollup": rollups.ORACLE_SQL,
+    "op11_phrases": phrases.ORACLE_SQL,
 }
