@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almoneda.llm import chat, decontaminate, html_text, linededup, mixing, neardup, phrases, quality, rollups, sharding, toxicity
+from almoneda.llm import chat, decontaminate, html_text, langid, lexsearch, linededup, mixing, neardup, phrases, quality, rollups, sharding, toxicity
 
 QUERIES: dict = {
     "op1_main_text": html_text.op1_main_text,
@@ -16,6 +16,8 @@ QUERIES: dict = {
     "op9_shard_rows": sharding.op9_shard_rows,
     "op10_token_rollup": rollups.op10_token_rollup,
     "op11_phrases": phrases.op11_phrases,
+    "op12_language_id": langid.op12_language_id,
+    "op13_lexical_search": lexsearch.op13_lexical_search,
 }
 ORACLE: dict[str, str] = {
     "op3_near_duplicates": neardup.ORACLE_SQL,
@@ -24,4 +26,5 @@ ORACLE: dict[str, str] = {
     "op8_mix_sources": mixing.ORACLE_SQL,
     "op10_token_rollup": rollups.ORACLE_SQL,
     "op11_phrases": phrases.ORACLE_SQL,
+    "op13_lexical_search": lexsearch.ORACLE_SQL,
 }
