@@ -7,9 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from almoneda.store import SnapshotStore, written
+from almoneda.store import Conflict, SnapshotStore, written
 
 
 def _entries(versions: DataFrame) -> DataFrame:
@@ -61,22 +60,39 @@ def ingest(stored: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def apply(store: SnapshotStore, versions: DataFrame, batch: str) -> DataFrame | None:
-    """Brings versions into a store, once a batch id: the rows written, or None if the batch has been applied.
+    """Brings versions into a store, once a batch id: the rows written, or None if the batch has been applied."""
+    found = apply_counted(store, versions, batch)
+    return found[0] if found else None
 
-    Only the parts of the store that hold the batch's keys are read and rewritten.
+
+def apply_counted(store: SnapshotStore, versions: DataFrame, batch: str, attempts: int = 5) -> tuple[DataFrame, dict[str, int]] | None:
+    """apply(...) with what became of the batch: `records`, its latest states less those it tombstones; `upserted`, those
+    written; `skipped`, those not newer than what is stored; `deleted`, its tombstones.
+
+    What is stored of the batch's keys is read, and only rows that changed are written. If another writer changed their
+    parts meanwhile, all is done again from what is stored then.
     """
     if store.applied(batch):
         return None
     versions = written(versions.drop("history"), "batch")
-    parts = store.touched(versions)
-    now = store.read(parts=parts)
-    if now is None or "history" not in now.columns:
-        fields = [f for f in versions.schema.fields if f.name != "tombstone"]
-        now = versions.sparkSession.createDataFrame([], T.StructType(fields)).withColumn("history", F.array().cast("array<struct<date:string,code:string>>"))
-    snapshot, fresh = ingest(now, versions)
-    fresh = written(fresh, "fresh")  # before the version it is held against is replaced
-    store.rewrite(snapshot, parts, batch)
-    return fresh
+    gone = versions.filter("tombstone").select("sid").distinct()
+    collapsed = written(collapse(versions), "collapsed")
+    for attempt in range(attempts):
+        since = store.version()
+        now = store.rows_of(collapsed.select("sid"))
+        if now is None or "history" not in now.columns:
+            now = collapsed.limit(0)
+        fresh = guard_stale(collapsed, now)
+        fresh = written(fresh.withColumn("history", merge_histories(F.col("history"), F.col("stored_history"))).drop("stored_updated", "stored_history"), "fresh")
+        try:
+            if not store.change(batch, replace=fresh, remove=gone, since=since):
+                return None
+            break
+        except Conflict:
+            if attempt + 1 == attempts:
+                raise
+    records, upserted = collapsed.count(), fresh.count()
+    return fresh, {"records": records, "upserted": upserted, "deleted": versions.filter("tombstone").count(), "skipped": records - upserted}
 
 
 def changed_only(df: DataFrame, pairs: dict[str, str]) -> DataFrame:

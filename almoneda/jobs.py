@@ -51,15 +51,12 @@ class Jobs:
         return path.toString(), hashlib.sha256(content).hexdigest()[:32]
 
     def process(self, path: str | list[str], category: str, batch: str) -> dict[str, int]:
-        """Brings feed files into the store; how many rows were read, written and deleted. A batch counts once."""
+        """Brings feed files into the store; what became of them (see ingest.apply_counted). A batch counts once."""
         entries = extract.contracts(feeds.entries(self.spark, path, category))
         gone = feeds.tombstones(self.spark, path, category).select("sid", F.col("when").alias("updated"), "category", F.lit(True).alias("tombstone"))
         versions = entries.unionByName(gone, allowMissingColumns=True)
-        fresh = ingest.apply(self.store, versions, batch)
-        if fresh is None:
-            return {"records": 0, "upserted": 0, "deleted": 0}
-        seen = versions.agg(F.count_if(~F.col("tombstone")).alias("records"), F.count_if("tombstone").alias("deleted")).first()
-        return {"records": seen["records"], "upserted": fresh.count(), "deleted": seen["deleted"]}
+        found = ingest.apply_counted(self.store, versions, batch)
+        return found[1] if found else {"records": 0, "upserted": 0, "deleted": 0, "skipped": 0}
 
     def watermark(self, category: str) -> str | None:
         now = self.store.read(TABLES["contracts"])

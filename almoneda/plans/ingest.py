@@ -118,3 +118,38 @@ def _(spark, d):
     old, new = (x.filter("NOT tombstone") for x in _by_user(spark, d))
     store.replace(I.collapse(old), "stored")
     return I.apply(store, new, "year").select("sid", "updated", "status_code", _TEXT(F.col("history")).alias("history"))
+
+
+def _loaded(spark, d):
+    """All orders, then a batch that changes one in 150, one that removes one in 300, and one that adds one in 700 again."""
+    store, rows = _store(spark), contracts(spark, d).select("sid", "status_code")
+    every = lambda n: rows.filter(F.col("sid").cast("long") % n == 0)
+    store.replace(rows, "all")
+    store.upsert(every(150).withColumn("status_code", F.lit("new")), "changed")
+    store.delete(every(300).select("sid"), "removed")
+    store.insert(every(700).withColumn("status_code", F.lit("again")), "added")
+    return store
+
+
+@query("store_log_rows", """SELECT CAST(o_orderkey AS VARCHAR) AS sid, CASE WHEN o_orderkey % 150 = 0 THEN 'new' ELSE o_orderstatus END AS status_code FROM orders WHERE o_orderkey % 300 <> 0
+  UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'again' FROM orders WHERE o_orderkey % 700 = 0""")
+def _(spark, d):
+    return _loaded(spark, d).read()
+
+
+@query("store_log_written", """SELECT 'all' AS batch, count(*) AS rows FROM orders UNION ALL SELECT 'changed', count(*) FROM orders WHERE o_orderkey % 150 = 0
+  UNION ALL SELECT 'removed', count(*) FROM orders WHERE o_orderkey % 300 = 0 UNION ALL SELECT 'added', count(*) FROM orders WHERE o_orderkey % 700 = 0""")
+def _(spark, d):
+    """A batch writes its own rows and no others."""
+    return _loaded(spark, d).commits().select("batch", "rows")
+
+
+@query("ingest_skipped", _TWO + "SELECT (SELECT count(*) FROM n) AS records, (SELECT count(*) FROM fresh) AS upserted, (SELECT count(*) FROM n) - (SELECT count(*) FROM fresh) AS skipped")
+def _(spark, d):
+    """The second half of the log, its early part a second time, against a store of the first: what isn't newer is skipped."""
+    store = _store(spark)
+    old, new = (x.filter("NOT tombstone") for x in _by_user(spark, d))
+    again = old.filter(F.col("updated") >= F.lit("2024-01-10"))
+    store.replace(I.collapse(old), "stored")
+    _, stats = I.apply_counted(store, new.unionByName(again), "year")
+    return spark.createDataFrame([(stats["records"], stats["upserted"], stats["skipped"])], "records long, upserted long, skipped long")
