@@ -80,9 +80,7 @@ class Jobs:
     def _archive(self, feed: dict) -> None:
         """Brings the archive of one channel and year into the store."""
         path, batch = self.land(feed["url"], f"{feed['name']}.zip")
-        members = workspace(self.spark, "members")
-        feeds.zip_members(self.spark, path).select("content").write.text(members)
-        self.process(members, feed["category"], batch)
+        self.process(feeds.unpacked(self.spark, path, workspace(self.spark, "members")), feed["category"], batch)
 
     def _feeds(self) -> list[dict]:
         return [r.asDict() for r in feeds.catalog(self.spark, self.year).collect()]  # a row a channel and year

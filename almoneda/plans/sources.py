@@ -97,6 +97,42 @@ def _(spark, d):
     return feeds.entries(spark, written_feed(spark, d), "test").select("sid", "updated", "link", F.col("status.ContractFolderID").alias("expediente"))
 
 
+def _pages(spark, d, n=6):
+    """(folder, pages): n feed files, page k with every (k + 1)th order under the title vk, all of one time, so that sizes
+    are unlike and only arrival decides."""
+    o = table(spark, d, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("page")).filter(F.pmod("o_orderkey", F.col("page") + 1) == 0)
+    key, page = F.col("o_orderkey").cast("string"), F.col("page").cast("string")
+    xml = F.concat(F.lit("<entry><id>https://x/s/"), key, F.lit("</id><updated>2024-01-01T00:00:00Z</updated><ContractFolderStatus><ContractFolderID>v"), page, F.lit("</ContractFolderID></ContractFolderStatus></entry>"))
+    lines = o.select("page", F.lit(1).alias("place"), xml.alias("value"))
+    ends = spark.range(n).select(F.col("id").cast("int").alias("page"), F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit("<feed>").alias("value")), F.struct(F.lit(2).alias("place"), F.lit("</feed>").alias("value")))).alias("x")).select("page", "x.*")
+    path = workspace(spark, "pages")
+    lines.unionByName(ends).repartition("page").sortWithinPartitions("page", "place").select("page", "value").write.partitionBy("page").text(path)
+    return path, [f"{path}/page={k}" for k in range(n)]
+
+
+_LAST_PAGE = " ".join(f"WHEN o_orderkey % {k + 1} = 0 THEN 'v{k}'" for k in range(5, 0, -1))
+
+
+@query("feed_arrival", f"SELECT CAST(o_orderkey AS VARCHAR) AS sid, CASE {_LAST_PAGE} ELSE 'v0' END AS expediente FROM orders")
+def _(spark, d):
+    """Equal times in files of unlike sizes: the entry of the last page holds."""
+    from almoneda.ingest import collapse_latest
+
+    path, _ = _pages(spark, d)
+    e = feeds.entries(spark, path, "test").select("sid", "updated", F.col("status.ContractFolderID").alias("expediente"), "pos", F.lit(False).alias("tombstone"))
+    return collapse_latest(e).select("sid", "expediente")
+
+
+@query("feed_arrival_listed", "SELECT CAST(o_orderkey AS VARCHAR) AS sid, 'v0' AS expediente FROM orders")
+def _(spark, d):
+    """The same files listed newest first: the first page is read last, and it has all orders."""
+    from almoneda.ingest import collapse_latest
+
+    _, pages = _pages(spark, d)
+    e = feeds.entries(spark, pages[::-1], "test").select("sid", "updated", F.col("status.ContractFolderID").alias("expediente"), "pos", F.lit(False).alias("tombstone"))
+    return collapse_latest(e).select("sid", "expediente")
+
+
 @query("scan_tombstones", "SELECT CAST(o_orderkey AS VARCHAR) AS sid, '2024-01-01T00:00:00Z' AS gone_at, 'CERRADA' AS reason FROM orders WHERE o_orderkey % 100 = 0")
 def _(spark, d):
     return feeds.tombstones(spark, written_feed(spark, d), "test").select("sid", F.col("when").alias("gone_at"), "reason")

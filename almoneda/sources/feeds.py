@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almoneda import schema
@@ -26,12 +26,37 @@ def _xml(spark: SparkSession, path: str | list[str], tag: str, ddl: str) -> Data
     return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(ddl).load(path)
 
 
+#: A file's place among those of a read, where its split begins, and the row's place in the split.
+ARRIVAL = "struct<page:string,block:bigint,place:bigint>"
+
+
+def arrival(spark: SparkSession, path: str | list[str]) -> Column:
+    """The order in which rows of files arrive, as a struct that sorts so: files of a list as listed, those of a folder by
+    path, rows of a file as they stand in it, however Spark packs files and splits into tasks.
+
+    Within a split Spark numbers rows as it reads them; the number's upper part is the task's and says nothing, so it
+    comes last, after what tells splits apart.
+    """
+    file = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    page = file
+    if not isinstance(path, str):
+        hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+        if len(path) > 1000:
+            raise ValueError("more than 1,000 files: put them into a folder, in order of their paths")
+        full = [re.sub("^file:/+", "file:/", (p := hadoop(x)).getFileSystem(conf).makeQualified(p).toUri().toString()) for x in path]
+        place = F.create_map(*[F.lit(x) for i, p in enumerate(full) for x in (p, f"{i:09d}")])
+        # what isn't listed itself lies in a listed folder: it comes with that folder, by path
+        inside = [F.when(F.startswith(file, F.lit(f"{p.rstrip('/')}/")), F.concat(F.lit(f"{i:09d}/"), file)) for i, p in enumerate(full)]
+        page = F.coalesce(F.try_element_at(place, file), *inside, file)
+    return F.struct(page.alias("page"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+
+
 def entries(spark: SparkSession, path: str | list[str], category: str) -> DataFrame:
     """(sid, updated, link, status, category, file, pos): the entries of feed files; pos orders them by arrival."""
     e = _xml(spark, path, "entry", schema.ENTRY)
     return e.select(
         last_segment("id").alias("sid"), "updated", F.get("link", F.lit(0))["_href"].alias("link"), F.col("ContractFolderStatus").alias("status"), F.lit(category).alias("category"),
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"),
+        F.col("_metadata.file_path").alias("file"), arrival(spark, path).alias("pos"),
     )
 
 
@@ -55,7 +80,7 @@ def codelist(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Of rows with one code the last in the file holds.
     """
-    r = _xml(spark, path, "Row", schema.CODELIST_ROW).select("Value", last_segment(F.col("_metadata.file_path")).alias("list_file"), F.monotonically_increasing_id().alias("pos"))
+    r = _xml(spark, path, "Row", schema.CODELIST_ROW).select("Value", last_segment(F.col("_metadata.file_path")).alias("list_file"), arrival(spark, path).alias("pos"))
     value = lambda name: F.nullif(F.trim(F.get(F.filter("Value", lambda v: v["_ColumnRef"] == name), F.lit(0))["SimpleValue"]), F.lit(""))
     named = r.select("list_file", value("code").alias("code"), F.coalesce(value("nombre"), value("name"), value("code")).alias("label"), "pos").filter("code IS NOT NULL")
     return named.groupBy("list_file", "code").agg(F.max_by("label", "pos").alias("label"))
@@ -67,6 +92,13 @@ def codelist_json(codes: DataFrame) -> DataFrame:
     return codes.groupBy("list_file").agg(F.to_json(F.map_from_entries(entries)).alias("json"))
 
 
+def unpacked(spark: SparkSession, path: str, folder: str, suffix: str = ".atom") -> str:
+    """The members of ZIP files, each a file of its own below `folder`, whose paths are in the order of archive and name."""
+    members = zip_members(spark, path, suffix).select(last_segment("archive").alias("archive"), F.lpad(F.col("number").cast("string"), 9, "0").alias("member"), F.col("content").alias("value"))
+    members.write.partitionBy("archive", "member").text(folder)
+    return folder
+
+
 def list_uris(xml_texts: DataFrame, column: str = "xml") -> DataFrame:
     """(uri, file): the distinct code list addresses that entries name, over HTTPS."""
     found = F.explode(F.regexp_extract_all(column, F.lit(r"\blistURI(?:ID)?\s*=\s*\"([^\"]+)\""), F.lit(1)))
@@ -75,16 +107,17 @@ def list_uris(xml_texts: DataFrame, column: str = "xml") -> DataFrame:
 
 
 def zip_members(spark: SparkSession, path: str, suffix: str = ".atom") -> DataFrame:
-    """(archive, name, content): the members of ZIP files with a suffix, by name; each archive is opened by one task."""
+    """(archive, number, name, content): the members of ZIP files with a suffix, numbered by name; each archive is opened
+    by one task."""
 
     def run(frames):
         for pdf in frames:
             for archive, content in zip(pdf["path"], pdf["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in sorted(n for n in z.namelist() if n.endswith(suffix)):
-                        yield pd.DataFrame({"archive": [archive], "name": [name], "content": [z.read(name).decode("utf-8", "replace")]})
+                    for number, name in enumerate(sorted(n for n in z.namelist() if n.endswith(suffix))):
+                        yield pd.DataFrame({"archive": [archive], "number": [number], "name": [name], "content": [z.read(name).decode("utf-8", "replace")]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, name string, content string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, number int, name string, content string")
 
 
 #: Where the feeds are. Fixed value.
