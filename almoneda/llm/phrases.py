@@ -1,9 +1,10 @@
 """Phrase collocations by contiguous pattern growth.
 
-A first reading counts words. A second one projects every occurrence of a frequent word that a frequent word follows: a
-pointer with the words to its right, up to the length of a phrase, cut at the first word that can't be frequent. All pointers
-of a prefix meet in one task, which grows the prefix to the right, depth first, as long as what follows is frequent. Prefixes
-with more pointers than a task should hold are spread by what follows them, and counted by whole phrase instead.
+A first reading counts words. A second one finds which pairs can't be frequent, by counts of hashed pairs of frequent words,
+which may be too high but never too low. A third one projects every occurrence of a word that may begin a frequent pair: a
+pointer with the words to its right, up to the length of a phrase, cut where the next pair can't be frequent. All pointers of
+a prefix meet in one task, which grows the prefix to the right, depth first, as long as what follows is frequent. Prefixes with
+more pointers than a task should hold are spread by what follows them, and counted by whole phrase instead.
 
 Words travel as 64-bit names; the first reading finds names that a frequent word shares with another, and then starts again
 with other names, so counts are exact.
@@ -28,11 +29,12 @@ STOPS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _STOP, _WORD = np.zeros(256, bool), np.ones(256, bool)
 _STOP[list(STOPS)] = True
 _WORD[list(STOPS + BLANKS)] = False
-#: Bits of the filter for frequent words; a fixed size, so that it may be sent to every task.
+#: Bits of the filters for frequent words and pairs; a fixed size, so that they may be sent to every task.
 FILTER_BITS = 1 << 25
 #: Pointers that a task is dealt on average, at most; a prefix of more than a quarter of that is spread.
 TASK_POINTERS = 2_000_000
 LONGEST = 4
+_ZSTD = pa.Codec("zstd", compression_level=1)
 _KEYS = [f"h{i}" for i in range(1, LONGEST + 1)]
 
 
@@ -102,11 +104,11 @@ def _by_name(partial: DataFrame, least: int) -> DataFrame:
     return named.filter(F.col("whole") | (F.col("f") >= least)).select("h", "lang", "word", "f", "words")
 
 
-def frequent_filter(words: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, packed, with the bit of each name set: a word without its bit isn't frequent."""
-    bit = F.col("h").bitwiseAND(FILTER_BITS - 1) + 1  # Spark's bitmaps count from 1
-    parts = words.filter("word IS NOT NULL").groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("b")).collect()
-    # one row for each 32,768 bits, whatever the number of words
+def _filter(df: DataFrame, name: str) -> np.ndarray:
+    """FILTER_BITS bits, packed, with the bit of each value of a column set: what has no bit isn't in the column."""
+    bit = F.col(name).bitwiseAND(FILTER_BITS - 1) + 1  # Spark's bitmaps count from 1
+    parts = df.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("b")).collect()
+    # one row for each 32,768 bits, whatever the number of values
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in parts:
         block = np.frombuffer(bytes(r.b), np.uint8)
@@ -115,14 +117,114 @@ def frequent_filter(words: DataFrame) -> np.ndarray:
     return out
 
 
-def _set(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
-    at = (names & U(FILTER_BITS - 1)).astype(np.int64)
+def _set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = (values & U(FILTER_BITS - 1)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def _width(total: int) -> int:
+    """Bits of a pair's key in a corpus of `total` words."""
+    return min(max(total.bit_length() + 5, 32), 56)
+
+
+def _pairs(names: np.ndarray) -> np.ndarray:
+    """64 bits for each word and its successor."""
+    return mix64(names[:-1] * U(0xC6A4A7935BD1E995) + names[1:])
+
+
+class _Chunks:
+    """Words of a task's texts, chunk by chunk: (names, joined), where joined[i] says that words i and i + 1 are in one
+    piece and both may be frequent."""
+
+    def __init__(self, batches, bits: np.ndarray, seed: int):
+        self.batches, self.bits, self.seed = batches, bits, seed
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in self.batches:
+            langs = batch.column(0).to_pylist()
+            for i, j, data, offsets in textcore.chunks(batch.column(1)):
+                starts, ends, doc, names = _named(data, offsets, _lang_keys(langs[i:j]), self.seed)
+                if len(names) < 2:
+                    continue
+                stops = np.concatenate([[0], np.cumsum(_STOP[data])])
+                often = _set(self.bits, names)
+                yield names, often[:-1] & often[1:] & (doc[1:] == doc[:-1]) & (stops[starts[1:]] == stops[ends[:-1]])
+
+
+def pair_filter(docs: DataFrame, often: np.ndarray, total: int, least: int, seed: int, tasks: int) -> np.ndarray:
+    """The bits of all pairs that occur at least `least` times, and few others.
+
+    Pairs are counted by the leading bits of their hash, five more than number the corpus' words: pairs that share these are
+    counted as one, which can only be too many. So sorted, a pair is a difference of two bytes or so.
+    """
+    spark = docs.sparkSession
+    width = _width(total)
+    sent = spark.sparkContext.broadcast(often)
+
+    def count(batches):
+        held, n = [], 0
+
+        def done():
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            bucket = (keys >> U(width - 31)).astype(np.int64) * tasks >> 31  # ranges of keys
+            cuts = np.searchsorted(bucket, np.arange(tasks + 1))
+            full = [k for k in range(tasks) if cuts[k] < cuts[k + 1]]
+            rows = [_planes(keys[cuts[k] : cuts[k + 1]], counts[cuts[k] : cuts[k + 1]]) for k in full]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "rows"])
+
+        for names, joined in _Chunks(batches, sent.value, seed):
+            held.append(_pairs(names)[joined] >> U(64 - width))
+            n += len(held[-1])
+            if n >= 2_000_000:
+                yield done()
+                held, n = [], 0
+        if n:
+            yield done()
+
+    def sum_up(batches):
+        at, parts = None, []
+
+        def done():
+            keys, counts = (np.concatenate(x) for x in zip(*map(_of_planes, parts)))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            often = np.add.reduceat(counts[order], cuts) >= least
+            return pa.RecordBatch.from_arrays([pa.array(keys[cuts][often].view(np.int64))], ["pair"])
+
+        for batch in batches:
+            for bucket, rows in zip(*[c.to_pylist() for c in batch.columns]):
+                if at is not None and bucket != at:
+                    yield done()
+                    parts = []
+                at = bucket
+                parts.append(rows)
+        if at is not None:
+            yield done()
+
+    counted = docs.select("lang", "text").mapInArrow(count, "bucket int, rows binary")
+    dealt = counted.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    # by their leading bits: the filter takes the low ones of a key
+    return _filter(dealt.mapInArrow(sum_up, "pair long"), "pair")
+
+
+def _planes(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as differences, and counts, byte plane by byte plane, compressed."""
+    steps = np.diff(keys, prepend=U(0))
+    body = steps.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(keys).to_bytes(8, "big") + _ZSTD.compress(body, asbytes=True)
+
+
+def _of_planes(rows: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(rows[:8], "big")
+    body = np.frombuffer(_ZSTD.decompress(rows[8:], 12 * n, asbytes=True), np.uint8)
+    steps = np.ascontiguousarray(body[: 8 * n].reshape(8, n).T).view(U).ravel()
+    return np.cumsum(steps, dtype=U), np.ascontiguousarray(body[8 * n :].reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
+
+
 def _windows(names: np.ndarray, joined: np.ndarray) -> np.ndarray:
-    """The projected pointers: rows of LONGEST names, 0 where the context ends. joined[i]: words i and i + 1 are frequent
-    and in one piece."""
+    """The projected pointers: rows of LONGEST names, 0 where the context ends. joined[i]: words i and i + 1 may be a
+    frequent pair."""
     at = np.flatnonzero(joined)
     out = np.zeros((LONGEST, len(at)), U)
     out[0], on = names[at], np.ones(len(at), bool)
@@ -135,41 +237,49 @@ def _windows(names: np.ndarray, joined: np.ndarray) -> np.ndarray:
 def _pack(windows: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[tuple[int, bool, bytes]]:
     """(bucket, whole, rows) of windows: those of hot prefixes as counts of whole phrases, dealt by phrase, the others as
     pointers, dealt by prefix. Equal ones are joined; order and names make no difference to what is counted."""
-    if len(hot):
-        spread = np.isin(windows[0], hot)
-        wholes = []
-        for k in range(2, LONGEST + 1):
-            x = windows[:, spread & (windows[k - 1] != 0)].copy()
-            x[k:] = 0
-            wholes.append(x)
-        parts = [(False, windows[:, ~spread]), (True, np.concatenate(wholes, axis=1))]
-    else:
-        parts = [(False, windows)]
-    for whole, x in parts:
-        if not x.shape[1]:
-            continue
-        q = x[0].copy()
-        with np.errstate(over="ignore"):
-            for k in range(1, LONGEST):
-                q = mix64(q * U(0xC6A4A7935BD1E995) + x[k])
-        bucket = (mix64(q if whole else x[0]) >> U(20)) % U(buckets)
-        order = np.lexsort((q, x[0], bucket)) if not whole else np.lexsort((q, bucket))
-        x, bucket = x[:, order], bucket[order]
-        first = np.ones(len(bucket), bool)
-        first[1:] = (x[:, 1:] != x[:, :-1]).any(axis=0)
-        at = np.flatnonzero(first)
-        n = np.diff(np.append(at, len(bucket))).astype(np.uint32)
-        x, bucket = x[:, at], bucket[at]
-        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
-            yield int(bucket[a]), whole, np.ascontiguousarray(x[:, a:b]).tobytes() + n[a:b].tobytes()
+    spread = np.isin(windows[0], hot) if len(hot) else np.zeros(windows.shape[1], bool)
+    yield from _dealt(windows[:, ~spread], False, buckets)
+    for k in range(2, LONGEST + 1):
+        x = windows[:, spread & (windows[k - 1] != 0)]
+        x[k:] = 0
+        yield from _dealt(x, True, buckets)
+
+
+def _dealt(x: np.ndarray, whole: bool, buckets: int) -> Iterator[tuple[int, bool, bytes]]:
+    q = x[0].copy()
+    for k in range(1, LONGEST):
+        q = mix64(q * U(0xC6A4A7935BD1E995) + x[k])
+    bucket = ((mix64(q if whole else x[0]) >> U(20)) % U(buckets)).astype(np.int32)
+    order = np.lexsort((q, bucket)) if whole else np.lexsort((q, x[0], bucket))
+    x, bucket = x[:, order], bucket[order]
+    at = np.flatnonzero(np.append(x.shape[1] > 0, (x[:, 1:] != x[:, :-1]).any(axis=0)))
+    n = np.diff(np.append(at, len(bucket))).astype(np.uint32)
+    x, bucket = x[:, at], bucket[at]
+    cuts = np.flatnonzero(np.append(len(bucket) > 0, bucket[1:] != bucket[:-1])).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+        yield int(bucket[a]), whole, _coded(x[:, a:b], n[a:b])
+
+
+def _coded(x: np.ndarray, n: np.ndarray) -> bytes:
+    """Rows of names with their counts: the names once, then for each row their places among them, compressed."""
+    names, place = np.unique(x, return_inverse=True)
+    small = len(names) <= 1 << 16
+    body = np.array([len(n), len(names)], np.int64).tobytes() + names.tobytes() + place.astype(np.uint16 if small else np.uint32).tobytes() + n.tobytes()
+    return len(body).to_bytes(8, "big") + _ZSTD.compress(body, asbytes=True)
+
+
+def _decoded(rows: bytes) -> tuple[np.ndarray, np.ndarray]:
+    body = _ZSTD.decompress(rows[8:], int.from_bytes(rows[:8], "big"), asbytes=True)
+    n, k = np.frombuffer(body, np.int64, 2).tolist()
+    names = np.frombuffer(body, U, k, 16)
+    kind = np.dtype(np.uint16 if k <= 1 << 16 else np.uint32)
+    place = np.frombuffer(body, kind, n * LONGEST, 16 + 8 * k)
+    return names[place].reshape(LONGEST, n), np.frombuffer(body, np.uint32, n, 16 + 8 * k + kind.itemsize * n * LONGEST)
 
 
 def _unpack(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    size = LONGEST * 8 + 4
-    xs = [np.frombuffer(p, U, len(p) // size * LONGEST).reshape(LONGEST, -1) for p in parts]
-    ns = [np.frombuffer(p, np.uint32, offset=len(p) // size * LONGEST * 8) for p in parts]
-    return np.concatenate(xs, axis=1), np.concatenate(ns).astype(np.int64)
+    rows = [_decoded(p) for p in parts]
+    return np.concatenate([x for x, _ in rows], axis=1), np.concatenate([n for _, n in rows]).astype(np.int64)
 
 
 def grow(prefix: tuple[int, ...], pointers: np.ndarray, context: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tuple[tuple[int, ...], int]]:
@@ -219,26 +329,22 @@ def frequent_phrases(docs: DataFrame, words: DataFrame, least: int, seed: int =
     total = int(words.filter("word IS NULL").agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0])
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_pointers))
     hot = np.array([r.h for r in words.filter(F.col("word").isNotNull() & (F.col("f") * 4 * tasks > total)).select("h").collect()], np.int64).view(U)  # fewer than 4 a task
-    sent = spark.sparkContext.broadcast((frequent_filter(words), np.sort(hot)))
-    buckets = 4 * tasks
+    often = _filter(words.filter("word IS NOT NULL"), "h")
+    pairs = pair_filter(docs, often, total, least, seed, tasks)
+    width = _width(total)
+    sent = spark.sparkContext.broadcast((often, pairs, np.sort(hot)))
+    buckets = 2 * tasks
 
     def project(batches):
-        bits, hot = sent.value
+        often, pairs, hot = sent.value
         held, n = [], 0
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for i, j, data, offsets in textcore.chunks(batch.column(1)):
-                starts, ends, doc, names = _named(data, offsets, _lang_keys(langs[i:j]), seed)
-                if len(names) < 2:
-                    continue
-                stops = np.concatenate([[0], np.cumsum(_STOP[data])])
-                often = _set(bits, names)
-                joined = often[:-1] & often[1:] & (doc[1:] == doc[:-1]) & (stops[starts[1:]] == stops[ends[:-1]])
-                held.append(_windows(names, joined))
-                n += held[-1].shape[1]
-                if n >= 1_000_000:
-                    yield from _rows(_pack(np.concatenate(held, axis=1), hot, buckets))
-                    held, n = [], 0
+        for names, joined in _Chunks(batches, often, seed):
+            joined[joined] = _set(pairs, _pairs(names)[joined] >> U(64 - width))
+            held.append(_windows(names, joined))
+            n += held[-1].shape[1]
+            if n >= 1_000_000:
+                yield from _rows(_pack(np.concatenate(held, axis=1), hot, buckets))
+                held, n = [], 0
         if n:
             yield from _rows(_pack(np.concatenate(held, axis=1), hot, buckets))
 
