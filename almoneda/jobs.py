@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almoneda import extract, graph, ingest
+from almoneda import extract, ingest
+from almoneda.graph_store import GraphStore, of_contracts
 from almoneda.sources import feeds
 from almoneda.store import SnapshotStore, workspace
 from almoneda.streaming.daily import backfill, walk_pages
@@ -31,15 +32,18 @@ class Jobs:
     def __init__(self, spark: SparkSession, home: str, fetch: Callable[[str], bytes] | None = None, year: int | None = None):
         self.spark, self.home, self.fetch, self.year = spark, home.rstrip("/"), fetch, year or datetime.date.today().year
         self.store = SnapshotStore(spark, f"{self.home}/contracts")
+        self.graph = GraphStore(spark, f"{self.home}/graph")
 
     def init_schema(self) -> dict[str, bool]:
         """Makes the tables that aren't there; which were made."""
         return {name: SnapshotStore(self.spark, f"{self.home}/{name}").ensure(ddl) for name, ddl in TABLES.items()}
 
     def init_graph(self) -> None:
-        """Checks the keys of the award graph's tables."""
-        awards = extract.awards(self.store.read(TABLES["contracts"]))
-        graph.check_unique({"companies": graph.company_nodes(awards), "lots": graph.lot_nodes(awards)})
+        """Makes the tables of the award graph, brings in the stored contracts if it has none, and checks its keys."""
+        self.graph.ensure()
+        if not self.graph.stores["contracts"].version() and self.store.version():
+            self.graph.apply("first", of_contracts(self.store.read()))
+        self.graph.check()
 
     def land(self, url: str, name: str) -> tuple[str, str]:
         """(path, batch id) of a file fetched into the shared folder; the id follows from what the file holds."""
@@ -56,7 +60,13 @@ class Jobs:
         gone = feeds.tombstones(self.spark, path, category).select("sid", F.col("when").alias("updated"), "category", F.lit(True).alias("tombstone"))
         versions = entries.unionByName(gone, allowMissingColumns=True)
         found = ingest.apply_counted(self.store, versions, batch)
-        return found[1] if found else {"records": 0, "upserted": 0, "deleted": 0, "skipped": 0}
+        if found is None:
+            return {"records": 0, "upserted": 0, "deleted": 0, "skipped": 0}
+        try:
+            self.graph.apply(batch, of_contracts(found[0]), gone.select("sid"))
+        except Exception as e:  # noqa: BLE001  the graph never stops the ingest
+            print(f"graph, {category}: {e}")
+        return found[1]
 
     def watermark(self, category: str) -> str | None:
         now = self.store.read(TABLES["contracts"])

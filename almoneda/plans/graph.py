@@ -156,3 +156,32 @@ def _(spark, d):
     G.check_unique({"lots": merged["lots"], "companies": merged["companies"].dropDuplicates(["nif"])})
     counts = [merged[t].agg(F.count("*").alias(t)) for t in ("won", "lots", "classified")] + [merged["companies"].agg(F.countDistinct("nif").alias("companies"))]
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(counts[3])  # one row each
+
+
+def _in_batches(spark, d):
+    """The award graph after two batches: all orders, then one in five once more, every lot won by a company's other name and
+    the lots of one in ten by another company too; one in seven goes with the second."""
+    from almoneda.graph_store import GraphStore, batch_tables
+    from almoneda.store import workspace, written
+
+    key = F.col("sid").cast("long")
+    a = written(awards(spark, d), "awards")
+    g = GraphStore(spark, workspace(spark, "graph"))
+    g.apply("b1", batch_tables(a))
+    again = a.filter(key % 5 == 0).withColumn("name", F.concat(F.lit("NEW "), "name")).withColumn("nif", F.when((key % 10 == 0) & F.col("nif").isNotNull(), "B9999").otherwise(F.col("nif")))
+    gone = contracts(spark, d).filter(key % 7 == 0).select("sid")
+    g.apply("b2", batch_tables(again.join(gone, "sid", "left_anti")), gone)
+    return g
+
+
+_BATCHES = _sql(""", d AS (SELECT sid, lot_key, nif, name, CAST(sid AS BIGINT) AS k, seq FROM awards WHERE nif IS NOT NULL AND CAST(sid AS BIGINT) % 7 <> 0),
+later AS (SELECT CASE WHEN k % 10 = 0 THEN 'B9999' ELSE nif END AS nif, lot_key, max_by('NEW ' || name, seq) AS name FROM d WHERE k % 5 = 0 GROUP BY CASE WHEN k % 10 = 0 THEN 'B9999' ELSE nif END, lot_key),
+edges AS (SELECT nif, lot_key, name FROM later UNION ALL SELECT nif, lot_key, max_by(name, seq) FROM d WHERE NOT EXISTS (SELECT 1 FROM later l WHERE l.nif = d.nif AND l.lot_key = d.lot_key) GROUP BY nif, lot_key)""")
+
+
+@query("graph_in_batches", _BATCHES + """, c AS (SELECT nif, upper(replace(regexp_replace(name, '[^A-Za-z0-9]', ' ', 'g'), ' S L ', '')) AS norm, count(*) AS n, min(name) AS name FROM edges GROUP BY ALL),
+  t AS (SELECT nif, arg_min(name, (-n, norm)) AS canonical_name FROM c GROUP BY nif) SELECT nif, lot_key, name AS name_display, canonical_name FROM edges JOIN t USING (nif)""")
+def _(spark, d):
+    """Edges, and the names of their companies as signed counts keep them."""
+    g = _in_batches(spark, d)
+    return g.read("won").join(g.read("companies"), "nif").select("nif", "lot_key", "name_display", "canonical_name")

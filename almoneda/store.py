@@ -18,6 +18,7 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def workspace(spark: SparkSession, tag: str) -> str:
@@ -111,13 +112,15 @@ class SnapshotStore:
     @staticmethod
     def _play(state: dict, entry: dict) -> None:
         state["n"], state["depth"] = entry["n"], entry["depth"]
+        known = {f["name"] for f in state.setdefault("fields", [])}
+        state["fields"] += [f for f in entry["fields"] if f["name"] not in known]
         gone = {(f["folder"], f["part"]) for f in entry["removes"]}
         state["files"] = [f for f in state["files"] if (f["folder"], f["part"]) not in gone] + entry["adds"]
         live = {f["folder"] for f in state["files"]}
         state["dropped"] |= {f["folder"]: entry["n"] for f in entry["removes"] if f["folder"] not in live}
         state["recent"][entry["n"]] = entry["batch"]
 
-    def _commit(self, batch: str | None, depth: int, adds: list[dict], removes: list[dict], since: int | None = None) -> int:
+    def _commit(self, batch: str | None, depth: int, adds: list[dict], removes: list[dict], since: int | None = None, schema: T.StructType | None = None) -> int:
         """Puts a commit at the end of the log. since: the commit that was read; a later one of the same parts is a
         conflict, as is one that removed what this removes."""
         while True:
@@ -134,7 +137,7 @@ class SnapshotStore:
             if any((f["folder"], f["part"]) not in live for f in removes):
                 raise Conflict("a file was joined meanwhile")
             n = state["n"] + 1
-            entry = {"n": n, "batch": batch, "depth": max(depth, state["depth"]), "adds": [{**f, "n": n} if f["n"] is None else f for f in adds], "removes": removes}
+            entry = {"n": n, "batch": batch, "depth": max(depth, state["depth"]), "adds": [{**f, "n": n} if f["n"] is None else f for f in adds], "removes": removes, "fields": schema.jsonValue()["fields"] if schema else []}
             if not self._put("log", f"{n:012d}.json", json.dumps(entry)):
                 continue
             if batch is not None:
@@ -192,10 +195,15 @@ class SnapshotStore:
     def _first(state: dict) -> int:
         return min((f["depth"] for f in state["files"]), default=state["depth"])
 
-    def _raw(self, files: list[dict]) -> DataFrame:
+    @staticmethod
+    def _schema(state: dict) -> T.StructType:
+        """The columns of all commits, in order of appearance."""
+        return T.StructType.fromJson({"type": "struct", "fields": [{**f, "nullable": True} for f in state["fields"]]})
+
+    def _raw(self, state: dict, files: list[dict]) -> DataFrame:
         """The rows of files with `_op` and `_n`, the commit they came with."""
         paths = [f"{self.path}/data/{f['folder']}/_part={f['part']}" for f in files]
-        rows = self.spark.read.option("mergeSchema", "true").parquet(*paths)
+        rows = self.spark.read.schema(self._schema(state).add("_op", "byte").add("_n", "long")).parquet(*paths)
         order = self.spark.createDataFrame([(f["folder"], f["n"]) for f in {f["folder"]: f for f in files}.values()], "_folder string, _commit long")
         folder = F.regexp_extract(F.col("_metadata.file_path"), r"/data/([0-9a-f]+)/_part=\d+/[^/]*$", 1)
         named = rows.select("*", folder.alias("_folder")).join(F.broadcast(order), "_folder")  # a row a folder
@@ -210,8 +218,8 @@ class SnapshotStore:
     def _read(self, state: dict, groups: dict[tuple[int, int], list[dict]]) -> DataFrame | None:
         plain = [f for g in groups.values() if len(g) == 1 for f in g]
         mixed = [f for g in groups.values() if len(g) > 1 for f in g]
-        out = [self._raw(plain).filter(F.col("_op") != REMOVE)] if plain else []
-        out += [self._merged(self._raw(mixed))] if mixed else []
+        out = [self._raw(state, plain).filter(F.col("_op") != REMOVE)] if plain else []
+        out += [self._merged(self._raw(state, mixed))] if mixed else []
         if not out:
             return None
         return (out[0] if len(out) == 1 else out[0].unionByName(out[1], allowMissingColumns=True)).drop("_op", "_n")
@@ -227,8 +235,8 @@ class SnapshotStore:
             found = found.filter(self._part(state["depth"]).isin(parts)) if len(parts) <= 1000 else found
         if found is not None:
             return found
-        if schema is None and state["files"]:
-            schema = self._raw(state["files"][:1]).drop("_op", "_n").schema
+        if schema is None and state.get("fields"):
+            schema = self._schema(state)
         if schema is None and self._fs.exists(self._path(f"{self.path}/schema")):
             schema = self.spark.read.parquet(f"{self.path}/schema").schema
         return self.spark.createDataFrame([], schema) if schema is not None else None
@@ -273,12 +281,12 @@ class SnapshotStore:
         rows = marked[0]
         for more in marked[1:]:
             rows = rows.unionByName(more, allowMissingColumns=True)
-        self.ensure(rows.drop("_op").schema)
+        schema = rows.drop("_op").schema
         while True:
             depth = self._state()["depth"]
             files = self._write(rows.withColumn("_n", F.lit(None).cast("long")), depth, False)
             try:
-                self._commit(batch, depth, files, [], since)
+                self._commit(batch, depth, files, [], since, schema)
                 break
             except Conflict:
                 self._forget(files)
@@ -310,9 +318,8 @@ class SnapshotStore:
         state = self._state()
         if self._known(state, batch):
             return False
-        self.ensure(df.schema)
         files = self._write(df.withColumns({"_op": F.lit(REPLACE).cast("byte"), "_n": F.lit(None).cast("long")}), state["depth"], True)
-        self._commit(batch, state["depth"], files, state["files"])
+        self._commit(batch, state["depth"], files, state["files"], schema=df.schema)
         return True
 
     # --- upkeep
@@ -349,7 +356,7 @@ class SnapshotStore:
                 total = sum(f["rows"] for f in state["files"])
                 while total > self.part_rows << depth and depth < _HASH_BITS - 1:
                     depth += 1
-            rows = self._merged(self._raw(files), marks=kind == "newest")
+            rows = self._merged(self._raw(state, files), marks=kind == "newest")
             last = max(f["n"] for f in files)
             if kind == "whole":
                 rows = rows.withColumns({"_op": F.lit(REPLACE).cast("byte"), "_n": F.lit(last).cast("long")})
