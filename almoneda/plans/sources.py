@@ -256,6 +256,20 @@ def _(spark, d):
     return store.read().select("sid", "updated", "status_code")
 
 
+@query("stream_latest", f"""WITH {VERSIONS}, e AS (SELECT * FROM versions WHERE NOT tombstone AND sid NOT IN (SELECT sid FROM versions WHERE tombstone)),
+h AS (SELECT sid, string_agg(x, '|' ORDER BY x) AS history FROM (SELECT DISTINCT sid, substr(updated, 1, 10) || ' ' || status_code AS x FROM e) GROUP BY sid)
+SELECT sid, max(updated) AS updated, max_by(status_code, (updated, pos)) AS status_code, max_by(pos, (updated, pos)) AS pos, any_value(history) AS history FROM e JOIN h USING (sid) GROUP BY sid""")
+def _(spark, d):
+    """Versions in three files, dealt without regard to time, a file a micro-batch: many come late."""
+    from almoneda.streaming.latest import VERSION, keep_latest
+
+    land, store = workspace(spark, "landing"), SnapshotStore(spark, workspace(spark, "store"))
+    v = versions(spark, d).withColumn("payload", F.col("amount").cast("string")).select("sid", "updated", "status_code", "pos", "tombstone", "payload")
+    v.repartitionByRange(3, F.xxhash64("pos")).write.parquet(land)
+    keep_latest(spark.readStream.schema(VERSION).option("maxFilesPerTrigger", 1).parquet(land), store, workspace(spark, "stream"))
+    return store.read().select("sid", "updated", "status_code", "pos", "history")
+
+
 @query("ext_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def _(spark, d):
     from almoneda.streaming.daily import event_windows
