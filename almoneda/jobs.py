@@ -1,13 +1,14 @@
 """Ingest jobs over feeds: daily walk, back-fill, reconciliation of the running year.
 
-The driver fetches files one after the other, as each page names the next, and puts them into the shared folder; Spark reads
-them from there. `fetch` stands in for the network.
+The daily walk fetches pages one after the other, as each names the next, and puts them into the shared folder; Spark reads them
+from there. Archives are downloaded and unpacked by executors. `fetch` stands in for the network.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from almoneda import extract, ingest
 from almoneda.graph_store import GraphStore, of_contracts
 from almoneda.sources import feeds
-from almoneda.store import SnapshotStore, workspace
+from almoneda.store import SnapshotStore, workspace, written
 from almoneda.streaming.daily import backfill, walk_pages
 
 #: Tables of the store and the columns each begins with.
@@ -88,16 +89,18 @@ class Jobs:
         return out
 
     def _archive(self, feed: dict) -> None:
-        """Brings the archive of one channel and year into the store."""
-        path, batch = self.land(feed["url"], f"{feed['name']}.zip")
-        self.process(feeds.unpacked(self.spark, path, workspace(self.spark, "members")), feed["category"], batch)
+        """Brings the archive of one channel and year into the store; executors download and unpack it."""
+        members = written(feeds.fetched_members(self.spark, [feed["url"]], self.fetch), "archive")
+        first = members.select("digest").first()
+        if first:
+            self.process(feeds.unpacked(members, workspace(self.spark, "members")), feed["category"], first.digest[:32])
 
     def _feeds(self) -> list[dict]:
         return [r.asDict() for r in feeds.catalog(self.spark, self.year).collect()]  # a row a channel and year
 
-    def backfill(self, may_run: Callable[[], bool] = lambda: True) -> tuple[list[str], dict[str, str]]:
-        """All archives, oldest year first; (done, failed with why)."""
-        return backfill(self._feeds(), self._archive, may_run)
+    def backfill(self, may_run: Callable[[], bool] = lambda: True, pause: Callable[[], None] = lambda: time.sleep(600)) -> tuple[list[str], dict[str, str]]:
+        """All archives, oldest year first, each once may_run says so; (done, failed with why)."""
+        return backfill(self._feeds(), self._archive, may_run, pause)
 
     def reconcile(self) -> tuple[list[str], dict[str, str]]:
         """The running year's archives once more, merged into what is stored."""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
+import tempfile
 import urllib.request
 import zipfile
 from collections.abc import Callable
@@ -92,10 +94,31 @@ def codelist_json(codes: DataFrame) -> DataFrame:
     return codes.groupBy("list_file").agg(F.to_json(F.map_from_entries(entries)).alias("json"))
 
 
-def unpacked(spark: SparkSession, path: str, folder: str, suffix: str = ".atom") -> str:
-    """The members of ZIP files, each a file of its own below `folder`, whose paths are in the order of archive and name."""
-    members = zip_members(spark, path, suffix).select(last_segment("archive").alias("archive"), F.lpad(F.col("number").cast("string"), 9, "0").alias("member"), F.col("content").alias("value"))
-    members.write.partitionBy("archive", "member").text(folder)
+def fetched_members(spark: SparkSession, urls: list[str], fetch: Callable[[str], bytes] | None = None, suffix: str = ".atom") -> DataFrame:
+    """(archive, number, name, content, digest) as zip_members, of archives over HTTP: a task downloads each to its own disk,
+    so no archive passes through the driver. digest: SHA-256 of the archive."""
+
+    def run(frames):
+        for pdf in frames:
+            for url in pdf["url"]:
+                with tempfile.TemporaryFile() as f:
+                    digest = hashlib.sha256()
+                    with io.BytesIO(fetch(url)) if fetch else _opened(url, 600) as source:
+                        while part := source.read(1 << 20):
+                            digest.update(part)
+                            f.write(part)
+                    with zipfile.ZipFile(f) as z:
+                        for number, name in enumerate(sorted(n for n in z.namelist() if n.endswith(suffix))):
+                            yield pd.DataFrame({"archive": [url], "number": [number], "name": [name], "content": [z.read(name).decode("utf-8", "replace")], "digest": [digest.hexdigest()]})
+
+    asked = spark.createDataFrame([(u,) for u in urls], "url string").repartition(max(1, len(urls)))
+    return asked.mapInPandas(run, "archive string, number int, name string, content string, digest string")
+
+
+def unpacked(members: DataFrame, folder: str) -> str:
+    """The members of archives, each a file of its own below `folder`, whose paths are in the order of archive and name."""
+    members = members.select(last_segment("archive").alias("archive"), F.lpad(F.col("number").cast("string"), 9, "0").alias("member"), F.col("content").alias("value"))
+    members.repartition("archive", "member").write.partitionBy("archive", "member").text(folder)
     return folder
 
 
@@ -143,6 +166,9 @@ def download(url: str, fetch: Callable[[str], bytes] | None = None, timeout: flo
     """A file over HTTP, redirects followed and certificates checked; `fetch` stands in for the network in tests."""
     if fetch:
         return fetch(url)
-    request = urllib.request.Request(url, headers={"User-Agent": "almoneda/0.1"})
-    with urllib.request.urlopen(request, timeout=timeout) as r:  # noqa: S310
+    with _opened(url, timeout) as r:
         return r.read()
+
+
+def _opened(url: str, timeout: float):
+    return urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "almoneda/0.1"}), timeout=timeout)  # noqa: S310

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,8 @@ from almoneda.store import SnapshotStore
 def run_stream(versions: DataFrame, store: SnapshotStore, checkpoint: str, after: Callable[[DataFrame], None] | None = None) -> None:
     """Applies all files that are there. `versions` is a stream as almoneda.ingest takes it.
 
-    A batch rewrites only the parts of the store that hold its keys. One that is repeated after a failure finds its version
-    and is skipped. `after` gets each batch's rows, for a
-    second store; if it fails, the ingest goes on.
+    A batch writes its own rows alone. One that is repeated after a failure is found and skipped. `after` gets each batch's
+    rows, for a second store; if it fails, the ingest goes on.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
@@ -42,12 +42,13 @@ def walk_pages(first: str, load: Callable[[str], tuple[str | None, str | None]],
     return seen
 
 
-def backfill(feeds: list[dict], process: Callable[[dict], None], may_run: Callable[[], bool] = lambda: True) -> tuple[list[str], dict[str, str]]:
-    """Feeds from the oldest year on, while may_run says so; a feed that fails doesn't stop the others."""
+def backfill(feeds: list[dict], process: Callable[[dict], None], may_run: Callable[[], bool] = lambda: True, pause: Callable[[], None] = lambda: time.sleep(600)) -> tuple[list[str], dict[str, str]]:
+    """All feeds from the oldest year on; before each it waits, pause by pause, until may_run says so. A feed that fails
+    doesn't stop the others."""
     done, failed = [], {}
     for f in sorted(feeds, key=lambda x: (x["year"], x["category"])):
-        if not may_run():
-            break
+        while not may_run():
+            pause()
         try:
             process(f)
             done.append(f["name"])

@@ -59,7 +59,7 @@ def test_members_of_archives_come_in_order_of_their_names(spark, tmp_path):
             for m, entries in members.items():
                 z.writestr(m, page(entries))
         (tmp_path / name).write_bytes(blob.getvalue())
-    folder = feeds.unpacked(spark, str(tmp_path / "*.zip"), str(tmp_path / "out"))
+    folder = feeds.unpacked(feeds.zip_members(spark, str(tmp_path / "*.zip")), str(tmp_path / "out"))
     assert latest(spark, folder) == {"1": "3", "2": "x"}
 
 
@@ -67,3 +67,31 @@ def test_of_rows_with_one_code_the_last_holds(spark, tmp_path):
     row = lambda c, n: f'<Row><Value ColumnRef="code"><SimpleValue>{c}</SimpleValue></Value><Value ColumnRef="nombre"><SimpleValue>{n}</SimpleValue></Value></Row>'
     (tmp_path / "S.gc").write_text("<l>" + "".join(row(c, f"{c}-{k}") for k in range(30) for c in "ab") + "</l>")
     assert {(r.code, r.label) for r in feeds.codelist(spark, str(tmp_path / "S.gc")).collect()} == {("a", "a-29"), ("b", "b-29")}
+
+
+def test_archives_are_fetched_by_tasks(spark):
+    blob = io.BytesIO()
+    with zipfile.ZipFile(blob, "w") as z:
+        z.writestr("b.atom", "two")
+        z.writestr("a.atom", "one")
+    content = blob.getvalue()
+    got = feeds.fetched_members(spark, ["https://h/1.zip", "https://h/2.zip"], lambda url: content).collect()
+    assert sorted((r.archive, r.number, r.name, r.content) for r in got) == [(f"https://h/{k}.zip", i, n, c) for k in (1, 2) for i, (n, c) in enumerate((("a.atom", "one"), ("b.atom", "two")))]
+    assert len({r.digest for r in got}) == 1
+
+
+def test_backfill_waits_for_its_hours():
+    from almoneda.streaming.daily import backfill
+
+    clock, seen = [10], []
+    feeds_ = [{"name": n, "year": y, "category": "c"} for n, y in (("b", 2021), ("a", 2020), ("c", 2022))]
+
+    def pause():
+        clock[0] += 6
+
+    def process(f):
+        seen.append((f["name"], clock[0]))
+        clock[0] += 3
+
+    done, failed = backfill(feeds_, process, lambda: clock[0] % 24 >= 22 or clock[0] % 24 < 2, pause)
+    assert done == ["a", "b", "c"] and not failed and seen == [("a", 22), ("b", 25), ("c", 46)]
