@@ -5,9 +5,10 @@ them its link-adjusted density; the node whose children's densities sum to the m
 its tag. Marked articles are a hint that the density can overrule: one that the core stands in is taken whole, and where
 the core holds marked articles of most of its plain text, these are the core. The threshold is the least density on the
 path from the body to the core. Besides the core, every part of the page goes out that isn't mostly links and reaches half
-the threshold, be it a sibling of the core or right under the body. Parts that are never an article (menus, forms,
-adverts, reader comments and so on) are taken out beforehand; parts whose names only sound like such come back where they
-stand within the article and aren't mostly links.
+the threshold, be it a sibling of the core or right under the body. Parts that are never an article (menus, forms and so on) are
+taken out beforehand. So are parts named as such (adverts, reader comments, sidebars and so on): a name counts if all of it
+says so, as in "post-comments", but not "has-sidebar" or "related-work"; and not if the part has a heading or a marked article
+and most of the page's plain text. Where names or links would leave nothing, they are passed over.
 
 Reading is linear in the page: no scan passes a character more than a few times, and open tags are found by index.
 """
@@ -37,25 +38,29 @@ DROPPED = frozenset("head nav aside form footer menu button select dialog input
 #: Shown only where scripts or plug-ins are missing: page furniture, unless it stands within the article.
 FALLBACK = frozenset("noscript object".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|foot(?:er)?\w*|(?:site|page|top|main)?header|masthead|cookies?\w*|consent|gdpr|notices?|"
-    r"alerts?|popup|modal|newsletter|subscri\w+|signup|login|comments?|commentlist|disqus\w*|replies|responses?|share\w*|sharing|social\w*|related\w*|recommend\w*|pagination|pager|widgets?|toolbar|search\w*|skip\w*|copyright|legal|tags?|taglist)(?:$|[\s_-])",
-    re.I,
+#: Words that name a part which is not the article, if the rest of the name, if any, is of PLAIN words. A header is no such
+#: word: articles have headers.
+NOISE = frozenset(
+    "ad ads adbox advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsors sponsored promo promos promotion promoted banner banners nav navbar navigation menu menus submenu "
+    "breadcrumb breadcrumbs sidebar sidebars side aside foot footer footers masthead cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter newsletters subscribe "
+    "subscription signup login comment comments commentlist disqus replies reply respond responses share sharing shares sharedaddy social socials related recommend recommended recommendation "
+    "recommendations pagination pager widget widgets toolbar search searchbar searchbox skip copyright legal taboola outbrain paywall".split()
 )
-#: Whole names of parts that are no article wherever they stand. Other names that NOISE matches only raise a suspicion: an
-#: article may have a section "related-work" or "search-algorithms".
-SURE = frozenset(
-    "ad ads adbox advert adverts advertisement advertisements adsbygoogle sponsored comment comments commentlist comment-list comments-area disqus_thread breadcrumb breadcrumbs pagination pager "
-    "share-buttons sharing-buttons social-share social-buttons sharedaddy navbar navigation".split()
+PLAIN = frozenset(
+    "area bar block body bottom box button buttons card cards container content column col entry footer form frame google grid group holder icon icons inner inline item items layer left link links list "
+    "main media message module outer page panel policy post posts row right section site slot stories story text thread title top unit wrap wrapper articles article blog news prompt cta".split()
 )
+_PIECES = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*|\d+")
 #: An open tag that these start tags end, and the tags beyond which they don't look. A paragraph ends at any block.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table html body div section article main aside nav header footer form td th blockquote".split())
 
-#: A start tag whose quoted values may hold `>`; one whose quotes don't match ends at the first `>`.
-_START = re.compile(r"<([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>")
+#: A start tag, whose quoted values may hold `<` and `>`; quotes that don't follow `=` or don't end are plain characters.
+_START = re.compile(r"<([a-zA-Z][^\s/<>]*)((?:[^<>\"'=]|=\s*+\"[^\"]*\"|=\s*+'[^']*'|[\"'=])*+)>")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/<>]*)")
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A comment that ends as it begins, and how others end.
+_COMMENT, _COMMENT_END = re.compile(r"<!--(?:-?>)"), re.compile(r"--!?>")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Tags of text, whose names tell nothing of the part they stand in.
@@ -63,10 +68,11 @@ UNNAMED = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong a span".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "sum", "dropped", "suspect")
+    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "sum", "dropped", "suspect", "named")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, suspect: bool = False):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, suspect: bool = False, named: bool = False):
         self.tag, self.parent, self.items, self.dropped, self.suspect = tag, parent, [], dropped or suspect, suspect and not dropped
+        self.named = named and not self.dropped
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -87,19 +93,18 @@ def _noise(tag: str, attrs: dict[str, str], inside: bool) -> bool:
         return False
     if attrs.get("role", "").lower() in ROLES or attrs.get("aria-hidden") == "true" or "hidden" in attrs or _INVISIBLE.search(attrs.get("style", "")):
         return True
-    if attrs.get("itemprop", "").lower() == "comment" or attrs.get("itemtype", "").lower().endswith("/comment"):
-        return True
-    return tag not in UNNAMED and any(x in SURE for k in ("class", "id") for x in attrs.get(k, "").lower().split())
+    return attrs.get("itemprop", "").lower() == "comment" or attrs.get("itemtype", "").lower().endswith("/comment")
 
 
-def _suspect(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether a start tag may open a part that is not the article: it counts for nothing when the article is sought, but
-    is kept where it stands within the article and isn't mostly links."""
-    if tag in FALLBACK:
-        return True
-    if not attrs or tag in ("html", "body", "article", "main") or tag in UNNAMED:
+def _named(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether a class or the id names a part that is not the article: one of NOISE, and nothing else but PLAIN words."""
+    if not attrs or tag in UNNAMED or tag in ("html", "body", "main"):
         return False
-    return any(NOISE.search(attrs[k]) for k in ("class", "id") if k in attrs)
+    for token in " ".join(attrs.get(k, "") for k in ("class", "id")).split():
+        pieces = [x.lower() for x in _PIECES.findall(token) if not x.isdigit()]
+        if any(x in NOISE for x in pieces) and all(x in NOISE or x in PLAIN for x in pieces):
+            return True
+    return False
 
 
 class _Open:
@@ -134,6 +139,19 @@ class _Open:
         return min(found, default=None)
 
 
+def _raw_end(page: str, tag: str, pos: int) -> int:
+    """Where the content of a raw tag ends, -1 if it doesn't. Templates and drawings nest."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(page, pos):
+        if m[1]:
+            depth -= 1
+        elif tag in ("template", "svg") and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return -1
+
+
 def parse(page: str) -> Node:
     """The tree of a page, whatever its markup: open tags end at their parent's end, stray end tags are ignored.
 
@@ -156,8 +174,9 @@ def parse(page: str) -> Node:
         c = page[begin + 1]
         if c in "!?":
             text(begin)
-            end = page.find("-->", begin + 4) if page.startswith("<!--", begin) else page.find(">", begin)
-            pos = mark = size if end < 0 else end + (3 if page.startswith("<!--", begin) else 1)
+            ended = _COMMENT.match(page, begin) or _COMMENT_END.search(page, begin + 4) if page.startswith("<!--", begin) else None
+            end = ended.end() if ended else -1 if page.startswith("<!--", begin) else page.find(">", begin) + 1
+            pos = mark = end if end > 0 else size
             continue
         name = _NAME.match(page, begin)
         if not name:
@@ -180,9 +199,11 @@ def parse(page: str) -> Node:
             continue
         given = page[name.end() : end]
         if tag in RAW:
-            found = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            if found:
-                pos = mark = found.end()
+            end = -1 if tag in endless or given.endswith("/") and tag == "svg" else _raw_end(page, tag, pos)
+            if given.endswith("/") and tag == "svg":
+                continue
+            if end >= 0:
+                pos = mark = end
             else:
                 endless.add(tag)
                 pos = mark = size if tag in ("script", "style", "textarea", "title") else pos
@@ -200,7 +221,7 @@ def parse(page: str) -> Node:
                     open_.close(place)
         attrs = _attributes(given) if given.strip(" /\t\n") else {}
         at = open_.nodes[-1]
-        node = Node(tag, at, _noise(tag, attrs, bool(open_.inside)), _suspect(tag, attrs))
+        node = Node(tag, at, _noise(tag, attrs, bool(open_.inside)), tag in FALLBACK, _named(tag, attrs))
         at.items.append(node)
         if tag not in VOID and not given.endswith("/"):
             open_.push(node)
@@ -227,13 +248,24 @@ def _weigh(root: Node) -> list[Node]:
 
 
 def _is_text(part: Node) -> bool:
-    """Whether a suspect part within the article belongs to it: not if it is mostly links, or a short notice of the page."""
+    """Whether a fallback within the article belongs to it: not if it is mostly links."""
     _weigh(part)
-    if part.parent.parent is None and part.tag == "div" and part.tags == 0:
-        return False
     return part.link_chars <= 0.5 * part.chars
 
 
+def _drop_named(root: Node) -> None:
+    """Takes out the parts that are named as no article, but for those with a heading or a marked article and most of the
+    page's plain text, which are wrappers."""
+    order, heads = _weigh(root), set()
+    plain = lambda n: n.chars - n.link_chars
+    for node in order:  # children before parents
+        if node.parent is not None and (node in heads or node.tag in ("h1", "article", "main") and not node.named):
+            heads.add(node.parent)
+    for node in order:
+        if node.named and not (node in heads and 2 * plain(node) > plain(root)):
+            node.dropped = True
+
+
 def densities(root: Node) -> list[Node]:
     """Link-adjusted density and the sum of the children's for every kept node; the nodes, children before parents."""
     order = _weigh(root)
@@ -277,13 +309,27 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _drop_named(root)
+    text = _chosen(root)
+    if not text:  # names and links tell nothing here
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            node.dropped = node.dropped and not node.named
+            stack += [x for x in node.items if isinstance(x, Node)]
+        text = _chosen(root) or _chosen(root, lists=True)
+    return text
+
+
+def _chosen(root: Node, lists: bool = False) -> str:
+    """What density chooses of a tree; with lists, parts that are mostly links too."""
     order = densities(root)
     peak = max(order, key=lambda n: (n.sum, n.chars))
     least, node = peak.density, peak
     while node is not None:
         least = min(least, node.density)
         node = node.parent
-    listed = lambda n: n.link_chars > 0.6 * n.chars
+    listed = lambda n: not lists and n.link_chars > 0.6 * n.chars
     core = _core(root, peak if peak.sum else root, order)
     above = set()  # holds a part of the core
     for n in core:
