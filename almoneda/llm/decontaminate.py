@@ -111,9 +111,20 @@ def piece_tree(item: int, text: str, budget: int, start: int = 0, parent: Node |
     return piece_tree(item, text[:cut], left, start, node) + piece_tree(item, text[cut:], budget - 1 - left, start + cut, node)
 
 
+#: Blocks of scripts that are written without spaces. Fixed values.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xA000, 0xA4CF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF), (0xFF66, 0xFFDC), (0x1B000, 0x1B16F), (0x20000, 0x323AF))
+
+
+def _runs_on(text: str, at: int) -> bool:
+    """Whether a word goes on across a place in a text."""
+    pair = text[at - 1 : at + 1] if at else ""
+    return len(pair) == 2 and pair.isalnum() and not any(a <= ord(c) <= b for c in pair for a, b in UNSPACED)
+
+
 class Matcher:
-    """Finds items (id, text) in texts. Items below least_chars normalized characters are found unchanged and between
-    word boundaries only, as edits of so few characters would be met by chance."""
+    """Finds items (id, text) in texts, each with its share `rate` of edits whatever its length. Where an item below least_chars
+    normalized characters begins and ends, so must a word: it would be met within others by chance. Scripts without spaces
+    have no such ends."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int):
         import ahocorasick
@@ -122,7 +133,7 @@ class Matcher:
         for item_id, text in items:
             text = normalize(text)
             if text:
-                for leaf in piece_tree(len(self.items), text, int(rate * len(text)) if len(text) >= least_chars else 0):
+                for leaf in piece_tree(len(self.items), text, int(rate * len(text))):
                     pieces.setdefault(leaf.text, []).append(leaf)
                 self.items.append((item_id, text))
         self.least_chars = least_chars
@@ -164,8 +175,6 @@ class Matcher:
                 if best.get(leaf.item, (1,))[0] == 0:
                     continue
                 at = end + 1 - len(leaf.text)
-                if not leaf.parent and len(leaf.text) < self.least_chars and (plain[at - 1 : at].isalnum() or plain[end + 1 : end + 2].isalnum()):
-                    continue  # a short item within a longer word
                 if leaf.parent:
                     e = leaf.parent.budget
                     for part, place in leaf.signs:
@@ -178,6 +187,8 @@ class Matcher:
                     continue
                 tried.add(key)
                 found = self._climb(leaf, at, plain)
+                if found and len(self.items[leaf.item][1]) < self.least_chars and (_runs_on(plain, found[1]) or _runs_on(plain, found[2])):
+                    continue  # a short item within a longer word
                 if found and (leaf.item not in best or found < best[leaf.item]):
                     best[leaf.item] = found
         if not best:
@@ -201,8 +212,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_c
     A benchmark of one block takes one pass and no shuffle. For a larger one the rows are numbered and written, each block
     is a pass over them that writes the rows with hits, and these are joined back.
 
-    - Null and empty texts have no hits; so have null and blank items. Items below least_chars characters are searched
-      unchanged, between word boundaries. Items with equal text are each reported; repeated rows of an item count once.
+    - Null and empty texts have no hits; so have null and blank items. Items below least_chars characters begin and end where
+      words do, in scripts that have spaces. Items with equal text are each reported; repeated rows of an item count once.
     - Long texts are searched whole. An empty table on either side gives rows without hits.
     - `hits` gets underscores appended if docs has that column.
     """
