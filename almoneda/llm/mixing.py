@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almoneda.llm.shared import free_name, materialize, n_words
+from almoneda.llm.sharding import number_copies
 
 LEVELS, BITS = 4, 12
 
@@ -59,11 +60,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(source, threshold): keys below it fill the source's budget.
+    """(source, threshold, part): keys below the threshold, and `part` of the rows that have it, fill the source's budget.
 
     sized: (source, key, size); budgets: (source, budget double). Of the documents in order of key, those are taken
-    whose middle lies within the budget, so what is taken differs from it by half a document at most (rows that
-    share an id and a text, and so a key, go together). A budget that covers the source has the threshold 2^48.
+    whose middle lies within the budget, so what is taken differs from it by half a document at most. A budget that
+    covers the source has the threshold 2^48.
     """
     top = LEVELS * BITS
     live = budgets.filter("budget > 0").select(F.col("source").alias("s"), "budget", F.lit(0.0).cast("double").alias("before"), F.lit(0).cast("long").alias("prefix"))
@@ -76,20 +77,26 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
             rows = rows.join(live.select("s", "prefix"), near).drop("s", "prefix")
             if level == 2:
                 rows = materialize(rows, "boundary")
-        hist = rows.groupBy("source", F.shiftright("key", shift).alias("bucket")).agg(F.sum("size").cast("double").alias("n"))
+        hist = rows.groupBy("source", F.shiftright("key", shift).alias("bucket")).agg(F.sum("size").cast("double").alias("n"), F.count("*").alias("rows"))
         run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         placed = hist.join(live, F.col("source").eqNullSafe(F.col("s"))).withColumn("through", F.col("before") + F.sum("n").over(run)).withColumn("start", F.col("through") - F.col("n"))
-        inside = (F.col("start") + F.col("through") <= 2 * F.col("budget")) if level == LEVELS else (F.col("through") <= F.col("budget"))
-        cut = ~inside & (F.col("start") < F.col("budget")) if level < LEVELS else F.lit(False)
+        inside = F.col("through") <= F.col("budget")
+        cut = ~inside & (F.col("start") < F.col("budget"))
         found = placed.groupBy("source").agg(
             F.max(F.when(inside, F.col("bucket") + 1)).alias("full"), F.max(F.when(cut, F.col("bucket"))).alias("bucket"), F.max(F.when(cut, F.col("start"))).alias("start"),
             F.first("budget").alias("budget"), F.first("prefix").alias("prefix"), F.max(F.when(~inside, F.lit(1))).alias("over"),
+            F.max(F.when(cut, F.col("n"))).alias("n"), F.max(F.when(cut, F.col("rows"))).alias("rows"),
         )
         found = materialize(found, "threshold")
         least = F.col("prefix") * (1 << BITS)
         # Where no bucket is cut, the threshold is the end of the last whole one (or of everything).
         whole = F.when(F.col("over").isNull() & (level == 1), F.lit(1 << top)).otherwise(F.coalesce("full", least) * (1 << shift))
-        ended = found.filter(F.col("bucket").isNull()).select("source", whole.cast("long").alias("threshold"))
+        last = F.lit(level == LEVELS)  # where a bucket is one key
+        some = F.floor((F.col("budget") - F.col("start")) * F.col("rows") / F.col("n") + 0.5)
+        every = some >= F.col("rows")
+        ended = found.filter(F.col("bucket").isNull() | last).select(
+            "source", F.coalesce(F.when(every, F.col("bucket") + 1), F.col("bucket"), whole).cast("long").alias("threshold"), F.when(~every, some).otherwise(0).cast("long").alias("part"),
+        )
         done = ended if done is None else done.unionByName(ended)
         live = found.filter(F.col("bucket").isNotNull()).select(F.col("source").alias("s"), "budget", F.col("start").alias("before"), F.col("bucket").alias("prefix"))
     return done
@@ -102,8 +109,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     once more. taken is size times repeats, 3 repeats at most.
 
     - Null and empty texts have size 0 and are never taken. A null source is a source of its own, last in order.
-    - Rows that repeat an id with another text have keys of their own. Rows that agree in both share a key: a threshold
-      takes all or none of them, so a source of one such row repeated may miss its target by all of them.
+    - Rows that repeat an id with another text have keys of their own. Rows that agree in both share a key; where a source's
+      threshold is theirs, they are numbered and as many are taken as its budget needs.
     - An empty table gives an empty table. Columns named like the new ones are overwritten by them only if they are
       not columns of docs; otherwise the new ones get underscores appended.
     """
@@ -114,14 +121,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = targets.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     cuts = thresholds(narrow, plan.select("source", "budget")).withColumnRenamed("source", "cut_source")
-    plan = materialize(plan.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").select(F.col("source").alias("__source"), F.col("source_size").alias("__n"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.coalesce("threshold", F.lit(0)).alias("__cut")), "plan")
-    out = docs.join(F.broadcast(plan) if plan.count() <= 10_000 else plan, F.col(source).eqNullSafe(F.col("__source")), "left")
-    words = n_words(F.col(text))
-    out = out.withColumn(size, words).withColumns({
-        source_size: F.col("__n").cast("long"), target: F.col("__target"),
-        taken: (F.col(size) * (F.col("__whole") + F.when(hash_key(F.col(doc_id), F.col(text)) < F.col("__cut"), 1).otherwise(0))).cast("long"),
-    })
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], size, source_size, target, taken)
+    taken_names = [*docs.columns, size, source_size, target, taken]
+    of, n, goal, times, cut, part, key = (free_name(taken_names, x) for x in ("__source", "__n", "__target", "__whole", "__cut", "__part", "__key"))
+    plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").select(
+        F.col("source").alias(of), F.col("source_size").alias(n), F.col("target").alias(goal), F.col("whole").alias(times),
+        *[F.coalesce(c, F.lit(0)).alias(to) for c, to in (("threshold", cut), ("part", part))],
+    )
+    plan = materialize(plan, "plan")
+    out = docs.join(F.broadcast(plan) if plan.count() <= 10_000 else plan, F.col(f"`{source}`").eqNullSafe(F.col(of)), "left").withColumn(key, hash_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+
+    def done(df: DataFrame, more: Column) -> DataFrame:
+        df = df.withColumn(size, n_words(F.col(f"`{text}`"))).withColumns({source_size: F.col(n).cast("long"), target: F.col(goal)})
+        df = df.withColumn(taken, (F.col(size) * (F.col(times) + F.when(more, 1).otherwise(0))).cast("long"))
+        return df.select(*[F.col(f"`{c}`") for c in docs.columns], size, source_size, target, taken)
+
+    below, split = F.col(key) < F.col(cut), F.col(part) > 0
+    if plan.filter(split).isEmpty():
+        return done(out, below)
+    # the rows of a threshold that is taken in part, and the others
+    at = F.coalesce(split & (F.col(key) == F.col(cut)), F.lit(False))
+    row, number = (free_name([*out.columns, *taken_names], x) for x in ("__row", "__number"))
+    shared = materialize(out.filter(at).withColumn(row, F.monotonically_increasing_id()), "shared")
+    value = shared.select(F.col(row), F.col(key), F.coalesce(F.col(of).cast("string"), F.lit("")).alias("a"), F.col(of).isNull().alias("b"))
+    numbered = number_copies(value, [key, "a", "b"], row, 64, number).select(row, number)
+    return done(out.filter(~at), below).unionByName(done(shared.join(numbered, row), F.col(number) < F.col(part)))
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -140,8 +163,8 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER p, 0)) / (sum
       WINDOW p AS (ORDER BY lim / weight, source IS NULL, CAST(source AS BLOB) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(lim, coalesce(max(CASE WHEN level * weight <= lim THEN level END) OVER () * weight, lim))::DOUBLE AS target FROM l),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
-g AS (SELECT source, k, sum(size) AS n, sum(sum(size)) OVER (PARTITION BY source ORDER BY k) AS through FROM d GROUP BY source, k)
+g AS (SELECT source, k, sum(size) AS n, count(*) AS c, sum(sum(size)) OVER (PARTITION BY source ORDER BY k) AS through FROM d GROUP BY source, k)
 SELECT d.doc_id, d.size, b.source_size, b.target,
-  CAST(d.size * (b.whole + CASE WHEN 2 * g.through - g.n <= 2 * (b.target - b.whole * b.source_size) AND b.target > b.whole * b.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(d.size * (b.whole + CASE WHEN b.target > b.whole * b.source_size AND row_number() OVER (PARTITION BY d.source, d.k) <= floor((b.target - b.whole * b.source_size - (g.through - g.n)) * g.c / g.n + 0.5) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.k = g.k
 """
