@@ -197,15 +197,15 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, doc_id: str = "doc_
       ones give those underscores.
     """
     n_lines, n_removed, clean = (free_name(docs.columns, c) for c in ("n_lines", "n_removed", clean_col))
-    mark = free_name(docs.columns, "__text_hash")
+    mark, of_id, of_hash, lost = (free_name(docs.columns, x) for x in ("__text_hash", "__id", "__hash", "__gone"))
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    gone = removed_lines(plain, num, den).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash", "removed": "__gone"})
-    out = docs.withColumn(mark, F.xxhash64(F.col(text))).join(gone.hint("shuffle_hash"), F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__hash")), "left")
+    gone = removed_lines(plain, num, den).withColumnsRenamed({"doc_id": of_id, "text_hash": of_hash, "removed": lost})
+    out = docs.withColumn(mark, F.xxhash64(F.col(text))).join(gone.hint("shuffle_hash"), F.col(doc_id).cast("long").eqNullSafe(F.col(of_id)) & (F.col(mark) == F.col(of_hash)), "left")
     parts = F.split(F.col(text), "\n")
-    left = _with(parts, lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "__gone"), lambda i: F.get(p, i)))
+    left = _with(parts, lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), lost), lambda i: F.get(p, i)))
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(n_removed),
-        F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(clean),
+        *[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias(n_removed),
+        F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(clean),
     )
 
 

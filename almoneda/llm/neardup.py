@@ -86,10 +86,10 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, sketch: SetSket
 
 def one_of_each(docs: DataFrame, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates keeps; of rows with one doc_id and text, one."""
-    mark = free_name(docs.columns, "__text_hash")
+    mark, of_id, of_hash = (free_name(docs.columns, x) for x in ("__text_hash", "__id", "__hash"))
     kept = materialize(near_duplicates(docs, num, den, doc_id=doc_id, text=text).filter("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "kept")
-    keys = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    found = docs.withColumn(mark, text_hash(text)).join(keys.hint("shuffle_hash"), F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__hash")), "left_semi")
+    keys = kept.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash))
+    found = docs.withColumn(mark, text_hash(text)).join(keys.hint("shuffle_hash"), F.col(doc_id).cast("long").eqNullSafe(F.col(of_id)) & (F.col(mark) == F.col(of_hash)), "left_semi")
     if not kept.filter("n > 1").isEmpty():
         found = found.dropDuplicates([doc_id, mark])
     return found.drop(mark)

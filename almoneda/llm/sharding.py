@@ -154,9 +154,10 @@ def shard_rows(df: DataFrame, n_shards: int = 16, seed: int = 17, rows_per_task:
     deal = materialize(ranked.join(matrix, part).select(row_id, again, to_shard.alias(shard_col), to_block.alias(block)), "deal")
 
     counts = deal.groupBy(shard_col, block).agg(F.count("*").alias("__n"))
-    first = counts.withColumn("__first", F.sum("__n").over(Window.partitionBy(shard_col).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))).select(shard_col, block, F.coalesce("__first", F.lit(0)).alias("__first"))
+    start = free_name([*taken, shard_col, slot_col], "__first")
+    first = counts.withColumn(start, F.sum("__n").over(Window.partitionBy(shard_col).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))).select(shard_col, block, F.coalesce(start, F.lit(0)).alias(start))
     dealt = whole.join(deal, row_id).join(first, [shard_col, block])
-    slot = F.col("__first") + F.row_number().over(Window.partitionBy(shard_col, block).orderBy(again)) - 1
+    slot = F.col(start) + F.row_number().over(Window.partitionBy(shard_col, block).orderBy(again)) - 1
     return dealt.withColumn(slot_col, slot.cast("long")).select(*columns, shard_col, slot_col)
 
 

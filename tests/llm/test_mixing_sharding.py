@@ -169,3 +169,29 @@ def test_copies_are_numbered_in_groups(spark):
     for r in sharding.number_copies(rows, ["v"], "id", 8, "k").collect():
         got[r.v].append(r.k)
     assert len(got) == 51 and all(sorted(x) == list(range(len(x))) for x in got.values())
+
+
+def test_copies_of_one_row_are_taken_as_needed(spark):
+    """30 equal rows make one source; half of a further source is one row repeated. Each comes within half a row of its target."""
+    rows = [(1, "w " * 10, "a")] * 30 + [(k, "w " * 10, "b") for k in range(100)] + [(7, "w " * 10, "c")] * 40 + [(200 + k, "w " * 10, "c") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for weights in ((5, 2, 1), (1, 1, 1), (3, 1, 2), (1, 9, 4)):
+        got = mixing.mix(docs, weights).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+        assert all(abs(r.n - r.target) <= 5.0 + 1e-9 and r.most <= 3 for r in got), got
+
+
+@pytest.mark.parametrize("name", ["mix", "shard", "lines", "one"])
+def test_internal_names_may_be_columns(spark, name):
+    """A table that has every name an operator uses inside, as columns of its own."""
+    from almoneda.llm import linededup, neardup
+
+    inside = "__source __n __target __whole __cut __part __key __row __number __text_hash __id __hash __gone __first __order __again __rank __block __ends __copy __v __w size source_size taken shard slot n_lines n_removed clean_text key a b of row".split()
+    docs = spark.createDataFrame([(k, f"line {k} of words and more words to be alike\nshared line of many words here", "s" if k % 2 else None) for k in range(12)], "doc_id long, text string, source string")
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(inside)])
+    run = {"mix": mixing.mix, "shard": sharding.shard_rows, "lines": linededup.dedup_lines, "one": neardup.one_of_each}[name]
+    plain, full = run(docs.select("doc_id", "text", "source")), run(docs)
+    assert full.columns[: len(docs.columns)] == docs.columns and full.count() == plain.count()
+    new = [c for c in plain.columns if c not in ("doc_id", "text", "source")]
+    if name in ("mix", "lines"):
+        a, b = ({tuple(r) for r in df.select("doc_id", *df.columns[len(df.columns) - len(new) :]).collect()} for df in (plain, full))
+        assert a == b

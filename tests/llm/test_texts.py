@@ -396,3 +396,46 @@ def test_an_id_with_many_rows_is_fitted_once(spark):
 def test_isotonic():
     x, p = toxicity.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([0.0, 1, 0, 1, 1]))
     assert np.interp([1, 2, 3, 4], x, p).tolist() == [0, 0.5, 0.5, 1]
+
+
+ARTICLE = " ".join(f"Paragraph {i} has a good many words in it, as articles do, and goes on for a while so that it counts." for i in range(12))
+AS_HTML = "".join(f"<p>{x}.</p>" for x in ARTICLE[:-1].split(". "))
+
+
+@pytest.mark.parametrize("wrapper", ["layout has-sidebar", "with-sidebar", "no-banner", "nav-open", "hasSidebar", "content-with-ads", "page is-commentable", "search-results-off"])
+@pytest.mark.parametrize("inner", ["<article>%s</article>", "%s", "<div><div>%s</div></div>", "<main>%s</main>"])
+def test_wrappers_whose_names_sound_like_noise_keep_the_article(wrapper, inner):
+    page = f"<body><nav><a href=1>Home</a></nav><div class='{wrapper}'>{inner % AS_HTML}</div><div class='bottom'>Fine print one.</div></body>"
+    assert ARTICLE in html_text.extract(page)
+
+
+NOISE_NAMES = ["post-comments", "comments-section", "cookie-banner", "ad-container", "sponsored-content", "newsletter-signup", "related-posts", "sidebar", "social-share", "commentList", "site-footer", "popup-box"]
+
+
+@pytest.mark.parametrize("name", NOISE_NAMES)
+@pytest.mark.parametrize("place", ["<body><article><h1>Title here</h1>%(a)s%(n)s</article></body>", "<body><div>%(a)s</div>%(n)s</body>", "<body>%(n)s<main><h1>Title here</h1>%(a)s</main></body>", "<body><div class='layout has-sidebar'><h1>Title here</h1>%(a)s%(n)s</div></body>"])
+def test_parts_named_as_noise_go_wherever_they_stand(name, place):
+    noise = f"<div class='x1 {name}'><p>Noise words stand here and say things at some length, as they do.</p><p>And once more, with words.</p></div>"
+    title = "Title here " if "Title" in place else ""
+    assert html_text.extract(place % {"a": AS_HTML, "n": noise}) == title + ARTICLE
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<p>a</p><!--><p>b</p><!---><p>c</p><!-- x --!><p>d</p><!-- y --><p>e</p>", "a b c d e"),
+    ("<p title=\"a<b>c\">x</p><p data-x='1 < 2 > 0'>y</p>", "x y"),
+    ("<p>a</p><template>1<template>2</template>3</template><p>b</p><svg><svg/>1<svg>2</svg>3</svg><p>c</p>", "a b c"),
+    ("<article><p><a href=1>All of this article</a> <a href=2>is links</a></p></article>", "All of this article is links"),
+    (f"<body><div class='legal'>{'Plain words of law. ' * 75}</div></body>", ("Plain words of law. " * 75).strip()),
+    ("<body><div class='comments'>Only comments here.</div></body>", "Only comments here."),
+])
+def test_markup_and_pages_of_noise_alone(page, want):
+    assert html_text.extract(page) == want
+
+
+@pytest.mark.parametrize("item,text,found", [
+    ("what is it, then?", "so what is ot, then? yes", 1), ("a twenty letter item", "here a twenty leter item is", 1), ("日本の首都は", "問題日本の首都はどこ", 0), ("ab cd", "xab cd", None), ("ab cd", "ab cd.", 0), ("yes", "yesterday", None), ("yes", "oh yes!", 0),
+    ("a twenty letter item", "here a twenty leter items", None), ("ไทย", "ภาษาไทยคือ", 0), ("short one x", "Short  ONE y", 1),
+])
+def test_short_items_have_their_share_of_edits(item, text, found):
+    got = decontaminate.Matcher([(1, item)], 0.1, 25).find(text)
+    assert [d for _, d, _, _ in got] == ([] if found is None else [found])
