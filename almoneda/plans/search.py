@@ -69,6 +69,33 @@ def _(spark, d):
     return _hybrid(spark, d, "en")
 
 
+def _page_sql(offset: int) -> str:
+    """A page of the full sort, both rankings scaled over all their rows."""
+    side = lambda name, src, key: f"{name} AS (SELECT {key} AS id, CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1 END AS s FROM {src})"
+    return f"""WITH {_BM25}, {_VEC}, p AS (SELECT doc_id FROM documents JOIN embeddings ON doc_id = vec_id), kp AS (SELECT * FROM kw WHERE doc_id IN (SELECT doc_id FROM p)), vp AS (SELECT * FROM vec WHERE vec_id IN (SELECT doc_id FROM p)),
+{side('a', 'kp', 'doc_id')}, {side('b', 'vp', 'vec_id')}, fused AS (SELECT id, 0.5 * coalesce(b.s, 0) + 0.5 * coalesce(a.s, 0) AS score FROM a FULL JOIN b USING (id))
+SELECT id, round(score, 6) AS score FROM fused ORDER BY round(score, 9) DESC, id LIMIT 20 OFFSET {offset}"""
+
+
+def _page(spark, d, offset):
+    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
+    both = written(docs.select("doc_id").join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi"), "found")
+    kw = R.bm25(docs, _TERMS, both).withColumnRenamed("doc_id", "id")
+    vec = R.cosine(vectors.join(both.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), _query_vector(spark, d)).withColumnRenamed("vec_id", "id")
+    return R.fused_page(kw, vec, 20, offset).select("id", F.round("score", 6).alias("score"))
+
+
+@query("hybrid_page_first", _page_sql(0))
+def _(spark, d):
+    return _page(spark, d, 0)
+
+
+@query("hybrid_page_deep", _page_sql(150))
+def _(spark, d):
+    """A page that lies beyond any hundred candidates."""
+    return _page(spark, d, 150)
+
+
 @query("company_search")
 def _(spark, d):
     return R.search_companies(R.company_documents(table(spark, d, "customer").select(F.col("c_custkey").alias("nif"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).withColumn("nif", F.col("nif").cast("string"))), "Customer building")

@@ -163,6 +163,36 @@ def fuse(keyword: DataFrame, vector: DataFrame, alpha: float = 0.5, candidates:
     return both.select("id", (alpha * F.coalesce("vec", F.lit(0.0)) + (1 - alpha) * F.coalesce("kw", F.lit(0.0))).alias("score"))
 
 
+def fused_page(keyword: DataFrame, vector: DataFrame, k: int, offset: int = 0, alpha: float = 0.5, depth: int = 100, at_once: int = 50_000) -> DataFrame:
+    """(id, score): one page of two rankings (id, score), each scaled to 0..1 over all its rows and mixed alpha to the vectors,
+    whatever the offset.
+
+    Both rankings are read from the top, further and further, until no id that neither has shown can enter the page: such
+    an id has at most the mix of the two scores read last. A missing side counts 0; a ranking of equal scores counts 1.
+    Once a ranking would be read beyond `at_once` rows, both are joined whole.
+    """
+    sides = []
+    for r in (keyword, vector):
+        r = written(r.select("id", "score"), "ranking")  # scored once
+        lo, hi, n = r.agg(F.min("score"), F.max("score"), F.count("*")).first()
+        scaled = (F.col("score") - lo) / (hi - lo) if n and hi > lo else F.lit(1.0)
+        sides.append((r.select("id", scaled.alias("score")), n))
+    (kw, n_kw), (vec, n_vec) = sides
+    mixed = lambda a, b: a.withColumnRenamed("score", "kw").join(b.withColumnRenamed("score", "vec"), "id", "full").select("id", (alpha * F.coalesce("vec", F.lit(0.0)) + (1 - alpha) * F.coalesce("kw", F.lit(0.0))).alias("score"))
+    depth, wanted = max(depth, 2 * (offset + k)), offset + k
+    while depth < max(n_kw, n_vec) and depth <= at_once:
+        heads = [written(top(r, "id", depth), "head") for r, _ in sides]
+        least = [h.agg(F.min("score")).first()[0] if n > depth else 0.0 for h, (_, n) in zip(heads, sides)]  # of a ranking read whole nothing is left
+        bar = alpha * (least[1] or 0.0) + (1 - alpha) * (least[0] or 0.0)
+        seen = F.broadcast(heads[0].select("id").unionByName(heads[1].select("id")).distinct())  # at most 2 * depth ids
+        fused = written(mixed(kw.join(seen, "id", "left_semi"), vec.join(seen, "id", "left_semi")), "fused")
+        n, last = top(fused, "id", wanted).agg(F.count("*"), F.min(F.round("score", 9))).first()
+        if n == wanted and last > round(bar, 9):
+            return top(fused, "id", k, offset)
+        depth *= 4
+    return top(mixed(kw, vec), "id", k, offset)
+
+
 def search(df: DataFrame, spec: FilterSpec, q: str | None = None, mode: str = "hybrid", k: int = 15, offset: int = 0, alpha: float = 0.5, sort: str | None = None, vector: list[float] | None = None) -> DataFrame:
     """One page of results. Without a text it browses, and without a text or filter it is empty.
 
@@ -180,8 +210,7 @@ def search(df: DataFrame, spec: FilterSpec, q: str | None = None, mode: str = "h
         from almoneda.providers import embed_one
 
         vectors = cosine(found, vector or embed_one(q), "sid", "embedding").withColumnRenamed("sid", "id")
-    scored = keyword if vectors is None else vectors if keyword is None else fuse(keyword, vectors, alpha)
-    page = top(scored, "id", k, offset)
+    page = top(keyword if vectors is None else vectors, "id", k, offset) if keyword is None or vectors is None else fused_page(keyword, vectors, k, offset, alpha)
     return df.join(page.withColumnRenamed("id", "sid"), "sid").orderBy(F.desc("score"), "sid")
 
 
