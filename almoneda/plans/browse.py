@@ -66,3 +66,32 @@ def _(spark, d):
 @query("point_lookup", with_contracts("SELECT sid, status_code, budget_amount FROM contracts WHERE sid = '42'"))
 def _(spark, d):
     return contracts(spark, d).filter(F.col("o_orderkey") == 42).select("sid", "status_code", "budget_amount").limit(1)
+
+
+@query("browse_keyset", with_contracts(f"""SELECT * FROM (SELECT sid, budget_amount, CAST((row_number() OVER (ORDER BY budget_amount DESC NULLS LAST, sid) - 1) // 40 AS INTEGER) AS page FROM contracts WHERE {_WHERE}) WHERE page < 4"""))
+def _(spark, d):
+    """Four pages, each by the cursor of the one before it, as one sort would give them."""
+    from almoneda.spec import cursor, keyset_page
+
+    sort, after, pages = [("budget_amount", "desc"), ("sid", "asc")], None, []
+    found = _SPEC.apply(contracts(spark, d, "nuts")).select("sid", "budget_amount")
+    for n in range(4):
+        page = keyset_page(found, sort, after, 40)
+        pages.append(page.withColumn("page", F.lit(n)))
+        after = cursor(page.collect(), sort)  # 40 rows
+        if after is None:
+            break
+    out = pages[0]
+    for page in pages[1:]:
+        out = out.unionByName(page)
+    return out
+
+
+@query("duplicate_keys", "SELECT CAST(l_orderkey AS VARCHAR) AS sid, CAST(l_linenumber AS VARCHAR) AS lot_id, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def _(spark, d):
+    """What a uniqueness constraint on (contract, lot) would reject."""
+    from almoneda.plans.testbind import table
+    from almoneda.store import duplicate_keys
+
+    lots = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("sid"), F.col("l_linenumber").cast("string").alias("lot_id"))
+    return duplicate_keys(lots, "sid", "lot_id")

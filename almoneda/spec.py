@@ -129,6 +129,40 @@ def browse(df: DataFrame, spec: FilterSpec, sort: str | None = None, k: int = 15
     return spec.apply(df).orderBy(*sort_order(sort, df.columns)).offset(max(offset, 0)).limit(min(max(k, 1), 50))
 
 
+def _beyond(column: Column, value, way: str) -> Column:
+    """Rows whose value comes after one in an order with nulls last."""
+    if value is None:
+        return F.lit(False)
+    further = column > F.lit(value) if way == "asc" else column < F.lit(value)
+    return further | column.isNull()
+
+
+def keyset_page(df: DataFrame, sort: list[tuple[str, str]], after: tuple | None = None, k: int = 15) -> DataFrame:
+    """The k rows that follow the row whose values of the sort columns are `after`; the first k without.
+
+    sort: (column, asc or desc), nulls last; the last column tells rows apart. The cursor is a filter on the first column, so a
+    scan leaves out what lies before it, and page n costs what page 1 does: no row of an earlier page is sorted.
+    """
+    order = [F.col(c).asc_nulls_last() if way == "asc" else F.col(c).desc_nulls_last() for c, way in sort]
+    if after is not None:
+        follows = F.lit(False)
+        for i in reversed(range(len(sort))):  # beyond in this column, or equal and what follows says so
+            c, way = sort[i]
+            follows = _beyond(F.col(c), after[i], way) | (F.col(c).eqNullSafe(F.lit(after[i])) & follows)
+        c, way = sort[0]
+        if after[0] is None:
+            reach = F.col(c).isNull()
+        else:
+            reach = (F.col(c) >= F.lit(after[0]) if way == "asc" else F.col(c) <= F.lit(after[0])) | F.col(c).isNull()
+        df = df.filter(reach).filter(follows)
+    return df.orderBy(*order).limit(k)
+
+
+def cursor(page: list, sort: list[tuple[str, str]]) -> tuple | None:
+    """The cursor after a page's rows: the sort columns of its last; None after the last page."""
+    return tuple(page[-1][c] for c, _ in sort) if page else None
+
+
 def has_more(total: int | None, offset: int, shown: int, k: int = 15) -> bool:
     """Whether a page has another after it; without a total, whether it is full."""
     return offset + shown < total if total is not None else shown == k
