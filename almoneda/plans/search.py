@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from almoneda import search as R
 from almoneda.plans.registry import query
 from almoneda.plans.testbind import table
+from almoneda.postings import Index
 from almoneda.store import workspace, written
+from almoneda.vectors import VectorIndex, brute_force
 
 _TERMS = ["the", "idiot", "onre"]
 _BM25 = r"""w AS (SELECT doc_id, lang, list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM documents),
@@ -28,14 +30,39 @@ def _(spark, d):
 
 @query("bm25_indexed", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM kw ORDER BY round(score, 9) DESC, doc_id LIMIT 20")
 def _(spark, d):
-    index = R.Index(spark, workspace(spark, "index")).build(table(spark, d, "documents"))
-    return R.top(index.bm25(_TERMS), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
+    """Half of the documents come later, as a second segment; only ranges that can hold one of the 20 are scored."""
+    docs = table(spark, d, "documents")
+    index = Index(spark, workspace(spark, "index")).build(docs.filter("doc_id % 2 = 0")).add(docs.filter("doc_id % 2 <> 0 OR doc_id IS NULL"))
+    return index.top(_TERMS, 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("vector_cells", f"WITH {_VEC} SELECT vec_id, round(score, 6) AS score FROM vec ORDER BY round(score, 9) DESC, vec_id LIMIT 20")
 def _(spark, d):
-    cells = R.Cells(spark, workspace(spark, "cells")).build(table(spark, d, "embeddings"))
-    return R.top(cells.search(_query_vector(spark, d), probes=32), "vec_id", 20).select("vec_id", F.round("score", 6).alias("score"))
+    """The exact best by cells: those are left out whose radius can't reach what was found."""
+    index = VectorIndex(spark, workspace(spark, "cells")).build(table(spark, d, "embeddings"))
+    return index.exact(_query_vector(spark, d), 20).select("vec_id", F.round("score", 6).alias("score"))
+
+
+def _asked(spark, d):
+    """Every vector whose id is divisible by 20 as a query to all."""
+    return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("vector_index_topk")
+def _(spark, d):
+    """(query_id, rank, vec_id, score) by compressed codes of the nearest cells; `vector_index_recall` measures it."""
+    return VectorIndex(spark, workspace(spark, "cells")).build(table(spark, d, "embeddings")).search(_asked(spark, d), 20)
+
+
+@query("vector_index_recall", "SELECT count(*) AS queries, true AS recall_reached, true AS part_of_cells FROM embeddings WHERE vec_id % 20 = 0")
+def _(spark, d):
+    """Whether the 20 found of each query hold at least 0.9 of the 20 true ones, and part of the cells was looked into."""
+    vectors, asked = table(spark, d, "embeddings"), written(_asked(spark, d), "asked")
+    index = VectorIndex(spark, workspace(spark, "cells")).build(vectors)
+    true = brute_force(vectors, asked, 20).select("query_id", "vec_id")
+    hit = index.search(asked, 20).select("query_id", "vec_id", F.lit(True).alias("hit"))
+    share = true.join(hit, ["query_id", "vec_id"], "left").agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") / F.count("*") >= 0.9).alias("recall_reached"))
+    return share.withColumn("part_of_cells", F.lit(index.probes < index.cells))
 
 
 @query("vector_topk", f"WITH {_VEC} SELECT vec_id, round(score, 6) AS score FROM vec ORDER BY round(score, 9) DESC, vec_id LIMIT 20")

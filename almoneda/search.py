@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almoneda.spec import FilterSpec, browse
@@ -28,7 +28,7 @@ def term_counts(docs: DataFrame, terms: list[str], doc_id: str = "doc_id", text:
     return docs.select(F.col(doc_id).alias("doc_id"), F.regexp_count(plain, F.lit(f"{_L}+")).alias("dl"), *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
 
 
-def _score(hits: DataFrame, n_terms: int) -> DataFrame:
+def score_terms(hits: DataFrame, n_terms: int) -> DataFrame:
     """(doc_id, score) of rows (doc_id, dl, n, avgdl, tf0, df0, ...)."""
     idf = lambda i: F.ln(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
     part = lambda i: F.when(F.col(f"tf{i}") > 0, idf(i) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
@@ -47,7 +47,7 @@ def bm25(docs: DataFrame, terms: list[str], allowed: DataFrame | None = None, do
     """(doc_id, score) of documents that hold a term. One pass over the texts, which writes a few numbers a document.
 
     Document counts and mean length are those of all docs; `allowed` (doc_id) restricts what is returned, not them. For
-    many queries over one corpus, see Index.
+    many queries over one corpus, see postings.Index.
     """
     terms = plain_terms(terms)
     counted = written(term_counts(docs, terms, doc_id, text), "counts")
@@ -55,80 +55,7 @@ def bm25(docs: DataFrame, terms: list[str], allowed: DataFrame | None = None, do
     hits = counted.filter(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0), F.lit(0)) > 0)
     if allowed is not None:
         hits = hits.join(allowed, "doc_id", "left_semi")
-    return _score(hits.crossJoin(F.broadcast(stats)), len(terms))  # one row
-
-
-class Index:
-    """An inverted index in a folder: postings (term, doc_id, tf, dl) by part of the term, and totals of the corpus.
-
-    A query reads the parts of its terms, and of these the row groups that hold them, as rows are sorted by term.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, parts: int = 64):
-        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
-
-    def _part(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.parts)).cast("int")
-
-    def build(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
-        words = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("ws")).select("doc_id", F.size("ws").alias("dl"), F.explode_outer("ws").alias("term"))
-        counts = words.groupBy("doc_id", "dl", "term").agg(F.count_if(F.col("term").isNotNull()).cast("int").alias("tf"))
-        counts = counts.filter("term IS NOT NULL").withColumn("part", self._part(F.col("term")))
-        # A common term's postings are dealt over several tasks, and each task writes them in order.
-        salted = counts.repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("part", "term", "doc_id")
-        salted.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings")
-        totals = docs.select(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(f"{_L}+")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        totals.write.mode("overwrite").parquet(f"{self.path}/totals")
-        return self
-
-    def bm25(self, terms: list[str], allowed: DataFrame | None = None) -> DataFrame:
-        """(doc_id, score) of the documents that hold a term."""
-        terms = plain_terms(terms)
-        parts = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._part(F.col("term"))).collect()]
-        found = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("part").isin(*parts) & F.col("term").isin(*terms))
-        df = found.agg(*[F.count_if(F.col("term") == t).alias(f"df{i}") for i, t in enumerate(terms)])
-        if allowed is not None:
-            found = found.join(allowed, "doc_id", "left_semi")
-        rows = found.groupBy("doc_id").agg(F.max("dl").alias("dl"), *[F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)])
-        totals = self.spark.read.parquet(f"{self.path}/totals").crossJoin(df)  # one row each
-        return _score(rows.crossJoin(F.broadcast(totals)), len(terms))
-
-
-class Cells:
-    """Vectors in a folder by cell: each lies in the cell of its nearest centre. A search looks into the nearest cells.
-
-    The centres are fitted on a bounded sample; every vector is written. Looking into all cells is exact.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, cells: int = 32, sample: int = 5_000, rounds: int = 5):
-        self.spark, self.path, self.cells, self.sample, self.rounds = spark, path.rstrip("/"), cells, sample, rounds
-
-    def build(self, vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> Cells:
-        """Fits centres on the `sample` vectors of least hash of their id, and writes all vectors by cell."""
-        import numpy as np
-
-        some = vectors.filter(F.col(embedding).isNotNull()).orderBy(F.xxhash64(vec_id), vec_id).select(embedding).limit(self.sample)
-        x = np.array([r[0] for r in some.collect()], float)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if len(x) else np.zeros((1, 1))
-        centres = x[: self.cells].copy()
-        for _ in range(self.rounds):
-            near = (x @ centres.T).argmax(1)
-            sums = np.array([x[near == k].sum(0) if (near == k).any() else centres[k] for k in range(len(centres))])
-            centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        rows = [(k, c.tolist()) for k, c in enumerate(centres)]
-        self.spark.createDataFrame(rows, "cell int, centre array<double>").write.mode("overwrite").parquet(f"{self.path}/centres")
-        table = F.array(*[F.struct(_dot(F.col(embedding), F.array(*map(F.lit, c))).alias("s"), F.lit(-k).alias("k")) for k, c in rows])
-        cell = F.coalesce(-F.array_max(table)["k"], F.lit(0)).alias("cell")
-        placed = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"), cell)
-        placed.write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/vectors")
-        return self
-
-    def search(self, query: list[float], probes: int = 8) -> DataFrame:
-        """(vec_id, score) of the vectors in the `probes` cells nearest to a query."""
-        q = F.array(*[F.lit(float(x)) for x in query])
-        near = self.spark.read.parquet(f"{self.path}/centres").orderBy(_dot("centre", q).desc(), "cell").limit(probes).collect()
-        found = self.spark.read.parquet(f"{self.path}/vectors").filter(F.col("cell").isin(*[r["cell"] for r in near]))
-        return cosine(found, query)
+    return score_terms(hits.crossJoin(F.broadcast(stats)), len(terms))  # one row
 
 
 def _dot(a, b) -> Column:
@@ -144,6 +71,12 @@ def cosine(vectors: DataFrame, query: list[float], vec_id: str = "vec_id", embed
     return vectors.select(F.col(vec_id), ((1 + cos) / 2).alias("score"))
 
 
+def certainty(a: str, b: str) -> Column:
+    """(1 + cosine) / 2 of two vector columns; 0.5 where one is null or zeros."""
+    lengths = F.sqrt(_dot(F.col(a), F.col(a))) * F.sqrt(_dot(F.col(b), F.col(b)))
+    return (1 + F.when(lengths > 0, _dot(F.col(a), F.col(b)) / lengths).otherwise(0.0)) / 2
+
+
 def top(scored: DataFrame, key: str, k: int, offset: int = 0) -> DataFrame:
     return scored.orderBy(F.round("score", 9).desc(), key).offset(offset).limit(k)
 
