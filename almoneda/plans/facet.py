@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almoneda import facets as A
+from almoneda.bitmaps import BitmapFacets
 from almoneda.hierarchy import nuts_rollup
 from almoneda.plans.registry import query
 from almoneda.plans.scalar import _BUCKET
 from almoneda.plans.testbind import contracts, table, versions, with_contracts
 from almoneda.plans.testbind import VERSIONS
 from almoneda.spec import FilterSpec
+from almoneda.store import workspace
 
 _SPEC = FilterSpec(cpv=("1", "2"), nuts=("ES1", "ES2", "ES3"), status=("O", "F"), result=("A", "N"), contract_type=("BUILDING", "MACHINERY", "HOUSEHOLD"), procedure=("1", "2", "3"), pub_from="1995-06-01", budget_min=1000.0)
 _TESTS = {
@@ -95,3 +97,40 @@ def _(spark, d):
     from almoneda.ingest import watermarks
 
     return watermarks(versions(spark, d))
+
+
+#: Bounds that cut a month and a power of two, on both sides.
+_CUT = FilterSpec(cpv=("1", "2"), nuts=("ES1", "ES2", "ES3"), status=("O", "F"), pub_from="1994-02-11", pub_to="1997-10-19", deadline_to="1997-09-30", budget_min=1234.5, budget_max=3e6)
+_CUT_TESTS = {k: _TESTS[k] for k in ("cpv", "nuts", "status")} | {
+    "dates": "publication_ts >= TIMESTAMP '1994-02-11' AND publication_ts <= TIMESTAMP '1997-10-19 23:59:59' AND deadline_ts <= TIMESTAMP '1997-09-30 23:59:59'", "budget": "budget_amount BETWEEN 1234.5 AND 3e6",
+}
+
+
+def _cut(*without: str) -> str:
+    return " AND ".join(v for k, v in _CUT_TESTS.items() if k not in without)
+
+
+def _bitmaps(spark, d):
+    return BitmapFacets(spark, workspace(spark, "bitmaps")).build(contracts(spark, d, *_PARTS))
+
+
+@query("bitmap_totals", with_contracts("SELECT " + ", ".join(f"count(*) FILTER ({_cut(*k)}) AS {n}" for n, k in [("total", ()), *[(f"t_{x}", (x,)) for x in _TESTS]]) + " FROM contracts"))
+def _(spark, d):
+    """All leave-one-out totals by AND over bitmaps; the contracts are read when the bitmaps are built."""
+    return _bitmaps(spark, d).totals(_CUT)
+
+
+@query("bitmap_facet_nuts", with_contracts(f"SELECT nuts AS value, count(*) AS n FROM contracts WHERE {_cut('nuts')} AND nuts <> '' GROUP BY 1"))
+def _(spark, d):
+    return _bitmaps(spark, d).count_by(_CUT, "nuts")
+
+
+@query("bitmap_facet_result", with_contracts(f"SELECT result_code AS value, count(*) AS n FROM contracts WHERE {_cut()} AND result_code <> '' GROUP BY 1"))
+def _(spark, d):
+    return _bitmaps(spark, d).count_by(_CUT, "result")
+
+
+@query("bitmap_cpv_nodes", with_contracts(f"""SELECT code, (SELECT count(*) FROM contracts WHERE {_cut('cpv')} AND len(list_filter(coalesce(cpv, []), lambda c: starts_with(c, substr(code, 1, CAST(greatest(length(rtrim(code, '0')), 2) AS INTEGER))))) > 0) AS n
+FROM (SELECT unnest({_NODES}) AS code)"""))
+def _(spark, d):
+    return _bitmaps(spark, d).nodes(_CUT, _NODES)

@@ -166,6 +166,15 @@ def _(spark, d):
     return cpv_typeahead(cpv_dim(spark, d), ["11", "ring"])
 
 
+@query("cpv_typeahead_indexed", f"WITH {CPV_DIM} SELECT code, label FROM cpv_dim WHERE starts_with(code, '12') OR contains(lower(label), 'ring') OR contains(lower(label), 'ol') ORDER BY code LIMIT 40")
+def _(spark, d):
+    """The same by postings of pieces of the labels."""
+    from almoneda.store import workspace
+    from almoneda.substring import Typeahead
+
+    return Typeahead(spark, workspace(spark, "typeahead")).build(cpv_dim(spark, d)).search(["12", "RING", "ol"])
+
+
 @query("nuts_truncate", with_contracts("SELECT sid, CASE WHEN length(nuts) >= 5 THEN 3 ELSE 2 END AS lvl, substr(nuts, 1, 4) AS nuts2, substr(nuts, 1, 5) AS nuts3 FROM contracts"))
 def _(spark, d):
     return contracts(spark, d, "nuts").select("sid", S.nuts_level("nuts").alias("lvl"), S.nuts_truncate("nuts", 2).alias("nuts2"), S.nuts_truncate("nuts", 3).alias("nuts3"))
