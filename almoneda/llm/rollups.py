@@ -4,14 +4,16 @@ A change is an insert, a delete or a revision of a document's count under a toke
 document and +tokens for what comes, -1 and -tokens for what goes. Their sums by source, language and version are
 additive, so a batch adds a few rows to the store whatever its size, and totals are sums over batches.
 
-A batch's sums are one small table, and its commit is one small file that names it, renamed into place: the batch is there
-as a whole or not at all, and never twice. Now and then the totals so far are written with the names of the batches in
-them; totals are then read from there, and from the batches since.
+A batch's sums are one small table, and its commit is the next entry of a log, a small file renamed into place: the batch is
+there as a whole or not at all, and never twice. Now and then the totals so far are written with the number of the last entry
+in them; totals are then read from there, and from the entries since. What a commit or a reading costs doesn't depend on how
+many batches came before.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,10 +82,14 @@ def rollup(rows: DataFrame) -> DataFrame:
 class Store:
     """Totals in a folder that driver and executors share, on a file system with atomic renames.
 
-    data/<name>: the sums of a batch, commits/<batch>: a file that holds its name. totals/<n>: sums of many batches, with
-    the ids of these in done/<n>; a file in versions/<n> says that both are whole.
+    data/<name>: the sums of a batch. log/<thousand>/<number>: an entry, which holds a batch's id and that name. totals/<name>:
+    sums of all entries up to one; versions/<number> holds that name and the entry's number. ids/<part>/<batch>: says that a
+    batch has an entry; each entry that is in a version has one.
     """
 
+    #: Entries a folder of the log, and versions that are kept.
+    FOLDER, KEPT = 1000, 8
+
     def __init__(self, spark: SparkSession, path: str, compact_after: int = 32):
         self.spark, self.path, self.compact_after = spark, path.rstrip("/"), compact_after
         jvm = spark._jvm
@@ -117,60 +123,78 @@ class Store:
     def _get(self, folder: str, name: str) -> str:
         return self._jvm.org.apache.commons.io.IOUtils.toString(self._fs.open(self._path(f"{self.path}/{folder}/{name}")), "UTF-8")
 
-    def committed(self) -> list[str]:
-        return self._names("commits")
+    def _has(self, folder: str, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.path}/{folder}/{name}"))
+
+    @staticmethod
+    def _marker(batch: str) -> str:
+        """Folder of a batch's id."""
+        return f"ids/{zlib.crc32(batch.encode()) % 4096:03x}"
+
+    def _entry(self, number: int) -> tuple[str, str]:
+        return f"log/{number // self.FOLDER:09d}", f"{number:012d}"
+
+    def _since(self) -> tuple[int, str | None, int, list[tuple[str, str]]]:
+        """Number, totals and last entry of the last version, and (batch, name) of the entries since, in order."""
+        versions = self._names("versions")
+        totals, last = self._get("versions", versions[-1]).split("\n") if versions else (None, "-1")
+        found, number = [], int(last) + 1
+        while True:
+            folder = self._entry(number)[0]
+            there = [n for n in self._names(folder) if int(n) >= number]
+            found += [tuple(self._get(folder, n).split("\n")) for n in there]
+            number += len(there)
+            if not there or number % self.FOLDER:
+                return int(versions[-1]) if versions else 0, totals, int(last), found
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Adds a batch of changes; False if a batch of that id is there already, and then nothing is read or written.
+        """Adds a batch of changes; False if a batch of that id is there already, and then no changes are read or written.
 
         Of two commits of one id at the same time one wins; the other returns False, and its sums count for nothing.
         """
-        if not batch or any(c in batch for c in "/=:\\ ") or batch[0] in "._":
-            raise ValueError("a batch id has no slashes, colons, blanks or equals signs, and starts with no dot or underscore")
-        if batch in self.committed():
+        if not batch or any(c in batch for c in "/=:\\ \n") or batch[0] in "._":
+            raise ValueError("a batch id has no slashes, colons, blanks, line ends or equals signs, and starts with no dot or underscore")
+        _, _, last, since = self._since()
+        # Entries up to `last` had their ids marked before the version was written; the others are at hand.
+        if batch in dict(since) or self._has(self._marker(batch), batch):
             return False
-        name = uuid.uuid4().hex
+        name, number = uuid.uuid4().hex, last + 1 + len(since)
         rollup(signed_rows(changes)).write.parquet(f"{self.path}/data/{name}")
-        if not self._put("commits", batch, name):
-            self._fs.delete(self._path(f"{self.path}/data/{name}"), True)
-            return False
-        if len(self._since()[1]) >= self.compact_after:
+        while not self._put(*self._entry(number), f"{batch}\n{name}"):
+            if self._get(*self._entry(number)).split("\n")[0] == batch:
+                self._fs.delete(self._path(f"{self.path}/data/{name}"), True)
+                return False
+            number += 1  # another batch took it: no number is passed unseen
+        self._put(self._marker(batch), batch, name)
+        if len(since) + 1 >= self.compact_after:
             self.compact()
         return True
 
-    def _since(self) -> tuple[str | None, list[str]]:
-        """The last version of the totals, and the batches that aren't in it."""
-        versions = self._names("versions")
-        if not versions:
-            return None, self.committed()
-        done = self.spark.read.schema("batch string").parquet(f"{self.path}/done/{self._get('versions', versions[-1])}")
-        known = {r["batch"] for r in done.toLocalIterator()}  # a name a batch ever committed
-        return versions[-1], [b for b in self.committed() if b not in known]
-
     def compact(self) -> bool:
-        """Adds the batches since the last version to its totals; False if another process wrote the same version first."""
-        version, batches = self._since()
-        if not batches:
+        """Adds the entries since the last version to its totals; False if another process wrote the same version first."""
+        version, totals, last, since = self._since()
+        if not since:
             return False
-        name, number = uuid.uuid4().hex, f"{int(version or 0) + 1:012d}"
-        self._sums(version, batches).write.parquet(f"{self.path}/totals/{name}")
-        done = self.spark.createDataFrame([(b,) for b in batches], "batch string")
-        if version:
-            done = done.unionByName(self.spark.read.schema("batch string").parquet(f"{self.path}/done/{self._get('versions', version)}"))
-        done.write.parquet(f"{self.path}/done/{name}")
-        return self._put("versions", number, name)
-
-    def _sums(self, version: str | None, batches: list[str]) -> DataFrame:
-        paths = [f"{self.path}/data/{self._get('commits', b)}" for b in batches]
-        if version:
-            paths.append(f"{self.path}/totals/{self._get('versions', version)}")
+        name = uuid.uuid4().hex
+        self._sums(totals, since).write.parquet(f"{self.path}/totals/{name}")
+        for batch, data in since:
+            self._put(self._marker(batch), batch, data)  # a commit that was cut off may have left it out
+        if not self._put("versions", f"{version + 1:012d}", f"{name}\n{last + len(since)}"):
+            return False
+        for old in self._names("versions")[: -self.KEPT]:
+            self._fs.delete(self._path(f"{self.path}/versions/{old}"), False)
+        return True
+
+    def _sums(self, totals: str | None, since: list[tuple[str, str]]) -> DataFrame:
+        paths = [f"{self.path}/data/{name}" for _, name in since] + ([f"{self.path}/totals/{totals}"] if totals else [])
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
         return rollup(self.spark.read.schema(SCHEMA).parquet(*paths))
 
     def totals(self) -> DataFrame:
         """The totals kept so far and the batches since; groups whose documents and tokens are both back at 0 are left out."""
-        return self._sums(*self._since()).filter("docs <> 0 OR tokens <> 0")
+        _, totals, _, since = self._since()
+        return self._sums(totals, since).filter("docs <> 0 OR tokens <> 0")
 
 
 def op10_token_rollup(spark, sf_dir: str) -> DataFrame:

@@ -328,11 +328,37 @@ def test_rollups(spark, tmp_path):
     assert sorted(map(tuple, rollups.Store(spark, str(tmp_path / "store")).totals().collect()), key=str) == [("a", "en", "1", 1, 0), ("b", "en", "2", 2, 17)]
     # Of two processes that commit one batch the later one loses, though it saw no such batch when it began.
     late = rollups.Store(spark, str(tmp_path / "store"))
-    late.committed = lambda: []
+    late._since, late._has = lambda: (0, None, -1, []), lambda *_: False
     assert not late.commit("b3", new) and len(store._names("data")) == 4
     assert sorted(map(tuple, store.totals().collect()), key=str) == [("a", "en", "1", 1, 0), ("b", "en", "2", 2, 17)]
 
 
+def test_rollups_of_many_batches(spark, tmp_path):
+    """What a commit reads doesn't grow with the batches before it; entries go to further folders; ids hold for good."""
+    st = "struct<source:string,lang:string,version:string,tokens:bigint>"
+    one = spark.createDataFrame([("insert", None, ("a", "en", "1", 1))], f"op string, old {st}, new {st}").coalesce(1)
+    store, reads = rollups.Store(spark, str(tmp_path / "store"), compact_after=3), []
+    store.FOLDER, store.KEPT = 2, 2  # costs recur every six commits
+    get, names = store._get, store._names
+    store._get = lambda *a: reads.append(a) or get(*a)
+    store._names = lambda f: [reads.append(x) or x for x in names(f)]
+    cost = []
+    for i in range(18):
+        reads.clear()
+        assert store.commit(f"b{i}", one)
+        cost.append(len(reads))
+    assert max(cost[12:]) <= max(cost[6:12]) and len(names("versions")) <= 2
+    assert not any(store.commit(f"b{i}", one) for i in (0, 7, 17))
+    assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "1", 18, 18)]
+    # A commit that was cut off before its id was marked counts, and isn't taken twice.
+    put = store._put
+    store._put = lambda folder, *a: folder.startswith("ids/") or put(folder, *a)
+    assert store.commit("cut", one)
+    store._put = put
+    assert not store.commit("cut", one) and store.compact() and not store.commit("cut", one)
+    assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "1", 19, 19)]
+
+
 def test_counts_by_a_public_tokenizer(spark):
     import os
 
