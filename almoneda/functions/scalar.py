@@ -196,3 +196,11 @@ def query_string(params: dict) -> str:
 
     pairs = [(k, v) for k, vs in params.items() for v in (vs if isinstance(vs, (list, tuple)) else [vs]) if v not in (None, "", False)]
     return "&".join(f"{quote(str(k), safe='')}={quote(str(v).lower() if isinstance(v, bool) else str(v), safe='')}" for k, v in pairs)
+
+
+def query_strings(params: dict[str, Column]) -> Column:
+    """`query_string` of each row's values, by name: a column or an array of them; nulls and empty texts are left out."""
+    plain = lambda c: F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))  # noqa: E731  a blank is %20
+    named = lambda k: lambda x: F.concat(F.lit(f"{k}="), plain(x))
+    pairs = [F.transform(F.filter(c, lambda x: x.isNotNull() & (x != "")), named(k)) for k, c in params.items()]
+    return F.array_join(F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in pairs]), "&")

@@ -95,3 +95,64 @@ def _(spark, d):
 
     lots = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("sid"), F.col("l_linenumber").cast("string").alias("lot_id"))
     return duplicate_keys(lots, "sid", "lot_id")
+
+
+_STATE = {"status": ["O", "F"], "nuts": ["ES1", "ES2"], "cpv": [], "result": "", "budget_min": 1000.0, "budget_max": None, "open_only": True}
+_STATE_SQL = {"status": "status_code IN ('O', 'F')", "nuts": "(starts_with(nuts, 'ES1') OR starts_with(nuts, 'ES2'))", "deadline": "deadline_ts >= TIMESTAMP '1996-01-01'", "budget": "budget_amount >= 1000"}
+
+
+def _state_sql(**other: str | None) -> str:
+    return " AND ".join(v for v in (_STATE_SQL | other).values() if v)
+
+
+@query("filter_state", with_contracts(f"SELECT sid, status_code, deadline_ts FROM contracts WHERE {_state_sql()}"))
+def _(spark, d):
+    """A state of the filter form: empty values go, and `open_only` means deadlines from today on."""
+    return FilterSpec.from_params(_STATE, "1996-01-01").apply(contracts(spark, d, "nuts")).select("sid", "status_code", "deadline_ts")
+
+
+@query("filter_text", with_contracts(f"SELECT sid, status_code, deadline_ts FROM contracts WHERE {_state_sql()}"))
+def _(spark, d):
+    """The same filters by their text."""
+    return contracts(spark, d, "nuts").filter(FilterSpec.from_params(_STATE, "1996-01-01").to_text()).select("sid", "status_code", "deadline_ts")
+
+
+_REMOVED = [("nuts", "ES1", {"nuts": "starts_with(nuts, 'ES2')"}), ("nuts", "ES2", {"nuts": "starts_with(nuts, 'ES1')"}), ("status", "O", {"status": "status_code = 'F'"}), ("status", "F", {"status": "status_code = 'O'"}), ("deadline_from", "1996-01-01", {"deadline": None}), ("budget_min", "1000.0", {"budget": None})]
+
+
+@query("active_filters", with_contracts(" UNION ALL ".join(f"SELECT '{k}' AS field, '{v}' AS value, count(*) AS n FROM contracts WHERE {_state_sql(**x)}" for k, v, x in _REMOVED)))
+def _(spark, d):
+    """The filter values in force, each with the total once it is removed."""
+    from almoneda.facets import without_each
+
+    return without_each(contracts(spark, d, "nuts"), FilterSpec.from_params(_STATE, "1996-01-01"))
+
+
+@query("filter_query_string", with_contracts("""SELECT sid, array_to_string(list_concat(CASE WHEN status_code <> '' THEN ['status=' || url_encode(status_code)] ELSE [] END, CASE WHEN contracting_authority <> '' THEN ['q=' || url_encode('~* ' || contracting_authority)] ELSE [] END,
+list_transform(coalesce(cpv, []), lambda c: 'cpv=' || url_encode(c)), CASE WHEN nuts <> '' THEN ['nuts=' || url_encode(nuts)] ELSE [] END), '&') AS qs FROM contracts"""))
+def _(spark, d):
+    """Of each contract the link to a search for its like: empty parameters left out, lists repeated."""
+    from almoneda.functions.scalar import query_strings
+
+    c = contracts(spark, d, "customer", "nuts", "cpv")
+    return c.select("sid", query_strings({"status": F.array("status_code"), "q": F.array(F.concat(F.lit("~* "), "contracting_authority")), "cpv": F.col("cpv"), "nuts": F.array("nuts")}).alias("qs"))
+
+
+@query("group_toggled", with_contracts("SELECT 'on' AS step, count(*) AS n FROM contracts WHERE procedure_code IN ('1', '2', '3', '4', '5', '10', '11', '13') UNION ALL SELECT 'off', count(*) FROM contracts WHERE procedure_code IN ('1', '2')"))
+def _(spark, d):
+    """A group of codes that is chosen in part is switched on as a whole, then off; the filter follows."""
+    from almoneda.facets import GROUPS, group_toggle
+
+    codes = GROUPS["procedure"]["negoc"]
+    on = group_toggle(codes, ("1", "2", "3"))
+    c = contracts(spark, d)
+    total = lambda step, chosen: FilterSpec(procedure=chosen).apply(c).agg(F.lit(step).alias("step"), F.count("*").alias("n"))
+    return total("on", on).unionByName(total("off", group_toggle(codes, on)))
+
+
+@query("load_more", with_contracts(f"SELECT page, count(*) AS shown, count(*) + page * 500 < max(total) AS more FROM (SELECT CAST((row_number() OVER (ORDER BY sid) - 1) // 500 AS INTEGER) AS page, count(*) OVER () AS total FROM contracts WHERE {_WHERE}) GROUP BY page"))
+def _(spark, d):
+    """(page, shown, more) of all pages of 500: how many rows each shows, and whether another follows."""
+    from almoneda.spec import pages
+
+    return pages(_SPEC.apply(contracts(spark, d, "nuts")), 500)

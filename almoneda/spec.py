@@ -166,3 +166,11 @@ def cursor(page: list, sort: list[tuple[str, str]]) -> tuple | None:
 def has_more(total: int | None, offset: int, shown: int, k: int = 15) -> bool:
     """Whether a page has another after it; without a total, whether it is full."""
     return offset + shown < total if total is not None else shown == k
+
+
+def pages(found: DataFrame, k: int = 15) -> DataFrame:
+    """(page, shown, more) of all pages of k rows that a result has; `more` as has_more tells it."""
+    total = found.agg(F.count("*").alias("total"))
+    each = total.filter("total > 0").select("total", F.explode(F.sequence(F.lit(0), ((F.col("total") - 1) / k).cast("int"))).alias("page"))
+    shown = F.least(F.lit(k), F.col("total") - F.col("page") * k).cast("long")
+    return each.select("page", shown.alias("shown"), (F.col("page") * k + shown < F.col("total")).alias("more"))
