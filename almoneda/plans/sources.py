@@ -14,9 +14,13 @@ from almoneda.sources import feeds, geo, html, pdf
 from almoneda.store import SnapshotStore, workspace
 
 
-def entry_xml(spark, d):
-    """(o_orderkey, xml): every order as a feed entry, one lot and one result each for orders of even key."""
-    o = table(spark, d, "orders")
+#: Entries of a written feed file, and of a page of short entries. A reader takes a file as a whole, so files are bounded
+#: and their number grows with the input.
+FILE_ENTRIES, PAGE_ENTRIES = 20_000, 200_000
+
+
+def _entry():
+    """An order as a feed entry, one lot and one result each for orders of even key."""
     key, money = F.col("o_orderkey").cast("string"), F.format_string("%.2f", "o_totalprice")
     part = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
     lot = part('<ProcurementProjectLot><ID schemeName="l"> 1 </ID><ProcurementProject><Name>Lote ', key, '</Name><BudgetAmount><TaxExclusiveAmount currencyID="EUR">', money, "</TaxExclusiveAmount></BudgetAmount><RequiredCommodityClassification><ItemClassificationCode>03110000</ItemClassificationCode></RequiredCommodityClassification></ProcurementProject></ProcurementProjectLot>")
@@ -33,18 +37,41 @@ def entry_xml(spark, d):
         "<GeneralDocument><GeneralDocumentDocumentReference><Attachment><ExternalReference><URI>https://d/", key, "/1.pdf</URI></ExternalReference></Attachment></GeneralDocumentDocumentReference><GeneralDocumentDocumentReference><Attachment><ExternalReference><URI>https://d/", key, "/2.pdf</URI></ExternalReference></Attachment></GeneralDocumentDocumentReference></GeneralDocument>",
         "</cac-place-ext:ContractFolderStatus></entry>",
     )
-    return o.select("o_orderkey", F.replace(xml, F.lit("o_status"), F.col("o_orderstatus")).alias("xml"))
+    return F.replace(xml, F.lit("o_status"), F.col("o_orderstatus"))
+
+
+def entry_xml(spark, d):
+    """(o_orderkey, xml): every order as an entry."""
+    return table(spark, d, "orders").select("o_orderkey", _entry().alias("xml"))
+
+
+def _documents(spark, rows, keys, count, head, value, path):
+    """Writes a document for each of the keys, of which there are `count` different ones: head, a line a row, end. Rows are
+    dealt to files before their text is made."""
+    place = rows.select(*keys).distinct().select(*keys, F.explode(F.lit([0, 2])).alias("place"))
+    dealt = rows.withColumn("place", F.lit(1)).unionByName(place, allowMissingColumns=True).repartition(count, *keys).sortWithinPartitions(*keys, "place")
+    text = F.when(F.col("place") == 0, head).when(F.col("place") == 2, F.lit("</feed>")).otherwise(value)
+    dealt.select(*keys, text.alias("value")).write.partitionBy(*keys).text(path)
+    return path
+
+
+def _dealt(spark, d, entries):
+    """(orders, parts): orders with `file`, 0 to 7, and `part`, of which a file has `parts`."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice")
+    parts = max(1, -(-o.count() // (8 * entries)))
+    return o.withColumns({"file": F.pmod("o_orderkey", F.lit(8)), "part": F.pmod(F.xxhash64("o_orderkey"), F.lit(parts))}), parts
 
 
-def written_feed(spark, d):
+def _gone():
+    """A tombstone beside every hundredth order."""
+    return F.when(F.pmod("o_orderkey", F.lit(100)) == 0, F.concat(F.lit('<at:deleted-entry ref="https://x/sindicacion/'), F.col("o_orderkey").cast("string"), F.lit('" when="2024-01-01T00:00:00Z"><at:comment type="CERRADA"/></at:deleted-entry>'))).otherwise("")
+
+
+def written_feed(spark, d, entries=FILE_ENTRIES):
     """The path of feed files of all orders, with a tombstone for every hundredth. A file is one document, an entry a line."""
     head = '<feed xmlns="http://www.w3.org/2005/Atom" xmlns:cbc="urn:a" xmlns:cac-place-ext="urn:b" xmlns:cbc-place-ext="urn:c" xmlns:at="http://purl.org/atompub/tombstones/1.0"><link rel="next" href="https://contrataciondelestado.es/next.atom"/>'
-    gone = F.when(F.pmod("o_orderkey", F.lit(100)) == 0, F.concat(F.lit('<at:deleted-entry ref="https://x/sindicacion/'), F.col("o_orderkey").cast("string"), F.lit('" when="2024-01-01T00:00:00Z"><at:comment type="CERRADA"/></at:deleted-entry>'))).otherwise("")
-    path = workspace(spark, "feed")
-    ends = spark.range(8).select(F.explode(F.array(F.struct(F.col("id").alias("file"), F.lit(0).alias("place"), F.lit(head).alias("value")), F.struct(F.col("id").alias("file"), F.lit(2).alias("place"), F.lit("</feed>").alias("value")))).alias("x")).select("x.*")
-    lines = entry_xml(spark, d).select(F.pmod("o_orderkey", F.lit(8)).alias("file"), F.lit(1).alias("place"), F.concat(gone, "xml").alias("value"))
-    lines.unionByName(ends).repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(path)
-    return path
+    o, parts = _dealt(spark, d, entries)
+    return _documents(spark, o, ["file", "part"], 8 * parts, F.lit(head), F.concat(_gone(), _entry()), workspace(spark, "feed"))
 
 
 def parsed(spark, d):
@@ -97,16 +124,14 @@ def _(spark, d):
     return feeds.entries(spark, written_feed(spark, d), "test").select("sid", "updated", "link", F.col("status.ContractFolderID").alias("expediente"))
 
 
-def _pages(spark, d, n=6):
-    """(folder, pages): n feed files, page k with every (k + 1)th order under the title vk, all of one time, so that sizes
-    are unlike and only arrival decides."""
-    o = table(spark, d, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("page")).filter(F.pmod("o_orderkey", F.col("page") + 1) == 0)
-    key, page = F.col("o_orderkey").cast("string"), F.col("page").cast("string")
-    xml = F.concat(F.lit("<entry><id>https://x/s/"), key, F.lit("</id><updated>2024-01-01T00:00:00Z</updated><ContractFolderStatus><ContractFolderID>v"), page, F.lit("</ContractFolderID></ContractFolderStatus></entry>"))
-    lines = o.select("page", F.lit(1).alias("place"), xml.alias("value"))
-    ends = spark.range(n).select(F.col("id").cast("int").alias("page"), F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit("<feed>").alias("value")), F.struct(F.lit(2).alias("place"), F.lit("</feed>").alias("value")))).alias("x")).select("page", "x.*")
-    path = workspace(spark, "pages")
-    lines.unionByName(ends).repartition("page").sortWithinPartitions("page", "place").select("page", "value").write.partitionBy("page").text(path)
+def _pages(spark, d, n=6, entries=PAGE_ENTRIES):
+    """(folder, pages): n pages, page k with every (k + 1)th order under the title vk, all of one time, so that sizes
+    are unlike and only arrival decides. A page is a folder of files."""
+    o = table(spark, d, "orders").select("o_orderkey")
+    parts = max(1, -(-o.count() // entries))
+    o = o.withColumn("part", F.pmod(F.xxhash64("o_orderkey"), F.lit(parts))).withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).filter(F.pmod("o_orderkey", F.col("page") + 1) == 0)
+    xml = F.concat(F.lit("<entry><id>https://x/s/"), F.col("o_orderkey").cast("string"), F.lit("</id><updated>2024-01-01T00:00:00Z</updated><ContractFolderStatus><ContractFolderID>v"), F.col("page").cast("string"), F.lit("</ContractFolderID></ContractFolderStatus></entry>"))
+    path = _documents(spark, o, ["page", "part"], n * parts, F.lit("<feed>"), xml, workspace(spark, "pages"))
     return path, [f"{path}/page={k}" for k in range(n)]
 
 

@@ -25,7 +25,8 @@ CHANNELS = (
 
 
 def _xml(spark: SparkSession, path: str | list[str], tag: str, ddl: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(ddl).load(path)
+    """The elements of a name in files, those of folders within included. A task reads a file as a whole."""
+    return spark.read.format("xml").option("recursiveFileLookup", "true").option("rowTag", tag).option("ignoreNamespace", "true").schema(ddl).load(path)
 
 
 #: A file's place among those of a read, where its split begins, and the row's place in the split.
