@@ -1,9 +1,12 @@
 """Facet counts from bitmaps: contracts are numbered in blocks, and each value of a dimension has a bitmap a block.
 
 Filters are bitmaps joined by OR within a dimension and by AND over dimensions, a count is the number of bits left, and a
-dimension's own filter is left out by leaving its bitmap out of the AND. The contracts themselves aren't read. Prefixes of codes
-have bitmaps of their own. A range of dates or amounts is the bitmaps of the cells (months, powers of two) that it covers,
-and of a cell that a bound cuts the numbers that stand beside it.
+dimension's own filter is left out by leaving its bitmap out of the AND. The contracts themselves aren't read. A range of dates
+or amounts is the bitmaps of the cells (months, powers of two) that it covers, and of a cell that a bound cuts the numbers that
+stand beside it. Codes are many and most are rare, so they have no bitmaps but a row for each contract that holds one, in order
+of codes, of which a prefix is a range; a bitmap is made of those that a question needs.
+
+Files hold blocks of their own, so a block's bitmaps are joined where they are and a question's shuffle grows with the blocks.
 """
 
 from __future__ import annotations
@@ -51,24 +54,28 @@ class BitmapFacets:
         # A part's rows mostly fill one bitmap; what is more goes to the next one, in blocks of the part's own.
         row = F.row_number().over(Window.partitionBy("part").orderBy("sid")) - 1
         at = df.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(parts))).withColumn("row", row)
-        at = written(at.select(*wanted, (F.col("part") * (1 << 20) + F.floor(F.col("row") / BITS)).alias("block"), F.pmod("row", F.lit(BITS)).cast("long").alias("bit")), "numbered")
-        stems = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(c, F.lit(1), n))
-        some = lambda c: F.filter(c, lambda x: x.isNotNull() & (x != ""))
-        one = lambda c: some(F.array(F.col(c).cast("string")))
-        values = {"cpv^": F.flatten(F.transform(some("cpv"), stems)), "nuts^": F.flatten(F.transform(one("nuts"), stems)), "cpv": some("cpv")}
-        values |= {k: one(c) for k, c in DIMENSIONS.items() if k != "cpv"}
+        # Blocks of a part stay in its task from here on, so nothing more is shuffled.
+        at = at.select(*wanted[1:], "part", (F.col("part") * (1 << 20) + F.floor(F.col("row") / BITS)).alias("block"), F.pmod("row", F.lit(BITS)).cast("long").alias("bit"))
+        one = lambda c: F.filter(F.array(F.col(c).cast("string")), lambda x: x.isNotNull() & (x != ""))
+        values = {k: one(c) for k, c in DIMENSIONS.items() if k != "cpv"}
         values |= {k: one_cell for k, (c, cell) in RANGES.items() for one_cell in [F.when(F.col(c).isNotNull(), F.array(cell(F.col(c))))]}
         every = F.lit(["*"])
-        entry = lambda k, v: F.transform(F.array_distinct(F.coalesce(v, F.array().cast("array<string>"))), lambda x: F.struct(F.lit(k).alias("dimension"), x.alias("value")))
-        rows = at.select("block", "bit", F.explode(F.concat(*[entry(k, v) for k, v in {**values, "*": every}.items()])).alias("e")).select("e.*", "block", "bit")
-        maps = rows.groupBy("dimension", "value", "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
-        order = lambda d, *c: d.repartitionByRange(*c).sortWithinPartitions(*c).write.mode("overwrite").option("compression", "zstd")  # noqa: E731  most bits of a rare value are zero
+        entry = lambda k, v: F.transform(F.coalesce(v, F.array().cast("array<string>")), lambda x: F.struct(F.lit(k).alias("dimension"), x.alias("value")))
+        rows = at.select("part", "block", "bit", F.explode(F.concat(*[entry(k, v) for k, v in {**values, "*": every}.items()])).alias("e")).select("e.*", "part", "block", "bit")
+        maps = rows.groupBy("part", "block", "dimension", "value").agg(F.bitmap_construct_agg("bit").alias("bits")).drop("part")
+        order = lambda d, *c: d.sortWithinPartitions(*c).write.mode("overwrite").option("compression", "zstd")  # noqa: E731  most bits of a rare value are zero
         order(maps, "dimension", "value", "block").parquet(f"{self.path}/maps")
         number = lambda k, c, cell: F.struct(F.lit(k).alias("dimension"), cell(F.col(c)).alias("value"), (F.lit(None).cast("long") if k == "budget" else _number(c)).alias("whole"), (_number(c) if k == "budget" else F.lit(None).cast("double")).alias("amount"))
         numbers = at.select("block", "bit", F.explode(F.array(*[number(k, c, cell) for k, (c, cell) in RANGES.items()])).alias("e")).select("e.*", "block", "bit").filter("value IS NOT NULL AND (whole IS NOT NULL OR amount IS NOT NULL)")
         order(numbers, "dimension", "value", "block").parquet(f"{self.path}/numbers")
+        codes = at.select("block", "bit", F.explode(F.array_distinct(F.filter("cpv", lambda x: x.isNotNull() & (x != "")))).alias("value"))
+        order(codes.select("value", "block", "bit"), "value", "block").parquet(f"{self.path}/codes")
         return self
 
+    def _codes(self, stems: list[str] | tuple[str, ...]) -> DataFrame:
+        """(value, block, bit) of the codes that start with any stem."""
+        return self.spark.read.parquet(f"{self.path}/codes").filter(reduce(lambda a, b: a | b, [F.col("value").startswith(x) for x in stems]))
+
     def _maps(self, test: Column) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/maps").filter(test)
 
@@ -94,8 +101,11 @@ class BitmapFacets:
         out: dict[str, list[DataFrame]] = {}
         for k in DIMENSIONS:
             if getattr(spec, k):
-                at = F.col("dimension") == (f"{k}^" if k in ("cpv", "nuts") else k)
-                out[k] = [self._maps(at & F.col("value").isin(*getattr(spec, k))).groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))]
+                if k == "cpv":
+                    out[k] = [self._codes(spec.cpv).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))]
+                    continue
+                held = reduce(lambda a, b: a | b, [F.col("value").startswith(x) for x in spec.nuts]) if k == "nuts" else F.col("value").isin(*getattr(spec, k))
+                out[k] = [self._maps((F.col("dimension") == k) & held).groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))]
         day = lambda x, end="": F.lit(f"{x}{end}").cast("timestamp") if x else None
         dates = [self._range(k, day(a), day(b, " 23:59:59")) for k, a, b in (("publication", spec.pub_from, spec.pub_to), ("deadline", spec.deadline_from, spec.deadline_to)) if a or b]
         amount = lambda x: None if x is None else F.lit(float(x))
@@ -125,7 +135,11 @@ class BitmapFacets:
 
     def count_by(self, spec: FilterSpec, dimension: str) -> DataFrame:
         """(value, n) of a dimension under all filters but its own; for codes (`cpv`) contracts with the code."""
-        return self._counts(spec, dimension, F.col("dimension") == dimension)
+        if dimension != "cpv":
+            return self._counts(spec, dimension, self._maps(F.col("dimension") == dimension))
+        codes = self.spark.read.parquet(f"{self.path}/codes")
+        byte = F.conv(F.hex(F.substring("chosen", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return codes.join(self._chosen(spec, "cpv"), "block").filter(F.getbit(byte, F.pmod("bit", F.lit(8)).cast("int")) == 1).groupBy("value").agg(F.count("*").alias("n"))
 
     def nodes(self, spec: FilterSpec, codes: list[str]) -> DataFrame:
         """(code, n): contracts with any code under each node, the cpv filter left out."""
@@ -133,11 +147,17 @@ class BitmapFacets:
 
         nodes = self.spark.createDataFrame([(c,) for c in dict.fromkeys(codes)], "code string").withColumn("value", cpv_prefix("code"))
         stems = [r["value"] for r in nodes.select("value").distinct().collect()]  # the nodes asked for
-        counts = self._counts(spec, "cpv", (F.col("dimension") == "cpv^") & F.col("value").isin(*stems))
+        if not stems:
+            return nodes.select("code", F.lit(0).cast("long").alias("n"))
+        under = self._codes(stems).select(F.explode(F.filter(F.lit(stems), lambda x: F.startswith(F.col("value"), x))).alias("value"), "block", "bit")
+        counts = self._counts(spec, "cpv", under.groupBy("value", "block").agg(F.bitmap_construct_agg("bit").alias("bits")))
         return nodes.join(counts, "value", "left").select("code", F.coalesce("n", F.lit(0)).alias("n"))
 
-    def _counts(self, spec: FilterSpec, dimension: str, test: Column) -> DataFrame:
+    def _chosen(self, spec: FilterSpec, dimension: str) -> DataFrame:
+        """(block, chosen): contracts under all filters but a dimension's own."""
         left = dimension if dimension in self._tests(spec) else ""
-        chosen = self.selected(spec).filter(F.col("without") == left).select("block", F.col("bits").alias("chosen"))
-        met = self._maps(test).join(chosen, "block").select("value", "block", F.explode(F.array("bits", "chosen")).alias("bits"))
+        return self.selected(spec).filter(F.col("without") == left).select("block", F.col("bits").alias("chosen"))
+
+    def _counts(self, spec: FilterSpec, dimension: str, maps: DataFrame) -> DataFrame:
+        met = maps.join(self._chosen(spec, dimension), "block").select("value", "block", F.explode(F.array("bits", "chosen")).alias("bits"))
         return met.groupBy("value", "block").agg(F.bitmap_and_agg("bits").alias("bits")).groupBy("value").agg(F.sum(F.bitmap_count("bits")).alias("n")).filter("n > 0")

@@ -58,3 +58,16 @@ def test_typeahead_equals_the_scan(spark, tmp_path_factory, terms):
     index = Typeahead(spark, str(tmp_path_factory.mktemp("t") / "x")).build(codes)
     for most in (40, 1):
         assert [tuple(r) for r in index.search(terms, most).collect()] == [tuple(r) for r in cpv_typeahead(codes, terms, most).collect()]
+
+
+def test_rare_codes_take_a_row_each(spark, held, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = held[0].withColumn("cpv", F.array(F.lpad(F.substring("sid", 2, 9), 8, "1"), F.lit("45000000")))
+    maps = BitmapFacets(spark, str(tmp_path / "x"), block_rows=300).build(df)
+    bitmaps = spark.read.parquet(f"{tmp_path}/x/maps")
+    assert bitmaps.count() <= bitmaps.select("block").distinct().count() * bitmaps.select("dimension", "value").distinct().count() < 3000
+    assert spark.read.parquet(f"{tmp_path}/x/codes").count() == 6000
+    spec = FilterSpec(cpv=("11",), status=("A",))
+    assert {tuple(r) for r in maps.count_by(spec, "cpv").collect()} == {(v, n) for v, n in df.filter("status_code = 'A'").select(F.explode("cpv").alias("v")).groupBy("v").count().collect()}
+    assert maps.totals(spec).first().asDict() == facets.totals(df, spec).first().asDict()
