@@ -7,15 +7,11 @@ tombstone is for good.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from almoneda import ingest
-from almoneda.store import SnapshotStore
+from almoneda.store import SnapshotStore, written
 
 #: What a version carries, and what is put out.
 VERSION = "sid string, updated string, status_code string, pos bigint, tombstone boolean, payload string"
@@ -23,49 +19,20 @@ LATEST = "sid string, updated string, status_code string, pos bigint, payload st
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class LatestWins(StatefulProcessor):
-    """State of a key: its winning version, its statuses by date, and whether it is tombstoned."""
-
-    def init(self, handle) -> None:
-        self.version = handle.getValueState("version", "updated string, status_code string, pos bigint, payload string")
-        self.history = handle.getMapState("history", "date string, code string", "n int")
-        self.gone = handle.getValueState("gone", "gone boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))
-        dead = self.gone.exists()
-        if not dead and frame["tombstone"].any():
-            self.gone.update((True,))
-            dead = True
-        live = frame[~frame["tombstone"].astype(bool)]
-        changed = bool(frame["tombstone"].any())
-        if len(live):
-            at = live["updated"].fillna("")
-            last = live.assign(at=at).sort_values(["at", "pos"], kind="stable").iloc[-1]
-            now = self.version.get() if self.version.exists() else None
-            if now is None or (last["at"], int(last["pos"])) > (now[0] or "", now[2]):
-                text = lambda x: None if pd.isna(x) else x
-                self.version.update((text(last["updated"]), text(last["status_code"]), int(last["pos"]), text(last["payload"])))
-                changed = True
-            for date, code in {(str(u)[:10] if u else "", "" if pd.isna(c) else c) for u, c in zip(at, live["status_code"])}:
-                if not self.history.containsKey((date, code)):
-                    self.history.updateValue((date, code), (1,))
-                    changed = True
-        if not changed:
-            return
-        version = self.version.get() if self.version.exists() else (None, None, None, None)
-        events = sorted(tuple(k) for k in self.history.keys()) if self.history.exists() else []
-        history = "|".join(f"{d} {c}".strip() for d, c in events)
-        yield pd.DataFrame({"sid": [key[0]], "updated": [version[0]], "status_code": [version[1]], "pos": pd.array([version[2]], "Int64"), "payload": [version[3]], "tombstone": [dead], "history": [history]})
-
-    def close(self) -> None:
-        pass
-
-
 def latest_wins(versions: DataFrame) -> DataFrame:
-    """The changes of each key's latest state (LATEST) of a stream or table of versions (VERSION). Versions without a key
-    are left aside."""
-    return versions.filter("sid IS NOT NULL").groupBy("sid").transformWithStateInPandas(LatestWins(), LATEST, "Update", "None")
+    """The latest state (LATEST) of each key of a stream or table of versions (VERSION); on a stream in update mode, that of
+    the keys a micro-batch meets. Versions without a key are left aside.
+
+    State of a key is Spark's own, of three aggregates: the winning version, the statuses by date, whether it is tombstoned.
+    """
+    live = ~F.coalesce("tombstone", F.lit(False))
+    at = F.coalesce("updated", F.lit(""))
+    event = F.struct(F.substring(at, 1, 10).alias("date"), F.coalesce("status_code", F.lit("")).alias("code"))
+    kept = versions.filter("sid IS NOT NULL").groupBy("sid").agg(
+        F.max(F.when(live, F.struct(at.alias("at"), "pos", "updated", "status_code", "payload"))).alias("v"), F.collect_set(F.when(live, event)).alias("events"), F.max(~live).alias("tombstone"),
+    )
+    text = F.array_join(F.transform(F.array_sort("events"), lambda x: F.trim(F.concat_ws(" ", x["date"], x["code"]))), "|")
+    return kept.select("sid", "v.updated", "v.status_code", "v.pos", "v.payload", "tombstone", text.alias("history"))
 
 
 def keep_latest(versions: DataFrame, store: SnapshotStore, checkpoint: str) -> None:
@@ -75,6 +42,7 @@ def keep_latest(versions: DataFrame, store: SnapshotStore, checkpoint: str) -> N
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
 
     def put(batch: DataFrame, n: int) -> None:
+        batch = written(batch, "changes")  # its state is updated once
         store.change(f"state{n}", replace=batch.filter("NOT tombstone").drop("tombstone"), remove=batch.filter("tombstone").select("sid"))
 
     try:
@@ -87,5 +55,3 @@ def fold(versions: DataFrame) -> DataFrame:
     """The same in one batch: (sid, updated, status_code, pos, payload, history)."""
     text = F.array_join(F.transform("history", lambda x: F.trim(F.concat_ws(" ", F.coalesce(x["date"], F.lit("")), F.coalesce(x["code"], F.lit(""))))), "|")
     return ingest.collapse(versions.filter("sid IS NOT NULL")).withColumn("history", text)
-
-
