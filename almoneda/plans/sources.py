@@ -17,6 +17,8 @@ from almoneda.store import SnapshotStore, workspace
 #: Entries of a written feed file, and of a page of short entries. A reader takes a file as a whole, so files are bounded
 #: and their number grows with the input.
 FILE_ENTRIES, PAGE_ENTRIES = 20_000, 200_000
+#: Rows of a landed file, and tender pages of a task, whose rows in the table are few bytes.
+LANDED_ROWS, TASK_PAGES = 100_000, 2_000
 
 
 def _entry():
@@ -225,7 +227,8 @@ def tender_page(spark, d):
         "<h5>Criterios de Adjudicación</h5><ul><ul><li>", *box("Precio ", key), "</li><ul><li><span>Subtipo Criterio</span> : Precio</li><li><span>Ponderación</span> : 6", pct, ",5</li></ul></ul></ul>",
         "<h4>Plazo de Validez de la Oferta</h4><ul><li>", *box("3 Mes(es)"), "</li></ul><h3>Apertura de Ofertas</h3>", *box("El día 0", pct, "/02/2024 a las 10:00"), "<h5>Lugar</h5><ul><li>", *box("Sala ", key), "</li></ul></body></html>",
     ]
-    return table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("page_id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("html"))
+    p = table(spark, d, "part").select("p_partkey")
+    return p.repartition(max(1, -(-p.count() // TASK_PAGES))).select(F.col("p_partkey").cast("long").alias("page_id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("html"))
 
 
 _K, _P = "CAST(p_partkey AS VARCHAR)", "CAST(p_partkey % 9 AS VARCHAR)"
@@ -276,7 +279,7 @@ def _(spark, d):
 
     land, store = workspace(spark, "landing"), SnapshotStore(spark, workspace(spark, "store"))
     v = versions(spark, d)
-    v.coalesce(1).write.parquet(land)
+    v.repartition(max(1, -(-v.count() // LANDED_ROWS))).write.parquet(land)
     run_stream(spark.readStream.schema(v.schema).parquet(land), store, workspace(spark, "stream"))
     return store.read().select("sid", "updated", "status_code")
 
