@@ -301,16 +301,17 @@ def _(spark, d):
 @query("stream_feed", """SELECT CAST(o_orderkey AS VARCHAR) AS sid, o_orderstatus AS status_code, CAST(CASE WHEN o_orderkey % 8 = 7 THEN 2 ELSE 1 END AS INTEGER) AS run
   FROM orders WHERE o_orderkey % 100 <> 0""")
 def _(spark, d):
-    """Eight linked pages of all orders. A first run meets seven of them; a second one, from its checkpoint, the eighth alone."""
+    """Linked pages of all orders, in eight groups. A first run meets seven of them; a second one, from its checkpoint, the
+    eighth alone."""
     from almoneda import ingest
     from almoneda.sources import feed_stream
 
     feed_stream.register(spark)
-    made, store, home = written_feed(spark, d), SnapshotStore(spark, workspace(spark, "store")), workspace(spark, "web")
+    store, home = SnapshotStore(spark, workspace(spark, "store")), workspace(spark, "web")
     runs = []
-    for run, last in ((1, 6), (2, 7)):
-        newest = feed_stream_pages(spark, made, home, run, last)
-        stream = spark.readStream.format("feed").options(category="test", remember=f"{home}/remember").load(newest)
+    for run, groups in ((1, range(7)), (2, [7])):
+        newest, n_pages = feed_stream_pages(spark, d, home, groups)
+        stream = spark.readStream.format("feed").options(category="test", remember=f"{home}/remember", most=str(n_pages + 1)).load(newest)
 
         def put(rows, n, run=run):
             runs.append((run, n))
@@ -320,27 +321,28 @@ def _(spark, d):
     return store.read().select("sid", "status_code", "run")
 
 
-def feed_stream_pages(spark, made, home, run, last):
-    """The newest of the pages 0 to `last` of a written feed, each with its time and the link to the one before it."""
-    pages = spark.read.text(made).filter(~F.col("value").startswith("<feed") & (F.col("value") != "</feed>") & (F.col("file") <= last))
-    if run > 1:
-        pages = pages.filter(F.col("file") == last)  # earlier pages stay as they are, but for the newest, which takes a name of its own
-    link = F.when(F.col("file") > 0, F.concat(F.lit(f'<link rel="next" href="{home}/page='), (F.col("file") - 1).cast("string"), F.lit('/page.atom"/>'))).otherwise("")
-    top = F.concat(F.lit("<feed><updated>2024-01-0"), (F.col("file") + 1).cast("string"), F.lit("T00:00:00Z</updated>"), link)
-    whole = pages.groupBy("file").agg(F.concat(F.first(top), F.array_join(F.sort_array(F.collect_list("value")), ""), F.lit("</feed>")).alias("value"))  # a page is one document
-    fs = spark._jvm.org.apache.hadoop.fs
-    for r in whole.select("file").collect():  # eight pages
-        aside = workspace(spark, "page")
-        whole.filter(F.col("file") == r["file"]).select("value").coalesce(1).write.text(aside)
-        folder = fs.Path(aside)
-        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        part = next(x.getPath() for x in system.listStatus(folder) if x.getPath().getName().startswith("part-"))
-        name = "head" if r["file"] == last else f"page={r['file']}"
-        for copy in dict.fromkeys((f"page={r['file']}", name)):
-            target = fs.Path(f"{home}/{copy}/page.atom")
-            system.mkdirs(target.getParent())
-            fs.FileUtil.copy(system, part, system, target, False, True, spark._jsc.hadoopConfiguration())
-    return f"{home}/head/page.atom"
+def feed_stream_pages(spark, d, home, groups, entries=FILE_ENTRIES):
+    """(the newest of the pages of all groups up to these, how many there are): pages of orders by group, each with its time
+    and the link to the one before it."""
+    o, parts = _dealt(spark, d, entries)
+    o = o.filter(F.col("file").isin(*groups)).withColumn("page", F.col("file") * parts + F.col("part")).drop("file", "part")
+    first, end = min(groups) * parts, (max(groups) + 1) * parts
+    # A page that no order falls to is left out, and the next one links to the one before it.
+    there = [r[0] for r in o.select("page").distinct().orderBy("page").collect()]
+    before = dict(zip(there, [first - 1, *there]))
+    link = lambda p: f'<link rel="next" href="{home}/page={p}/page.atom"/>' if p >= 0 else ""
+    links = F.create_map(*[F.lit(x) for p in there for x in (p, link(before[p]))])
+    time = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01"), "yyyy-MM-dd") + F.col("page")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    made = _documents(spark, o, ["page"], len(there), F.concat(F.lit("<feed><updated>"), time, F.lit("</updated>"), F.try_element_at(links, F.col("page"))), F.concat(_gone(), _entry()), workspace(spark, "page"))
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    system = fs.Path(made).getFileSystem(conf)
+    for p in there:
+        part = next(x.getPath() for x in system.listStatus(fs.Path(f"{made}/page={p}")) if x.getPath().getName().startswith("part-"))
+        system.mkdirs(fs.Path(f"{home}/page={p}"))
+        system.rename(part, fs.Path(f"{home}/page={p}/page.atom"))
+    system.mkdirs(fs.Path(f"{home}/head"))
+    fs.FileUtil.copy(system, fs.Path(f"{home}/page={there[-1]}/page.atom"), system, fs.Path(f"{home}/head/page.atom"), False, True, conf)  # the newest also has a name of its own
+    return f"{home}/head/page.atom", end
 
 
 @query("ext_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")

@@ -8,6 +8,7 @@ task each, and parsed by Spark.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 import urllib.request
@@ -71,6 +72,23 @@ def parts(text: str) -> Iterator[tuple[str, str]]:
         yield m[2], m[0]
 
 
+def parts_read(f, step: int = 1 << 20) -> Iterator[tuple[str, str]]:
+    """parts(...) of an open page, of which only what isn't complete yet is held."""
+    decoder, text, more = codecs.getincrementaldecoder("utf-8")("replace"), "", b"x"
+    while more:
+        more = f.read(step)
+        text += decoder.decode(more, final=not more)
+        at = 0
+        while begin := _BEGINS.search(text, at):
+            whole = _PARTS.match(text, begin.start())
+            if whole:
+                yield whole[2], whole[0]
+            elif more:
+                break  # it ends further on
+            at = whole.end() if whole else begin.end()
+        text = text[begin.start() if begin else max(at, text.rfind("<")) :]
+
+
 class Page(InputPartition):
     def __init__(self, url: str, updated: str | None):
         self.url, self.updated = url, updated
@@ -122,9 +140,8 @@ class FeedReader(DataSourceStreamReader):
 
     def read(self, page: Page) -> Iterator[tuple]:
         with _open(page.url, self.timeout) as f:
-            text = f.read().decode("utf-8", "replace")
-        for place, (kind, xml) in enumerate(parts(text)):
-            yield self.category, page.url, page.updated, place, kind, xml
+            for place, (kind, xml) in enumerate(parts_read(f)):
+                yield self.category, page.url, page.updated, place, kind, xml
 
     def commit(self, end: dict) -> None:
         if self.remember:

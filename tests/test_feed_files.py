@@ -31,3 +31,27 @@ def test_pages_are_bounded_and_arrive_in_order(spark):
         e = feeds.entries(spark, listed, "test").filter(F.col("sid").cast("long") % 60 == 0)
         last = e.groupBy("sid").agg(F.max_by(F.col("status.ContractFolderID"), "pos").alias("v")).collect()
         assert len(last) == orders.filter("o_orderkey % 60 = 0").count() and {r.v for r in last} == {f"v{want}"}
+
+
+def test_pages_of_a_stream_are_bounded(spark, tmp_path):
+    from almoneda.sources import feed_stream
+
+    n = spark.read.parquet(f"{D}/orders.parquet").filter("o_orderkey % 8 < 2").count()
+    url, many = sources.feed_stream_pages(spark, D, f"file:{tmp_path}/web", range(2), entries=20)
+    found, times = [], []
+    while url:
+        time, following = feed_stream.head(url)
+        with feed_stream._open(url, 9) as f:
+            found.append([k for k, _ in feed_stream.parts_read(f)].count("entry"))
+        url, times = following, [*times, time]
+    assert sum(found) == n and max(found) <= 60 and len(found) > n // 40 and times == sorted(set(times), reverse=True) and len(found) <= many
+
+
+def test_parts_read_in_steps_equal_those_of_the_whole():
+    import io
+
+    from almoneda.sources.feed_stream import parts, parts_read
+
+    text = '<feed><x/><a:deleted-entry ref="ñ"/><entry><id>é</id><deleted-entry ref="in"/></entry>\n<entries/><at:deleted-entry ref="2"><at:comment/></at:deleted-entry><n:entry a=">"><id>€</id>\n</n:entry ><entry>open<deleted-entry a="1"/></feed>'
+    for step in (1, 2, 3, 7, 1000):
+        assert list(parts_read(io.BytesIO(text.encode()), step)) == list(parts(text))
