@@ -13,7 +13,7 @@ def cpv_ancestors(codes: DataFrame) -> DataFrame:
     level = S.cpv_level("code")
     ups = F.array_distinct(F.transform(F.sequence(F.lit(2), F.greatest(level - 1, F.lit(2))), lambda n: F.rpad(F.substring(F.col("code"), F.lit(1), n), 8, "0")))
     up = codes.filter(level > 2).select("code", F.explode(F.filter(ups, lambda u: u != F.col("code"))).alias("up"))
-    named = up.join(codes.select(F.col("code").alias("up"), "label"), "up")
+    named = up.hint("merge").join(codes.select(F.col("code").alias("up"), "label"), "up")  # both sides grow with the codes
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("up", "label"))), lambda x: x["label"])  # six at most
     return named.groupBy("code").agg(F.array_join(ordered, " > ").alias("path"))
 
