@@ -82,21 +82,16 @@ def normalize_nif(text) -> Column:
 
 
 def normalize_name(text) -> Column:
-    """Company name for matching: letters and digits, upper case, lone letters joined, legal forms dropped."""
-    words = F.filter(F.split(F.regexp_replace(F.upper(_c(text)), "[^A-Z0-9ÁÉÍÓÚÜÑ]", " "), " +"), lambda w: w != "")
-    # Fold: a lone letter joins a run of lone letters before it.
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
-
-    def step(acc: Column, w: Column) -> Column:
-        lone = (F.length(w) == 1) & w.rlike("[A-ZÁÉÍÓÚÜÑ]")
-        last = F.size(acc["out"])
-        joined = F.concat(F.slice(acc["out"], 1, F.greatest(last - 1, F.lit(0))), F.array(F.concat(F.try_element_at(acc["out"], last), w)))
-        return F.struct(F.when(lone & acc["open"], joined).otherwise(F.concat(acc["out"], F.array(w))).alias("out"), lone.alias("open"))
-
-    merged = F.aggregate(words, start, step, lambda a: a["out"])
-    forms = F.array(*[F.lit(x) for x in LEGAL_FORMS])
-    kept = F.filter(merged, lambda w: ~F.array_contains(forms, w))
-    return F.nullif(F.array_join(F.when(F.size(kept) > 0, kept).otherwise(merged), " "), F.lit(""))
+    """Company name for matching: letters and digits, upper case, lone letters joined, legal forms dropped.
+
+    Words lie between single spaces, so a word is what no other character touches; arrays of words would be built by
+    interpreted functions, several times a row.
+    """
+    letter, begin, end = "[A-ZÁÉÍÓÚÜÑ]", "(?<![^ ])", "(?![^ ])"
+    words = F.trim(F.regexp_replace(F.upper(_c(text)), "[^A-Z0-9ÁÉÍÓÚÜÑ]+", " "))
+    merged = F.regexp_replace(words, f"(?<={begin}{letter}) (?={letter}{end})", "")
+    kept = F.rtrim(F.regexp_replace(merged, f"{begin}(?:{'|'.join(LEGAL_FORMS)}){end} ?", ""))
+    return F.nullif(F.coalesce(F.nullif(kept, F.lit("")), merged), F.lit(""))
 
 
 def is_ute(name, nif) -> Column:

@@ -14,3 +14,20 @@ def test_codes_are_joined_with_their_ancestors_without_a_broadcast(spark, monkey
     monkeypatch.setattr(testbind, "TASK_PARTS", 500)
     codes = testbind.cpv_dim(spark, D)
     assert "Broadcast" not in plan(cpv_ancestors(codes)) and f", {-(-spark.read.parquet(f'{D}/part.parquet').count() // 500)})" in plan(codes)
+
+
+def test_names_are_normalized_by_expressions_that_spark_compiles(spark):
+    from almoneda.functions.scalar import LEGAL_FORMS, normalize_name
+
+    def fold(text):
+        words, out, opened = "".join(c if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789ÁÉÍÓÚÜÑ" else " " for c in text.upper()).split(), [], False
+        for w in words:
+            lone = len(w) == 1 and not w.isdigit()
+            out = [*out[:-1], out[-1] + w] if lone and opened else [*out, w]
+            opened = lone
+        return " ".join([w for w in out if w not in LEGAL_FORMS] or out) or None
+
+    texts = ["a b c", "S.L. a", "A 1 B C9", "sa", "Obras S. A. U. SL ñ é x.SL", "S L S A", "", " . ", "SLX COOP-SA B", "1 2 S,A", "UTE a.b UTE c"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string").select("x", normalize_name("x").alias("y"))
+    assert "lambda" not in plan(df) and {r.x: r.y for r in df.collect()} == {x: fold(x) for x in texts}
+    assert df.filter("y IS NULL").count() == 2
