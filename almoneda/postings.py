@@ -11,21 +11,76 @@ score of the page's last row, and then those alone whose bound reaches that scor
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almoneda.search import B, K1, plain_terms, score_terms, tokens, top
+from almoneda.search import B, K1, n_tokens, plain_terms, score_terms, tokens, top
 from almoneda.store import written
 
 #: Ranges that go out to all tasks by name; more are joined.
 MOST_BROADCAST = 100_000
+#: Documents whose terms are counted at once.
+DOCS = 512
 
 
 def _weight(n: int, df: int) -> Column:
     return F.ln(1 + (F.lit(n) - F.lit(df) + 0.5) / (F.lit(df) + 0.5))
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, dl, term, tf) of documents (doc_id, words). A document is one row, so its terms are counted where it is."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, DOCS):
+            p = batch.slice(i, DOCS)
+            dl = p.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            words = p.column(1).flatten().dictionary_encode()
+            many = max(len(words.dictionary), 1)
+            found, tf = np.unique(np.repeat(np.arange(p.num_rows), dl) * many + words.indices.to_numpy(), return_counts=True)
+            doc = found // many
+            yield pa.RecordBatch.from_arrays([p.column(0).take(pa.array(doc)), pa.array(dl[doc], pa.int32()), words.dictionary.take(pa.array(found % many)), pa.array(tf, pa.int32())], ["doc_id", "dl", "term", "tf"])
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, place, df, peaks, posts) of postings (term, place, doc_id, tf, dl) that are sorted by term and place.
+
+    peaks: of the postings of like frequency the highest frequency and the least length: no posting scores more than these.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def made(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        term, place, doc, tf, dl = (c.chunk(0) for c in rows.columns)
+        ends = np.append(starts, rows.num_rows)
+        group, n, length = np.repeat(np.arange(len(starts)), np.diff(ends)), tf.to_numpy(), dl.to_numpy()
+        level = group * 32 + np.log2(n).astype(int)
+        order = np.argsort(level, kind="stable")
+        first = np.flatnonzero(np.diff(level[order], prepend=-1))
+        peaks = pa.StructArray.from_arrays([pa.array(np.maximum.reduceat(n[order], first)), pa.array(np.minimum.reduceat(length[order], first))], ["tf", "dl"])
+        of = np.searchsorted(group[order][first], np.arange(len(starts) + 1)).astype(np.int32)
+        posts = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([doc, tf, dl], ["doc_id", "tf", "dl"]))
+        at = pa.array(starts)
+        return pa.RecordBatch.from_arrays([term.take(at), place.take(at), pa.array(np.diff(ends).astype(np.int32)), pa.ListArray.from_arrays(pa.array(of), peaks), posts], ["term", "place", "df", "peaks", "posts"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks()
+        term, place = rows.column(0).chunk(0), rows.column(1).to_numpy()
+        new = pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False) | (place[1:] != place[:-1])
+        cuts = np.flatnonzero(new) + 1
+        if len(cuts):
+            yield made(rows.slice(0, cuts[-1]), np.concatenate([[0], cuts[:-1]]))
+            rows = rows.slice(cuts[-1])
+        held = rows.to_batches()  # the last list may go on in the next batch
+    if held:
+        yield made(pa.Table.from_batches(held), np.zeros(1, np.int64))
+
+
 class Index:
     """Documents (doc_id, text) in a folder. One writer at a time: a second one that writes the same version fails.
 
@@ -68,20 +123,18 @@ class Index:
         sizes = self.spark.read.parquet(f"{self.path}/segments/{name}/docs").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum("dl").alias("tokens")).collect()  # at most 32 kinds of length
         many = F.create_map(*[F.lit(x) for r in sizes for x in (r["kind"], -(-r["n"] // self.range_docs))]) if sizes else F.create_map(F.lit(0), F.lit(1))
         place = F.shiftleft(kind.cast("long"), 48) + F.pmod(F.xxhash64("doc_id"), F.element_at(many, kind).cast("long"))
-        posts = counts.withColumn("place", place).groupBy("term", "place").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("posts"))  # a range's documents
-        level = lambda p: F.floor(F.log2(p["tf"])).cast("int")
-        at = lambda c: F.filter("posts", lambda p: level(p) == c)
-        # Of the postings of like frequency the highest frequency and the least length: no posting scores more than these.
-        peaks = F.transform(F.array_distinct(F.transform("posts", level)), lambda c: F.struct(F.array_max(F.transform(at(c), lambda p: p["tf"])).alias("tf"), F.array_min(F.transform(at(c), lambda p: p["dl"])).alias("dl")))
-        rows = posts.select(F.lit(name).alias("segment"), "term", "place", F.size("posts").alias("df"), peaks.alias("peaks"), "posts")
-        rows.repartitionByRange("term", "place").sortWithinPartitions("term", "place").write.parquet(f"{self.path}/segments/{name}/postings")
+        # One shuffle: ranges of (term, place) are dealt and sorted as rows of numbers, and lists are made where they lie.
+        dealt = counts.withColumn("place", place).select("term", "place", "doc_id", "tf", "dl").repartitionByRange("term", "place").sortWithinPartitions("term", "place", "doc_id")
+        kind_of_id = counts.schema["doc_id"].dataType.simpleString()
+        rows = dealt.mapInArrow(_lists, f"term string, place long, df int, peaks array<struct<tf:int,dl:int>>, posts array<struct<doc_id:{kind_of_id},tf:int,dl:int>>")
+        rows.select(F.lit(name).alias("segment"), "term", "place", "df", "peaks", "posts").write.parquet(f"{self.path}/segments/{name}/postings")
         return name, sum(r["n"] for r in sizes), sum(r["tokens"] or 0 for r in sizes)
 
     def _of_texts(self, docs: DataFrame, doc_id: str, text: str) -> tuple[str, int, int]:
+        lengths = docs.select(F.col(doc_id).alias("doc_id"), n_tokens(text).alias("dl"))
         words = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("ws"))
-        lengths = words.select("doc_id", F.size("ws").alias("dl"))
-        counts = words.select("doc_id", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-        return self._segment(lengths, counts)
+        counts = words.mapInArrow(_counts, f"doc_id {words.schema['doc_id'].dataType.simpleString()}, dl int, term string, tf int")
+        return self._segment(lengths, written(counts, "term-counts"))
 
     def build(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
         """The index holds these documents and no others."""

@@ -11,21 +11,28 @@ from almoneda.store import written
 K1, B = 1.2, 0.75
 
 
+#: A letter or digit, as `tokens` sees it.
+_L = r"[\p{L}\p{N}]"
+
+
 def tokens(text) -> Column:
     """Lowered runs of letters and digits."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(t, F.lit("")), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+    spaced = F.trim(F.lower(F.regexp_replace(F.coalesce(t, F.lit("")), r"[^\p{L}\p{N}]+", " ")))
+    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
-#: A letter or digit, as `tokens` sees it.
-_L = r"[\p{L}\p{N}]"
+def n_tokens(text) -> Column:
+    """How many `tokens` a text has; no array of words is built."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.regexp_count(F.coalesce(t, F.lit("")), F.lit(f"{_L}+"))
 
 
 def term_counts(docs: DataFrame, terms: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, dl, tf0, tf1, ...): tokens of each document, and how many are each term. No array of words is built."""
     plain = F.coalesce(F.col(text), F.lit(""))
     count = lambda t: F.regexp_count(F.lower(plain), F.lit(f"(?<!{_L}){t}(?!{_L})"))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.regexp_count(plain, F.lit(f"{_L}+")).alias("dl"), *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    return docs.select(F.col(doc_id).alias("doc_id"), n_tokens(text).alias("dl"), *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
 
 
 def score_terms(hits: DataFrame, n_terms: int) -> DataFrame:
