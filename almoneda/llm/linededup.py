@@ -18,7 +18,7 @@ from almoneda.llm import textcore
 from almoneda.llm.components import components
 from almoneda.llm.setsketch import band_keys
 from almoneda.llm.shared import discard, free_name, materialize, spread_join
-from almoneda.llm.simjoin import buckets, local_leads, settle, verify
+from almoneda.llm.simjoin import BLOCKS, bucket_tasks, buckets, in_blocks, local_leads, settle, verify
 from almoneda.llm.textcore import U, mix64
 
 #: Runs of 8 characters are rare enough that bands of 4 minima seldom meet by chance; 20 bands of 4 miss a pair at a
@@ -78,21 +78,20 @@ def line_nodes(docs: DataFrame) -> DataFrame:
 
 def _minima(data: np.ndarray, begins: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(lines, BANDS * ROWS) minima of the shingles of lines of SHINGLE code points or more; begins: of code points."""
-    h = (textcore.point_runs(data, begins, SHINGLE) >> U(32)).astype(np.uint32)
     first = np.searchsorted(begins, starts)
-    last = np.searchsorted(begins, ends) - SHINGLE  # the last shingle within the line
-    cuts = np.stack([first, last + 1], axis=1).ravel()
-    cuts = cuts[:-1] if cuts[-1] >= len(h) else cuts
+    n = np.searchsorted(begins, ends) - SHINGLE + 1 - first  # shingles within the line
+    cuts = np.cumsum(n) - n
+    h = (textcore.point_runs(data, begins, SHINGLE) >> U(32)).astype(np.uint32)[np.repeat(first - cuts, n) + np.arange(n.sum())]  # of these lines alone
     minima, hashed = np.empty((BANDS * ROWS, len(starts)), np.uint32), np.empty_like(h)
     for m in range(BANDS * ROWS):
         np.multiply(h, _MUL[m], out=hashed)
         hashed += _ADD[m]
-        minima[m] = np.minimum.reduceat(hashed, cuts)[::2]
+        np.minimum.reduceat(hashed, cuts, out=minima[m])
     return np.ascontiguousarray(minima.T)
 
 
-def band_rows(docs: DataFrame, remembered: int = 250_000) -> DataFrame:
-    """(key, short, lead) for every distinct line of SHINGLE code points or more; shorter ones are alike only if equal.
+def band_rows(docs: DataFrame, tasks: int, remembered: int = 250_000) -> DataFrame:
+    """Band rows, in blocks, of every distinct line of SHINGLE code points or more; shorter ones are alike only if equal.
 
     A task leaves out lines it has lately seen, so copies cost little.
     """
@@ -118,12 +117,12 @@ def band_rows(docs: DataFrame, remembered: int = 250_000) -> DataFrame:
                     shorts.append(np.repeat(_short([x.names[k] for k in fresh]), BANDS))
                     held += found.size
                 if held > 600_000:
-                    yield local_leads(np.concatenate(keys), np.concatenate(shorts))
+                    yield in_blocks(local_leads(np.concatenate(keys), np.concatenate(shorts)), tasks)
                     keys, shorts, held = [], [], 0
             if held:
-                yield local_leads(np.concatenate(keys), np.concatenate(shorts))
+                yield in_blocks(local_leads(np.concatenate(keys), np.concatenate(shorts)), tasks)
 
-    return docs.select("text").mapInArrow(run, "key long, short long, lead long")
+    return docs.select("text").mapInArrow(run, BLOCKS)
 
 
 def _with(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -147,7 +146,8 @@ def line_groups(docs: DataFrame, nodes: DataFrame, num: int = 4, den: int = 5) -
 
     docs: (doc_id, text_hash, text); nodes: a written table (node, short, first), one row a distinct line.
     """
-    shared = materialize(buckets(band_rows(docs), BANDS * nodes.count()), "buckets")
+    tasks = bucket_tasks(docs.sparkSession, BANDS * nodes.count())
+    shared = materialize(buckets(band_rows(docs, tasks), tasks), "buckets")
     needed = shared.select("short").union(shared.select(F.col("lead").alias("short"))).distinct()
     texts = _texts(docs, nodes.join(needed, "short", "left_semi"))  # of every line that shares a bucket
     known = materialize(texts.select(_short_of("node").alias("short"), "node"), "known")

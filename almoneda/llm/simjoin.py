@@ -22,18 +22,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almoneda.llm.components import components
 from almoneda.llm.shared import discard, materialize, spread_join
-from almoneda.llm.textcore import chunks
+from almoneda.llm.textcore import U, chunks, mix64
 
 #: Nodes of a bucket that are compared in one task; a larger bucket is cut into pairs of such blocks.
 BLOCK = 256
 #: Nodes of a star that are verified with one copy of its centre.
 STAR = 256
-#: Band rows that a task is dealt, of 24 bytes each.
+#: Band rows that a task is dealt, of 16 bytes each, or 24 with their lead.
 BAND_ROWS = 1_000_000
 
 #: (registers of u, of v, sizes of u, of v) -> which pairs may reach the threshold.
@@ -65,17 +65,47 @@ def local_leads(key: np.ndarray, short: np.ndarray, often: int = 8) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(short), pa.array(lead, mask=~known)], ["key", "short", "lead"])
 
 
-def band_rows(nodes: DataFrame, keys: Callable[[np.ndarray], np.ndarray], dtype) -> DataFrame:
-    """(key, short, lead) for every node (short long, sig binary); keys gives one key a band, its low bits the band."""
+def bucket_tasks(spark: SparkSession, rows: int) -> int:
+    """The tasks that about so many band rows are dealt to."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // BAND_ROWS + 1)
+
+
+def in_blocks(rows: pa.RecordBatch, tasks: int) -> pa.RecordBatch:
+    """(part, led, rows) of the (key, short, lead) that local_leads gives: the band rows of a task as few rows of many numbers.
+
+    Rows of a key that have no lead, or have themselves, are dealt to one of `tasks` parts; those with another lead to any.
+    led: whether the rows have leads. A block holds its keys, then its short names, then its leads.
+    """
+    key, short, lead = (rows.column(i).fill_null(0).to_numpy() for i in range(3))
+    known = rows.column(2).is_valid().to_numpy(zero_copy_only=False)
+    part = (key.view(U) >> U(6)) % U(tasks)  # the low 6 bits are the band
+    away = known & (lead != short)
+    part[away] = mix64(short[away].view(U)) % U(tasks)
+    group = (part * U(2) + known.astype(U)).astype(np.uint16 if tasks < 1 << 15 else np.int64)
+    order = np.argsort(group, kind="stable")
+    group, key, short = group[order], key[order], short[order]
+    lead = lead[order] if known.any() else lead
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    of = group[starts].astype(np.int64)
+    blocks = [b"".join(x[a:b].tobytes() for x in (key, short, lead)[: 2 + k % 2]) for k, a, b in zip(of.tolist(), starts.tolist(), [*starts[1:].tolist(), len(group)])]
+    return pa.RecordBatch.from_arrays([pa.array((of >> 1).astype(np.int32)), pa.array(of % 2 == 1), pa.array(blocks, pa.binary())], ["part", "led", "rows"])
+
+
+#: Of what in_blocks gives.
+BLOCKS = "part int, led boolean, rows binary"
+
+
+def band_rows(nodes: DataFrame, keys: Callable[[np.ndarray], np.ndarray], dtype, tasks: int) -> DataFrame:
+    """Band rows, in blocks, of every node (short long, sig binary); keys gives one key a band, its low 6 bits the band."""
 
     def run(batches):
         for batch in batches:
             found = [keys(matrix(batch.slice(i, 4096).column(1), dtype)) for i in range(0, batch.num_rows, 4096)]
             if found:
                 table = np.concatenate(found)
-                yield local_leads(table.ravel(), np.repeat(batch.column(0).to_numpy(), table.shape[1]))
+                yield in_blocks(local_leads(table.ravel(), np.repeat(batch.column(0).to_numpy(), table.shape[1])), tasks)
 
-    return nodes.select("short", "sig").mapInArrow(run, "key long, short long, lead long")
+    return nodes.select("short", "sig").mapInArrow(run, BLOCKS)
 
 
 def shared_keys(key: np.ndarray, short: np.ndarray, lead: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,27 +136,26 @@ def shared_keys(key: np.ndarray, short: np.ndarray, lead: np.ndarray, known: np.
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def buckets(bands: DataFrame, rows: int) -> DataFrame:
-    """(key, short, lead) of keys that several nodes share, repeated rows removed; `rows` says about how many bands has.
+def buckets(bands: DataFrame, tasks: int) -> DataFrame:
+    """(key, short, lead) of keys that several nodes share, repeated rows removed. bands: blocks of band rows for `tasks` parts.
 
     Every node but the least of its bucket has a row, with a lead that it is to be paired with. Where some were paired
     with a lead of their own task, the bucket's least node has a row too, with itself: not all were paired with it. One
-    shuffle, which deals the rows that have a lead already anywhere, into tasks of about BAND_ROWS rows.
+    shuffle, a task a part.
     """
 
     def run(batches):
-        held = list(batches)
+        held = [(led, x) for batch in batches for led, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
         if held:
-            table = pa.Table.from_batches(held)
-            lead = table.column(2).combine_chunks()
-            found = shared_keys(table.column(0).to_numpy(), table.column(1).to_numpy(), lead.fill_null(0).to_numpy(), lead.is_valid().to_numpy(zero_copy_only=False))
+            rows = [np.frombuffer(x, np.int64).reshape(2 + led, -1) for led, x in held]
+            sizes, led = [x.shape[1] for x in rows], [k for k, _ in held]
+            key, short = (np.concatenate([x[i] for x in rows]) for i in (0, 1))
+            lead = np.concatenate([x[2] if k else np.zeros(n, np.int64) for x, k, n in zip(rows, led, sizes)])
+            del held, rows
+            found = shared_keys(key, short, lead, np.repeat(led, sizes))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "short", "lead"])
 
-    spark = bands.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // BAND_ROWS + 1)
-    plain = F.col("lead").isNull() | (F.col("lead") == F.col("short"))
-    dealt = bands.repartition(tasks, F.col("key"), F.when(plain, F.lit(0).cast("long")).otherwise(F.xxhash64("short")))
-    return dealt.mapInArrow(run, "key long, short long, lead long")
+    return bands.repartitionById(tasks, F.col("part")).mapInArrow(run, "key long, short long, lead long")
 
 
 def screen(edges: DataFrame, nodes: DataFrame, plausible: Plausible, dtype) -> DataFrame:
@@ -352,7 +381,8 @@ def link_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], se
     nodes: a written table (node binary, short long, n int, sig binary), one row a distinct set, none empty. texts_of:
     given (node), their (node, text); only nodes with candidates are asked for. A link: den * |intersection| >= num * |union|.
     """
-    shared = materialize(buckets(band_rows(nodes, keys, dtype), bands * nodes.count()), "buckets")
+    tasks = bucket_tasks(nodes.sparkSession, bands * nodes.count())
+    shared = materialize(buckets(band_rows(nodes, keys, dtype, tasks), tasks), "buckets")
     stars = materialize(shared.filter("short <> lead").select(F.col("short").alias("a"), F.col("lead").alias("b")).distinct(), "stars")
     likely_stars = materialize(screen(stars, nodes, plausible, dtype), "screened")
     ends = likely_stars.select(F.col("a").alias("node")).union(likely_stars.select("b")).distinct()

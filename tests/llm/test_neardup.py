@@ -240,3 +240,24 @@ def test_buckets_pair_or_hold_every_two_nodes_of_a_key():
             pairs[k].add((lead, s))
         for k, found in nodes.items():
             assert all((a, b) in pairs[k] or {a, b} <= members[k] for a in found for b in found if a < b)
+
+
+def test_band_rows_travel_in_blocks_by_key():
+    """Few rows of many numbers leave a task; all rows of a key that have no lead of another name meet in one part."""
+    from almoneda.llm.simjoin import in_blocks, local_leads
+
+    rng = np.random.default_rng(6)
+    key = rng.integers(-(2**63), 2**63 - 1, 500)[rng.integers(0, 500, 40_000) % np.where(rng.random(40_000) < 0.5, 500, 3)]
+    rows = local_leads(key, rng.integers(-(2**63), 2**63 - 1, 40_000), often=60)
+    blocks, got, parts = in_blocks(rows, 7).to_pylist(), [], {}
+    assert len(blocks) <= 14 and {b["part"] for b in blocks} <= set(range(7))
+    for b in blocks:
+        table = np.frombuffer(b["rows"], np.int64).reshape(2 + b["led"], -1)
+        for k, s, lead in zip(*(x.tolist() for x in table[:2]), table[2].tolist() if b["led"] else [None] * table.shape[1]):
+            got.append((k, s, lead))
+            if lead is None or lead == s:
+                parts.setdefault(k, set()).add(b["part"])
+    order = lambda rows: sorted(rows, key=str)
+    assert order(got) == order((r["key"], r["short"], r["lead"]) for r in rows.to_pylist())
+    assert all(len(x) == 1 for x in parts.values()) and len(set.union(*parts.values())) == 7
+    assert in_blocks(rows.slice(0, 0), 7).num_rows == 0
