@@ -136,6 +136,33 @@ def shared_keys(key: np.ndarray, short: np.ndarray, lead: np.ndarray, known: np.
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def repeated(values: np.ndarray) -> np.ndarray:
+    """Which values equal another one."""
+    order = np.argsort(values)
+    v, many, out = values[order], np.zeros(len(values), bool), np.zeros(len(values), bool)
+    many[1:] = v[1:] == v[:-1]
+    many[:-1] |= many[1:]
+    out[order] = many
+    return out
+
+
+def bucket_rows(held: list[tuple[bool, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, short, lead) rows of `buckets` for the blocks (led, rows) of a part, and whether the key may have other rows."""
+    rows = [np.frombuffer(x, np.int64).reshape(2 + led, -1) for led, x in held]
+    sizes, led = [x.shape[1] for x in rows], [k for k, _ in held]
+    key, short = (np.concatenate([x[i] for x in rows]) for i in (0, 1))
+    lead = np.concatenate([x[2] if k else np.zeros(n, np.int64) for x, k, n in zip(rows, led, sizes)])
+    held.clear()
+    del rows
+    known = np.repeat(led, sizes)
+    n_led = int((known & (lead != short)).sum())  # come first; their bucket's least node has a row with itself
+    key, short, lead = shared_keys(key, short, lead, known)
+    several = short == lead
+    several[:n_led] = True
+    several[n_led:] |= repeated(key[n_led:])
+    return key, short, lead, several
+
+
 def buckets(bands: DataFrame, tasks: int) -> DataFrame:
     """(key, short, lead) of keys that several nodes share, repeated rows removed. bands: blocks of band rows for `tasks` parts.
 
@@ -147,13 +174,7 @@ def buckets(bands: DataFrame, tasks: int) -> DataFrame:
     def run(batches):
         held = [(led, x) for batch in batches for led, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
         if held:
-            rows = [np.frombuffer(x, np.int64).reshape(2 + led, -1) for led, x in held]
-            sizes, led = [x.shape[1] for x in rows], [k for k, _ in held]
-            key, short = (np.concatenate([x[i] for x in rows]) for i in (0, 1))
-            lead = np.concatenate([x[2] if k else np.zeros(n, np.int64) for x, k, n in zip(rows, led, sizes)])
-            del held, rows
-            found = shared_keys(key, short, lead, np.repeat(led, sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "short", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in bucket_rows(held)[:3]], ["key", "short", "lead"])
 
     return bands.repartitionById(tasks, F.col("part")).mapInArrow(run, "key long, short long, lead long")
 
@@ -204,7 +225,8 @@ def verify(edges: DataFrame, texts: DataFrame, sets: Sets, num: int, den: int) -
                 for b, member, s in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), sets_of(p.column(3), sets)):
                     if not member:
                         centre, kept = b, s
-                    both = overlap(s, kept) if member and b == centre else 0
+                    fits = member and b == centre and den * min(len(s), len(kept)) >= num * max(len(s), len(kept))  # by their sizes
+                    both = overlap(s, kept) if fits else 0
                     ok.append(both > 0 and den * both >= num * (len(s) + len(kept) - both))
                 yield pa.RecordBatch.from_arrays([p.column(k).filter(pa.array(ok, pa.bool_())) for k in (2, 0)], ["a", "b"])
 
@@ -247,10 +269,10 @@ def _codes(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().dictionary_encode().indices.to_numpy().copy()
 
 
-def overlaps(members: list[np.ndarray]) -> np.ndarray:
-    """(n, n) numbers of members that each two of n sorted sets share; only above the diagonal."""
-    n, out = len(members), None
-    if n > 16:
+def overlaps(members: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """(n, n) numbers of members that each two of n sorted sets share, of the pairs wanted; others may stay 0."""
+    n = len(members)
+    if n > 16 and wanted.sum() > 4 * n:
         sizes = [len(x) for x in members]
         _, ids, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
         shared = count > 1  # what one set alone has is in no intersection
@@ -268,25 +290,28 @@ def overlaps(members: list[np.ndarray]) -> np.ndarray:
                 out += marks @ marks.T
             return out.astype(np.int64)
     out = np.zeros((n, n), np.int64)
-    for x in range(n - 1):
-        for y in range(x + 1, n):
-            out[x, y] = overlap(members[x], members[y])
+    for x, y in zip(*(k.tolist() for k in np.nonzero(wanted))):
+        out[x, y] = overlap(members[x], members[y])
     return out
 
 
 def compare(members: list[np.ndarray], comp: np.ndarray, block: np.ndarray, across: bool, num: int, den: int) -> list[tuple[int, int]]:
     """Of one pair of blocks of a bucket: links between different components, as many as it takes to join them.
 
-    Every pair of nodes of different components (and, if across, blocks) is compared on the full sets.
+    Every pair of nodes of different components (and, if across, blocks) whose sizes allow a link is compared on the full sets.
     """
-    sizes = np.array([len(x) for x in members])
     if len(members) == 2:
+        m, n = len(members[0]), len(members[1])
+        if comp[0] == comp[1] or den * min(m, n) < num * max(m, n):
+            return []
         both = overlap(*members)
-        return [(1, 0)] if comp[0] != comp[1] and den * both >= num * (int(sizes.sum()) - both) else []
-    both = overlaps(members)
-    near = np.triu((den * both >= num * (sizes[:, None] + sizes[None] - both)) & (comp[:, None] != comp[None]), 1)
+        return [(1, 0)] if den * both >= num * (m + n - both) else []
+    sizes = np.array([len(x) for x in members])
+    wanted = np.triu((comp[:, None] != comp[None]) & (den * np.minimum(sizes[:, None], sizes[None]) >= num * np.maximum(sizes[:, None], sizes[None])), 1)
     if across:
-        near &= block[:, None] != block[None]
+        wanted &= block[:, None] != block[None]
+    both = overlaps(members, wanted)
+    near = wanted & (den * both >= num * (sizes[:, None] + sizes[None] - both))
     found = []
     for x, z in zip(*(k.tolist() for k in np.nonzero(near))):
         if comp[z] != comp[x]:
@@ -347,7 +372,9 @@ def settle(shared: DataFrame, known: DataFrame, labels: DataFrame, texts_of: Cal
     member = materialize(member, "members")
 
     def unsettled(member: DataFrame, tag: str) -> DataFrame:
-        open_keys = materialize(member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("key", "members"), "open-keys")
+        names = [F.bit_xor(F.xxhash64("node", F.lit(i))) for i in range(2)]  # of the set of members; buckets of the same nodes need one comparison
+        keys = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), names[0].alias("x"), names[1].alias("y")).filter("lo <> hi")
+        open_keys = materialize(keys.groupBy("members", "x", "y").agg(F.min("key").alias("key")).select("key", "members"), "open-keys")
         return materialize(spread_join(member, open_keys, ["key"], "members").select("key", "node", "comp", "members"), tag)
 
     open_rows = unsettled(member, "unsettled")

@@ -20,7 +20,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_ONE = np.ones(1, bool)
+_PAIRS = (0xC6A4A7935BD1E995, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9, 0xF1357AEA2E62A9C5)
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -118,33 +118,55 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterat
             yield np.zeros(0, U)
 
 
-def point_runs(data: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
-    """64 bits for each run of `size` code points; run i starts at code point i. begins: where code points begin."""
-    n = len(begins) - size + 1
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """A number for each code point of UTF-8 bytes (its bytes, the first one lowest), and where they begin; None: everywhere."""
+    if not len(data) or data.max() < 128:
+        return data, None
+    begins = np.flatnonzero((data & 0xC0) != 0x80)
+    points = data[begins].astype(np.uint32)
+    wide = np.flatnonzero(points >= 0xC0)
+    at = begins[wide]
+    for k in (8, 16, 24):
+        at = at + 1
+        more = (data[np.minimum(at, len(data) - 1)] & 0xC0 == 0x80) & (at < len(data))
+        wide, at = wide[more], at[more]
+        points[wide] |= data[at].astype(np.uint32) << np.uint32(k)
+    return points, begins
+
+
+def point_runs(points: np.ndarray, size: int) -> np.ndarray:
+    """64 bits for each run of `size` code points; run i starts at code point i."""
+    n = len(points) - size + 1
     if n <= 0:
         return np.zeros(0, U)
-    up, down = powers(len(data))
-    sums = np.empty(len(data) + 1, U)
-    sums[0] = 0
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    if len(begins) == len(data):  # one byte each
-        return mix64((sums[size:] - sums[:-size]) * down[:n] + U(size) * U(0xD6E8FEB86659FD93))
-    starts, ends = begins[:n], np.append(begins[size:], len(data))
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    run, long = points.astype(U), 1
+    run += U(1)
+    while 2 * long <= size:  # two runs make one of twice their length
+        twice = run[:-long] * U(_PAIRS[long.bit_length() % len(_PAIRS)])
+        twice += run[long:]
+        run, long = twice, 2 * long
+    if long < size:  # the last runs overlap
+        run = run[:n] * U(_PAIRS[0]) + run[size - long :]
+    run += U(size * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+    return mix64(run)
 
 
 def char_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterator[np.ndarray]:
     """For each text its sorted distinct runs of `size` code points; the whole text as one if it is shorter."""
-    begins = np.flatnonzero((data & 0xC0) != 0x80)
-    firsts = np.searchsorted(begins, offsets).tolist()
-    runs = point_runs(data, begins, size)
-    for k, (a, b) in enumerate(zip(firsts[:-1], firsts[1:])):
+    points, begins = code_points(data)
+    firsts = (offsets if begins is None else np.searchsorted(begins, offsets)).tolist()
+    runs = point_runs(points, size)
+    for a, b in zip(firsts[:-1], firsts[1:]):
+        if b - a >= size:
+            runs[a : b - size + 1].sort()
+    fresh = np.ones(len(runs), bool)
+    np.not_equal(runs[1:], runs[:-1], out=fresh[1:])
+    for a, b in zip(firsts[:-1], firsts[1:]):
         if b - a >= size:
-            part = np.sort(runs[a : b - size + 1])
-            yield part[np.concatenate([_ONE, part[1:] != part[:-1]])]
+            fresh[a] = True
+            yield runs[a : b - size + 1][fresh[a : b - size + 1]]
         elif b > a:
-            piece = data[offsets[k] : offsets[k + 1]]
-            yield point_runs(piece, np.flatnonzero((piece & 0xC0) != 0x80), b - a)
+            yield point_runs(points[a:b], b - a)
         else:
             yield np.zeros(0, U)
 

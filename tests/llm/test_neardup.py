@@ -261,3 +261,58 @@ def test_band_rows_travel_in_blocks_by_key():
     assert order(got) == order((r["key"], r["short"], r["lead"]) for r in rows.to_pylist())
     assert all(len(x) == 1 for x in parts.values()) and len(set.union(*parts.values())) == 7
     assert in_blocks(rows.slice(0, 0), 7).num_rows == 0
+
+
+def test_minima_agree_as_often_as_sets_are_alike():
+    """Of sets of any size; and pairs at the threshold are missed no more often than by minima that know nothing of each other."""
+    rng = np.random.default_rng(5)
+    for union in (5, 10, 40, 200):
+        members = rng.integers(0, 2**64, (3000, union), dtype=np.uint64)
+        a, b = (np.concatenate([members[:, : union * 4 // 5], x], 1) for x in np.array_split(members[:, union * 4 // 5 :], 2, axis=1))
+        of_a, of_b = (linededup.minima(x.ravel(), np.full(len(x), x.shape[1])) for x in (a, b))
+        assert (of_a[7] == linededup.minima(a[7][::-1].copy(), np.array([a.shape[1]]))[0]).all()
+        assert abs((of_a == of_b).mean() - 0.8) < 0.01
+        assert (of_a == of_b).reshape(-1, linededup.BANDS, linededup.ROWS).all(2).any(1).sum() >= 2998
+
+
+def test_merged_lines_equal_brute_force_and_hot_names_travel_once():
+    rng = np.random.default_rng(3)
+    whole = np.zeros(4000, linededup.LINE)
+    for name, high in (("short", 900), ("low", 2), ("doc", 50), ("hash", 3), ("line", 9)):
+        whole[name] = rng.integers(0, high, len(whole))
+    whole["short"][:2000], whole["count"], whole["known"] = 7, 1, rng.random(len(whole)) < 0.9
+    whole["doc"][~whole["known"]] = 0
+    names = lambda x: (int(x["short"]), int(x["low"]))
+    want = {}
+    for x in whole:
+        want.setdefault(names(x), []).append((bool(x["known"]), int(x["doc"]), int(x["hash"]), int(x["line"])))
+    parts, hot = {}, 0
+    for block in np.array_split(whole.copy(), 4):
+        for row in linededup.line_blocks(block, 5).to_pylist():
+            found = np.frombuffer(row["rows"], linededup.LINE)
+            parts.setdefault(row["part"], []).append(found)
+            hot += int(((found["short"] == 7) & (found["count"] > 0)).sum())
+    assert hot <= 4 * 2 * linededup.OFTEN
+    first, again = zip(*(linededup.merged_lines(np.concatenate(x)) for x in parts.values()))
+    first, again = np.concatenate(first), np.concatenate(again)
+    value = lambda x: (bool(x["known"]), int(x["doc"]), int(x["hash"]), int(x["line"]))
+    assert sorted((names(x), value(x), int(x["count"])) for x in first) == sorted((k, min(v), len(v)) for k, v in want.items())
+    assert sorted((names(x), value(x)) for x in again) == sorted((k, x) for k, v in want.items() if len(v) > 1 for x in v)
+
+
+def test_pairs_whose_sizes_forbid_a_link_are_not_compared(monkeypatch):
+    from almoneda.llm import simjoin
+
+    asked, overlap = [], simjoin.overlap
+    monkeypatch.setattr(simjoin, "overlap", lambda a, b: asked.append((len(a), len(b))) or overlap(a, b))
+    members = [np.arange(n, dtype=np.uint64) for n in (10, 11, 40, 100)]
+    assert simjoin.compare(members, np.arange(4), np.zeros(4, int), False, 4, 5) == [(1, 0)] and asked == [(10, 11)]
+    assert simjoin.compare(members[::3], np.arange(2), np.zeros(2, int), False, 4, 5) == [] and len(asked) == 1
+
+
+def test_only_keys_with_several_rows_are_looked_at_again():
+    from almoneda.llm.simjoin import bucket_rows
+
+    block = lambda *rows: np.array(rows, np.int64).T.tobytes()
+    key, short, lead, several = bucket_rows([(False, block((1, 5), (1, 4), (2, 6), (3, 7), (3, 8))), (False, block((3, 9))), (True, block((4, 1, 1), (5, 3, 2)))])
+    assert set(zip(*(x.tolist() for x in (key, short, lead, several)))) == {(1, 5, 4, False), (3, 8, 7, True), (3, 9, 7, True), (4, 1, 1, True), (5, 3, 2, True)}
