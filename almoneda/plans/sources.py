@@ -49,11 +49,11 @@ def entry_xml(spark, d):
 
 def _documents(spark, rows, keys, count, head, value, path):
     """Writes a document for each of the keys, of which there are `count` different ones: head, a line a row, end. Rows are
-    dealt to files before their text is made."""
+    dealt to files before their text is made, and files are compressed, as entries are long and alike."""
     place = rows.select(*keys).distinct().select(*keys, F.explode(F.lit([0, 2])).alias("place"))
     dealt = rows.withColumn("place", F.lit(1)).unionByName(place, allowMissingColumns=True).repartition(count, *keys).sortWithinPartitions(*keys, "place")
     text = F.when(F.col("place") == 0, head).when(F.col("place") == 2, F.lit("</feed>")).otherwise(value)
-    dealt.select(*keys, text.alias("value")).write.partitionBy(*keys).text(path)
+    dealt.select(*keys, text.alias("value")).write.partitionBy(*keys).option("compression", "gzip").text(path)
     return path
 
 
@@ -330,7 +330,7 @@ def feed_stream_pages(spark, d, home, groups, entries=FILE_ENTRIES):
     # A page that no order falls to is left out, and the next one links to the one before it.
     there = [r[0] for r in o.select("page").distinct().orderBy("page").collect()]
     before = dict(zip(there, [first - 1, *there]))
-    link = lambda p: f'<link rel="next" href="{home}/page={p}/page.atom"/>' if p >= 0 else ""
+    link = lambda p: f'<link rel="next" href="{home}/page={p}/page.atom.gz"/>' if p >= 0 else ""
     links = F.create_map(*[F.lit(x) for p in there for x in (p, link(before[p]))])
     time = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01"), "yyyy-MM-dd") + F.col("page")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     made = _documents(spark, o, ["page"], len(there), F.concat(F.lit("<feed><updated>"), time, F.lit("</updated>"), F.try_element_at(links, F.col("page"))), F.concat(_gone(), _entry()), workspace(spark, "page"))
@@ -339,10 +339,10 @@ def feed_stream_pages(spark, d, home, groups, entries=FILE_ENTRIES):
     for p in there:
         part = next(x.getPath() for x in system.listStatus(fs.Path(f"{made}/page={p}")) if x.getPath().getName().startswith("part-"))
         system.mkdirs(fs.Path(f"{home}/page={p}"))
-        system.rename(part, fs.Path(f"{home}/page={p}/page.atom"))
+        system.rename(part, fs.Path(f"{home}/page={p}/page.atom.gz"))
     system.mkdirs(fs.Path(f"{home}/head"))
-    fs.FileUtil.copy(system, fs.Path(f"{home}/page={there[-1]}/page.atom"), system, fs.Path(f"{home}/head/page.atom"), False, True, conf)  # the newest also has a name of its own
-    return f"{home}/head/page.atom", end
+    fs.FileUtil.copy(system, fs.Path(f"{home}/page={there[-1]}/page.atom.gz"), system, fs.Path(f"{home}/head/page.atom.gz"), False, True, conf)  # the newest also has a name of its own
+    return f"{home}/head/page.atom.gz", end
 
 
 @query("ext_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")

@@ -9,6 +9,7 @@ task each, and parsed by Spark.
 from __future__ import annotations
 
 import codecs
+import gzip
 import json
 import re
 import urllib.request
@@ -31,12 +32,13 @@ STEP = 16_384
 
 
 def _open(url: str, timeout: float):
+    """A page; a file whose name ends in .gz is unpacked as it is read (by Arrow where it opens it)."""
     if re.match(r"https?://", url):
         return urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "almoneda/0.1"}), timeout=timeout)  # noqa: S310
     from pyarrow import fs
 
     if "://" not in url and not url.startswith("file:"):
-        return open(url, "rb")
+        return gzip.open(url) if url.endswith(".gz") else open(url, "rb")
     system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", url))
     return system.open_input_stream(path)
 

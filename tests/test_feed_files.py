@@ -55,3 +55,22 @@ def test_parts_read_in_steps_equal_those_of_the_whole():
     text = '<feed><x/><a:deleted-entry ref="ñ"/><entry><id>é</id><deleted-entry ref="in"/></entry>\n<entries/><at:deleted-entry ref="2"><at:comment/></at:deleted-entry><n:entry a=">"><id>€</id>\n</n:entry ><entry>open<deleted-entry a="1"/></feed>'
     for step in (1, 2, 3, 7, 1000):
         assert list(parts_read(io.BytesIO(text.encode()), step)) == list(parts(text))
+
+
+def test_files_take_a_fraction_of_their_text(spark):
+    for path in (sources.written_feed(spark, D), sources._pages(spark, D)[0]):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.sum("length")).first()[0]
+        text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).agg(F.sum(F.octet_length("value"))).first()[0]
+        assert files * 5 < text
+
+
+def test_packed_pages_are_unpacked(tmp_path):
+    import gzip
+
+    from almoneda.sources import feed_stream
+
+    (tmp_path / "p.atom.gz").write_bytes(gzip.compress(b"<feed><updated>u</updated><entry>") + gzip.compress("é</entry></feed>".encode()))
+    for url in (f"{tmp_path}/p.atom.gz", f"file:{tmp_path}/p.atom.gz"):
+        with feed_stream._open(url, 9) as f:
+            assert list(feed_stream.parts_read(f, 10)) == [("entry", "<entry>é</entry>")]
+        assert feed_stream.head(url)[0] == "u"
