@@ -38,11 +38,12 @@ def _codes(project: Column) -> Column:
 
 
 def contracts(entries: DataFrame) -> DataFrame:
-    """One row an entry with a status: the contract's fields, lots and lot results."""
-    s = F.col("status")
+    """One row an entry with a status: the contract's fields, lots and lot results. Entries may say which are tombstones; these
+    need no status."""
+    s, dead = F.col("status"), F.col("tombstone") if "tombstone" in entries.columns else F.lit(False)
     party, project, results = s["LocatedContractingParty"], s["ProcurementProject"], F.coalesce(s["TenderResult"], F.array())
     lots = F.coalesce(s["ProcurementProjectLot"], F.array())
-    parents = F.regexp_extract_all(party["ParentLocatedParty"], F.lit(r"<(?:[\w-]+:)?PartyName\b[^>]*>\s*<(?:[\w-]+:)?Name\b[^>]*>([^<]*)<"), F.lit(1))
+    parents = F.regexp_extract_all(party["ParentLocatedParty"], F.lit(r"<(?:[\w.-]+:)?PartyName\b[^>]*>\s*<(?:[\w.-]+:)?Name\b[^>]*>([^<]*)<"), F.lit(1))
     top = F.try_element_at(F.filter(F.transform(parents, lambda x: F.trim(x)), lambda x: x != ""), F.lit(-1))  # the last name is the topmost parent's
     name = lambda p: F.get(p["PartyName"], F.lit(0))["Name"]
     ident = lambda p: F.get(p["PartyIdentification"], F.lit(0))["ID"]
@@ -59,8 +60,8 @@ def contracts(entries: DataFrame) -> DataFrame:
     notices = F.coalesce(s["ValidNoticeInfo"], F.array())
     issue = lambda n: F.get(F.get(n["AdditionalPublicationStatus"], F.lit(0))["AdditionalPublicationDocumentReference"], F.lit(0))["IssueDate"]
     urls = F.flatten(F.transform(F.coalesce(s["GeneralDocument"], F.array()), lambda g: F.transform(F.coalesce(g["GeneralDocumentDocumentReference"], F.array()), lambda x: _text(x["Attachment"]["ExternalReference"]["URI"]))))
-    out = entries.filter(s.isNotNull()).select(
-        "sid", "category", "updated", "pos", F.col("link").alias("source_url"), _text(s["ContractFolderID"]).alias("expediente"), _text(project["Name"]).alias("title"), *of_code(s["ContractFolderStatusCode"], "status"),
+    out = entries.filter(dead | s.isNotNull()).select(
+        "sid", "category", "updated", "pos", dead.alias("tombstone"), F.col("link").alias("source_url"), _text(s["ContractFolderID"]).alias("expediente"), _text(project["Name"]).alias("title"), *of_code(s["ContractFolderStatusCode"], "status"),
         *of_code(project["TypeCode"], "contract_type"), *of_code(s["TenderingProcess"]["ProcedureCode"], "procedure"), *of_code(project["RealizedLocation"]["CountrySubentityCode"], "nuts"),
         _text(_first(notices, lambda n: n["NoticeTypeCode"])).alias("notice_type"), F.concat(_codes(project), F.flatten(F.transform(lots, lambda x: _codes(x["ProcurementProject"])))).alias("cpv"),
         _text(name(party["Party"])).alias("contracting_authority"), _text(ident(party["Party"])).alias("contracting_authority_id"), _text(party["BuyerProfileURIID"]).alias("buyer_profile_url"), top.alias("org_top_level"),
@@ -74,7 +75,7 @@ def contracts(entries: DataFrame) -> DataFrame:
     )
     meta = lambda r: F.try_element_at(F.filter("lots", lambda x: x["lot_id"] == r["lot_id"]), F.lit(-1))  # noqa: E731  the last lot of that id
     full = F.transform("bare_results", lambda r: F.struct(*[r[c].alias(c) for c in ("lot_id", "winner_name", "winner_nif", "amount", "award_date", "sme_awarded", "n_bids", "n_sme_bids", "lower_tender_amount", "higher_tender_amount")], meta(r)["name"].alias("name"), meta(r)["cpv"].alias("cpv")))
-    return out.withColumn("lot_results", full).withColumn("tombstone", F.lit(False)).drop("bare_results").withColumn("lang", F.lit("es"))
+    return out.withColumn("lot_results", full).drop("bare_results").withColumn("lang", F.lit("es"))
 
 
 def decode(df: DataFrame, codelists: DataFrame, field: str) -> DataFrame:

@@ -79,11 +79,12 @@ def apply_counted(store: SnapshotStore, versions: DataFrame, batch: str, attempt
     collapsed = written(collapse(versions), "collapsed")
     for attempt in range(attempts):
         since = store.version()
-        now = store.rows_of(collapsed.select("sid"))
-        if now is None or "history" not in now.columns:
-            now = collapsed.limit(0)
-        fresh = guard_stale(collapsed, now)
-        fresh = written(fresh.withColumn("history", merge_histories(F.col("history"), F.col("stored_history"))).drop("stored_updated", "stored_history"), "fresh")
+        now = store.rows_of(collapsed.select("sid")) if since else None
+        if now is None:  # all is new
+            fresh = collapsed
+        else:
+            fresh = guard_stale(collapsed, now if "history" in now.columns else collapsed.limit(0))
+            fresh = written(fresh.withColumn("history", merge_histories(F.col("history"), F.col("stored_history"))).drop("stored_updated", "stored_history"), "fresh")
         try:
             if not store.change(batch, replace=fresh, remove=gone, since=since):
                 return None

@@ -15,6 +15,7 @@ import re
 import urllib.request
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -23,12 +24,13 @@ from almoneda import extract, schema
 from almoneda.functions.scalar import last_segment
 
 ROW = "category string, page string, page_updated string, place int, kind string, xml string"
-_BEGINS = re.compile(r"<(?:[\w.-]+:)?(entry|deleted-entry)[\s>/]")
-_PARTS = re.compile(r"<((?:[\w.-]+:)?)(entry|deleted-entry)(?=[\s>/])(?:[^>]*/>|.*?</\1\2\s*>)", re.S)
+_BEGINS = re.compile(r"<((?:[\w.-]+:)?(entry|deleted-entry))[\s>/]")
 _TIME = re.compile(r"<(?:[\w.-]+:)?updated\s*>\s*([^<]*?)\s*<")
 _LINK = re.compile(r"<(?:[\w.-]+:)?link\b[^>]*>")
 #: Bytes of a page read at a time while looking for its first entry.
 STEP = 16_384
+#: Characters of entries that a task hands over at a time.
+BATCH = 4 << 20
 
 
 def _open(url: str, timeout: float):
@@ -68,10 +70,23 @@ def head(url: str, timeout: float = 600) -> tuple[str | None, str | None]:
     return time and time[1], None
 
 
+def _end(text: str, begin: re.Match) -> int:
+    """Where an element ends of which the beginning was found; 0 if that isn't in the text."""
+    head = text.find(">", begin.end(1))
+    if head > 0 and text[head - 1] == "/":
+        return head + 1
+    tail = re.compile(rf"</{re.escape(begin[1])}\s*>").search(text, begin.end(1))
+    return tail.end() if tail else 0
+
+
 def parts(text: str) -> Iterator[tuple[str, str]]:
     """(kind, XML) of the entries and deleted entries of a page, in order."""
-    for m in _PARTS.finditer(text):
-        yield m[2], m[0]
+    at = 0
+    while begin := _BEGINS.search(text, at):
+        end = _end(text, begin)
+        if end:
+            yield begin[2], text[begin.start() : end]
+        at = end or begin.end()
 
 
 def parts_read(f, step: int = 1 << 20) -> Iterator[tuple[str, str]]:
@@ -82,12 +97,12 @@ def parts_read(f, step: int = 1 << 20) -> Iterator[tuple[str, str]]:
         text += decoder.decode(more, final=not more)
         at = 0
         while begin := _BEGINS.search(text, at):
-            whole = _PARTS.match(text, begin.start())
-            if whole:
-                yield whole[2], whole[0]
+            end = _end(text, begin)
+            if end:
+                yield begin[2], text[begin.start() : end]
             elif more:
                 break  # it ends further on
-            at = whole.end() if whole else begin.end()
+            at = end or begin.end()
         text = text[begin.start() if begin else max(at, text.rfind("<")) :]
 
 
@@ -140,10 +155,23 @@ class FeedReader(DataSourceStreamReader):
         old = {tuple(x) for x in start["batch"]}
         return [Page(url, time) for url, time in end["batch"] if (url, time) not in old and (not time or not start["updated"] or time > start["updated"])]
 
-    def read(self, page: Page) -> Iterator[tuple]:
+    def read(self, page: Page) -> Iterator[pa.RecordBatch]:
+        def batch(place: int, rows: list[tuple[str, str]]) -> pa.RecordBatch:
+            n, same = len(rows), lambda x: pa.repeat(pa.scalar(x, pa.string()), len(rows))
+            kinds, xml = zip(*rows)
+            columns = [same(self.category), same(page.url), same(page.updated), pa.array(range(place, place + n), pa.int32()), pa.array(kinds, pa.string()), pa.array(xml, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ROW.split(", ")])
+
         with _open(page.url, self.timeout) as f:
-            for place, (kind, xml) in enumerate(parts_read(f)):
-                yield self.category, page.url, page.updated, place, kind, xml
+            place, held, size = 0, [], 0
+            for kind, xml in parts_read(f):
+                held.append((kind, xml))
+                size += len(xml)
+                if size >= BATCH:
+                    yield batch(place, held)
+                    place, held, size = place + len(held), [], 0
+            if held:
+                yield batch(place, held)
 
     def commit(self, end: dict) -> None:
         if self.remember:
@@ -170,13 +198,18 @@ def register(spark: SparkSession) -> None:
 
 
 def versions(rows: DataFrame) -> DataFrame:
-    """Versions of notices, as ingest.apply takes them, of rows of a feed. pos orders them by the page's time and place."""
-    plain = F.regexp_replace(F.col("xml"), r"(</?|\s)[A-Za-z_][\w.-]*:(?=[A-Za-z_])", "$1")
+    """Versions of notices, as ingest.apply takes them, of rows of a feed. pos orders them by the page's time and place.
+
+    Pages are read once and an entry is parsed once: as the element of an array, since Spark would repeat the parser in a filter.
+    """
     pos = F.struct(F.concat_ws(" ", F.coalesce("page_updated", F.lit("")), "page").alias("page"), F.lit(0).cast("long").alias("block"), F.col("place").cast("long").alias("place")).alias("pos")
-    e = F.from_xml(plain, schema.ENTRY_STRUCT, {"ignoreNamespace": "true"})
-    live = rows.filter("kind = 'entry'").select("category", pos, e.alias("e")).select(
-        last_segment("e.id").alias("sid"), "e.updated", F.get("e.link", F.lit(0))["_href"].alias("link"), F.col("e.ContractFolderStatus").alias("status"), "category", "pos",
-    )
-    attribute = lambda name: F.nullif(F.regexp_extract("xml", rf"^<[^>]*?\s{name}\s*=\s*[\"']([^\"']*)", 1), F.lit(""))
-    dead = rows.filter("kind = 'deleted-entry'").select(last_segment(attribute("ref")).alias("sid"), attribute("when").alias("updated"), "category", pos, F.lit(True).alias("tombstone"))
-    return extract.contracts(live).unionByName(dead, allowMissingColumns=True)
+    dead = F.col("kind") == "deleted-entry"
+    e = F.explode(F.array(F.when(~dead, F.from_xml("xml", schema.ENTRY_STRUCT, {"ignoreNamespace": "true"}))))
+    attribute = lambda name: F.when(dead, F.nullif(F.regexp_extract("xml", rf"^<[^>]*?\s{name}\s*=\s*[\"']([^\"']*)", 1), F.lit("")))
+    read = rows.select("category", pos, dead.alias("tombstone"), attribute("ref").alias("ref"), attribute("when").alias("when"), e.alias("e"))
+    either = lambda gone, there: F.when(F.col("tombstone"), gone).otherwise(there)
+    out = extract.contracts(read.select(
+        either(last_segment("ref"), last_segment("e.id")).alias("sid"), either(F.col("when"), F.col("e.updated")).alias("updated"), F.get("e.link", F.lit(0))["_href"].alias("link"), F.col("e.ContractFolderStatus").alias("status"), "category", "pos", "tombstone",
+    ))
+    known = ("sid", "updated", "category", "pos", "tombstone")  # all that a tombstone says
+    return out.select(*[c if c in known else F.when(~F.col("tombstone"), F.col(c)).alias(c) for c in out.columns])

@@ -74,3 +74,18 @@ def test_packed_pages_are_unpacked(tmp_path):
         with feed_stream._open(url, 9) as f:
             assert list(feed_stream.parts_read(f, 10)) == [("entry", "<entry>é</entry>")]
         assert feed_stream.head(url)[0] == "u"
+
+
+def test_entries_of_a_stream_are_parsed_once_and_keep_their_text(spark):
+    from almoneda.sources import feed_stream
+
+    entry = '<n:entry xmlns:n="u"><n:id>https://x/s/1</n:id><n:updated>2024-01-01</n:updated><a.b:ContractFolderStatus><c:ContractFolderID>E ref:X</c:ContractFolderID><LocatedContractingParty><a.b:ParentLocatedParty><a.b:PartyName><a.b:Name>Alta</a.b:Name></a.b:PartyName></a.b:ParentLocatedParty></LocatedContractingParty></a.b:ContractFolderStatus></n:entry>'
+    rows = [("entry", entry), ("entry", "<entry><id>https://x/s/2</id></entry>"), ("deleted-entry", '<at:deleted-entry ref="https://x/s/3/" when="2024-01-02"><at:comment/></at:deleted-entry>')]
+    df = spark.createDataFrame([("c", "p", "t", i, *r) for i, r in enumerate(rows)], feed_stream.ROW)
+    v = feed_stream.versions(df)
+    nodes = [x for x in v._jdf.queryExecution().executedPlan().toString().splitlines() if "from_xml(" in x]
+    assert len(nodes) == 1
+    live, dead = v.orderBy("sid").collect()
+    assert (live.sid, live.updated, live.expediente, live.org_top_level, live.tombstone) == ("1", "2024-01-01", "E ref:X", "Alta", False)
+    assert (dead.sid, dead.updated, dead.category, dead.tombstone) == ("3", "2024-01-02", "c", True)
+    assert {k for k, x in dead.asDict().items() if x is not None} == {"sid", "updated", "category", "pos", "tombstone"}
