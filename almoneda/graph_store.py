@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almoneda import extract, graph
-from almoneda.store import SnapshotStore
+from almoneda.functions.scalar import normalize_name
+from almoneda.store import SnapshotStore, save
 
 #: Tables in the order they are written, the key each is kept by, and their columns.
 KEYS = {"contracts": "sid", "lots": "sid", "won": "sid", "authorities": "authority", "tendered": "sid", "classified": "sid", "located": "sid", "names": "nif", "companies": "nif"}
@@ -28,6 +29,14 @@ SCHEMAS = {
 _ROW = {"contracts": ["sid"], "lots": ["sid", "lot_key"], "won": ["sid", "nif", "lot_key"], "tendered": ["sid", "authority"], "classified": ["sid", "lot_key", "cpv"], "located": ["sid", "nuts"]}
 
 
+def _edges(awards: DataFrame) -> DataFrame:
+    """Won edges, each with the contract of its lot's last write. Awards are dealt by lot, once for both."""
+    won = awards.filter("nif IS NOT NULL").select(F.concat_ws(":", "sid", "lot_id").alias("lot_key"), "nif", "sid", "amount", "award_date", "name", "seq").repartition("lot_key")
+    last = won.groupBy("lot_key", "nif").agg(F.max_by(F.struct("sid", "amount", "award_date", "name", "seq"), "seq").alias("v")).select("lot_key", "nif", "v.*")
+    sid = F.max_by("sid", "seq").over(Window.partitionBy("lot_key"))  # of a lot's few edges
+    return last.select(sid.alias("sid"), "nif", "lot_key", "amount", "award_date", "name").withColumn("name_norm", normalize_name("name")).withColumnRenamed("name", "name_display")
+
+
 def batch_tables(awards: DataFrame, contracts: DataFrame | None = None) -> dict[str, DataFrame]:
     """A batch's rows by table. awards: (sid, lot_id, nif, name, amount, award_date, seq[, cpv]); contracts: (sid[,
     contracting_authority_id, contracting_authority, org_top_level, nuts_code]). Contracts without an award to a known company
@@ -38,7 +47,7 @@ def batch_tables(awards: DataFrame, contracts: DataFrame | None = None) -> dict[
     lots = graph.lot_nodes(awards)
     out = {
         "contracts": held.select("sid"), "lots": lots.select("sid", "lot_key", "amount"),
-        "won": graph.won_edges(awards).join(lots.select("sid", "lot_key"), "lot_key").select("sid", "nif", "lot_key", "amount", "award_date", "name_norm", "name_display"),
+        "won": _edges(awards),
         "companies": graph.company_nodes(awards).withColumn("canonical_name", F.lit(None).cast("string")),
     }
     if "cpv" in awards.columns:
@@ -64,10 +73,13 @@ def top_names(names: DataFrame) -> DataFrame:
     return by_name.groupBy("nif").agg(F.min_by("name", F.struct(-F.col("n"), "name_norm")).alias("canonical_name"))
 
 
-def _at_once(f, tables: list[str]) -> list:
-    """f of each table; their jobs are small and don't wait for each other."""
+def _at_once(f, tables: list[str]) -> dict:
+    """f of each table. Edges, which are large, come first and alone, so that their shuffle files and those of lots aren't
+    there together; the jobs of the others are small and don't wait for each other."""
+    done = {t: f(t) for t in tables if t == "won"}
     with ThreadPoolExecutor(4) as pool:
-        return list(pool.map(f, tables))
+        small = [t for t in tables if t != "won"]
+        return done | dict(zip(small, pool.map(f, small)))
 
 
 class GraphStore:
@@ -106,12 +118,20 @@ class GraphStore:
                 out = f"{aside}/out-{table}" if self._done(f"{aside}/out-{table}") else f"{aside}/gone" if table in _ROW else None
                 keys = self.spark.read.parquet(out).toDF(KEYS[table]) if out else None
                 self.stores[table].change(batch, replace=self.spark.read.parquet(f"{aside}/{table}"), remove=keys)
+                if table != "companies":
+                    self._forget(f"{aside}/{table}")
 
         _at_once(put, [t for t in self.stores if t != "companies"])
         put("companies")  # says that the batch is in
-        self.stores["contracts"]._fs.delete(self.stores["contracts"]._path(aside), True)
+        self._forget(aside)
         return True
 
+    def _forget(self, folder: str) -> None:
+        """Deletes a folder, its mark first, so that what is left of it after a crash counts as gone."""
+        store = self.stores["contracts"]
+        for x in (f"{folder}/_SUCCESS", folder):
+            store._fs.delete(store._path(x), True)
+
     def _done(self, folder: str) -> bool:
         store = self.stores["contracts"]
         return store._fs.exists(store._path(f"{folder}/_SUCCESS"))
@@ -120,7 +140,7 @@ class GraphStore:
         """Writes what each table takes of a batch: rows in place of those of their keys, and keys to take out."""
 
         def keep(df: DataFrame, name: str) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{aside}/{name}")
+            save(df, f"{aside}/{name}")
             return self.spark.read.schema(df.schema).parquet(f"{aside}/{name}")
 
         none = {t: self.spark.createDataFrame([], ddl) for t, ddl in SCHEMAS.items()}
@@ -129,14 +149,19 @@ class GraphStore:
         def merge(table: str) -> DataFrame | None:
             if table not in tables and not self.stores[table].version():
                 return None
-            row = _ROW[table]
-            new = keep(tables.get(table, none[table]).select(*none[table].columns).join(gone, "sid", "left_anti"), f"new-{table}")
-            sids = new.select("sid").distinct()
-            before = self._of(table, sids.unionByName(gone))
-            after = keep(before.join(sids, "sid", "left_semi").join(new.select(row), row, "left_anti").unionByName(new), table)
-            return keep(signed_names(before, after), "change") if table == "won" else None
-
-        change = dict(zip(_ROW, _at_once(merge, list(_ROW))))["won"]
+            row, new = _ROW[table], tables.get(table, none[table]).select(*none[table].columns).join(gone, "sid", "left_anti")
+            if not self.stores[table].version():  # nothing to merge with
+                before, after = none[table], keep(new, table)
+            else:
+                new = keep(new, f"new-{table}")
+                sids = new.select("sid").distinct()
+                before = self._of(table, sids.unionByName(gone))
+                after = keep(before.join(sids, "sid", "left_semi").join(new.select(row), row, "left_anti").unionByName(new), table)
+            change = keep(signed_names(before, after), "change") if table == "won" else None
+            self._forget(f"{aside}/new-{table}")
+            return change
+
+        change = _at_once(merge, list(_ROW))["won"]
         change = none["names"] if change is None else change
         nifs = change.select("nif").distinct()
         counts = self._of("names", nifs).unionByName(change).groupBy("nif", "name_norm", "name_display").agg(F.sum("n").alias("n")).filter("n > 0")

@@ -162,7 +162,7 @@ def _in_batches(spark, d):
     """The award graph after two batches: all orders, then one in five once more, every lot won by a company's other name and
     the lots of one in ten by another company too; one in seven goes with the second."""
     from almoneda.graph_store import GraphStore, batch_tables
-    from almoneda.store import workspace, written
+    from almoneda.store import discard, workspace, written
 
     key = F.col("sid").cast("long")
     a = written(awards(spark, d), "awards")
@@ -171,6 +171,7 @@ def _in_batches(spark, d):
     again = a.filter(key % 5 == 0).withColumn("name", F.concat(F.lit("NEW "), "name")).withColumn("nif", F.when((key % 10 == 0) & F.col("nif").isNotNull(), "B9999").otherwise(F.col("nif")))
     gone = contracts(spark, d).filter(key % 7 == 0).select("sid")
     g.apply("b2", batch_tables(again.join(gone, "sid", "left_anti")), gone)
+    discard(a)
     return g
 
 

@@ -91,3 +91,35 @@ def test_of_extracted_contracts(spark, tmp_path):
     assert rows("won", "nif", "lot_key", "amount") == [("B1", "1:1", 5.0), ("B1", "1:2", 0.0)] and rows("classified", "lot_key", "cpv") == [("1:1", "03"), ("1:1", "45")]
     assert rows("tendered", "sid", "authority") == [("1", "L1")] and rows("authorities", "authority", "name", "org_top_level") == [("L1", "Lugo", "Top")] and rows("located", "sid", "nuts") == [("1", "ES112")]
     g.check()
+
+
+def test_awards_are_shuffled_once_for_edges(spark):
+    rows = [("1", "2:3", "B1", "Acme SL", 1.0, None, 1), ("1:2", "3", "B2", "Beta", 2.0, "d", 2), ("1:2", "3", "B2", "Gamma", 3.0, "e", 1), ("4", "1", None, "No", 1.0, None, 3)]
+    won = batch_tables(spark.createDataFrame(rows, AWARDS).repartition(3))["won"]
+    got = won.select("sid", "nif", "lot_key", "amount", "award_date", "name_norm", "name_display").collect()
+    assert sorted(map(tuple, got)) == [("1:2", "B1", "1:2:3", 1.0, None, "ACME", "Acme SL"), ("1:2", "B2", "1:2:3", 2.0, "d", "BETA", "Beta")]
+    assert won._jdf.queryExecution().sparkPlan().toString().count("Window") == 1
+    assert won._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import os
+    import time
+
+    from almoneda.store import discard, written
+
+    def shuffled():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    had, setting = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    found = written(spark.range(1000, numPartitions=3).groupBy("id").count(), "t")
+    for _ in range(50):
+        if not shuffled() - had:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - had and spark.conf.get(setting) == before and found.count() == 1000
+    path = found.inputFiles()[0]
+    discard(found)
+    assert not os.path.exists(path.removeprefix("file://"))
